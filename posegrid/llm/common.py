@@ -4,10 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one of our own only where none is named (tests)."""
@@ -39,3 +48,71 @@ def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 def crc_mod(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null ids give -1."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus, F.lit(-1).cast("long"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal ``df`` out by ``keys`` to as many partitions as shuffles have."""
+    return df.repartition(partitions(df.sparkSession), *keys)
+
+
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string column (null: empty) and the offsets of its rows, without a copy of the text."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+
+
+def row_blocks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``limit`` bytes together, or of one longer row."""
+    n, at = len(offsets) - 1, 0
+    while at < n:
+        to = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
+        to = min(n, max(at + 1, to))
+        yield at, to
+        at = to
+
+
+def text_blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets from 0) for each block of rows."""
+    data, offsets = utf8(column)
+    for at, to in row_blocks(offsets, limit):
+        yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word ``[^\\x20\\x09-\\x0D]+``; words end where their row ends."""
+    keep = np.zeros(len(data) + 2, bool)
+    keep[1:-1] = ~SPACE[data]
+    first, last = keep[1:-1] & ~keep[:-2], keep[1:-1] & ~keep[2:]
+    inner = offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < len(data))]
+    first[inner] = keep[1:-1][inner]
+    last[inner - 1] = keep[1:-1][inner - 1]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets, starts, "right") - 1
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit integers."""
+    x = x.astype(np.uint64, copy=True)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def per_row(values: np.ndarray, starts: np.ndarray, ufunc: np.ufunc = np.add, empty=0) -> np.ndarray:
+    """ufunc over values[starts[i]:starts[i + 1]] for each row; rows without values give ``empty``."""
+    n = len(starts) - 1
+    out = np.full(n, empty, dtype=values.dtype if ufunc is not np.add or values.dtype != bool else np.int64)
+    full = np.flatnonzero(starts[1:] > starts[:-1])
+    if len(full):
+        out[full] = ufunc.reduceat(values if values.dtype != bool else values.astype(np.int64), starts[full])
+    return out

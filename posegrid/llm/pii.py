@@ -7,9 +7,7 @@ character it writes, the source span it came from, so a match maps back to sourc
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,9 +15,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 # fixed values: the base forms of the contract
-EMAIL_HEAD = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -42,11 +38,15 @@ NAME = "(?:" + "|".join(DIGITS) + ")"
 #: At least four digit names or digits one after the other, two of them names at least.
 SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]+)?(?:{NAME}|[0-9])(?:[\s,.-]+(?:{NAME}|[0-9]+))+(?![A-Za-z0-9])", re.I)
 NAMED = re.compile(rf"(?<![A-Za-z])({NAME}|plus)(?![A-Za-z])", re.I)
-AT = re.compile(r"\s*[\[({<]\s*at\s*[\])}>]\s*|\s*[\[({<]\s*@\s*[\])}>]\s*|\s+at\s+", re.I)
-DOT = re.compile(r"\s*[\[({<]\s*(?:dot|point)\s*[\])}>]\s*|\s*[\[({<]\s*\.\s*[\])}>]\s*|\s+dot\s+", re.I)
-#: An address whose at sign or dots are disguised. Plain words need both an "at" and a "dot", and a short last label.
+AT_SIGN = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*"
+DOT_SIGN = r"\s*[\[({<]\s*(?:dot|point|\.)\s*[\])}>]\s*"
+DOT_WORD = rf"(?:{DOT_SIGN}|\s+dot\s+)"
+AT = re.compile(rf"{AT_SIGN}|\s+at\s+", re.I)
+DOT = re.compile(DOT_WORD, re.I)
+LABEL, LAST = r"[A-Za-z0-9_%+-]+", r"[A-Za-z]{2,6}(?![A-Za-z0-9])"
+#: An address whose at sign or dots are disguised. A plain word "at" counts only if all dots after it are disguised too.
 DISGUISED = re.compile(
-    rf"[A-Za-z0-9_%+-]+(?:(?:\.|{DOT.pattern})[A-Za-z0-9_%+-]+)*(?:@|{AT.pattern})[A-Za-z0-9-]+(?:(?:\.|{DOT.pattern})[A-Za-z0-9-]+)*(?:\.|{DOT.pattern})[A-Za-z]{{2,6}}(?![A-Za-z0-9])", re.I
+    rf"{LABEL}(?:(?:\.|{DOT_WORD}){LABEL})*(?:(?:@|{AT_SIGN})[A-Za-z0-9-]+(?:(?:\.|{DOT_WORD})[A-Za-z0-9-]+)*(?:\.|{DOT_WORD}){LAST}|\s+at\s+[A-Za-z0-9-]+(?:{DOT_WORD}[A-Za-z0-9-]+)*{DOT_WORD}{LAST})", re.I
 )
 HINT = re.compile(r"[\[({<]\s*(?:at|@|dot)\s*[\])}>]|\sdot\s", re.I)
 HINT_DIGIT = re.compile(rf"(?<![A-Za-z]){NAME}[\s,.-]+(?:{NAME}|[0-9])(?![A-Za-z])", re.I)
@@ -139,15 +139,13 @@ def hidden_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and base plus disguised ones; a disguised one that meets a base span is left out."""
+    """Base spans, and base plus disguised ones; a disguised one that lies within another span is left out."""
     base = base_spans(text)
-    taken = [(s, e) for _, s, e in base]
-    more = []
+    found = list(base)
     for k, s, e in hidden_spans(text):
-        if all(e <= a or b <= s for a, b in taken):
-            more.append((k, s, e))
-            taken.append((s, e))
-    return base, sorted([*base, *more], key=lambda x: (x[1], KINDS.index(x[0])))
+        if not any(a <= s and e <= b for _, a, b in found):
+            found.append((k, s, e))
+    return base, sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -155,12 +153,19 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """The text with each span replaced by its kind in angle brackets; of overlapping spans the first stays."""
-    out, at = [], 0
+    """The text with each span replaced by its kind in angle brackets; spans that overlap are one, named after the longest."""
+    joint: list[list] = []
     for k, s, e in spans:
-        if s >= at:
-            out += [text[at:s], f"<{k}>"]
-            at = e
+        if joint and s < joint[-1][2]:
+            if e - s > joint[-1][3]:
+                joint[-1][0], joint[-1][3] = k, e - s
+            joint[-1][2] = max(joint[-1][2], e)
+        else:
+            joint.append([k, s, e, e - s])
+    out, at = [], 0
+    for k, s, e, _ in joint:
+        out += [text[at:s], f"<{k}>"]
+        at = e
     return "".join([*out, text[at:]])
 
 
@@ -172,28 +177,11 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     docs = docs.drop("base_spans", "spans", "masked")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [all_spans(t or "") for t in batch[text_col]]
-            yield batch.assign(
-                base_spans=[joined(b) for b, _ in found],
-                spans=[joined(a) for _, a in found],
-                masked=[None if t is None else mask(t, a) for t, (_, a) in zip(batch[text_col], found, strict=True)],
-            )
-
-    # Python sees one renamed copy of the text and a row of the rest, so no column type is changed on the way
-    schema = "_row struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema) + ">, base_spans string, spans string, masked string"
-    del schema
-    return _through(docs, text_col, run)
-
-
-def _through(docs: DataFrame, text_col: str, run) -> DataFrame:
-    """Apply the detector as an Arrow-batched column function, so the other columns never leave the JVM."""
-
     @F.pandas_udf("base_spans string, spans string, masked string")
     def detect(text: pd.Series) -> pd.DataFrame:
-        got = next(run(iter([pd.DataFrame({text_col: text})])))
-        return got[["base_spans", "spans", "masked"]]
+        found = [all_spans(t or "") for t in text]
+        masked = [None if t is None else mask(t, a) for t, (_, a) in zip(text, found, strict=True)]
+        return pd.DataFrame({"base_spans": [joined(b) for b, _ in found], "spans": [joined(a) for _, a in found], "masked": masked})
 
     return docs.withColumn("_pii", detect(F.col(text_col))).select(*docs.columns, "_pii.base_spans", "_pii.spans", "_pii.masked")
 
@@ -202,8 +190,5 @@ def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, n_<kind>, base_sha256, spans."""
     found = find_pii(docs.select("doc_id", "text")).drop("text", "masked")
     kinds = F.transform(F.split("base_spans", ","), lambda x: F.split(x, ":")[0])
-    counts = [F.size(F.filter(kinds, lambda x, k=k: x == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
-
-
-__all__ = ["all_spans", "base_spans", "digest", "find_pii", "hashlib", "mask"]
