@@ -7,7 +7,10 @@ and a document with very many tokens spreads its pieces over all groups.
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,31 +20,38 @@ from pyspark.sql import functions as F
 
 CAPACITY = 4096
 GROUP_PIECES = 20_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 700_000
 
 
 class WordEncoder(dict):
     """word -> its token ids as little-endian uint32 bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words one after the other; each distinct word is encoded once, until the memo is full.
+    words one after the other; each distinct word is encoded once. When the memo is full, only words
+    that were asked for again stay.
     """
 
     def __init__(self, path: str, limit: int = MEMO_WORDS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for each core already
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.again = Tokenizer.from_file(path), limit, set()
 
     def fill(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
+        known = words & self.keys()
+        new = words - known
+        self.again |= known
         if len(self) + len(new) > self.limit:
+            stay = {w: self[w] for w in (self.again if len(self.again) < self.limit // 2 else known)}
             self.clear()
-            new = list(words)
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
+            self.update(stay)
+            self.again = set(known)
+        todo = list(new)
+        for start in range(0, len(todo), 10_000):
+            part = todo[start : start + 10_000]
             for word, enc in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[word] = np.asarray(enc.ids, "<u4").tobytes()
+                self[word] = array("I", enc.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # only blanks that the tokenizer itself drops are cut at
@@ -50,6 +60,12 @@ class WordEncoder(dict):
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One for each worker process, so that later tasks find the memo filled."""
+    return WordEncoder(path)
+
+
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item; items go, largest first (ties: as given), to the leftmost bin with room.
 
@@ -81,12 +97,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity
     end = np.asarray([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokenizer_path)
+        words = encoder(tokenizer_path)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
                 rows = []
-                for doc_id, ids in zip(part["doc_id"], encoder.encode(part["text"].tolist()), strict=True):
+                for doc_id, ids in zip(part["doc_id"], words.encode(part["text"].tolist()), strict=True):
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, capacity):
