@@ -171,10 +171,31 @@ def boxminus(qa: Quat, ta: Vec, qb: Quat, tb: Vec) -> tuple[Vec, Vec]:
     return se3_log(*relative_pose(qb, tb, qa, ta))
 
 
+def bound(columns: list[Column], f) -> list[Column]:
+    """f(*columns) with each of the columns computed once, however often f uses it; f returns a list of columns."""
+    names = [f"c{i}" for i in range(len(columns))]
+    given = F.array(F.struct(*[c.alias(n) for c, n in zip(columns, names, strict=True)]))
+    many: list[str] = []
+
+    def run(s: Column) -> Column:
+        out = f(*[s[n] for n in names])
+        many[:] = [f"r{i}" for i in range(len(out))]
+        return F.struct(*[c.alias(n) for c, n in zip(out, many, strict=True)])
+
+    got = F.transform(given, run)[0]
+    return [got[n] for n in many]
+
+
 def se3_interpolate(qa: Quat, ta: Vec, qb: Quat, tb: Vec, beta: Column) -> tuple[Quat, Vec]:
-    b = F.greatest(F.lit(0.0), F.least(F.lit(1.0), beta))
-    rho, phi = boxminus(qb, tb, qa, ta)
-    return boxplus(qa, ta, tuple(r * b for r in rho), tuple(p * b for p in phi))
+    """A * Exp(beta * Log(A^-1 B)), beta kept between 0 and 1."""
+
+    def between(*c: Column) -> list[Column]:
+        tangent = [x for part in boxminus(c[7:11], c[11:14], c[:4], c[4:7]) for x in part]
+        scaled = bound([*tangent, c[14]], lambda *v: [x * v[6] for x in v[:6]])
+        return bound([*c[:7], *scaled], lambda *v: [x for part in boxplus(v[:4], v[4:7], v[7:10], v[10:13]) for x in part])
+
+    out = bound([*qa, *ta, *qb, *tb, F.greatest(F.lit(0.0), F.least(F.lit(1.0), beta))], between)
+    return tuple(out[:4]), tuple(out[4:])
 
 
 def deskew(v: Vec, w: Vec, dt: Column, p: Vec) -> Vec:

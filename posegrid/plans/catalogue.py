@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import filters, joins
+from . import aggregations, filters, joins, scalars
 from .registry import Query
 
-SECTIONS = (filters, joins)
+SECTIONS = (filters, joins, aggregations, scalars)
 
 
 def queries() -> dict[str, Query]:
