@@ -136,66 +136,21 @@ def so3_log(q: Quat) -> Vec:
     return q[0] * k, q[1] * k, q[2] * k
 
 
-def _left(v: Vec, u: Vec, inverse: bool) -> Vec:
-    """The left Jacobian of SO(3) at v, or its inverse, times u."""
+def _left(v: Vec, u: Vec) -> Vec:
+    """The left Jacobian of SO(3) at v, times u."""
     th2 = v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
     th = F.sqrt(th2)
     cross = lambda a, b: (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
     w = cross(v, u)
     ww = cross(v, w)
     small = th < 1e-6
-    if inverse:
-        a, b = F.lit(-0.5), F.when(small, F.lit(1 / 12)).otherwise((1 - th * F.sin(th) / (2 * (1 - F.cos(th)))) / th2)
-    else:
-        a, b = F.when(small, F.lit(0.5)).otherwise((1 - F.cos(th)) / th2), F.when(small, F.lit(1 / 6)).otherwise((th - F.sin(th)) / (th2 * th))
+    a, b = F.when(small, F.lit(0.5)).otherwise((1 - F.cos(th)) / th2), F.when(small, F.lit(1 / 6)).otherwise((th - F.sin(th)) / (th2 * th))
     return tuple(u[i] + a * w[i] + b * ww[i] for i in range(3))
 
 
 def se3_exp(rho: Vec, phi: Vec) -> tuple[Quat, Vec]:
     """Translation comes first in the tangent."""
-    return so3_exp(phi), _left(phi, rho, False)
-
-
-def se3_log(q: Quat, t: Vec) -> tuple[Vec, Vec]:
-    phi = so3_log(q)
-    return _left(phi, t, True), phi
-
-
-def boxplus(q: Quat, t: Vec, rho: Vec, phi: Vec) -> tuple[Quat, Vec]:
-    """T * Exp(xi), perturbed on the right."""
-    return se3_compose(q, t, *se3_exp(rho, phi))
-
-
-def boxminus(qa: Quat, ta: Vec, qb: Quat, tb: Vec) -> tuple[Vec, Vec]:
-    """Log(B^-1 A)."""
-    return se3_log(*relative_pose(qb, tb, qa, ta))
-
-
-def bound(columns: list[Column], f) -> list[Column]:
-    """f(*columns) with each of the columns computed once, however often f uses it; f returns a list of columns."""
-    names = [f"c{i}" for i in range(len(columns))]
-    given = F.array(F.struct(*[c.alias(n) for c, n in zip(columns, names, strict=True)]))
-    many: list[str] = []
-
-    def run(s: Column) -> Column:
-        out = f(*[s[n] for n in names])
-        many[:] = [f"r{i}" for i in range(len(out))]
-        return F.struct(*[c.alias(n) for c, n in zip(out, many, strict=True)])
-
-    got = F.transform(given, run)[0]
-    return [got[n] for n in many]
-
-
-def se3_interpolate(qa: Quat, ta: Vec, qb: Quat, tb: Vec, beta: Column) -> tuple[Quat, Vec]:
-    """A * Exp(beta * Log(A^-1 B)), beta kept between 0 and 1."""
-
-    def between(*c: Column) -> list[Column]:
-        tangent = [x for part in boxminus(c[7:11], c[11:14], c[:4], c[4:7]) for x in part]
-        scaled = bound([*tangent, c[14]], lambda *v: [x * v[6] for x in v[:6]])
-        return bound([*c[:7], *scaled], lambda *v: [x for part in boxplus(v[:4], v[4:7], v[7:10], v[10:13]) for x in part])
-
-    out = bound([*qa, *ta, *qb, *tb, F.greatest(F.lit(0.0), F.least(F.lit(1.0), beta))], between)
-    return tuple(out[:4]), tuple(out[4:])
+    return so3_exp(phi), _left(phi, rho)
 
 
 def deskew(v: Vec, w: Vec, dt: Column, p: Vec) -> Vec:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from posegrid import adapters as A
 from posegrid.adapters import with_views
 from posegrid.functions import geometry as M
+from posegrid.functions import manifold
 from pyspark.sql import functions as F
 
 from .registry import Section, rounded
@@ -135,26 +137,42 @@ def _(spark, d):
 
 @section.add("se3_log", with_views("SELECT kf_id, round(x / 100 + 1e-9, 6) AS r0, round(y / 1000, 6) AS r1, round(0.5, 6) AS r2, round(0.1, 6) AS p0, round(y / 1000, 6) AS p1, round(-0.2, 6) AS p2 FROM v_track"))
 def _(spark, d):
-    pose = M.se3_exp((col("x") / 100, col("y") / 1000, F.lit(0.5)), (F.lit(0.1), col("y") / 1000, F.lit(-0.2)))
-    rho, phi = M.se3_log(*pose)
-    return rounded(A.track(spark, d).select("kf_id", *[c.alias(n) for c, n in zip((rho[0] + 1e-9, *rho[1:], *phi), ("r0", "r1", "r2", "p0", "p1", "p2"), strict=True)]))
+    back = manifold.batched(lambda v: manifold.log(manifold.exp(v)), manifold.TANGENT, col("x") / 100, col("y") / 1000, F.lit(0.5), F.lit(0.1), col("y") / 1000, F.lit(-0.2))
+    return rounded(A.track(spark, d).select("kf_id", back.alias("v")).select("kf_id", (col("v.r0") + 1e-9).alias("r0"), "v.r1", "v.r2", "v.p0", "v.p1", "v.p2"))
+
+
+STEP = (0.3, -0.1, 0.2, 0.05, -0.15, 0.25)
 
 
 @section.add("boxplus_boxminus", with_views("SELECT kf_id, round(0.3, 6) AS r0, round(-0.1, 6) AS r1, round(0.25, 6) AS p2 FROM v_track"))
 def _(spark, d):
     q0, t0 = pose()
-    moved = M.boxplus(q0, t0, (F.lit(0.3), F.lit(-0.1), F.lit(0.2)), (F.lit(0.05), F.lit(-0.15), F.lit(0.25)))
-    rho, phi = M.boxminus(*moved, q0, t0)
-    return rounded(posed(spark, d).select("kf_id", rho[0].alias("r0"), rho[1].alias("r1"), phi[2].alias("p2")))
+    there = lambda v: manifold.boxminus(manifold.boxplus(v, np.tile(STEP, (len(v), 1))), v)
+    return rounded(posed(spark, d).select("kf_id", manifold.batched(there, manifold.TANGENT, *q0, *t0).alias("v")).select("kf_id", "v.r0", "v.r1", "v.p2"))
 
 
 @section.add("se3_interpolate")
 def _(spark, d):
     q0, t0 = pose()
-    step = ((F.lit(0.3), F.lit(-0.1), F.lit(0.2)), (F.lit(0.05), F.lit(-0.15), F.lit(0.25)))
-    other = M.bound([*q0, *t0], lambda *c: [x for part in M.boxplus(c[:4], c[4:], *step) for x in part])
-    q, t = M.se3_interpolate(q0, t0, tuple(other[:4]), tuple(other[4:]), F.lit(0.5))
-    return rounded(posed(spark, d).select("kf_id", q[3].alias("qw"), t[0].alias("tx"), t[1].alias("ty")))
+    half = lambda v: manifold.interpolate(v, manifold.boxplus(v, np.tile(STEP, (len(v), 1))), np.full((len(v), 1), 0.5))
+    return rounded(posed(spark, d).select("kf_id", manifold.batched(half, manifold.POSE, *q0, *t0).alias("v")).select("kf_id", "v.*"))
+
+
+@section.add("adjoint6")
+def _(spark, d):
+    q0, t0 = pose()
+    names = tuple(f"a{i}{j}" for i in range(6) for j in range(6))
+    return rounded(posed(spark, d).select("kf_id", manifold.batched(lambda v: manifold.adjoint(v).reshape(-1, 36), names, *q0, *t0).alias("v")).select("kf_id", "v.*"))
+
+
+@section.add("psd_clamp", with_views("SELECT kf_id, round(x, 6) AS a, 0.0::DOUBLE AS b, round(y, 6) AS c FROM v_track"))
+def _(spark, d):
+    def clamp(v: np.ndarray) -> np.ndarray:
+        m = np.zeros((len(v), 3, 3))
+        m[:, 0, 0], m[:, 1, 1], m[:, 2, 2] = v[:, 0], -1.0, v[:, 1]
+        return manifold.psd_clamp(m)[:, [0, 1, 2], [0, 1, 2]]
+
+    return rounded(A.track(spark, d).select("kf_id", manifold.batched(clamp, ("a", "b", "c"), col("x"), col("y")).alias("v")).select("kf_id", "v.*"))
 
 
 @section.add("reframe_gt", with_views(f"SELECT kf_id, round(cos({YAW})*0.25 - sin({YAW})*-0.5 + x, 6) + 0.0 AS tx, round(sin({YAW})*0.25 + cos({YAW})*-0.5 + y, 6) + 0.0 AS ty FROM v_track"))
