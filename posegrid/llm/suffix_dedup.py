@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, spread, text_blocks, utf8
@@ -29,9 +29,9 @@ from .prefix_hash import PrefixHash
 
 LENGTH = 400
 GRAM = 64
-#: Distinct surroundings of one anchor that are sorted in one task; beyond that, Spark groups the windows themselves.
+#: Distinct surroundings of one anchor that are sorted in one task; beyond that, Spark sorts them.
 SORTED = 2048
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 1 << 20
 CONTEXT = [("ah", pa.int64()), ("m", pa.int64()), ("single", pa.bool_()), ("key", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("hi", pa.int32()), ("lo", pa.int32()), ("bytes", pa.binary())]
 
 
@@ -70,94 +70,144 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return row[head], least[head], window[head], window[tail], hashes[least[head]]
 
 
-def _compare(prefix: PrefixHash, words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """-1, 0 or 1: order of the suffixes at a and b over their first ``most`` bytes."""
-    x, y = words[a], words[b]
-    out = np.where(x < y, -1, 1)
-    same = np.flatnonzero(x == y)
-    if len(same):
-        a, b = a[same], b[same]
-        ext = prefix.common_extension(a, b, np.full(len(a), most))
-        full = ext >= most
-        inner = np.minimum(ext, most - 1)
-        left, right = prefix.codes[a + inner], prefix.codes[b + inner]
-        out[same] = np.where(full, 0, np.where(left < right, -1, 1))
-    return out
-
+class Suffixes:
+    """Suffixes of ``data`` that end at given places, compared through prefix hashes."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.prefix = np.concatenate([data, np.zeros(8, np.uint8)]), PrefixHash(data)
+        self.words = np.ndarray(len(data) + 1, ">u8", self.data, strides=(1,))
+
+    def extension(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        return self.prefix.common_extension(a, b, most)
+
+    def compare(self, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1: order of data[a:a_end] and data[b:b_end]; a string comes after its own beginnings."""
+        most = np.minimum(a_end - a, b_end - b)
+        x, y = self.words[a], self.words[b]
+        out = np.where(x < y, -1, 1)
+        todo = np.flatnonzero((x == y) | (most < 8))
+        if len(todo):
+            a, b, most = a[todo], b[todo], most[todo]
+            ext = self.extension(a, b, most)
+            inner = np.minimum(ext, np.maximum(most - 1, 0))
+            by_end = np.sign((a_end[todo] - a) - (b_end[todo] - b))
+            out[todo] = np.where(ext >= most, by_end, np.where(self.data[a + inner] < self.data[b + inner], -1, 1))
+        return out
+
+    def sort(self, starts: np.ndarray, ends: np.ndarray, segments: np.ndarray) -> np.ndarray:
+        """Order that sorts the suffixes within each segment (ascending numbers).
+
+        Bottom-up mergesort: all runs of all segments are merged at once, each element finding its rank
+        in the other run by binary search.
+        """
+        n = len(starts)
+        order = np.arange(n)
+        if not n:
+            return order
+        head = np.flatnonzero(np.concatenate([[True], segments[1:] != segments[:-1]]))
+        size = np.diff(np.append(head, n))
+        first, count = np.repeat(head, size), np.repeat(size, size)
+        inner = np.arange(n) - first
+        width = 1
+        while width < size.max():
+            active = np.flatnonzero(count > width)
+            k, start, end = inner[active], first[active], first[active] + count[active]
+            run = k // width
+            other = start + (run ^ 1) * width
+            low, high = np.minimum(other, end), np.minimum(other + width, end)
+            base, right, own = low.copy(), run % 2 == 1, order[active]
+            while True:
+                open_ = np.flatnonzero(low < high)
+                if not len(open_):
+                    break
+                mid = (low[open_] + high[open_]) // 2
+                x, y = order[mid], own[open_]
+                sign = self.compare(starts[x], ends[x], starts[y], ends[y])
+                before = (sign < 0) | (right[open_] & (sign == 0))
+                low[open_] = np.where(before, mid + 1, low[open_])
+                high[open_] = np.where(before, high[open_], mid)
+            merged = order.copy()
+            merged[start + (run // 2) * 2 * width + (k - run * width) + (low - base)] = own
+            order = merged
+            width *= 2
+        return order
 
-def sort_suffixes(prefix: PrefixHash, places: np.ndarray, segments: np.ndarray, most: int) -> np.ndarray:
-    """Order that sorts the suffixes at ``places`` within each segment (ascending numbers) by their first ``most`` bytes.
 
-    Bottom-up mergesort: all runs of all segments are merged at once, each element finding its rank in
-    the other run by binary search.
-    """
-    n = len(places)
-    order = np.arange(n)
-    if not n:
-        return order
-    padded = np.concatenate([prefix.codes, np.zeros(8, np.uint8)])
-    words = np.ndarray(len(prefix.codes), ">u8", padded, strides=(1,))
-    head = np.flatnonzero(np.concatenate([[True], segments[1:] != segments[:-1]]))
-    size = np.diff(np.append(head, n))
-    first, count = np.repeat(head, size), np.repeat(size, size)
-    inner = np.arange(n) - first
-    width = 1
-    while width < size.max():
-        active = np.flatnonzero(count > width)
-        k, start, end = inner[active], first[active], first[active] + count[active]
-        run = k // width
-        other = start + (run ^ 1) * width
-        low, high = np.minimum(other, end), np.minimum(other + width, end)
-        base, right, own = low.copy(), run % 2 == 1, order[active]
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                break
-            mid = (low[open_] + high[open_]) // 2
-            sign = _compare(prefix, words, places[order[mid]], places[own[open_]], most)
-            before = (sign < 0) | (right[open_] & (sign == 0))
-            low[open_] = np.where(before, mid + 1, low[open_])
-            high[open_] = np.where(before, high[open_], mid)
-        merged = order.copy()
-        merged[start + (run // 2) * 2 * width + (k - run * width) + (low - base)] = own
-        order = merged
-        width *= 2
-    return order
-
-
-def repeated_windows(contexts: list[bytes], group: np.ndarray, first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(context, offset) of each window that equals one of another context of its group.
-
-    Context i holds the windows whose anchor lies first[i] to last[i] bytes after their start (first is
-    the largest). Only windows at equal distance from the anchor can be equal.
+def _left_over(context: np.ndarray, low: np.ndarray, high: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(context, distance) of the distances from bounds[0] to bounds[1] of each context that no interval (context, low, high) covers."""
+    a, b = bounds
+    many = np.maximum(b - a + 1, 0)
+    begin = np.concatenate([[0], np.cumsum(many)])
+    # a difference array over all contexts' distances, laid one after the other
+    edge = np.zeros(begin[-1] + 1, np.int64)
+    low, high = np.maximum(low, a[context]), np.minimum(high, b[context])
+    good = low <= high
+    context, low, high = context[good], low[good], high[good]
+    np.add.at(edge, begin[context] + low - a[context], 1)
+    np.add.at(edge, begin[context] + high - a[context] + 1, -1)
+    free = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
+    of = np.searchsorted(begin, free, "right") - 1
+    return of, free - begin[of] + a[of]
+
+
+def repeated_windows(contexts: list[bytes], group: np.ndarray, first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, low, high): intervals of distances from the anchor at which a context's window equals one of another context of its group.
+
+    Context i holds the windows that start last[i] to first[i] bytes before its anchor; windows can be equal only at
+    equal distances. The suffixes that start at the anchors are sorted, to the right and (reversed) to the left.
+    A context's neighbours in either order have its longest extensions R and L, and share all windows from
+    length - R to L with it. What lies between the greatest R and the greatest L but in no neighbour's interval
+    (seldom more than a few windows) is sorted window by window.
     """
     data = np.frombuffer(b"".join(contexts), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])[:-1]
-    many = first - last + 1
-    context = np.repeat(np.arange(len(contexts)), many)
-    inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    order = np.lexsort((first[context] - inner, group[context]))
-    context, inner = context[order], inner[order]
-    distance, of = first[context] - inner, group[context]
-    new = np.ones(len(of), bool)
-    new[1:] = (of[1:] != of[:-1]) | (distance[1:] != distance[:-1])
-    segment = np.cumsum(new)
-    # a window alone at its distance has nothing to be compared with
-    shared = np.bincount(segment)[segment] > 1
-    context, inner, segment = context[shared], inner[shared], segment[shared]
-    places = offsets[context] + inner
-    prefix = PrefixHash(data)
-    prefix.codes = data
-    order = sort_suffixes(prefix, places, segment, length)
-    a, b = places[order[:-1]], places[order[1:]]
-    near = np.flatnonzero(segment[order[:-1]] == segment[order[1:]])
-    near = near[prefix.equal(a[near], b[near], np.full(len(near), length))]
-    if len(near):
-        views = np.lib.stride_tricks.sliding_window_view(data, length)
-        real = np.concatenate([(views[a[near[i : i + 20_000]]] == views[b[near[i : i + 20_000]]]).all(1) for i in range(0, len(near), 20_000)])
-        near = near[real]
-    flagged = np.unique(np.concatenate([order[near], order[near + 1]])) if len(near) else np.zeros(0, np.int64)
-    return context[flagged], inner[flagged]
+    size = np.array([len(c) for c in contexts])
+    begin = np.cumsum(size) - size
+    anchor, end = begin + first, begin + size
+    right, left = Suffixes(data), Suffixes(np.ascontiguousarray(data[::-1]))
+    n = len(data)
+    # the byte before place x is at n - x in the reversed array
+    ways = ((right, anchor, end), (left, n - anchor, n - begin))
+    order = np.argsort(group, kind="stable")
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    reach = []
+    for side, starts, ends in ways:
+        rank = order[side.sort(starts[order], ends[order], group[order])]
+        near = np.flatnonzero(group[rank[:-1]] == group[rank[1:]])
+        i, j = rank[near], rank[near + 1]
+        ext = [s.extension(a[i], a[j], np.minimum(e[i] - a[i], e[j] - a[j])) for s, a, e in ways]
+        most = np.zeros(len(contexts), np.int64)
+        np.maximum.at(most, i, ext[len(reach)])
+        np.maximum.at(most, j, ext[len(reach)])
+        reach.append(most)
+        low, high = np.maximum(length - ext[0], np.maximum(last[i], last[j])), np.minimum(ext[1], np.minimum(first[i], first[j]))
+        good = np.flatnonzero(low <= high)
+        # equal hashes are verified byte by byte
+        same = [contexts[i[g]][first[i[g]] - high[g] : first[i[g]] - low[g] + length] == contexts[j[g]][first[j[g]] - high[g] : first[j[g]] - low[g] + length] for g in good.tolist()]
+        good = good[np.array(same, bool)]
+        found += [(i[good], low[good], high[good]), (j[good], low[good], high[good])]
+    context, low, high = (np.concatenate(c) for c in zip(*found, strict=True))
+    bounds = np.maximum(length - reach[0], last), np.minimum(reach[1], first)
+    of, distance = _left_over(context, low, high, bounds)
+    if len(of):
+        # all windows of the group at those distances, where both sides reach far enough
+        key = np.unique(group[of] * (length + 1) + distance)
+        g, a = key // (length + 1), key % (length + 1)
+        ends_ = np.searchsorted(group[order], g, "left"), np.searchsorted(group[order], g, "right")
+        many = ends_[1] - ends_[0]
+        row = order[np.repeat(ends_[0] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        dist, segment = np.repeat(a, many), np.repeat(np.arange(len(key)), many)
+        keep = (dist >= bounds[0][row]) & (dist <= bounds[1][row])
+        row, dist, segment = row[keep], dist[keep], segment[keep]
+        places = anchor[row] - dist
+        by = right.sort(places, places + length, segment)
+        near = np.flatnonzero(segment[by[:-1]] == segment[by[1:]])
+        x, y = by[near], by[near + 1]
+        same = right.prefix.equal(places[x], places[y], np.full(len(x), length))
+        x, y = x[same], y[same]
+        real = np.array([data[p : p + length].tobytes() == data[q : q + length].tobytes() for p, q in zip(places[x].tolist(), places[y].tolist(), strict=True)], bool)
+        hit = np.unique(np.concatenate([x[real], y[real]])) if len(x) else x
+        context, low, high = np.concatenate([context, row[hit]]), np.concatenate([low, dist[hit]]), np.concatenate([high, dist[hit]])
+    return context, low, high
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sorted_most: int = SORTED) -> DataFrame:
@@ -219,17 +269,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort
         size = 0
 
         def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            ah, single, key, th, start, hi, lo, raw = zip(*rows, strict=True)
-            of, inner = repeated_windows(list(raw), np.unique(np.array(ah), return_inverse=True)[1], np.array(hi), np.array(lo), length)
-            keep = np.array(single)[of]
-            of, inner = of[keep], inner[keep]
-            if len(of):
-                begin = np.array(start)[of] + inner
-                new = np.ones(len(of), bool)
-                new[1:] = (of[1:] != of[:-1]) | (inner[1:] != inner[:-1] + 1)
-                head = np.flatnonzero(new)
-                tail = np.append(head[1:], len(of)) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(key)[of[head]]), pa.array(np.array(th)[of[head]]), pa.array(begin[head], pa.int32()), pa.array(begin[tail] + length, pa.int32())], ["key", "th", "start", "end"])
+            ah, single, key, th, start, hi, lo = (np.array([r[c] for r in rows]) for c in range(7))
+            of, low, high = repeated_windows([r[-1] for r in rows], np.unique(ah, return_inverse=True)[1], hi, lo, length)
+            of, low, high = (c[single[of]] for c in (of, low, high))
+            anchor = start[of] + hi[of]
+            yield pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(th[of]), pa.array(anchor - high, pa.int32()), pa.array(anchor - low + length, pa.int32())], ["key", "th", "start", "end"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("ah", "single", "key", "th", "start", "hi", "lo", "bytes")]
@@ -243,28 +287,69 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort
             yield from done(held)
 
     few = spread(contexts.filter(F.col("m") <= sorted_most), "ah").sortWithinPartitions("ah")
-    singles = few.select("ah", "single", "key", "th", "start", "hi", "lo", "bytes").mapInArrow(compare, "key long, th long, start int, end int")
+    spans = copies.unionByName(few.select("ah", "single", "key", "th", "start", "hi", "lo", "bytes").mapInArrow(compare, "key long, th long, start int, end int"))
+    if not groups.filter(F.col("m") > sorted_most).isEmpty():
+        spans = spans.unionByName(_large_groups(cut(contexts.filter(F.col("m") > sorted_most).drop("m")), length))
+    return spans.groupBy("key", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ah, single, key, th, start, hi, lo, raw in zip(*(batch.column(c).to_pylist() for c in ("ah", "single", "key", "th", "start", "hi", "lo", "bytes")), strict=True):
-                n = hi - lo + 1
-                whole = [xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(n)]
-                same = lambda v, t: pa.array(np.full(n, v), t)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays(
-                    [same(ah, pa.int64()), pa.array(np.arange(hi, lo - 1, -1, dtype=np.int32)), pa.array(whole, pa.binary()), same(single, pa.bool_()), same(key, pa.int64()), same(th, pa.int64()), pa.array(np.arange(start, start + n, dtype=np.int32))],
-                    ["ah", "distance", "window", "single", "key", "th", "start"],
-                )
 
-    # beyond what one task should sort, equal windows are grouped by Spark, combined before the shuffle
-    apart = contexts.filter(F.col("m") > sorted_most).drop("m").mapInArrow(windows, "ah long, distance int, window binary, single boolean, key long, th long, start int")
-    same = apart.groupBy("ah", "distance", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    many = apart.filter("single").join(same, ["ah", "distance", "window"]).select("key", "th", "start", (F.col("start") + length).cast("int").alias("end"))
+def _extension(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
 
-    spans = copies.unionByName(singles)
-    if not groups.filter(F.col("m") > sorted_most).isEmpty():
-        spans = spans.unionByName(many)
-    return spans.groupBy("key", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+def _large_groups(contexts: DataFrame, length: int) -> DataFrame:
+    """The same for groups that one task shouldn't hold: Spark sorts the suffixes (spilling to disk) and hands on neighbours only.
+
+    Windows that no neighbour decides are grouped by Spark by their bytes' hash, counted before the shuffle.
+    """
+    contexts = contexts.withColumn("right", F.expr("substring(bytes, hi + 1)")).withColumn("left", F.reverse(F.hex(F.expr("substring(bytes, 1, hi)"))))
+    # reversed hexadecimal digits sort and compare like reversed bytes, two to a byte
+    side = F.struct("left", "right", "hi", "lo")
+
+    @F.pandas_udf("reach int, spans array<struct<low:int,high:int>>")
+    def near(own: pd.DataFrame, a: pd.DataFrame, b: pd.DataFrame, to_right: pd.Series) -> pd.DataFrame:
+        out = []
+        for o, *others in zip(own.to_dict("records"), a.to_dict("records"), b.to_dict("records"), strict=True):
+            reach, spans = 0, []
+            for x in others:
+                if x["right"] is None or x["left"] is None:
+                    continue
+                r, left = _extension(o["right"], x["right"]), _extension(o["left"].encode(), x["left"].encode()) // 2
+                reach = max(reach, r if to_right.iloc[0] else left)
+                low, high = max(length - r, int(o["lo"]), int(x["lo"])), min(left, int(o["hi"]), int(x["hi"]))
+                if low <= high:
+                    spans.append({"low": low, "high": high})
+            out.append((reach, spans))
+        return pd.DataFrame(out, columns=["reach", "spans"])
+
+    @F.pandas_udf("array<int>")
+    def open_distances(low: pd.Series, high: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for lo, hi, *spans in zip(low, high, a, b, strict=True):
+            free = np.ones(max(0, hi - lo + 1), bool)
+            for x in [*spans[0], *spans[1]]:
+                free[max(0, x["low"] - lo) : max(0, x["high"] - lo + 1)] = False
+            out.append((np.flatnonzero(free) + lo).astype(np.int32))
+        return pd.Series(out)
+
+    rows = contexts
+    for way in ("right", "left"):
+        order = Window.partitionBy("ah").orderBy(way, "key", "th", "start")
+        rows = rows.withColumn("_a", F.lag(side).over(order)).withColumn("_b", F.lead(side).over(order))
+        rows = rows.withColumn(f"near_{way}", near(side, "_a", "_b", F.lit(way == "right"))).drop("_a", "_b")
+    low, high = F.greatest(length - F.col("near_right.reach"), "lo"), F.least("near_left.reach", "hi")
+    rows = rows.withColumn("low", low).withColumn("high", high).withColumn("open", open_distances(low, high, "near_right.spans", "near_left.spans"))
+    rows = cut(rows.select("ah", "single", "key", "th", "start", "hi", "bytes", "low", "high", "open", F.concat("near_right.spans", "near_left.spans").alias("spans")))
+    place = lambda d_low, d_high: ("key", "th", (F.col("start") + F.col("hi") - d_high).alias("start"), (F.col("start") + F.col("hi") - d_low + length).cast("int").alias("end"))
+    sure = rows.filter("single").withColumn("s", F.explode("spans")).select(*place(F.col("s.low"), F.col("s.high")))
+    asked = rows.select("ah", F.explode("open").alias("distance")).distinct()
+    met = rows.join(asked, "ah").filter("distance between low and high").withColumn("window", F.sha2(F.expr(f"substring(bytes, hi - distance + 1, {length})"), 256))
+    same = met.groupBy("ah", "distance", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    rest = met.filter("single").select("ah", "distance", "window", "key", "th", "start", "hi").join(same, ["ah", "distance", "window"])
+    return sure.unionByName(rest.select(*place(F.col("distance"), F.col("distance"))))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -342,4 +427,4 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(run("text", "_spans"))).select(*docs.columns)
 
 
-__all__ = ["anchors", "digest", "merge", "remove_repeats", "sort_suffixes", "strip"]
+__all__ = ["anchors", "digest", "merge", "remove_repeats", "repeated_windows", "strip"]

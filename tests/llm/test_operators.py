@@ -136,12 +136,33 @@ def test_suffix_dedup_odd_rows(documents):
 def test_suffix_order():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 600).astype(np.uint8)
-    prefix = suffix_dedup.PrefixHash(data)
-    prefix.codes = data
-    places, raw = np.arange(500), data.tobytes()
+    starts, raw = rng.integers(0, 590, 500), data.tobytes()
+    ends = np.minimum(600, starts + rng.integers(0, 60, 500))
+    suffixes = suffix_dedup.Suffixes(data)
     for segment in (np.zeros(500, int), np.arange(500) // 7):
-        order = suffix_dedup.sort_suffixes(prefix, places, segment, 40)
-        assert order.tolist() == sorted(range(500), key=lambda i: (segment[i], raw[i : i + 40]))
+        order = suffixes.sort(starts, ends, segment)
+        key = lambda i, s=segment: (s[i], raw[starts[i] : ends[i]])
+        assert [key(i) for i in order.tolist()] == sorted(map(key, range(500)))
+
+
+def test_repeated_windows_of_a_group():
+    rng = random.Random(8)
+    for _ in range(60):
+        length = rng.choice([6, 9])
+        contexts, first, last, group = [], [], [], []
+        for _ in range(rng.randrange(2, 30)):
+            hi = rng.randrange(0, length - 2)
+            lo = rng.randrange(0, hi + 1)
+            contexts.append("".join(rng.choice("ab") for _ in range(hi)).encode() + b"x" + "".join(rng.choice("ab") for _ in range(length - lo - 1)).encode())
+            first.append(hi)
+            last.append(lo)
+            group.append(rng.randrange(2))
+        seen = Counter()
+        for c, hi, lo, g in zip(contexts, first, last, group, strict=True):
+            seen.update((g, a, c[hi - a : hi - a + length]) for a in range(lo, hi + 1))
+        want = {(i, a) for i, (c, hi, lo, g) in enumerate(zip(contexts, first, last, group, strict=True)) for a in range(lo, hi + 1) if seen[g, a, c[hi - a : hi - a + length]] > 1}
+        got = suffix_dedup.repeated_windows(contexts, np.array(group), np.array(first), np.array(last), length)
+        assert {(int(i), a) for i, low, high in zip(*got, strict=True) for a in range(low, high + 1)} == want
 
 
 # --- fingerprints ------------------------------------------------------------------------------
