@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 CAPACITY = 4096
 GROUP_PIECES = 20_000
-MEMO_WORDS = 700_000
+MEMO_WORDS = 1_000_000
 
 
 class WordEncoder(dict):
@@ -37,6 +37,7 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer, self.limit, self.again = Tokenizer.from_file(path), limit, set()
+        self.mark_id, self.mark = next((i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()))
 
     def fill(self, words: set[str]) -> None:
         known = words & self.keys()
@@ -47,11 +48,21 @@ class WordEncoder(dict):
             self.clear()
             self.update(stay)
             self.again = set(known)
-        todo = list(new)
-        for start in range(0, len(todo), 10_000):
-            part = todo[start : start + 10_000]
-            for word, enc in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[word] = array("I", enc.ids).tobytes()
+        # many words go to the tokenizer as one string, between two of them a special token that none holds
+        odd = [w for w in new if self.mark in w]
+        todo = [w for w in new if self.mark not in w] if odd else list(new)
+        for start in range(0, len(todo), 5000):
+            part = todo[start : start + 5000]
+            joined = [self.mark.join(part[i : i + 50]) for i in range(0, len(part), 50)]
+            encoded = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+            ids = np.concatenate([np.append(np.frombuffer(e, "<u4"), self.mark_id) for e in encoded]) if encoded else np.zeros(0, "<u4")
+            raw, ends = ids.astype("<u4").tobytes(), (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+            at = 0
+            for word, end in zip(part, ends, strict=True):
+                self[word] = raw[at:end]
+                at = end + 4
+        for word in odd:
+            self[word] = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # only blanks that the tokenizer itself drops are cut at
@@ -99,8 +110,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = encoder(tokenizer_path)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
+            for at in range(0, len(batch), 1024):
+                part = batch.iloc[at : at + 1024]
                 rows = []
                 for doc_id, ids in zip(part["doc_id"], words.encode(part["text"].tolist()), strict=True):
                     ids += end
