@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregations, filters, joins, scalars
+from . import aggregations, filters, joins, scalars, windows
 from .registry import Query
 
-SECTIONS = (filters, joins, aggregations, scalars)
+SECTIONS = (filters, joins, aggregations, scalars, windows)
 
 
 def queries() -> dict[str, Query]:
