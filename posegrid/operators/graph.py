@@ -6,9 +6,21 @@ run; runs are independent and spread over the cluster.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from posegrid.functions import manifold
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+CLIQUE_NODES = 64
+CLIQUE_STEPS = 200_000
+POSE = list(manifold.POSE)
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """The same rows under new column identities, so that both sides of a cogroup can come from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
 
 def cov_reorder(c: Column) -> Column:
     """A 6x6 covariance (36 entries, row by row) between rotation-first and translation-first order; its own inverse."""
@@ -19,3 +31,179 @@ def graph_nodes_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges (a, b) whose ends both exist."""
     ids = nodes.select("id")
     return edges.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+
+
+def max_clique(adjacency: np.ndarray) -> list[int]:
+    """Largest clique, the lexicographically first of equals: exact within a budget of nodes and steps, greedy by degree beyond it."""
+    n = len(adjacency)
+    near = [set(np.flatnonzero(adjacency[i]).tolist()) - {i} for i in range(n)]
+    if n > CLIQUE_NODES:
+        return _greedy(near)
+    best: list[int] = []
+    steps = 0
+
+    def grow(have: list[int], may: set[int], done: set[int]) -> bool:
+        nonlocal best, steps
+        steps += 1
+        if steps > CLIQUE_STEPS:
+            return False
+        if not may and not done:
+            found = sorted(have)
+            if len(found) > len(best) or (len(found) == len(best) and found < best):
+                best = found
+            return True
+        if len(have) + len(may) < len(best):
+            return True
+        pivot = max(may | done, key=lambda u: (len(near[u] & may), -u))
+        for v in sorted(may - near[pivot]):
+            if not grow([*have, v], may & near[v], done & near[v]):
+                return False
+            may = may - {v}
+            done = done | {v}
+        return True
+
+    return best if grow([], set(range(n)), set()) else _greedy(near)
+
+
+def _greedy(near: list[set[int]]) -> list[int]:
+    have: list[int] = []
+    for v in sorted(range(len(near)), key=lambda u: (-len(near[u]), u)):
+        if all(v in near[u] for u in have):
+            have.append(v)
+    return sorted(have)
+
+
+def loop_consistency(a: np.ndarray, b: np.ndarray, chain: dict[int, np.ndarray], variance: float) -> float:
+    """Squared Mahalanobis distance of the cycle loop a, chain, loop b back, chain back. a and b are (from, to, pose)."""
+    (i, j, x), (k, l, y) = a, b
+    between = lambda p, q: manifold.compose(manifold.inverse(chain[p][None]), chain[q][None])
+    cycle = manifold.compose(manifold.compose(manifold.compose(x[None], between(j, l)), manifold.inverse(y[None])), between(k, i))
+    return float((manifold.log(cycle) ** 2).sum() / variance)
+
+
+def pcm_pairs(loops: DataFrame, chain: DataFrame, variance: float) -> DataFrame:
+    """(run, a, b, d2) for each pair of a run's loops (run, loop, from_id, to_id, pose columns); chain is (run, id, pose columns)."""
+
+    def pairs(one: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        poses = dict(zip(nodes["id"], nodes[POSE].to_numpy(float), strict=True))
+        known = [(int(r["from_id"]), int(r["to_id"]), r[POSE].to_numpy(float), int(r["loop"])) for _, r in one.sort_values("loop").iterrows() if r["from_id"] in poses and r["to_id"] in poses]
+        out = [(one["run"].iloc[0], p[3], q[3], loop_consistency(p[:3], q[:3], poses, variance)) for n, p in enumerate(known) for q in known[n + 1 :]]
+        return pd.DataFrame(out, columns=["run", "a", "b", "d2"])
+
+    kind = "run long, a long, b long, d2 double"
+    return loops.groupBy("run").cogroup(fresh(chain).groupBy("run")).applyInPandas(pairs, kind)
+
+
+def pcm_clique(loops: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
+    """Loops (run, loop) that belong to their run's largest set of mutually consistent ones."""
+
+    def choose(one: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(one["loop"].tolist())
+        place = {n: i for i, n in enumerate(names)}
+        near = np.zeros((len(names), len(names)), bool)
+        for a, b in zip(*(d.loc[d["d2"] <= limit, c] for c in ("a", "b")), strict=True):
+            near[place[a], place[b]] = near[place[b], place[a]] = True
+        return pd.DataFrame({"run": one["run"].iloc[0], "loop": [names[i] for i in max_clique(near)]})
+
+    return loops.groupBy("run").cogroup(fresh(pairs).groupBy("run")).applyInPandas(choose, "run long, loop long")
+
+
+def pcm_decide(loops: DataFrame, clique: DataFrame) -> DataFrame:
+    """admit pending loops of the clique, evict accepted ones outside it, keep or wait for the others. loops: run, loop, in_graph."""
+    marked = loops.join(clique.withColumn("member", F.lit(True)), ["run", "loop"], "left")
+    inside = F.coalesce("member", F.lit(False))
+    decision = F.when(inside & ~F.col("in_graph"), "admit").when(~inside & F.col("in_graph"), "evict").when(inside, "keep").otherwise("wait")
+    return marked.select("run", "loop", decision.alias("decision"))
+
+
+def solve(poses: np.ndarray, edges: list[tuple[int, int, np.ndarray, float]], rounds: int = 10, weights: np.ndarray | None = None, damping: float = 1e-9) -> np.ndarray:
+    """Gauss-Newton over the edges (from, to, relative pose, variance); the first pose is held. Perturbed on the right, so J of b is the identity."""
+    n, poses = len(poses), poses.copy()
+    weights = np.ones(len(edges)) if weights is None else weights
+    a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
+    rel, var = np.stack([e[2] for e in edges]), np.array([e[3] for e in edges])
+    for _ in range(rounds):
+        between = manifold.compose(manifold.inverse(poses[a]), poses[b])
+        err = manifold.log(manifold.compose(manifold.inverse(rel), between))
+        ja = -manifold.adjoint(manifold.inverse(between))
+        h, g = np.zeros((6 * n, 6 * n)), np.zeros(6 * n)
+        for k in range(len(edges)):
+            w, i, j = weights[k] / var[k], slice(6 * a[k], 6 * a[k] + 6), slice(6 * b[k], 6 * b[k] + 6)
+            h[i, i] += w * ja[k].T @ ja[k]
+            h[i, j] += w * ja[k].T
+            h[j, i] += w * ja[k]
+            h[j, j] += w * np.eye(6)
+            g[i] += w * ja[k].T @ err[k]
+            g[j] += w * err[k]
+        free = slice(6, None)
+        step = np.concatenate([np.zeros(6), np.linalg.solve(h[free, free] + damping * np.eye(6 * n - 6), -g[free])]).reshape(n, 6)
+        poses = manifold.boxplus(poses, step)
+        if np.abs(step).max() < 1e-9:
+            break
+    return poses
+
+
+def gnc_weights(poses: np.ndarray, chain: list, loops: list, limit: float, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Truncated least squares by graduated non-convexity: weights of the loops between 0 and 1, and the poses under them."""
+    edges = [*chain, *loops]
+    w = np.ones(len(edges))
+    mu = None
+    here = poses
+    for _ in range(rounds):
+        here = solve(here, edges, 5, w)
+        a, b = np.array([e[0] for e in loops]), np.array([e[1] for e in loops])
+        err = manifold.log(manifold.compose(manifold.inverse(np.stack([e[2] for e in loops])), manifold.compose(manifold.inverse(here[a]), here[b])))
+        r2 = (err**2).sum(1) / np.array([e[3] for e in loops])
+        if mu is None:
+            mu = limit / max(2 * r2.max() - limit, 1e-12) if r2.max() > limit else 1e6
+        low, high = mu / (mu + 1) * limit, (mu + 1) / mu * limit
+        w[len(chain) :] = np.where(r2 <= low, 1.0, np.where(r2 >= high, 0.0, np.sqrt(limit * mu * (mu + 1) / np.maximum(r2, 1e-12)) - mu))
+        if ((w[len(chain) :] < 1e-3) | (w[len(chain) :] > 1 - 1e-3)).all():
+            break
+        mu *= 1.4
+    return w[len(chain) :], here
+
+
+def pose_graph_optimize(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Optimised poses of each run: nodes (run, id, pose columns), edges (run, a, b, pose columns, variance); dangling edges are left out."""
+
+    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        n = n.sort_values("id").reset_index(drop=True)
+        place = {i: k for k, i in enumerate(n["id"])}
+        own = [(place[r["a"]], place[r["b"]], r[POSE].to_numpy(float), float(r["variance"])) for _, r in e.iterrows() if r["a"] in place and r["b"] in place]
+        poses = n[POSE].to_numpy(float)
+        if own and len(n) > 1:
+            poses = solve(poses, own)
+        return pd.DataFrame(poses, columns=POSE).assign(run=n["run"], id=n["id"])[["run", "id", *POSE]]
+
+    kind = "run long, id long, " + ", ".join(f"{c} double" for c in POSE)
+    return nodes.groupBy("run").cogroup(fresh(edges).groupBy("run")).applyInPandas(run, kind)
+
+
+def gnc_consolidate(nodes: DataFrame, chain: DataFrame, loops: DataFrame, limit: float, reject: float = 0.1) -> DataFrame:
+    """(run, loop, weight, rejected) by robust consolidation of a run's loops; chain and loops as in pose_graph_optimize, loops with ``loop``."""
+    both = chain.withColumn("loop", F.lit(None).cast("long")).unionByName(loops)
+
+    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        n = n.sort_values("id").reset_index(drop=True)
+        place = {i: k for k, i in enumerate(n["id"])}
+        rows = lambda x: [(place[r["a"]], place[r["b"]], r[POSE].to_numpy(float), float(r["variance"])) for _, r in x.iterrows()]
+        own = e[e["loop"].notna()].sort_values("loop")
+        if own.empty or n.empty:
+            return pd.DataFrame({"run": [], "loop": [], "weight": [], "rejected": []})
+        w, _ = gnc_weights(n[POSE].to_numpy(float), rows(e[e["loop"].isna()]), rows(own), limit)
+        return pd.DataFrame({"run": n["run"].iloc[0], "loop": own["loop"].astype("int64").to_numpy(), "weight": w, "rejected": w < reject})
+
+    return nodes.groupBy("run").cogroup(fresh(both).groupBy("run")).applyInPandas(run, "run long, loop long, weight double, rejected boolean")
+
+
+def gauge_damping(variances: list[float]) -> np.ndarray:
+    return np.diag([1 / v for v in variances])
+
+
+def loop_cov_shape(h: np.ndarray, fitness: float, floor: float = 0.05, least: float = 1e-4, weak: float = 1e-3) -> np.ndarray:
+    """Covariance of a verified loop from its normal matrix: weak directions get a hundredfold, bad fitness inflates, eigenvalues have a floor."""
+    value, vector = np.linalg.eigh(h)
+    inflate = (floor / max(fitness, floor)) ** -2
+    spread = inflate / (value + 1e-6) * np.where(value < weak * value.max(), 100.0, 1.0)
+    return (vector * np.maximum(spread, least)) @ vector.T

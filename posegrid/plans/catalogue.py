@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregations, filters, joins, scalars, windows
+from . import aggregations, filters, graphs, joins, scalars, windows
 from .registry import Query
 
-SECTIONS = (filters, joins, aggregations, scalars, windows)
+SECTIONS = (filters, joins, aggregations, scalars, windows, graphs)
 
 
 def queries() -> dict[str, Query]:
