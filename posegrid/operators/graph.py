@@ -143,7 +143,7 @@ def solve(poses: np.ndarray, edges: list[tuple[int, int, np.ndarray, float]], ro
     return poses
 
 
-def gnc_weights(poses: np.ndarray, chain: list, loops: list, limit: float, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+def gnc_weights(poses: np.ndarray, chain: list, loops: list, limit: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Truncated least squares by graduated non-convexity: weights of the loops between 0 and 1, and the poses under them."""
     edges = [*chain, *loops]
     w = np.ones(len(edges))
@@ -158,7 +158,7 @@ def gnc_weights(poses: np.ndarray, chain: list, loops: list, limit: float, round
             mu = limit / max(2 * r2.max() - limit, 1e-12) if r2.max() > limit else 1e6
         low, high = mu / (mu + 1) * limit, (mu + 1) / mu * limit
         w[len(chain) :] = np.where(r2 <= low, 1.0, np.where(r2 >= high, 0.0, np.sqrt(limit * mu * (mu + 1) / np.maximum(r2, 1e-12)) - mu))
-        if ((w[len(chain) :] < 1e-3) | (w[len(chain) :] > 1 - 1e-3)).all():
+        if mu > 1 and ((w[len(chain) :] < 1e-3) | (w[len(chain) :] > 1 - 1e-3)).all():
             break
         mu *= 1.4
     return w[len(chain) :], here

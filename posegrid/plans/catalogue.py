@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregations, filters, graphs, joins, scalars, windows
+from . import aggregations, filters, graphs, joins, scalars, sources, windows
 from .registry import Query
 
-SECTIONS = (filters, joins, aggregations, scalars, windows, graphs)
+SECTIONS = (filters, joins, aggregations, scalars, windows, graphs, sources)
 
 
 def queries() -> dict[str, Query]:
