@@ -1,15 +1,4 @@
 import pytest
-from pyspark.sql import SparkSession
-
-
-@pytest.fixture(scope="session")
-def spark():
-    session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    return session
-
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, key string, id long, spans string"
 
