@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +29,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 BANDS, ROWS = 32, 4
 STAR = 512
 BLOCK_BYTES = 8 << 20
+GATHERED_BYTES = 1 << 20
 _U = np.uint32
 
 
@@ -103,6 +103,12 @@ def similar(inter, a, b):
     return DENOMINATOR * inter >= NUMERATOR * (a + b - inter)
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    place = np.searchsorted(b, a)
+    return int((b[np.minimum(place, len(b) - 1)] == a).sum())
+
+
 def _verify_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by hub and salt, the hub's own row first; yields the (u, v) that pass."""
     hub = None
@@ -115,48 +121,80 @@ def _verify_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if not member[i]:
                     hub = own
                     continue
-                place = np.searchsorted(hub, own)
-                inter = int((hub[np.minimum(place, len(hub) - 1)] == own).sum())
-                if similar(inter, len(own), len(hub)):
+                if similar(_shared(own, hub), len(own), len(hub)):
                     found.append((ids[i], hubs[i]))
         if found:
             u, v = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _compare_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """All links between different components among the rows of one bucket block, as a forest."""
-    x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
-    rows = rows.sort_values("id", kind="stable")
-    ids, block = rows["id"].to_numpy(), rows["block"].to_numpy()
-    _, label = np.unique(rows["component"].to_numpy(), return_inverse=True)
-    parts = [h[o[i] : o[i + 1]] for _, _, h, o in shingle_sets(pa.array(rows["text"], pa.large_string())) for i in range(len(o) - 1)]
-    sizes = np.array([len(p) for p in parts])
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    _, code = np.unique(np.concatenate(parts), return_inverse=True)
-    marked = np.zeros(int(code.max()) + 1, np.int64)
-    u, v = [], []
-    for i in range(len(ids)):
-        mine = code[offsets[i] : offsets[i + 1]]
+def _forest(ids: np.ndarray, block: np.ndarray, component: np.ndarray, parts: list[np.ndarray], apart: bool) -> list[tuple[int, int]]:
+    """Links that join different components among the rows of one bucket block; with ``apart`` only between its two blocks."""
+    n, sizes, out = len(ids), np.array([len(p) for p in parts]), []
+    _, label = np.unique(component, return_inverse=True)
+    many = n > 16
+    if many:
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        _, code = np.unique(np.concatenate(parts), return_inverse=True)
+        marked = np.zeros(int(code.max()) + 1, np.int64)
+    for i in range(n - 1):
         other = label != label[i]
-        other[:i] = False
-        # two blocks meet here: pairs inside one block are compared where it meets itself
-        if x != y:
+        other[: i + 1] = False
+        if apart:
             other &= block != block[i]
         # sizes alone rule out most of what can't reach the threshold
         other &= DENOMINATOR * np.minimum(sizes, sizes[i]) >= NUMERATOR * np.maximum(sizes, sizes[i])
         todo = np.flatnonzero(other)
         if not len(todo):
             continue
-        marked[mine] = 1
-        inter = np.array([int(marked[code[offsets[j] : offsets[j + 1]]].sum()) for j in todo]) if len(todo) < 64 else np.add.reduceat(marked[code], offsets[:-1])[todo]
-        marked[mine] = 0
+        if many:
+            mine = code[offsets[i] : offsets[i + 1]]
+            marked[mine] = 1
+            inter = np.array([int(marked[code[offsets[j] : offsets[j + 1]]].sum()) for j in todo]) if len(todo) < 64 else np.add.reduceat(marked[code], offsets[:-1])[todo]
+            marked[mine] = 0
+        else:
+            inter = np.array([_shared(parts[i], parts[j]) for j in todo])
         for j in todo[similar(inter, sizes[todo], sizes[i])]:
             if label[j] != label[i]:
-                u.append(ids[j])
-                v.append(ids[i])
+                out.append((int(ids[j]), int(ids[i])))
                 label[label == label[j]] = label[i]
-    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+    return out
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by band, x, y and id; shingles of many small buckets are made together."""
+    held: list[pa.RecordBatch] = []
+
+    def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        band, x, y, block, ids, component = (rows.column(c).to_numpy() for c in ("band", "x", "y", "block", "id", "component"))
+        parts = [h[o[i] : o[i + 1]] for _, _, h, o in shingle_sets(rows.column("text").combine_chunks()) for i in range(len(o) - 1)]
+        edges = [0, *(np.flatnonzero((np.diff(band) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1).tolist(), len(ids)]
+        found = [link for s, e in zip(edges[:-1], edges[1:], strict=True) if e - s > 1 for link in _forest(ids[s:e], block[s:e], component[s:e], parts[s:e], x[s] != y[s])]
+        if found:
+            u, v = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    key = lambda b, i: tuple(b.column(c)[i].as_py() for c in ("band", "x", "y"))
+    for batch in batches:
+        at = 0
+        while at < len(batch):
+            to = min(len(batch), at + 512)
+            part = batch.slice(at, to - at)
+            # what is held is compared as soon as the next rows start another bucket
+            if held and sum(h.nbytes for h in held) > GATHERED_BYTES:
+                last, n = key(held[-1], len(held[-1]) - 1), 0
+                while n < len(part) and key(part, n) == last:
+                    n += 1
+                if n:
+                    held.append(part.slice(0, n))
+                if n < len(part):
+                    yield from done(pa.Table.from_batches(held))
+                    held = [part.slice(n)]
+            else:
+                held.append(part)
+            at = to
+    if held:
+        yield from done(pa.Table.from_batches(held))
 
 
 def near_duplicates(units: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -187,7 +225,8 @@ def near_duplicates(units: DataFrame, bands: int = BANDS, rows: int = ROWS) -> D
     links = cut(spread(stars, "hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(_verify_stars, "u long, v long"))
     joined = cut(components(links))
 
-    labelled = shared.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # the hub has been compared with all others of its buckets; what is left are buckets where those lie in several components
+    labelled = shared.filter("rep <> hub").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = (
         labelled.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.sum("n_bytes") / BLOCK_BYTES).alias("blocks")).filter("a < b").select("band", F.greatest("blocks", F.lit(1)).alias("blocks"))
     )
@@ -198,7 +237,8 @@ def near_duplicates(units: DataFrame, bands: int = BANDS, rows: int = ROWS) -> D
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("band", F.least("block", other).alias("x"), F.greatest("block", other).alias("y"), "block", "component", F.col("rep").alias("id"))
     )
-    more = cut(blocked.join(texts, "id").groupBy("band", "x", "y").applyInPandas(_compare_block, "u long, v long"))
+    dealt = spread(blocked.join(texts, "id"), "band", "x", "y").sortWithinPartitions("band", "x", "y", "id")
+    more = cut(dealt.select("band", "x", "y", "block", "component", "id", "text").mapInArrow(_compare_blocks, "u long, v long"))
     if more.limit(1).count():
         joined = cut(components(links.union(more)))
 
