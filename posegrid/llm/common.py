@@ -77,7 +77,7 @@ def row_blocks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def text_blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, limit: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from 0) for each block of rows."""
     data, offsets = utf8(column)
     for at, to in row_blocks(offsets, limit):

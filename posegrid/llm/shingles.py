@@ -13,7 +13,7 @@ from .prefix_hash import PrefixHash
 WIDTH = 5
 
 
-def shingle_sets(column: pa.Array, width: int = WIDTH, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def shingle_sets(column: pa.Array, width: int = WIDTH, limit: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, hashes, offsets): each row's distinct shingles, sorted.
 
     A-Z are lower-cased. A row with fewer words than ``width`` has one shingle, all its words; a

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -389,38 +390,39 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+def _rows(text: pa.Array, spans: pa.Array) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+    """Bytes and merged spans of each row, one after the other."""
+    data, offsets = utf8(text)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy())
+    flat = spans.flatten()
+    start, end = (flat.field(c).to_numpy() for c in ("start", "end"))
+    for i, to in enumerate(ends.tolist()):
+        at = int(ends[i - 1]) if i else 0
+        yield data[offsets[i] : offsets[i + 1]].tobytes(), merge(list(zip(start[at:to].tolist(), end[at:to].tolist(), strict=True)))
+
+
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each document; see remove_repeats."""
-    spans = remove_repeats(docs, length)
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    def run(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, found in zip(text, spans, strict=True):
-            raw = t.encode()
-            own = [] if found is None else merge([(x["start"], x["end"]) for x in found])
-            rows.append((len(raw), sum(e - s for s, e in own), len(own), hashlib.sha256(_kept(raw, own)).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(len(raw), sum(e - s for s, e in own), len(own), hashlib.sha256(_kept(raw, own) if own else raw).hexdigest()) for raw, own in _rows(batch.column("text"), batch.column("spans"))]
+            if rows:
+                n, gone, many, sha = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = with_key(docs.select("doc_id", "text")).select("doc_id", "text", "key", "th")
-    joined = rows.join(spans, ["key", "th"], "left")
-    return joined.select("doc_id", run("text", "spans").alias("r")).select("doc_id", "r.*")
+    rows = with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "text", "key", "th")
+    joined = rows.join(remove_repeats(docs, length), ["key", "th"], "left")
+    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated strings taken out of ``text``, whole characters only; null texts and other columns stay as they are."""
     spans = remove_repeats(docs, length).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
 
-    @F.pandas_udf("string")
-    def run(text: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, found in zip(text, spans, strict=True):
-            if t is None or found is None:
-                out.append(t)
-            else:
-                raw = t.encode()
-                out.append(_kept(raw, snap(raw, merge([(x["start"], x["end"]) for x in found]))).decode())
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("string")
+    def run(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([_kept(raw, snap(raw, own)).decode() for raw, own in _rows(text, spans)], pa.string())
 
     rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_KEY))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = rows.join(spans, ["_key", "_th"], "left")
