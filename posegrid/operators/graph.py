@@ -6,6 +6,8 @@ run; runs are independent and spread over the cluster.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from posegrid.functions import manifold
@@ -207,3 +209,51 @@ def loop_cov_shape(h: np.ndarray, fitness: float, floor: float = 0.05, least: fl
     inflate = (floor / max(fitness, floor)) ** -2
     spread = inflate / (value + 1e-6) * np.where(value < weak * value.max(), 100.0, 1.0)
     return (vector * np.maximum(spread, least)) @ vector.T
+
+
+def chi2_quantile(p: float, dof: int) -> float:
+    """Quantile of the chi-squared distribution, by bisection over its series."""
+
+    def cdf(x: float) -> float:
+        a, z = dof / 2, x / 2
+        term = total = 1 / a
+        n = a
+        while term > total * 1e-16:
+            n += 1
+            term *= z / n
+            total += term
+        return total * math.exp(a * math.log(z) - z - math.lgamma(a))
+
+    low, high = 1e-12, 10.0 * dof + 100
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if cdf(mid) < p else (low, mid)
+    return (low + high) / 2
+
+
+def solve_or_drop(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray | None, str]:
+    """Step of a normal system: by Cholesky; if that fails by QR, unless the system has no full rank; then the batch is dropped."""
+    try:
+        c = np.linalg.cholesky(h)
+        return np.linalg.solve(c.T, np.linalg.solve(c, -g)), "cholesky"
+    except np.linalg.LinAlgError:
+        q, r = np.linalg.qr(h)
+        if np.abs(np.diag(r)).min() <= 1e-10 * max(1.0, np.abs(r).max()):
+            return None, "dropped"
+        return np.linalg.solve(r, -(q.T @ g)), "qr"
+
+
+def marginals(poses: np.ndarray, edges: list[tuple[int, int, np.ndarray, float]], prior: float) -> np.ndarray:
+    """(poses, 6, 6) marginal covariances at the given poses, the first held by a prior variance."""
+    n = len(poses)
+    h = np.zeros((6 * n, 6 * n))
+    h[:6, :6] = gauge_damping([prior] * 6)
+    for a, b, _, var in edges:
+        ja = -manifold.adjoint(manifold.inverse(manifold.compose(manifold.inverse(poses[a : a + 1]), poses[b : b + 1])))[0]
+        i, j = slice(6 * a, 6 * a + 6), slice(6 * b, 6 * b + 6)
+        h[i, i] += ja.T @ ja / var
+        h[i, j] += ja.T / var
+        h[j, i] += ja / var
+        h[j, j] += np.eye(6) / var
+    cov = np.linalg.inv(h)
+    return np.stack([cov[6 * k : 6 * k + 6, 6 * k : 6 * k + 6] for k in range(n)])
