@@ -32,7 +32,16 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``cut`` wrote, once nothing that is still to be computed reads it."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, spread, text_blocks, utf8
+from .common import cut, discard, spread, text_blocks, utf8
 from .fingerprints import LEAST_KEY
 from .prefix_hash import PrefixHash
 
@@ -239,7 +239,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort
 
     found = cut(docs.mapInArrow(find, "ah long, cd long, key long, th long, pos int, hi int, lo int"))
     shared = found.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ah")
-    found = cut(found.join(shared, "ah"))
+    every, found = found, cut(found.join(shared, "ah"))
+    discard(every)
     place = F.struct("key", "th", "pos", "hi", "lo")
     classes = cut(found.groupBy("ah", "cd").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")))
     # whole classes of equal surroundings: every window in them is repeated
@@ -264,6 +265,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort
                     rows = []
 
     contexts = docs.join(by_doc, ["key", "th"]).select("key", "th", "text", "places").mapInArrow(read, "ah long, m long, single boolean, key long, th long, start int, hi int, lo int, bytes binary")
+    contexts = cut(contexts)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -289,8 +291,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort
 
     few = spread(contexts.filter(F.col("m") <= sorted_most), "ah").sortWithinPartitions("ah")
     spans = copies.unionByName(few.select("ah", "single", "key", "th", "start", "hi", "lo", "bytes").mapInArrow(compare, "key long, th long, start int, end int"))
-    if not groups.filter(F.col("m") > sorted_most).isEmpty():
-        spans = spans.unionByName(_large_groups(cut(contexts.filter(F.col("m") > sorted_most).drop("m")), length))
+    large = contexts.filter(F.col("m") > sorted_most).drop("m")
+    if not large.isEmpty():
+        spans = spans.unionByName(_large_groups(large, length))
     return spans.groupBy("key", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
