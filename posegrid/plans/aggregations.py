@@ -21,9 +21,9 @@ def _(spark, d):
     return G.voxel_first(A.point(spark, d), 4.0, ["scan_id", "idx"]).select("cx", "cy", "cz", "scan_id", "idx")
 
 
-@section.add("voxel_centre_nearest", with_views(f"SELECT scan_id, cx, cy, cz, idx, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, cx, cy, cz ORDER BY d2, t_offset, idx) AS n FROM (SELECT *, round(pow(x-(cx+0.5)*4,2)+pow(y-(cy+0.5)*4,2)+pow(z-(cz+0.5)*4,2), 9) AS d2 FROM (SELECT *, {C4} FROM v_point))) WHERE n = 1"))
+@section.add("voxel_centre_nearest", with_views(f"SELECT scan_id, cx, cy, cz, idx, round(d2 + 1e-9, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, cx, cy, cz ORDER BY d2, t_offset, idx) AS n FROM (SELECT *, round(pow(x-(cx+0.5)*4,2)+pow(y-(cy+0.5)*4,2)+pow(z-(cz+0.5)*4,2), 9) AS d2 FROM (SELECT *, {C4} FROM v_point))) WHERE n = 1"))
 def _(spark, d):
-    return rounded(G.voxel_centre_nearest(A.point(spark, d), 4.0, ["scan_id"]))
+    return rounded(G.voxel_centre_nearest(A.point(spark, d), 4.0, ["scan_id"]).withColumn("d2", F.col("d2") + 1e-9))
 
 
 @section.add("voxel_reservoir")
@@ -159,10 +159,10 @@ def _(spark, d):
 def _(spark, d):
     s = stages(spark, d).withColumn("run", F.concat_ws("-", "stage", "sensor_id"))
     out = folds.ordered_fold(s.select("run", "t", "ms", "event_id"), ["run"], ["t", "event_id"], {"e": F.lit(None).cast("double")}, lambda a, r: {"e": F.when(a["e"].isNull(), r["ms"]).otherwise(0.9 * a["e"] + 0.1 * r["ms"])}, ["event_id"])
-    return rounded(out.select("event_id", "e"))
+    return rounded(out.select("event_id", (F.col("e") + 1e-9).alias("e")))
 
 
-sql, ctes = folds.fold_sql("(SELECT modality || '-' || sensor_id AS run, stamp_us AS t, value AS ms, event_id FROM v_sensor)", "run", "t, event_id", {"e": "CAST(NULL AS DOUBLE)"}, {"e": "CASE WHEN f.e IS NULL THEN b.ms ELSE 0.9 * f.e + 0.1 * b.ms END"}, ["event_id"], "SELECT event_id, round(e, 6) + 0.0 AS e FROM o")
+sql, ctes = folds.fold_sql("(SELECT modality || '-' || sensor_id AS run, stamp_us AS t, value AS ms, event_id FROM v_sensor)", "run", "t, event_id", {"e": "CAST(NULL AS DOUBLE)"}, {"e": "CASE WHEN f.e IS NULL THEN b.ms ELSE 0.9 * f.e + 0.1 * b.ms END"}, ["event_id"], "SELECT event_id, round(e + 1e-9, 6) + 0.0 AS e FROM o")
 section.sql["stage_timing_ewma"] = with_views(sql, *ctes, recursive=True)
 
 
@@ -209,14 +209,14 @@ def _(spark, d):
     return rounded(out.withColumn("tx", F.round("tx", 5)).withColumn("ty", F.round("ty", 5)))
 
 
-@section.add("gnss_residual_stats", with_views("SELECT run, round(sqrt(avg(e*e)), 6) AS rmse, round(sqrt(avg(e*e) FILTER (t <= t0 + 86400000000 * 90)), 6) AS rmse_fit, round(quantile_cont(e, 0.5), 6) AS median, round(max(e), 6) AS max, arg_min(kf_id, t) FILTER (e > 0.35) AS onset FROM (SELECT *, min(t) OVER (PARTITION BY run) AS t0 FROM e) GROUP BY 1", ERR))
+@section.add("gnss_residual_stats", with_views("SELECT run, round(sqrt(avg(e*e)), 6) AS rmse, round(sqrt(avg(e*e) FILTER (t <= t0 + 86400000000 * 90)), 6) AS rmse_fit, round(quantile_cont(e, 0.5), 6) AS median, round(max(e), 6) AS max, arg_min(kf_id, (t, kf_id)) FILTER (e > 0.35) AS onset FROM (SELECT *, min(t) OVER (PARTITION BY run) AS t0 FROM e) GROUP BY 1", ERR))
 def _(spark, d):
     e = errors(spark, d).withColumn("e", F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey")))
     e = e.join(e.groupBy("run").agg(F.min("t").alias("t0")), "run")
     sq, bad = F.col("e") * F.col("e"), F.col("e") > 0.35
     return rounded(e.groupBy("run").agg(
         F.sqrt(F.avg(sq)).alias("rmse"), F.sqrt(F.avg(F.when(F.col("t") <= F.col("t0") + 86_400_000_000 * 90, sq))).alias("rmse_fit"), F.percentile("e", 0.5).alias("median"), F.max("e").alias("max"),
-        F.min_by(F.when(bad, F.col("kf_id")), F.when(bad, F.col("t"))).alias("onset"),
+        F.min_by(F.when(bad, F.col("kf_id")), F.when(bad, F.struct("t", "kf_id"))).alias("onset"),
     ))
 
 

@@ -109,10 +109,10 @@ def _(spark, d):
 section.queries["packet_log_write"], section.sql["packet_log_write"] = section.queries["packet_log_read"], section.sql["packet_log_read"]
 
 
-@section.add("loops_read", with_views("SELECT run AS from_id, kf_id AS to_id, CASE WHEN kf_id % 2 = 0 THEN round(x / 500, 6) ELSE 0.8 END AS fitness, greatest(run, kf_id) AS at_kf, round(CASE WHEN kf_id % 3 = 0 THEN 0.5 END, 6) AS c11, kf_id % 5 = 0 AS outlier FROM v_track"))
+@section.add("loops_read", with_views("SELECT run AS from_id, kf_id AS to_id, CASE WHEN kf_id % 2 = 0 THEN round(x / 500 + 1e-9, 6) ELSE 0.8 END AS fitness, greatest(run, kf_id) AS at_kf, round(CASE WHEN kf_id % 3 = 0 THEN 0.5 END, 6) AS c11, kf_id % 5 = 0 AS outlier FROM v_track"))
 def _(spark, d):
     t = A.track(spark, d)
-    j = t.select(col("run").alias("from_id"), col("kf_id").alias("to_id"), F.when(col("kf_id") % 2 == 0, F.round(col("x") / 500, 6)).alias("fitness"), F.when(col("kf_id") % 3 == 0, F.array(*[F.lit(v) for v in (0.1, 0.5, 0.1, 0.1, 0.1, 0.1)])).alias("cov_diag"), F.when(col("kf_id") % 5 == 0, True).alias("outlier"))
+    j = t.select(col("run").alias("from_id"), col("kf_id").alias("to_id"), F.when(col("kf_id") % 2 == 0, F.round(col("x") / 500 + 1e-9, 6)).alias("fitness"), F.when(col("kf_id") % 3 == 0, F.array(*[F.lit(v) for v in (0.1, 0.5, 0.1, 0.1, 0.1, 0.1)])).alias("cov_diag"), F.when(col("kf_id") % 5 == 0, True).alias("outlier"))
     return codecs.parse_loops(codecs.loop_lines(j)).select("from_id", "to_id", "fitness", "at_kf", F.get("cov", F.lit(7)).alias("c11"), "outlier")
 
 
