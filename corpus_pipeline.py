@@ -49,7 +49,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+    """Pieces of all documents, packed. Workers go on to other stages, so they keep a small memo of words."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), memo_words=150_000)
 
 
 STAGES = [("language id", identify_language), ("near-dedup", drop_near_duplicates), ("suffix-array dedup", remove_repeats), ("pii", mask_personal_data), ("packing", pack)]

@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
         at = 0
         while at < len(order):
             to, size = at, 0
-            while to < len(order) and (to == at or size + len(texts[order[to]]) <= 1_000_000):
+            while to < len(order) and (to == at or size + len(texts[order[to]]) <= 300_000):
                 size += len(texts[order[to]]) + 1
                 to += 1
             got, score, spans = label([texts[i] for i in order[at:to]], model, penalty)

@@ -72,9 +72,9 @@ class WordEncoder(dict):
 
 
 @functools.cache
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, limit: int) -> WordEncoder:
     """One for each worker process, so that later tasks find the memo filled."""
-    return WordEncoder(path)
+    return WordEncoder(path, limit)
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,12 +103,12 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens. A document is cut only each ``capacity`` tokens."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = encoder(tokenizer_path)
+        words = encoder(tokenizer_path, memo_words)
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.iloc[at : at + 1024]
@@ -125,12 +125,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity
     return slim.mapInPandas(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Pack every document's tokens (+ ``end_id``) into sequences of at most ``capacity``.
 
     Returns per piece doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     Null or empty texts are one token, the end; an empty table gives no rows; repeated rows are
-    packed each by itself; a null doc_id stays null. The same rows give the same packing.
+    packed each by itself; a null doc_id stays null. The same rows give the same packing. ``memo_words``
+    bounds the words that a worker process remembers (about 0.25 KB each), and only its speed.
     """
     # A token has one byte at least, so this bounds the number of pieces before anything is tokenised.
     bound = docs.agg((F.count(F.lit(1)) + F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / capacity).alias("n")).first()["n"] or 0
@@ -143,7 +144,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
         out = rows.assign(sequence_id=rows["grp"] * stride + bins, offset=offsets)
         return out.drop(columns="grp")
 
-    pieces = token_pieces(docs, tokenizer_path, end_id, capacity)
+    pieces = token_pieces(docs, tokenizer_path, end_id, capacity, memo_words)
     grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
     return grouped.groupBy("grp").applyInPandas(
         pack_group, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
