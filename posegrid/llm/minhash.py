@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, partitions, per_row, spread
+from .common import cut, mix64, per_row, spread
 from .components import components
 from .shingles import shingle_sets
 
@@ -254,4 +254,4 @@ def dedup(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
-__all__ = ["dedup", "describe", "near_duplicates", "partitions", "signatures"]
+__all__ = ["dedup", "describe", "near_duplicates", "signatures"]
