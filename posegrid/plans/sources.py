@@ -6,6 +6,7 @@ import uuid
 
 from posegrid import adapters as A
 from posegrid.adapters import with_views
+from posegrid.functions.geometry import TURBO
 from posegrid.sources import codecs
 from posegrid.sources.packet_log import PacketLog
 from pyspark.sql import Window
@@ -152,7 +153,7 @@ def _(spark, d):
     return codecs.g2o_lines(n, e)
 
 
-@section.add("cloud_encode", with_views("SELECT scan_id, idx, (CAST(round(r * 255) AS INT) << 16) | (CAST(round(g * 255) AS INT) << 8) | CAST(round(b * 255) AS INT) AS rgb FROM (SELECT scan_id, idx, " + ", ".join("greatest(0, least(1, " + " + ".join(f"({k!r}) * pow(c, {i})" for i, k in enumerate(ch)) + f")) AS {n}" for n, ch in zip("rgb", __import__("posegrid.functions.geometry", fromlist=["TURBO"]).TURBO, strict=True)) + " FROM (SELECT scan_id, idx, CASE WHEN max(z) OVER w > min(z) OVER w THEN (z - min(z) OVER w) / (max(z) OVER w - min(z) OVER w) ELSE 0.5 END AS c FROM v_point WINDOW w AS (PARTITION BY scan_id)))"))
+@section.add("cloud_encode", with_views("SELECT scan_id, idx, (CAST(round(r * 255) AS INT) << 16) | (CAST(round(g * 255) AS INT) << 8) | CAST(round(b * 255) AS INT) AS rgb FROM (SELECT scan_id, idx, " + ", ".join("greatest(0, least(1, " + " + ".join(f"({k!r}) * pow(c, {i})" for i, k in enumerate(ch)) + f")) AS {n}" for n, ch in zip("rgb", TURBO, strict=True)) + " FROM (SELECT scan_id, idx, CASE WHEN max(z) OVER w > min(z) OVER w THEN (z - min(z) OVER w) / (max(z) OVER w - min(z) OVER w) ELSE 0.5 END AS c FROM v_point WINDOW w AS (PARTITION BY scan_id)))"))
 def _(spark, d):
     return codecs.cloud_encode(A.point(spark, d), ["scan_id"], "z").select("scan_id", "idx", "rgb")
 
