@@ -125,3 +125,23 @@ def per_row(values: np.ndarray, starts: np.ndarray, ufunc: np.ufunc = np.add, em
     if len(full):
         out[full] = ufunc.reduceat(values if values.dtype != bool else values.astype(np.int64), starts[full])
     return out
+
+
+class WordMemo(dict):
+    """What has been worked out for each word, for at most ``limit`` words. When it is full, only words that were asked for again stay."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.again = limit, set()
+
+    def unknown(self, words: set[str]) -> list[str]:
+        """The words that are still to be worked out; all others of ``words`` are kept."""
+        known = words & self.keys()
+        new = words - known
+        self.again |= known
+        if len(self) + len(new) > self.limit:
+            stay = {w: self[w] for w in (self.again if len(self.again) < self.limit // 2 else known)}
+            self.clear()
+            self.update(stay)
+            self.again = set(known)
+        return list(new)

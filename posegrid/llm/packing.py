@@ -18,39 +18,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import WordMemo
+
 CAPACITY = 4096
 GROUP_PIECES = 20_000
 MEMO_WORDS = 1_000_000
 
 
-class WordEncoder(dict):
+class WordEncoder(WordMemo):
     """word -> its token ids as little-endian uint32 bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words one after the other; each distinct word is encoded once. When the memo is full, only words
-    that were asked for again stay.
+    words one after the other; each distinct word is encoded once, as long as it is remembered.
     """
 
     def __init__(self, path: str, limit: int = MEMO_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for each core already
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.limit, self.again = Tokenizer.from_file(path), limit, set()
+        super().__init__(limit)
+        self.tokenizer = Tokenizer.from_file(path)
         self.mark_id, self.mark = next((i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()))
 
     def fill(self, words: set[str]) -> None:
-        known = words & self.keys()
-        new = words - known
-        self.again |= known
-        if len(self) + len(new) > self.limit:
-            stay = {w: self[w] for w in (self.again if len(self.again) < self.limit // 2 else known)}
-            self.clear()
-            self.update(stay)
-            self.again = set(known)
+        new = self.unknown(words)
         # many words go to the tokenizer as one string, between two of them a special token that none holds
         odd = [w for w in new if self.mark in w]
-        todo = [w for w in new if self.mark not in w] if odd else list(new)
+        todo = [w for w in new if self.mark not in w] if odd else new
         for start in range(0, len(todo), 5000):
             part = todo[start : start + 5000]
             joined = [self.mark.join(part[i : i + 50]) for i in range(0, len(part), 50)]

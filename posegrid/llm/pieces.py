@@ -7,6 +7,7 @@ takes a vectorised maximum over the pieces that end there.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -15,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import WordMemo
 from .prefix_hash import PrefixHash
 
 MARK = "▁"
-MEMO_WORDS = 300_000
+MEMO_WORDS = 1_000_000
 #: What a character outside the vocabulary costs more than the worst piece, for each of its bytes.
 BYTE_COST = 10.0
 #: A unit is a run of blanks with the word after it, or one line feed; no piece goes across its end.
@@ -126,17 +128,14 @@ class Vocabulary:
             count = np.bincount(row, weights=many, minlength=m).astype(np.int64)
         else:
             flat, count = ids, np.bincount(row, minlength=m)
-        return np.split(flat, np.cumsum(count)[:-1])
+        ends = np.cumsum(count).tolist()
+        return [flat[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def encode(self, texts: list[str], memo: dict[str, bytes] | None = None) -> list[bytes]:
+    def encode(self, texts: list[str], memo: WordMemo | None = None) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with a blank put before it; an empty text has none."""
-        memo = {} if memo is None else memo
+        memo = WordMemo(MEMO_WORDS) if memo is None else memo
         split = [UNIT.findall(" " + t) if t else [] for t in texts]
-        wanted = set().union(*map(set, split)) if split else set()
-        new = [w for w in wanted if w not in memo]
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = list(wanted)
+        new = memo.unknown(set().union(*map(set, split)) if split else set())
         for w, ids in zip(new, self.encode_words(new), strict=True):
             memo[w] = ids.astype("<i4").tobytes()
         return [b"".join(map(memo.__getitem__, units)) for units in split]
@@ -146,6 +145,12 @@ class Vocabulary:
         return b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
+@functools.cache
+def remembered(path: str) -> tuple[Vocabulary, WordMemo]:
+    """A vocabulary and its memo of words, one for each worker process."""
+    return Vocabulary(path), WordMemo(MEMO_WORDS)
+
+
 def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_chars, n_tokens, ids, ids_sha256 (over little-endian 32-bit ids) and round_trip for each row of ``docs`` (doc_id, text).
 
@@ -154,10 +159,10 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, memo = Vocabulary(model_path), {}
+        vocabulary, memo = remembered(model_path)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 coded = vocabulary.encode(texts, memo)
                 ids = [np.frombuffer(c, "<i4") for c in coded]
