@@ -238,7 +238,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort
                 )
 
     found = cut(docs.mapInArrow(find, "ah long, cd long, key long, th long, pos int, hi int, lo int"))
-    shared = found.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ah")
+    # written first, so that the join's sides are plain tables and Spark can split the partitions of very common anchors
+    shared = cut(found.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ah"))
     every, found = found, cut(found.join(shared, "ah"))
     discard(every)
     place = F.struct("key", "th", "pos", "hi", "lo")
