@@ -9,7 +9,7 @@ from posegrid.llm import pii
 from posegrid.llm.queries import queries, tokenizer_file
 from pyspark.sql import functions as F
 
-from test_operators import brute_components, edited, prose
+from test_llm_operators import brute_components, edited, prose
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
