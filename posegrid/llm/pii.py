@@ -40,15 +40,21 @@ SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]+)?(?:{NAME}|[0-9])(?:[\s,.-
 NAMED = re.compile(rf"(?<![A-Za-z])({NAME}|plus)(?![A-Za-z])", re.I)
 AT_SIGN = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*"
 DOT_SIGN = r"\s*[\[({<]\s*(?:dot|point|\.)\s*[\])}>]\s*"
-DOT_WORD = rf"(?:{DOT_SIGN}|\s+dot\s+)"
-AT = re.compile(rf"{AT_SIGN}|\s+at\s+", re.I)
+DOT_WORD = rf"(?:{DOT_SIGN}|\s+dot\s+|\s+\.\s+)"
+AT = re.compile(rf"{AT_SIGN}|\s+at\s+|\s+@\s+", re.I)
 DOT = re.compile(DOT_WORD, re.I)
 LABEL, LAST = r"[A-Za-z0-9_%+-]+", r"[A-Za-z]{2,6}(?![A-Za-z0-9])"
 #: An address whose at sign or dots are disguised. A plain word "at" counts only if all dots after it are disguised too.
 DISGUISED = re.compile(
-    rf"{LABEL}(?:(?:\.|{DOT_WORD}){LABEL})*(?:(?:@|{AT_SIGN})[A-Za-z0-9-]+(?:(?:\.|{DOT_WORD})[A-Za-z0-9-]+)*(?:\.|{DOT_WORD}){LAST}|\s+at\s+[A-Za-z0-9-]+(?:{DOT_WORD}[A-Za-z0-9-]+)*{DOT_WORD}{LAST})", re.I
+    rf"{LABEL}(?:(?:\.|{DOT_WORD}){LABEL})*(?:(?:@|\s+@\s+|{AT_SIGN})[A-Za-z0-9-]+(?:(?:\.|{DOT_WORD})[A-Za-z0-9-]+)*(?:\.|{DOT_WORD}){LAST}|\s+at\s+[A-Za-z0-9-]+(?:{DOT_WORD}[A-Za-z0-9-]+)*{DOT_WORD}{LAST})", re.I
 )
-HINT = re.compile(r"[\[({<]\s*(?:at|@|dot)\s*[\])}>]|\sdot\s", re.I)
+#: An address of four numbers, each in digits or digit names, with disguised dots.
+NUMBER = rf"(?:[0-9]{{1,3}}|{NAME}(?:[\s-]+{NAME}){{0,2}})"
+DISGUISED_IP = re.compile(rf"(?<![A-Za-z0-9.]){NUMBER}(?:(?:\.|{DOT_WORD}){NUMBER}){{3}}(?![A-Za-z0-9])", re.I)
+# fixed values: escaped signs
+ESCAPES = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "%40": "@", "&#46;": ".", "&#x2e;": ".", "&period;": ".", "%2e": "."}
+ESCAPE = re.compile("|".join(map(re.escape, ESCAPES)), re.I)
+HINT = re.compile(r"[\[({<]\s*(?:at|@|dot|point|\.)\s*[\])}>]|\sdot\s|\s@\s|&(?:#|commat|period)|%(?:40|2e)", re.I)
 HINT_DIGIT = re.compile(rf"(?<![A-Za-z]){NAME}[\s,.-]+(?:{NAME}|[0-9])(?![A-Za-z])", re.I)
 
 
@@ -121,6 +127,10 @@ def _spell(m: re.Match) -> str:
     return re.sub(r"(?<=[+0-9])[\s,.-]+(?=[0-9])", "", done)
 
 
+def _dotted(m: re.Match) -> str:
+    return ".".join(re.sub(r"[\s-]+", "", NAMED.sub(lambda x: DIGITS.get(x.group().lower(), x.group()), part)) for part in DOT.sub(".", m.group()).split("."))
+
+
 def _plain(m: re.Match) -> str:
     return AT.sub("@", DOT.sub(".", m.group()))
 
@@ -133,6 +143,8 @@ def hidden_spans(text: str) -> list[tuple[str, int, int]]:
     m = Mapped(text)
     if odd:
         m.rewrite(GLYPH, lambda x: HOMOGLYPHS[x.group()])
+    m.rewrite(ESCAPE, lambda x: ESCAPES[x.group().lower()])
+    m.rewrite(DISGUISED_IP, _dotted)
     m.rewrite(SPELLED, _spell)
     m.rewrite(DISGUISED, _plain)
     return [(k, *m.source(s, e)) for k, s, e in base_spans(m.text)]

@@ -246,6 +246,10 @@ def test_pii_base_forms(documents):
         ("mail jаne@site.org now", "email", "jаne@site.org"),
         ("call plus one five five five one two three four five six seven now", "phone", "plus one five five five one two three four five six seven"),
         ("host １９２.168.0.1 up", "ip", "１９２.168.0.1"),
+        ("host 192[.]168[.]1[.]10 up", "ip", "192[.]168[.]1[.]10"),
+        ("host one nine two dot 168 dot one dot one zero up", "ip", "one nine two dot 168 dot one dot one zero"),
+        ("mail john @ site.org now", "email", "john @ site.org"),
+        ("mail john&#64;site&#46;org now", "email", "john&#64;site&#46;org"),
     ],
 )
 def test_pii_disguises(text, kind, found):
@@ -254,7 +258,7 @@ def test_pii_disguises(text, kind, found):
 
 
 def test_pii_leaves_plain_text_alone(documents):
-    for text in ("We met at noon and saw the dot on the map.", "one two three four five six", "version 1.2.3 of 2024-01-02", "look at this dot"):
+    for text in ("We met at noon and saw the dot on the map.", "one two three four five six", "version 1.2.3 of 2024-01-02", "look at this dot", "See you @ home. Then we go.", "1 dot 2 dot 3", "a rise of 40%40 years"):
         assert pii.all_spans(text) == ([], [])
     got = pii.find_pii(documents(["a a.b@c.de b", None]))
     assert [c for c in got.columns if c not in documents([]).columns] == ["base_spans", "masked"]
