@@ -25,7 +25,7 @@ from .common import cut, partitions
 TREES = 8
 SAMPLE_ROWS = 16_384
 LEAF_ROWS = 128
-VISITED = 0.15
+VISITED = 0.12
 BLOCK_ROWS = 4096
 HELD_ROWS = 400_000
 
