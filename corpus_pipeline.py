@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 from posegrid.llm import language_id, minhash, packing, pii, suffix_dedup
-from posegrid.llm.common import shared_dir
+from posegrid.llm.common import cut, shared_dir
 from posegrid.llm.queries import tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +27,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id; those without an id stay."""
-    keep = minhash.dedup(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long") == F.col("_keep"), "left_semi")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near-duplicates stays, that with the smallest id; of repeats of it one, and ids come before none.
+
+    Rows are numbered, and the numbered table is written, so that numbers don't change between readings.
+    """
+    rows = cut(docs.withColumn("_number", F.monotonically_increasing_id()))
+    found = minhash.near_duplicates(rows.select(F.col("_number").alias("id"), "text")).select(F.col("id").alias("_number"), "component")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_number"))
+    keep = found.join(rows.select("_number", "doc_id"), "_number").groupBy("component").agg(first.alias("first")).select(F.col("first._number").alias("_number"))
+    return rows.join(keep, "_number", "left_semi").drop("_number")
 
 
 def _counted(docs: DataFrame) -> DataFrame:

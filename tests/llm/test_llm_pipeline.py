@@ -97,6 +97,21 @@ def test_run_applies_all_stages(spark, stages):
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, out[-1][1].select(key).collect()))
 
 
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    rng = random.Random(22)
+    texts = {k: prose(rng, 150) for k in ("repeated", "no id", "either", "same id")}
+    other = prose(rng, 150)
+    rows = [(5, texts["repeated"]), (5, texts["repeated"]), (None, texts["no id"]), (None, texts["no id"]), (None, texts["either"]), (7, edited(rng, texts["either"], 1)), (9, texts["same id"]), (9, other)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    corpus_pipeline.drop_near_duplicates(spark, docs, "").write.parquet(str(tmp_path / "kept"))
+    kept = spark.read.parquet(str(tmp_path / "kept"))
+    want = sorted([(5, texts["repeated"]), (None, texts["no id"]), (7, rows[5][1]), (9, texts["same id"]), (9, other)], key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == want
+    # nothing is left that stage three would take for a repeat
+    assert sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.remove_repeats(spark, kept, "").collect()), key=str) == want
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
