@@ -43,11 +43,22 @@ DOT_SIGN = r"\s*[\[({<]\s*(?:dot|point|\.)\s*[\])}>]\s*"
 DOT_WORD = rf"(?:{DOT_SIGN}|\s+dot\s+|\s+\.\s+)"
 AT = re.compile(rf"{AT_SIGN}|\s+at\s+|\s+@\s+", re.I)
 DOT = re.compile(DOT_WORD, re.I)
-LABEL, LAST = r"[A-Za-z0-9_%+-]+", r"[A-Za-z]{2,6}(?![A-Za-z0-9])"
+LABEL, HOST, ENDS = r"[A-Za-z0-9_%+-]+", r"[A-Za-z0-9-]+", r"(?![A-Za-z0-9])"
+ANY_DOT = rf"(?:\.|{DOT_WORD})"
+
+
+def _domain(last: str) -> str:
+    """A domain behind a sign. A spaced full stop after a domain with plain dots is rather the end of a sentence: then only a short word counts."""
+    more = rf"\.{HOST}(?:{ANY_DOT}{HOST})*(?:(?:\.|{DOT_SIGN}|\s+dot\s+){last}|\s+\.\s+[A-Za-z]{{2,6}}{ENDS})"
+    return rf"{HOST}(?:{DOT_WORD}(?:{HOST}{ANY_DOT})*{last}|{more}|\.{last})"
+
+
+#: Prices have a spaced "@" as well: behind it the last label starts with a letter, unless its dot is in brackets.
+SPACED_DOMAIN = rf"(?:{HOST}(?:{ANY_DOT}{HOST})*{DOT_SIGN}{HOST}|{_domain('[A-Za-z][A-Za-z0-9-]*')})"
+#: A domain behind a plain word "at": all dots are disguised.
+WORD_DOMAIN = rf"{HOST}(?:{DOT_WORD}{HOST})*(?:{DOT_SIGN}{HOST}|\s+dot\s+[A-Za-z]{{2,63}}{ENDS}|\s+\.\s+[A-Za-z]{{2,6}}{ENDS})"
 #: An address whose at sign or dots are disguised. A plain word "at" counts only if all dots after it are disguised too.
-DISGUISED = re.compile(
-    rf"{LABEL}(?:(?:\.|{DOT_WORD}){LABEL})*(?:(?:@|\s+@\s+|{AT_SIGN})[A-Za-z0-9-]+(?:(?:\.|{DOT_WORD})[A-Za-z0-9-]+)*(?:\.|{DOT_WORD}){LAST}|\s+at\s+[A-Za-z0-9-]+(?:{DOT_WORD}[A-Za-z0-9-]+)*{DOT_WORD}{LAST})", re.I
-)
+DISGUISED = re.compile(rf"{LABEL}(?:{ANY_DOT}{LABEL})*(?:(?:@|{AT_SIGN}){_domain(HOST)}|\s+@\s+{SPACED_DOMAIN}|\s+at\s+{WORD_DOMAIN})", re.I)
 #: An address of four numbers, each in digits or digit names, with disguised dots.
 NUMBER = rf"(?:[0-9]{{1,3}}|{NAME}(?:[\s-]+{NAME}){{0,2}})"
 DISGUISED_IP = re.compile(rf"(?<![A-Za-z0-9.]){NUMBER}(?:(?:\.|{DOT_WORD}){NUMBER}){{3}}(?![A-Za-z0-9])", re.I)

@@ -257,6 +257,22 @@ def test_pii_disguises(text, kind, found):
     assert pii.all_spans(text) == ([], [(kind, s, s + len(found))]) or (kind, s, s + len(found)) in pii.all_spans(text)[1]
 
 
+@pytest.mark.parametrize("found", [
+    "jane [at] corp [dot] example", "jane at corp dot example", "jane (at) studio (dot) photography", "jane at studio dot photography", "jane [at] site [dot] xn--p1ai", "jane @ mail . company . photography",
+    "jane [at] host [dot] a1", "jane at corp [dot] xn--p1ai", "jane @ site.photography", "jane@studio [dot] photography", "jane at x dot " + "a" * 63,
+])
+def test_pii_disguises_with_any_last_label(found):
+    text = f"write to {found}, please"
+    s = text.index(found)
+    assert ("email", s, s + len(found)) in pii.all_spans(text)[1]
+    assert pii.mask(text, pii.all_spans(text)[1]) == "write to <email>, please"
+
+
+@pytest.mark.parametrize(("text", "masked"), [("3 items @ 5.99 each", None), ("3 items @ 5.99 . Yesterday", None), ("mail jane@site.org . Yesterday [at] noon", "mail <email> . Yesterday [at] noon")])
+def test_pii_last_label_is_no_price_or_sentence(text, masked):
+    assert pii.mask(text, pii.all_spans(text)[1]) == (masked or text)
+
+
 def test_pii_leaves_plain_text_alone(documents):
     for text in ("We met at noon and saw the dot on the map.", "one two three four five six", "version 1.2.3 of 2024-01-02", "look at this dot", "See you @ home. Then we go.", "1 dot 2 dot 3", "a rise of 40%40 years"):
         assert pii.all_spans(text) == ([], [])
