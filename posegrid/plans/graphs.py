@@ -67,7 +67,7 @@ def _(spark, d):
 
 
 def _clouds(spark, d):
-    p = A.point(spark, d).filter("scan_id % 20 < 2").select(F.floor(col("scan_id") / 200).alias("pair"), (col("scan_id") % 20).alias("side"), *[(col(a) / 5).alias(a) for a in "xyz"])
+    p = A.point(spark, d).select(F.floor(col("scan_id") / 200).alias("pair"), *[(col(a) / 5).alias(a) for a in "xyz"])
     target = p.select("pair", "x", "y", "z")
     source = p.select("pair", (col("x") + 0.02).alias("x"), (col("y") - 0.01).alias("y"), "z")
     return source, target
@@ -116,7 +116,7 @@ def _(spark, d):
 
 def _graph(spark, d):
     """Poses of each run on the plane, a chain over them and loops between every fourth and the one three before it; some loops are wrong."""
-    n = _numbered(spark, d).filter("run % 10 = 0")
+    n = _numbered(spark, d)
     yaw = F.radians((col("kf_id") % 360).cast("double"))
     nodes = n.select("run", col("n").alias("id"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(yaw / 2).alias("qz"), F.cos(yaw / 2).alias("qw"), (col("x") / 100).alias("tx"), (col("y") / 100).alias("ty"), F.lit(0.0).alias("tz"))
     pose = list(manifold.POSE)

@@ -43,3 +43,23 @@ def test_query(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
     assert len(got) > 0
+
+
+def test_graph_and_registration_queries_read_whole_tables(spark):
+    """Each run with an edge or a loop, each pair of clouds and each sweep comes out."""
+    orders, lines = (pd.read_parquet(f"{SMALL}/{t}.parquet") for t in ("orders", "lineitem"))
+    poses = orders.groupby("o_custkey").size()
+    runs = {k: set(poses[poses >= k].index) for k in (1, 2, 4)}
+    loops = int(sum(sum(b % 2 == 0 for b in range(4, n + 1)) for n in poses))
+    got = lambda name: QUERIES[name](spark, SMALL).toPandas()
+    chain = got("graph_add_keyframe")
+    assert set(chain["run"]) == runs[2] and len(chain) == int((poses - 1).sum())
+    assert len(got("synth_loops")) == len(got("gnc_consolidate")) == len(got("pcm_decide")) == loops
+    assert set(got("max_clique")["run"]) == runs[4]
+    assert len(got("pose_graph_optimize")) == len(got("marginal")) == len(orders) and len(got("gnss_factor")) == len(chain)
+    pairs = set(lines["l_orderkey"] // 200)
+    for name in ("icp_register", "icp_covariance", "loop_verify", "loop_self_test"):
+        assert set(got(name)["pair"]) == pairs
+    assert set(got("process_sweep")["scan_id"]) == set(lines["l_orderkey"])
+    # a pair's cloud is all points of its 200 scans: no fewer matches than points in reach of a copy moved by 0.022
+    assert got("icp_register")["n"].sum() == len(lines)
