@@ -8,20 +8,22 @@ common extension, found by binary search over prefix polynomial hashes, in a bot
 merges are done by binary search too; neighbours that agree over the whole length are verified byte by byte.
 
 Equal surroundings (whole copies) are counted once and never sorted: windows of one anchor with equal
-bytes are a class, combined before anything else is moved.
+bytes are a class, combined before anything else is moved. Members of a class are confirmed by a 128-bit
+BLAKE2b digest of their bytes beside the anchor's hash, so that copies needn't be moved to be compared.
+An anchor with too many classes for one task is divided: halves of its range of windows meet again by the
+bytes that all windows of the half have in common, until each group is small enough to be sorted.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, discard, spread, text_blocks, utf8
@@ -30,10 +32,15 @@ from .prefix_hash import PrefixHash
 
 LENGTH = 400
 GRAM = 64
-#: Distinct surroundings of one anchor that are sorted in one task; beyond that, Spark sorts them.
+#: Distinct surroundings of one anchor that are sorted in one task; an anchor with more is divided.
 SORTED = 2048
 BATCH_BYTES = 1 << 20
 CONTEXT = [("ah", pa.int64()), ("m", pa.int64()), ("single", pa.bool_()), ("key", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("hi", pa.int32()), ("lo", pa.int32()), ("bytes", pa.binary())]
+SPANS = "key long, th long, start int, end int"
+HALF = pa.schema([
+    ("ah", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("single", pa.bool_()), ("key", pa.int64()), ("th", pa.int64()),
+    ("start", pa.int32()), ("hi", pa.int32()), ("lo", pa.int32()), ("bytes", pa.binary()),
+])
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -151,9 +158,37 @@ def _left_over(context: np.ndarray, low: np.ndarray, high: np.ndarray, bounds: t
     return of, free - begin[of] + a[of]
 
 
-def repeated_windows(contexts: list[bytes], group: np.ndarray, first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _later(data: np.ndarray, prefix: PrefixHash, anchor: np.ndarray, group: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of the intervals ``found`` that equal one of a context with a smaller rank, as intervals."""
+    context, low, high = found
+    many = high - low + 1
+    begin = np.cumsum(many) - many
+    pair = np.unique(np.repeat(context * (length + 1) + low - begin, many) + np.arange(many.sum()))
+    of, distance = pair // (length + 1), pair % (length + 1)
+    place = anchor[of] - distance
+    hashes = prefix.spans(place, place + length)
+    by = np.lexsort((rank[of], hashes, distance, group[of]))
+    of, distance, place, hashes = of[by], distance[by], place[by], hashes[by]
+    new = np.ones(len(of), bool)
+    new[1:] = (group[of[1:]] != group[of[:-1]]) | (distance[1:] != distance[:-1]) | (hashes[1:] != hashes[:-1])
+    head = np.flatnonzero(new)
+    least, later = head[np.cumsum(new) - 1], np.flatnonzero(~new)
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)
+    # equal hashes are verified byte by byte
+    same = [np.all(windows[place[part]] == windows[place[least[part]]], axis=1) for part in np.array_split(later, len(later) // 8192 + 1)]
+    pair = np.sort((of * (length + 1) + distance)[later[np.concatenate(same)]])
+    if not len(pair):
+        return pair, pair, pair
+    edge = np.flatnonzero(np.diff(pair) != 1) + 1
+    a, b = pair[np.concatenate([[0], edge])], pair[np.append(edge, len(pair)) - 1]
+    return a // (length + 1), a % (length + 1), b % (length + 1)
+
+
+def repeated_windows(contexts: list[bytes], group: np.ndarray, first: np.ndarray, last: np.ndarray, length: int = LENGTH, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, low, high): intervals of distances from the anchor at which a context's window equals one of another context of its group.
 
+    With ``place``, only those that equal a window of a context with a smaller place, so that of equal windows one is left out.
+
     Context i holds the windows that start last[i] to first[i] bytes before its anchor; windows can be equal only at
     equal distances. The suffixes that start at the anchors are sorted, to the right and (reversed) to the left.
     A context's neighbours in either order have its longest extensions R and L, and share all windows from
@@ -208,15 +243,31 @@ def repeated_windows(contexts: list[bytes], group: np.ndarray, first: np.ndarray
         real = np.array([data[p : p + length].tobytes() == data[q : q + length].tobytes() for p, q in zip(places[x].tolist(), places[y].tolist(), strict=True)], bool)
         hit = np.unique(np.concatenate([x[real], y[real]])) if len(x) else x
         context, low, high = np.concatenate([context, row[hit]]), np.concatenate([low, dist[hit]]), np.concatenate([high, dist[hit]])
-    return context, low, high
+    if place is None or not len(context):
+        return context, low, high
+    return _later(data, right.prefix, anchor, group, (context, low, high), place, length)
+
+
+def _digest(raw: bytes, distance: int) -> bytes:
+    """128 bits for the bytes around an anchor that is ``distance`` bytes from their start."""
+    return hashlib.blake2b(raw, digest_size=16, salt=distance.to_bytes(4, "little")).digest()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sorted_most: int = SORTED) -> DataFrame:
+def _halves(digests: list[bytes]) -> list[pa.Array]:
+    """Digests as two columns of 64-bit integers."""
+    pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sorted_most: int = SORTED, keep_first: bool = False) -> DataFrame:
     """Find in ``docs`` (doc_id, text) each byte covered by a ``length``-byte string that also starts anywhere else.
 
     Returns key, th (id and text hash, as given by ``with_key``) and spans (start, end in UTF-8 bytes; they may
     overlap, see ``merge``) of the documents that have any. Null or short texts have none; a row that comes twice is a
     repeat; rows that share an id but not the text are apart; a null id is as good as any other.
+
+    With ``keep_first`` each string stays where it stands first (by id, then text hash and place) and counts only
+    elsewhere; rows that repeat id and text are one document then.
     """
     docs = with_key(docs.select("doc_id", "text")).select("key", "th", "text")
 
@@ -227,29 +278,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort
                 if not len(row):
                     continue
                 raw, begin = data.tobytes(), offsets[row]
-                digest = np.array([xxhash.xxh3_64_intdigest(raw[s:e], seed=d) for s, e, d in zip(first.tolist(), (last + length).tolist(), (place - first).tolist(), strict=True)], np.uint64)
+                digests = _halves([_digest(raw[s:e], d) for s, e, d in zip(first.tolist(), (last + length).tolist(), (place - first).tolist(), strict=True)])
                 of = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(hashes.view(np.int64)), pa.array(digest.view(np.int64)), batch.column("key").slice(at, to - at).take(of), batch.column("th").slice(at, to - at).take(of),
+                        pa.array(hashes.view(np.int64)), *digests, batch.column("key").slice(at, to - at).take(of), batch.column("th").slice(at, to - at).take(of),
                         pa.array((place - begin).astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array((place - last).astype(np.int32)),
                     ],
-                    ["ah", "cd", "key", "th", "pos", "hi", "lo"],
+                    ["ah", "c1", "c2", "key", "th", "pos", "hi", "lo"],
                 )
 
-    found = cut(docs.mapInArrow(find, "ah long, cd long, key long, th long, pos int, hi int, lo int"))
+    found = cut(docs.mapInArrow(find, "ah long, c1 long, c2 long, key long, th long, pos int, hi int, lo int"))
     # written first, so that the join's sides are plain tables and Spark can split the partitions of very common anchors
     shared = cut(found.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ah"))
     every, found = found, cut(found.join(shared, "ah"))
-    discard(every)
+    discard(every, shared)
     place = F.struct("key", "th", "pos", "hi", "lo")
-    classes = cut(found.groupBy("ah", "cd").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")))
+    kind = ["ah", "c1", "c2"]
+    classes = cut(found.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")))
     # whole classes of equal surroundings: every window in them is repeated
-    copies = found.join(classes.filter("n > 1").select("ah", "cd"), ["ah", "cd"]).select("key", "th", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("end"))
+    copies = found.join(classes.filter("n > 1").select(*kind, "at"), kind).filter(place != F.col("at") if keep_first else F.lit(True))
+    spans = [copies.select("key", "th", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("end"))]
 
     # the others are compared with one of each class of their anchor
-    groups = classes.groupBy("ah").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("ah", "m")
-    wanted = classes.join(groups, "ah").select("ah", "m", (F.col("n") == 1).alias("single"), "at.*")
+    groups = classes.groupBy("ah").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1" if keep_first else "m > 1 and least = 1").select("ah", "m")
+    wanted = classes.join(groups, "ah").select("ah", "m", (F.lit(keep_first) | (F.col("n") == 1)).alias("single"), "at.*")
     by_doc = wanted.groupBy("key", "th").agg(F.collect_list(F.struct("ah", "m", "single", "pos", "hi", "lo")).alias("places"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,12 +313,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort
                 for p in places:
                     s = p["pos"] - p["hi"]
                     rows.append((p["ah"], p["m"], p["single"], key, th, s, p["hi"], p["lo"], data[offsets[i] + s : offsets[i] + p["pos"] - p["lo"] + length].tobytes()))
-                if len(rows) > 5000 or i + 1 == len(batch):
-                    if rows:
+                    if len(rows) > 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=pa.schema(CONTEXT))
-                    rows = []
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=pa.schema(CONTEXT))
 
-    contexts = docs.join(by_doc, ["key", "th"]).select("key", "th", "text", "places").mapInArrow(read, "ah long, m long, single boolean, key long, th long, start int, hi int, lo int, bytes binary")
+    distinct = docs.dropDuplicates(["key", "th"]) if keep_first else docs
+    contexts = distinct.join(by_doc, ["key", "th"]).select("key", "th", "text", "places").mapInArrow(read, "ah long, m long, single boolean, key long, th long, start int, hi int, lo int, bytes binary")
     contexts = cut(contexts)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +329,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort
 
         def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             ah, single, key, th, start, hi, lo = (np.array([r[c] for r in rows]) for c in range(7))
-            of, low, high = repeated_windows([r[-1] for r in rows], np.unique(ah, return_inverse=True)[1], hi, lo, length)
+            rank = np.argsort(np.lexsort((start + hi, th, key))) if keep_first else None
+            of, low, high = repeated_windows([r[-1] for r in rows], np.unique(ah, return_inverse=True)[1], hi, lo, length, rank)
             of, low, high = (c[single[of]] for c in (of, low, high))
             anchor = start[of] + hi[of]
             yield pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(th[of]), pa.array(anchor - high, pa.int32()), pa.array(anchor - low + length, pa.int32())], ["key", "th", "start", "end"])
@@ -290,71 +346,54 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort
         if held:
             yield from done(held)
 
-    few = spread(contexts.filter(F.col("m") <= sorted_most), "ah").sortWithinPartitions("ah")
-    spans = copies.unionByName(few.select("ah", "single", "key", "th", "start", "hi", "lo", "bytes").mapInArrow(compare, "key long, th long, start int, end int"))
-    large = contexts.filter(F.col("m") > sorted_most).drop("m")
-    if not large.isEmpty():
-        spans = spans.unionByName(_large_groups(large, length))
-    return spans.groupBy("key", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-
-
-def _extension(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
-
+    few, large = [contexts.filter(F.col("m") <= sorted_most)], contexts.filter(F.col("m") > sorted_most)
+    large = large.withColumn("a", F.lit(0)).withColumn("b", F.lit(length - gram))
+    while not large.isEmpty():
+        more, small, large = _divided(large, length, sorted_most, keep_first)
+        spans.append(more)
+        few.append(small)
+    for part in few:
+        dealt = spread(part, "ah").sortWithinPartitions("ah")
+        spans.append(dealt.select("ah", "single", "key", "th", "start", "hi", "lo", "bytes").mapInArrow(compare, SPANS))
+    return functools.reduce(DataFrame.unionByName, spans).groupBy("key", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
+def _divided(contexts: DataFrame, length: int, sorted_most: int, keep_first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans found, contexts in groups that can be sorted, contexts in groups that are still too large).
+
+    Windows at distances a to b from the anchor have the bytes from a before it to ``length`` - b behind it in
+    common. Each half of a group's distances is divided by those bytes, so equal windows stay together; contexts
+    that are equal over all their windows in the half become one class again. A half of one distance has
+    whole windows for a key, so at most as many rounds as ``length`` has binary digits are needed.
+    """
+    kind = "ah long, a int, b int, c1 long, c2 long, single boolean, key long, th long, start int, hi int, lo int, bytes binary"
 
-def _large_groups(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for groups that one task shouldn't hold: Spark sorts the suffixes (spilling to disk) and hands on neighbours only.
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                middle = (r["a"] + r["b"]) // 2
+                for a, b in ((r["a"], middle), (middle + 1, r["b"])):
+                    lo, hi = max(a, r["lo"]), min(b, r["hi"])
+                    if lo > hi:
+                        continue
+                    at = r["hi"]
+                    own, core = r["bytes"][at - hi : at - lo + length], r["bytes"][at - a : at - b + length]
+                    group = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=f"{r['ah']} {a} {b}".encode()).digest(), "little", signed=True)
+                    rows.append((group, a, b, *np.frombuffer(_digest(own, hi), np.int64).tolist(), r["single"], r["key"], r["th"], r["start"] + at - hi, hi, lo, own))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), HALF.types, strict=True)], schema=HALF)
 
-    Windows that no neighbour decides are grouped by Spark by their bytes' hash, counted before the shuffle.
-    """
-    contexts = contexts.withColumn("right", F.expr("substring(bytes, hi + 1)")).withColumn("left", F.reverse(F.hex(F.expr("substring(bytes, 1, hi)"))))
-    # reversed hexadecimal digits sort and compare like reversed bytes, two to a byte
-    side = F.struct("left", "right", "hi", "lo")
-
-    @F.pandas_udf("reach int, spans array<struct<low:int,high:int>>")
-    def near(own: pd.DataFrame, a: pd.DataFrame, b: pd.DataFrame, to_right: pd.Series) -> pd.DataFrame:
-        out = []
-        for o, *others in zip(own.to_dict("records"), a.to_dict("records"), b.to_dict("records"), strict=True):
-            reach, spans = 0, []
-            for x in others:
-                if x["right"] is None or x["left"] is None:
-                    continue
-                r, left = _extension(o["right"], x["right"]), _extension(o["left"].encode(), x["left"].encode()) // 2
-                reach = max(reach, r if to_right.iloc[0] else left)
-                low, high = max(length - r, int(o["lo"]), int(x["lo"])), min(left, int(o["hi"]), int(x["hi"]))
-                if low <= high:
-                    spans.append({"low": low, "high": high})
-            out.append((reach, spans))
-        return pd.DataFrame(out, columns=["reach", "spans"])
-
-    @F.pandas_udf("array<int>")
-    def open_distances(low: pd.Series, high: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for lo, hi, *spans in zip(low, high, a, b, strict=True):
-            free = np.ones(max(0, hi - lo + 1), bool)
-            for x in [*spans[0], *spans[1]]:
-                free[max(0, x["low"] - lo) : max(0, x["high"] - lo + 1)] = False
-            out.append((np.flatnonzero(free) + lo).astype(np.int32))
-        return pd.Series(out)
-
-    rows = contexts
-    for way in ("right", "left"):
-        order = Window.partitionBy("ah").orderBy(way, "key", "th", "start")
-        rows = rows.withColumn("_a", F.lag(side).over(order)).withColumn("_b", F.lead(side).over(order))
-        rows = rows.withColumn(f"near_{way}", near(side, "_a", "_b", F.lit(way == "right"))).drop("_a", "_b")
-    low, high = F.greatest(length - F.col("near_right.reach"), "lo"), F.least("near_left.reach", "hi")
-    rows = rows.withColumn("low", low).withColumn("high", high).withColumn("open", open_distances(low, high, "near_right.spans", "near_left.spans"))
-    rows = cut(rows.select("ah", "single", "key", "th", "start", "hi", "bytes", "low", "high", "open", F.concat("near_right.spans", "near_left.spans").alias("spans")))
-    place = lambda d_low, d_high: ("key", "th", (F.col("start") + F.col("hi") - d_high).alias("start"), (F.col("start") + F.col("hi") - d_low + length).cast("int").alias("end"))
-    sure = rows.filter("single").withColumn("s", F.explode("spans")).select(*place(F.col("s.low"), F.col("s.high")))
-    asked = rows.select("ah", F.explode("open").alias("distance")).distinct()
-    met = rows.join(asked, "ah").filter("distance between low and high").withColumn("window", F.sha2(F.expr(f"substring(bytes, hi - distance + 1, {length})"), 256))
-    same = met.groupBy("ah", "distance", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    rest = met.filter("single").select("ah", "distance", "window", "key", "th", "start", "hi").join(same, ["ah", "distance", "window"])
-    return sure.unionByName(rest.select(*place(F.col("distance"), F.col("distance"))))
+    halves = cut(contexts.select("ah", "a", "b", "single", "key", "th", "start", "hi", "lo", "bytes").mapInArrow(halve, kind))
+    same, place = ["ah", "c1", "c2"], F.struct("key", "th", "start", "hi", "lo")
+    classes = cut(halves.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"), F.min("single").alias("alone")))
+    joined = halves.join(classes, same)
+    spans = joined.filter("n > 1 and single").filter(place != F.col("at") if keep_first else F.lit(True))
+    spans = spans.select("key", "th", "start", (F.col("start") + F.col("hi") - F.col("lo") + length).alias("end"))
+    groups = classes.groupBy("ah").agg(F.count(F.lit(1)).alias("m"), F.max(F.lit(keep_first) | ((F.col("n") == 1) & F.col("alone"))).alias("open")).filter("m > 1 and open").select("ah", "m")
+    least = joined.filter(place == F.col("at")).withColumn("single", F.lit(keep_first) | (F.col("alone") & (F.col("n") == 1)))
+    left = cut(least.join(groups, "ah").select("ah", "m", "single", "key", "th", "start", "hi", "lo", "bytes", "a", "b"))
+    return spans, left.filter(F.col("m") <= sorted_most).drop("a", "b"), left.filter(F.col("m") > sorted_most)
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -420,9 +459,9 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with repeated strings taken out of ``text``, whole characters only; null texts and other columns stay as they are."""
-    spans = remove_repeats(docs, length).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False) -> DataFrame:
+    """``docs`` with repeated strings taken out of ``text``, whole characters only; null texts and other columns stay as they are. See remove_repeats."""
+    spans = remove_repeats(docs, length, gram, keep_first=keep_first).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
 
     @F.arrow_udf("string")
     def run(text: pa.Array, spans: pa.Array) -> pa.Array:

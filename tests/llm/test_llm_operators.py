@@ -102,6 +102,30 @@ def brute_repeats(texts, n):
     return out
 
 
+def brute_later(texts, n):
+    """Removed bytes and runs of each text if each string stays where it stands first."""
+    raws, seen, out = [(t or "").encode() for t in texts], {}, []
+    for i, r in enumerate(raws):
+        gone = bytearray(len(r))
+        for k in range(len(r) - n + 1):
+            if seen.setdefault(r[k : k + n], (i, k)) != (i, k):
+                gone[k : k + n] = b"\1" * n
+        out.append((sum(gone), len(re.findall(b"\1+", bytes(gone)))))
+    return out
+
+
+@pytest.mark.parametrize("most", [2048, 2])
+def test_suffix_dedup_keeps_the_first(documents, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
+    rng = random.Random(19)
+    passage, other = prose(rng, 60), prose(rng, 130)
+    texts = [None, "", "a" * 900, "ab" * 500] + [f"{prose(rng, 20)} {passage} {prose(rng, 20)}" for _ in range(9)]
+    texts += [edited(rng, other, 1) for _ in range(7)] + [other, f"{other} {prose(rng, 5)} {other}", texts[5][:400], prose(rng, 900)]
+    rng.shuffle(texts)
+    got = {r["key"]: suffix_dedup.merge([(x["start"], x["end"]) for x in r["spans"]]) for r in suffix_dedup.remove_repeats(documents(texts), 250, 32, most, keep_first=True).collect()}
+    assert [(sum(e - s for s, e in got.get(i, [])), len(got.get(i, []))) for i in range(len(texts))] == brute_later(texts, 250)
+
+
 @pytest.mark.parametrize("most", [2048, 2])
 def test_suffix_dedup(documents, monkeypatch, most):
     monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)

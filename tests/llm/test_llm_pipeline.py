@@ -22,6 +22,8 @@ def stages(spark, tmp_path_factory):
     base = [prose(rng, 60) for _ in range(12)]
     texts = [*base, None, "", "12 34 !!", *[edited(rng, b, 1) for b in base[:4]], base[5], base[5]]
     texts += [f"{prose(rng, 30)} mail jane{i}@site.org or +1 (555) 123-4567 {prose(rng, 30)} {passage} {prose(rng, 30)}" for i in range(3)] + [prose(rng, 9000)]
+    short = " ".join(f"word{rng.randrange(10)}" for _ in range(52))
+    texts += [f"{prose(rng, 40)} {short} {prose(rng, 40)}" for _ in range(2)]
     rows = [(100 - i, t, "en" if i % 2 else None, f"s{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, COLUMNS).write.parquet(f"{folder}/documents.parquet")
     docs, out = spark.read.parquet(f"{folder}/documents.parquet"), []
@@ -29,7 +31,7 @@ def stages(spark, tmp_path_factory):
         stage(spark, docs, folder).write.parquet(f"{folder}/{i}")
         before, docs = docs, spark.read.parquet(f"{folder}/{i}")
         out.append((before, docs))
-    return folder, out
+    return folder, out, short
 
 
 def by_id(df):
@@ -55,17 +57,18 @@ def test_near_duplicate_stage(stages):
 
 def test_repeat_stage(stages):
     before, after = map(by_id, stages[1][2])
-    raws = {i: r["text"].encode() for i, r in before.items()}
+    n = corpus_pipeline.PASSAGE
+    raws = {i: r["text"].encode() for i, r in sorted(before.items())}
     seen: dict = {}
-    for r in raws.values():
-        for k in range(len(r) - 399):
-            seen[r[k : k + 400]] = seen.get(r[k : k + 400], 0) + 1
+    for i, r in raws.items():
+        for k in range(len(r) - n + 1):
+            seen.setdefault(r[k : k + n], (i, k))
     changed = 0
     for i, r in raws.items():
         gone = np.zeros(len(r), bool)
-        for k in range(len(r) - 399):
-            if seen[r[k : k + 400]] > 1:
-                gone[k : k + 400] = True
+        for k in range(len(r) - n + 1):
+            if seen[r[k : k + n]] != (i, k):
+                gone[k : k + n] = True
         # a character goes only as a whole
         whole = [c for c, k in zip(before[i]["text"], np.cumsum([0] + [len(c.encode()) for c in before[i]["text"]]), strict=False) if not gone[k : k + len(c.encode())].all()]
         assert after[i]["text"] == "".join(whole) and after[i]["n_chars"] == len(whole)
@@ -73,6 +76,13 @@ def test_repeat_stage(stages):
     assert set(after) == set(before) and changed == 3
 
 
+def test_a_passage_of_fifty_words_stays_once(stages):
+    words = stages[2].split()
+    texts = [r["text"] for r in stages[1][2][1].collect()]
+    assert len(words) == 52 and sum(stages[2] in t for t in texts) == 1
+    assert not any(" ".join(words[k : k + 50]) in t for k in range(3) for t in texts if stages[2] not in t)
+
+
 def test_personal_data_stage(stages):
     before, after = map(by_id, stages[1][3])
     assert set(after) == set(before)
@@ -91,7 +101,7 @@ def test_packing_stage(stages):
 
 
 def test_run_applies_all_stages(spark, stages):
-    folder, out = stages
+    folder, out, _ = stages
     got = corpus_pipeline.run(spark, folder)
     key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, out[-1][1].select(key).collect()))
