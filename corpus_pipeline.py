@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: The least share of letters that the predicted language must have.
 MIN_SCORE = 0.3
+#: Bytes that a repeated passage has at least: fifty words of four letters and a blank. Its anchors are grams of ``GRAM`` bytes.
+PASSAGE, GRAM = 250, 32
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +45,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand more than once are taken out of the texts; all documents stay."""
-    return _counted(suffix_dedup.strip(docs))
+    """Of passages that stand more than once the first stays (smallest id, then place), the others are taken out of the texts; all documents stay."""
+    return _counted(suffix_dedup.strip(docs, PASSAGE, GRAM, keep_first=True))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
