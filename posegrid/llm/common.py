@@ -45,8 +45,9 @@ def discard(*tables: DataFrame) -> None:
 
     Spark deletes the shuffle files of finished steps only when the driver collects its garbage, so that is asked for too.
     """
+    spark = SparkSession.active()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
         path.getFileSystem(conf).delete(path, True)
     gc.collect()
@@ -85,6 +86,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
+def leftmost_least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For each ``width`` values in a row, the place of the leftmost with the least scrambled upper half."""
+    n = len(hashes)
+    # scrambled upper bits decide, then the place; one minimum gives both
+    key = ((hashes * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    padded = np.full(-(-n // width) * width + width, np.uint64(0xFFFFFFFFFFFFFFFF))
+    padded[:n] = key
+    blocks, starts = padded.reshape(-1, width), max(0, n - width + 1)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def row_blocks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``limit`` bytes together, or of one longer row."""
     n, at = len(offsets) - 1, 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,16 +22,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest id that each node of ``edges`` (u, v) reaches. Nodes without an edge aren't listed.
+    """(node, component): the smallest id that each node of ``edges`` (u, v) reaches, as a written table. Nodes without an edge aren't listed.
 
-    No edge list or component comes to the driver; each round is written to the shared folder.
+    No edge list or component comes to the driver; each round is written to the shared folder, and deleted after the next.
     """
-    edges, before = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v"), None
+    edges, last, before = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v"), [], None
     while True:
         edges = cut(_small_star(_large_star(edges)))
+        discard(*last)
+        last = [edges]
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = cut(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots))
+    discard(*last)
+    return out

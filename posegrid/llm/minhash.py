@@ -14,14 +14,14 @@ Units with equal shingle sets are one unit throughout.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, per_row, spread
+from .common import cut, discard, mix64, per_row, spread
 from .components import components
 from .shingles import shingle_sets
 
@@ -78,24 +78,20 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def describe(units: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, n_bytes, s1, s2, bands) of units (id, text); s1 and s2 stand for the whole set, bands is null for an empty one."""
+def describe(batch: pa.RecordBatch, text: pa.Array, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """The columns of ``batch`` with n_shingles, n_bytes, s1, s2 and bands of ``text``; s1 and s2 stand for the whole set, bands is null for an empty one."""
+    n_bytes = pa.compute.binary_length(text.cast(pa.large_string())).cast(pa.int64()).fill_null(0)
+    for at, to, hashes, offsets in shingle_sets(text):
+        size = np.diff(offsets)
+        keys = band_keys(signatures(hashes, offsets, bands * rows), bands, rows)
+        s1 = per_row(mix64(hashes), offsets)
+        s2 = per_row(mix64(hashes ^ np.uint64(0x5851F42D4C957F2D)), offsets)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (to - at + 1) * bands, bands), pa.int32()), pa.array(keys.ravel().view(np.int64)), mask=pa.array(size == 0))
+        own = [pa.array(size), n_bytes.slice(at, to - at), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists]
+        yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns), *own], [*batch.schema.names, "n_shingles", "n_bytes", "s1", "s2", "bands"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, n_bytes = batch.column("id"), pa.compute.binary_length(batch.column("text").cast(pa.large_string()))
-            for at, to, hashes, offsets in shingle_sets(batch.column("text")):
-                size = np.diff(offsets)
-                keys = band_keys(signatures(hashes, offsets, bands * rows), bands, rows)
-                s1 = per_row(mix64(hashes), offsets)
-                s2 = per_row(mix64(hashes ^ np.uint64(0x5851F42D4C957F2D)), offsets)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (to - at + 1) * bands, bands), pa.int32()), pa.array(keys.ravel().view(np.int64)), mask=pa.array(size == 0))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, to - at), pa.array(size), n_bytes.slice(at, to - at).cast(pa.int64()).fill_null(0), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists],
-                    ["id", "n_shingles", "n_bytes", "s1", "s2", "bands"],
-                )
 
-    return units.select("id", "text").mapInArrow(run, "id long, n_shingles long, n_bytes long, s1 long, s2 long, bands array<long>")
+DESCRIBED = "n_shingles long, n_bytes long, s1 long, s2 long, bands array<long>"
 
 
 def similar(inter, a, b):
@@ -197,53 +193,75 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from done(pa.Table.from_batches(held))
 
 
-def near_duplicates(units: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, n_shingles, component) for each row of ``units`` (id, text).
+def linked_classes(described: DataFrame, place: list[str], fetch: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(s1, s2, class and place of one unit of the class) of all classes of equal sets, and (class, component) of those that are linked.
 
-    component is the smallest id reachable over links, the unit's own id if there is none. Null or
-    empty texts and texts without words link with nothing. Rows that repeat an id are one unit if
-    their sets are equal; a null id stays null and links with nothing. An empty table gives no rows.
-    Other columns aren't read.
+    ``described`` has, for each unit, the columns ``place`` by which it is found again, and those of ``describe``.
+    ``fetch`` gets classes with their places and returns (class, text). Both tables are written, and all others deleted.
     """
-    units = units.select(F.col("id").cast("long").alias("id"), "text")
-    described = cut(describe(units, bands, rows))
-    usable = F.col("bands").isNotNull() & F.col("id").isNotNull()
-    # equal sets: one representative with all that is needed later, combined before the shuffle
-    classes = described.filter(usable).groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n_bytes").alias("n_bytes"))
-    classes = cut(classes)
-    keyed = classes.select("rep", "n_bytes", F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = cut(keyed.join(buckets, "band").select("band", "rep", "hub", "n_bytes"))
-    # only the texts of units that share a bucket are needed from here on
-    texts = cut(units.join(shared.select(F.col("rep").alias("id")).distinct(), "id").dropDuplicates(["id"]))
-
-    pairs = shared.filter("rep <> hub").select("hub", F.col("rep").alias("id")).distinct()
+    # one representative with all that is needed later, combined before the shuffle
+    grouped = described.filter("bands is not null").groupBy("s1", "s2").agg(F.min(F.struct(*place)).alias("at"), F.first("bands").alias("bands"), F.first("n_bytes").alias("n_bytes"))
+    classes = cut(grouped.withColumn("class", F.monotonically_increasing_id()))
+    keyed = classes.select("class", "n_bytes", F.explode("bands").alias("band"))
+    buckets = keyed.groupBy("band").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = cut(keyed.join(buckets, "band").select("band", "class", "hub", "n_bytes"))
+    # only the texts of classes that share a bucket are needed from here on
+    texts = cut(fetch(classes.join(shared.select("class").distinct(), "class").select("class", "at.*")).select("class", "text"))
+    discard()
+
+    pairs = shared.filter("class <> hub").select("hub", "class").distinct()
     salts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("salts"))
-    members = pairs.join(salts, "hub").select("hub", F.pmod(F.xxhash64("id"), "salts").alias("salt"), "id", F.lit(1).alias("member"))
-    hubs = salts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("id"), F.lit(0).alias("member"))
-    stars = members.unionByName(hubs).join(texts, "id").select("hub", "salt", "member", "id", "text")
+    members = pairs.join(salts, "hub").select("hub", F.pmod(F.xxhash64("class"), "salts").alias("salt"), "class", F.lit(1).alias("member"))
+    hubs = salts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("class"), F.lit(0).alias("member"))
+    stars = members.unionByName(hubs).join(texts, "class").select("hub", "salt", "member", F.col("class").alias("id"), "text")
     links = cut(spread(stars, "hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(_verify_stars, "u long, v long"))
-    joined = cut(components(links))
+    joined = components(links)
 
     # the hub has been compared with all others of its buckets; what is left are buckets where those lie in several components
-    labelled = shared.filter("rep <> hub").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = shared.filter("class <> hub").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = (
         labelled.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.sum("n_bytes") / BLOCK_BYTES).alias("blocks")).filter("a < b").select("band", F.greatest("blocks", F.lit(1)).alias("blocks"))
     )
     other = F.col("other")
     blocked = (
         labelled.join(mixed, "band")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+        .withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("band", F.least("block", other).alias("x"), F.greatest("block", other).alias("y"), "block", "component", F.col("rep").alias("id"))
+        .select("band", F.least("block", other).alias("x"), F.greatest("block", other).alias("y"), "block", "component", "class")
     )
-    dealt = spread(blocked.join(texts, "id"), "band", "x", "y").sortWithinPartitions("band", "x", "y", "id")
+    dealt = spread(blocked.join(texts, "class").withColumnRenamed("class", "id"), "band", "x", "y").sortWithinPartitions("band", "x", "y", "id")
     more = cut(dealt.select("band", "x", "y", "block", "component", "id", "text").mapInArrow(_compare_blocks, "u long, v long"))
     if more.limit(1).count():
-        joined = cut(components(links.union(more)))
+        before, joined = joined, components(links.union(more))
+        discard(before)
+    discard(shared, texts, links, more)
+    return classes, joined.withColumnRenamed("node", "class")
+
 
-    of_class = classes.select("s1", "s2", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    linked = described.filter(usable).select("id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2"]).select("id", "n_shingles", "component")
+def near_duplicates(units: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, n_shingles, component) for each row of ``units`` (id, text).
+
+    component is the smallest id reachable over links, the unit's own id if there is none. Null or
+    empty texts and texts without words link with nothing. Rows that repeat an id are compared each
+    with its own text, and all get the id's smallest component of their own; a null id stays null and links
+    with nothing. An empty table gives no rows. Other columns aren't read.
+    """
+    units = units.select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("th"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from describe(batch.select(["id", "th"]), batch.column("text"), bands, rows)
+
+    described = cut(units.mapInArrow(run, f"id long, th long, {DESCRIBED}"))
+    usable = F.col("bands").isNotNull() & F.col("id").isNotNull()
+    fetch = lambda wanted: units.join(wanted, ["id", "th"]).dropDuplicates(["class"])
+    classes, joined = linked_classes(described.filter(usable), ["id", "th"], fetch)
+    ids = classes.select("s1", "s2", "class", F.col("at.id").alias("least")).join(joined, "class", "left")
+    # an unlinked class is its own component
+    ids = ids.withColumn("component", F.coalesce("component", "class"))
+    smallest = ids.groupBy("component").agg(F.min("least").alias("root"))
+    of_class = ids.join(smallest, "component").select("s1", "s2", "root")
+    linked = described.filter(usable).select("id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2"]).select("id", "n_shingles", F.col("root").alias("component"))
     alone = described.filter(~usable).select("id", "n_shingles", F.col("id").alias("component"))
     return linked.unionByName(alone)
 
@@ -254,4 +272,4 @@ def dedup(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
-__all__ = ["dedup", "describe", "near_duplicates", "signatures"]
+__all__ = ["dedup", "describe", "linked_classes", "near_duplicates", "signatures"]

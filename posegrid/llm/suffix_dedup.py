@@ -25,8 +25,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import cut, discard, spread, text_blocks, utf8
+from .common import cut, discard, leftmost_least, spread, text_blocks, utf8
 from .fingerprints import LEAST_KEY
 from .prefix_hash import PrefixHash
 
@@ -56,15 +57,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     prefix = PrefixHash(data)
     at = np.arange(n - gram + 1)
     hashes = prefix.spans(at, at + gram)
-    # scrambled upper bits decide, then the place; one minimum gives both
-    key = ((hashes * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
     starts = n - length + 1
-    padded = np.full(-(-(n - gram + 1) // many) * many + many, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[: len(key)] = key
-    blocks = padded.reshape(-1, many)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = (np.minimum(behind[:starts], ahead[many - 1 : many - 1 + starts]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    least = leftmost_least(hashes, many)
     window = np.arange(starts)
     row = np.searchsorted(offsets, window, "right") - 1
     inside = window + length <= offsets[row + 1]
@@ -444,6 +438,12 @@ def _rows(text: pa.Array, spans: pa.Array) -> Iterator[tuple[bytes, list[tuple[i
         yield data[offsets[i] : offsets[i + 1]].tobytes(), merge(list(zip(start[at:to].tolist(), end[at:to].tolist(), strict=True)))
 
 
+@F.arrow_udf(StringType())
+def cut_out(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """The texts without the bytes of their spans, whole characters only."""
+    return pa.array([_kept(raw, snap(raw, own)).decode() for raw, own in _rows(text, spans)], pa.string())
+
+
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each document; see remove_repeats."""
 
@@ -463,13 +463,9 @@ def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
     """``docs`` with repeated strings taken out of ``text``, whole characters only; null texts and other columns stay as they are. See remove_repeats."""
     spans = remove_repeats(docs, length, gram, keep_first=keep_first).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
 
-    @F.arrow_udf("string")
-    def run(text: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([_kept(raw, snap(raw, own)).decode() for raw, own in _rows(text, spans)], pa.string())
-
     rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_KEY))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = rows.join(spans, ["_key", "_th"], "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(run("text", "_spans"))).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut_out("text", "_spans"))).select(*docs.columns)
 
 
-__all__ = ["anchors", "digest", "merge", "remove_repeats", "repeated_windows", "strip"]
+__all__ = ["anchors", "cut_out", "digest", "merge", "remove_repeats", "repeated_windows", "strip"]

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -77,6 +78,14 @@ def test_near_duplicates_odd_rows(documents):
     assert len(got) == 3 and got["component_id"].dropna().tolist() == [4, 4]
 
 
+def test_near_duplicates_of_repeated_ids(documents):
+    rng = random.Random(17)
+    a, b = prose(rng, 56), prose(rng, 56)
+    got = minhash.dedup(documents([a, b, f"{a} z", f"{b} z", b, None], [1, 1, 2, 3, 9, 1])).toPandas()
+    assert got.groupby("doc_id")["component_id"].agg(set).to_dict() == {1: {1}, 2: {1}, 3: {1}, 9: {1}}
+    assert got.groupby("doc_id")["kept"].all().to_dict() == {1: True, 2: False, 3: False, 9: False}
+
+
 def test_circulant_signature_estimates_jaccard():
     rng = np.random.default_rng(1)
     both = rng.integers(0, 2**63, 3000).astype(np.uint64)
@@ -297,6 +306,20 @@ def test_pii_last_label_is_no_price_or_sentence(text, masked):
     assert pii.mask(text, pii.all_spans(text)[1]) == (masked or text)
 
 
+@pytest.mark.parametrize("text", [
+    "z" * 100_000 + " a [at] b [dot] c " + "z" * 100_000, "1" * 200_000, "1" * 200_000 + " a [at] b [dot] c", "a." * 100_000 + " x [at] y", " " * 200_000 + "[at] x dot y", "a [at] " + "b." * 100_000, "one " * 50_000 + "x dot y",
+    "a at b dot cc " * 15_000, "( " * 100_000 + " dot ", "1." * 100_000 + "one two [dot] ", "a@b.c " * 33_000 + "x [at] y [dot] z", "+1 " * 66_000 + " dot ", "a" + " " * 100_000 + "at" + " " * 99_000 + "b dot cc", "%" * 100_000 + "%40" * 33_000,
+], ids=range(14))
+def test_pii_takes_linear_time(text):
+    took = []
+    for part in (text[: len(text) // 2], text):
+        start = time.process_time()
+        base, every = pii.all_spans(part)
+        pii.mask(part, every)
+        took.append(time.process_time() - start)
+    assert took[1] < 2 and set(base) <= set(every)
+
+
 def test_pii_leaves_plain_text_alone(documents):
     for text in ("We met at noon and saw the dot on the map.", "one two three four five six", "version 1.2.3 of 2024-01-02", "look at this dot", "See you @ home. Then we go.", "1 dot 2 dot 3", "a rise of 40%40 years"):
         assert pii.all_spans(text) == ([], [])
@@ -522,15 +545,74 @@ def test_neighbours_of_few_rows(spark):
 # --- paragraphs --------------------------------------------------------------------------------
 
 
+def brute_units(texts):
+    """Units of each text by the docstring of ``paragraphs``: (doc, start, end) in bytes, and their texts."""
+    rows = []
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        spans = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+        starts, _, row, hashes = paragraphs.word_hashes(data, offsets) if spans else ([], [], [], [])
+        found = []
+        at = 0
+        for line in raw.split(b"\n"):
+            own = [k for k, (s, _) in enumerate(spans) if at <= s < at + len(line) + 1]
+            if len(own) >= 20:
+                found.append((True, spans[own[0]][0], spans[own[-1]][1], tuple(raw[spans[k][0] : spans[k][1]].lower() for k in own)))
+            at += len(line) + 1
+        if spans:
+            for w in paragraphs.anchors(hashes, row, 1)[0].tolist():
+                found.append((False, spans[w][0], spans[w + 23][1], tuple(raw[s:e].lower() for s, e in spans[w : w + 5])))
+        rows.append(found)
+    seen = Counter((u[0], u[3]) for found in rows for u in found)
+    out = {}
+    for i, found in enumerate(rows):
+        lines = [(s, e) for line, s, e, m in found if line and seen[True, m] > 1]
+        for line, s, e, m in found:
+            if line or (seen[False, m] > 1 and not any(s < b and a < e for a, b in lines)):
+                out[i, s, e] = (texts[i].encode())[s:e].decode()
+    return out
+
+
 def test_paragraphs(documents):
     rng = random.Random(13)
-    passage = prose(rng, 60)
-    texts = [f"{prose(rng, 30)}\n{passage}\n{prose(rng, 20)}", f"{edited(rng, passage, 1)}\nfew words", None, "", f"few words\n{passage}\n{passage}", prose(rng, 20_000)]
-    got = {(r["doc_id"], r["paragraph"]): r for r in paragraphs.repeated_paragraphs(documents(texts)).collect()}
-    units = [(i << 20 | k, p) for i, t in enumerate(texts) for k, p in enumerate((t or "").split("\n")) if len(WORD.findall(p)) >= 5]
-    want = brute_components([u for u, _ in units], [p for _, p in units])
-    sizes = Counter(c for _, c in want.values())
-    assert {k: r["component_doc"] << 20 | r["component_paragraph"] for k, r in got.items()} == {(u >> 20, u & 0xFFFFF): c for u, (_, c) in want.items() if sizes[c] > 1}
+    passage, inner = prose(rng, 60), prose(rng, 51)
+    texts = [f"{prose(rng, 30)}\n{passage}\n{prose(rng, 25)}", f"{edited(rng, passage, 1)}\nfew words", None, "", f"few words\n{passage}\n{passage}", prose(rng, 20_000)]
+    texts += [f"{prose(rng, 40)} {inner} {prose(rng, 30)}" for _ in range(2)] + [f"{prose(rng, 9)} {inner[:90]}\n{inner[90:]} {prose(rng, 33)}"]
+    texts += ["\n".join([prose(rng, 22), "one two three four five six seven", prose(rng, 19)]) for _ in range(3)]
+    units = brute_units(texts)
+    want = brute_components(list(range(len(units))), list(units.values()))
+    names = list(units)
+    members = {}
+    for k, (_, c) in want.items():
+        members.setdefault(c, []).append(names[k])
+    real = {c: m for c, m in members.items() if len({x[0] for x in m}) > 1 or max(x[1] for x in m) >= min(x[2] for x in m)}
+    expected = {m: min(own)[:2] for own in real.values() for m in own}
+    rows = paragraphs.repeated_paragraphs(documents(texts)).collect()
+    assert {(r["doc_id"], r["start"], r["end"]): (r["component_doc"], r["component_start"]) for r in rows} == expected
+    assert {r["doc_id"] for r in rows} == {0, 1, 4, 6, 7, 8} and sum(r["kept"] for r in rows) == len(real)
     left = {r["doc_id"]: r["text"] for r in paragraphs.remove(documents(texts)).collect()}
-    assert left[0] == texts[0] and left[1] == "few words" and left[2] is None and left[4] == "few words" and left[5] == texts[5]
+    assert left[0] == texts[0] and left[1] == "\nfew words" and left[2] is None and left[4] == "few words\n\n" and left[5] == texts[5]
+    assert left[6] == texts[6] and len(left[7]) < len(texts[7]) - 80 and inner not in left[7]
     assert paragraphs.repeated_paragraphs(documents([])).count() == 0
+
+
+def test_every_run_of_51_words_holds_a_window(documents):
+    rng = random.Random(14)
+    for _ in range(300):
+        inner = prose(rng, 51, 60)
+        found = []
+        for _ in range(2):
+            before = prose(rng, rng.randrange(0, 60), 60)
+            raw = f"{before} {inner} {prose(rng, rng.randrange(0, 60), 60)}".encode()
+            _, _, row, hashes = paragraphs.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            n = len(before.split())
+            found.append({w - n for w in paragraphs.anchors(hashes, row, 1)[0].tolist() if n <= w <= n + 51 - 24})
+        assert found[0] & found[1]
+
+
+def test_paragraphs_of_repeated_ids(documents):
+    rng = random.Random(15)
+    a, b = prose(rng, 40), prose(rng, 40)
+    rows = paragraphs.repeated_paragraphs(documents([a, a, b, a, None], [1, 1, 1, -(1 << 62), None])).collect()
+    assert sorted((r["doc_id"], r["start"], r["kept"]) for r in rows) == [(-(1 << 62), 0, True), (1, 0, False)]

@@ -140,6 +140,6 @@ def test_queries_return_a_row_for_each_document(spark, name):
     if name == "op7_neighbours":
         assert got.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n"), F.max("n")).first()[:] == (20, 20)
     elif name == "op8_paragraph_dedup":
-        assert got.filter("kept").count() == got.select("component_doc", "component_paragraph").distinct().count()
+        assert got.filter("kept").count() == got.select("component_doc", "component_start").distinct().count()
     else:
         assert got.select("doc_id").distinct().count() == docs
