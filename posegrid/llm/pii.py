@@ -7,16 +7,20 @@ character it writes, the source span it came from, so a match maps back to sourc
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-# fixed values: the base forms of the contract
+# fixed values: the base forms of the contract. A run of digits is read once: an address starts at its head or not at all.
 EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,27 +42,33 @@ NAME = "(?:" + "|".join(DIGITS) + ")"
 #: At least four digit names or digits one after the other, two of them names at least.
 SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]+)?(?:{NAME}|[0-9])(?:[\s,.-]+(?:{NAME}|[0-9]+))+(?![A-Za-z0-9])", re.I)
 NAMED = re.compile(rf"(?<![A-Za-z])({NAME}|plus)(?![A-Za-z])", re.I)
-AT_SIGN = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*"
-DOT_SIGN = r"\s*[\[({<]\s*(?:dot|point|\.)\s*[\])}>]\s*"
-DOT_WORD = rf"(?:{DOT_SIGN}|\s+dot\s+|\s+\.\s+)"
-AT = re.compile(rf"{AT_SIGN}|\s+at\s+|\s+@\s+", re.I)
+BLANKS = r"(?:(?<!\s)\s+)"  # from the head of a run of blanks, so that each run is read once
+AT_CORE, DOT_CORE = r"[\[({<]\s*(?:at|@)\s*[\])}>]", r"[\[({<]\s*(?:dot|point|\.)\s*[\])}>]"
+DOT_SIGN = rf"{BLANKS}?{DOT_CORE}\s*"
+DOT_WORD = rf"(?:{DOT_SIGN}|{BLANKS}dot\s+|{BLANKS}\.\s+)"
+AT = re.compile(rf"{BLANKS}?{AT_CORE}\s*|{BLANKS}at\s+|{BLANKS}@\s+", re.I)
 DOT = re.compile(DOT_WORD, re.I)
+#: What may be an at sign, disguised or not.
+SIGN = re.compile(rf"{AT_CORE}|(?<=\s)(?:at|@)(?=\s)|@", re.I)
 LABEL, HOST, ENDS = r"[A-Za-z0-9_%+-]+", r"[A-Za-z0-9-]+", r"(?![A-Za-z0-9])"
 ANY_DOT = rf"(?:\.|{DOT_WORD})"
 
 
 def _domain(last: str) -> str:
     """A domain behind a sign. A spaced full stop after a domain with plain dots is rather the end of a sentence: then only a short word counts."""
-    more = rf"\.{HOST}(?:{ANY_DOT}{HOST})*(?:(?:\.|{DOT_SIGN}|\s+dot\s+){last}|\s+\.\s+[A-Za-z]{{2,6}}{ENDS})"
+    more = rf"\.{HOST}(?:{ANY_DOT}{HOST})*(?:(?:\.|{DOT_SIGN}|{BLANKS}dot\s+){last}|{BLANKS}\.\s+[A-Za-z]{{2,6}}{ENDS})"
     return rf"{HOST}(?:{DOT_WORD}(?:{HOST}{ANY_DOT})*{last}|{more}|\.{last})"
 
 
 #: Prices have a spaced "@" as well: behind it the last label starts with a letter, unless its dot is in brackets.
 SPACED_DOMAIN = rf"(?:{HOST}(?:{ANY_DOT}{HOST})*{DOT_SIGN}{HOST}|{_domain('[A-Za-z][A-Za-z0-9-]*')})"
 #: A domain behind a plain word "at": all dots are disguised.
-WORD_DOMAIN = rf"{HOST}(?:{DOT_WORD}{HOST})*(?:{DOT_SIGN}{HOST}|\s+dot\s+[A-Za-z]{{2,63}}{ENDS}|\s+\.\s+[A-Za-z]{{2,6}}{ENDS})"
-#: An address whose at sign or dots are disguised. A plain word "at" counts only if all dots after it are disguised too.
-DISGUISED = re.compile(rf"{LABEL}(?:{ANY_DOT}{LABEL})*(?:(?:@|{AT_SIGN}){_domain(HOST)}|\s+@\s+{SPACED_DOMAIN}|\s+at\s+{WORD_DOMAIN})", re.I)
+WORD_DOMAIN = rf"{HOST}(?:{DOT_WORD}{HOST})*(?:{DOT_SIGN}{HOST}|{BLANKS}dot\s+[A-Za-z]{{2,63}}{ENDS}|{BLANKS}\.\s+[A-Za-z]{{2,6}}{ENDS})"
+#: What may stand behind each kind of sign. A plain word "at" counts only if all dots after it are disguised too.
+AFTER_SIGN = {"plain": re.compile(_domain(HOST), re.I), "bracket": re.compile(rf"\s*{_domain(HOST)}", re.I), "@": re.compile(rf"\s+{SPACED_DOMAIN}", re.I), "at": re.compile(rf"\s+{WORD_DOMAIN}", re.I)}
+#: What may stand before a sign, read backwards: labels with dots of any form between them.
+BACK_DOT = r"(?:\.|\s*[\])}>]\s*(?:tod|tniop|\.)\s*[\[({<]\s*|\s+tod\s+|\s+\.\s+)"
+BEFORE_SIGN = re.compile(rf"{LABEL}(?:{BACK_DOT}{LABEL})*", re.I)
 #: An address of four numbers, each in digits or digit names, with disguised dots.
 NUMBER = rf"(?:[0-9]{{1,3}}|{NAME}(?:[\s-]+{NAME}){{0,2}})"
 DISGUISED_IP = re.compile(rf"(?<![A-Za-z0-9.]){NUMBER}(?:(?:\.|{DOT_WORD}){NUMBER}){{3}}(?![A-Za-z0-9])", re.I)
@@ -109,41 +119,60 @@ class Mapped:
     """A text with, for each character, the source span it stands for."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.start, self.end = text, np.arange(len(text)), np.arange(1, len(text) + 1)
 
-    def rewrite(self, pattern: re.Pattern, to) -> None:
-        """Replace each match by to(match); all characters written stand for the whole match."""
+    def rewrite(self, spans: Iterable[tuple[int, int]], to: Callable[[str], str]) -> None:
+        """Replace each span by to(its text); all characters written stand for the whole span."""
         text, starts, ends, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = to(m)
-            if m.end() == m.start():
-                continue
-            text += [self.text[at : m.start()], new]
-            starts += self.start[at : m.start()] + [self.start[m.start()]] * len(new)
-            ends += self.end[at : m.start()] + [self.end[m.end() - 1]] * len(new)
-            at = m.end()
+        for s, e in spans:
+            new = to(self.text[s:e])
+            text += [self.text[at:s], new]
+            starts += [self.start[at:s], np.full(len(new), self.start[s])]
+            ends += [self.end[at:s], np.full(len(new), self.end[e - 1])]
+            at = e
         if at:
             self.text = "".join([*text, self.text[at:]])
-            self.start, self.end = starts + self.start[at:], ends + self.end[at:]
+            self.start, self.end = np.concatenate([*starts, self.start[at:]]), np.concatenate([*ends, self.end[at:]])
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return self.start[start], self.end[end - 1]
-
-
-def _spell(m: re.Match) -> str:
-    names = NAMED.findall(m.group())
-    if len(names) < 2:
-        return m.group()
-    done = NAMED.sub(lambda x: "+" if x.group().lower() == "plus" else DIGITS[x.group().lower()], m.group())
+        return int(self.start[start]), int(self.end[end - 1])
+
+
+def _matches(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    return (m.span() for m in pattern.finditer(text) if m.end() > m.start())
+
+
+def _disguised(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses whose at sign or dots are disguised: from each sign a domain ahead, then the labels behind, so that no label is read from each of its characters."""
+    backward, n, at, last = text[::-1], len(text), 0, 0
+    while m := SIGN.search(text, at):
+        at, (s, e) = m.end(), m.span()
+        spaced = e < n and text[e].isspace() and s > 0 and text[s - 1].isspace()
+        kind = "bracket" if e - s > 2 or text[s] in "[({<" else (m.group().lower() if spaced else "plain")
+        domain = AFTER_SIGN[kind].match(text, e)
+        if not domain:
+            continue
+        while kind != "plain" and s > last and text[s - 1].isspace():
+            s -= 1
+        labels = BEFORE_SIGN.match(backward, n - s, n - last)
+        if labels:
+            yield n - labels.end(), domain.end()
+            at = last = domain.end()
+
+
+def _spell(text: str) -> str:
+    if len(NAMED.findall(text)) < 2:
+        return text
+    done = NAMED.sub(lambda x: "+" if x.group().lower() == "plus" else DIGITS[x.group().lower()], text)
     return re.sub(r"(?<=[+0-9])[\s,.-]+(?=[0-9])", "", done)
 
 
-def _dotted(m: re.Match) -> str:
-    return ".".join(re.sub(r"[\s-]+", "", NAMED.sub(lambda x: DIGITS.get(x.group().lower(), x.group()), part)) for part in DOT.sub(".", m.group()).split("."))
+def _dotted(text: str) -> str:
+    return ".".join(re.sub(r"[\s-]+", "", NAMED.sub(lambda x: DIGITS.get(x.group().lower(), x.group()), part)) for part in DOT.sub(".", text).split("."))
 
 
-def _plain(m: re.Match) -> str:
-    return AT.sub("@", DOT.sub(".", m.group()))
+def _plain(text: str) -> str:
+    return AT.sub("@", DOT.sub(".", text))
 
 
 def hidden_spans(text: str) -> list[tuple[str, int, int]]:
@@ -153,21 +182,26 @@ def hidden_spans(text: str) -> list[tuple[str, int, int]]:
         return []
     m = Mapped(text)
     if odd:
-        m.rewrite(GLYPH, lambda x: HOMOGLYPHS[x.group()])
-    m.rewrite(ESCAPE, lambda x: ESCAPES[x.group().lower()])
-    m.rewrite(DISGUISED_IP, _dotted)
-    m.rewrite(SPELLED, _spell)
-    m.rewrite(DISGUISED, _plain)
+        m.rewrite(_matches(GLYPH, m.text), HOMOGLYPHS.__getitem__)
+    m.rewrite(_matches(ESCAPE, m.text), lambda x: ESCAPES[x.lower()])
+    m.rewrite(_matches(DISGUISED_IP, m.text), _dotted)
+    m.rewrite(_matches(SPELLED, m.text), _spell)
+    m.rewrite(_disguised(m.text), _plain)
     return [(k, *m.source(s, e)) for k, s, e in base_spans(m.text)]
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and base plus disguised ones; a disguised one that lies within another span is left out."""
     base = base_spans(text)
-    found = list(base)
+    found, starts = list(base), [s for _, s, _ in base]
+    reach = list(itertools.accumulate((e for *_, e in base), max))
+    furthest = 0
     for k, s, e in hidden_spans(text):
-        if not any(a <= s and e <= b for _, a, b in found):
+        before = bisect.bisect_right(starts, s)
+        # the furthest end of all spans that start no later
+        if e > max(furthest, reach[before - 1] if before else 0):
             found.append((k, s, e))
+            furthest = e
     return base, sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
