@@ -103,38 +103,49 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = to
 
 
+def _ranges(docs: DataFrame, buckets: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Keys at which a new range begins, and for each key that fills whole ranges the text hashes at which it is cut."""
+    cuts = docs.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("q")).first()["q"] or []
+    keys, many = np.unique(np.array(cuts, np.int64), return_counts=True)
+    hot = {int(k): np.array([(j << 64) // int(n) - (1 << 63) for j in range(1, int(n))], np.int64) for k, n in zip(keys, many, strict=True) if n > 1}
+    # a key that is cut has its own ranges, so another begins behind it
+    return np.unique(np.concatenate([keys, np.array([k + 1 for k in hot if k < (1 << 63) - 1], np.int64)])), hot
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each document of ``docs`` (doc_id, text) and of its edit with the next one, by descending doc_id.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next
     and common_prefix (longest common extension of both texts from their starts). Null text is
-    empty; null ids come last; rows that repeat an id follow one another by text; after the last
-    comes the first; one row alone is its own next; an empty table gives no rows. Documents are
-    dealt out by ranges of ids, and each range gets a copy of the one row that follows it.
+    empty; null ids come last; rows that repeat an id follow one another by descending text hash; after the
+    last comes the first; one row alone is its own next; an empty table gives no rows. Documents are
+    dealt out by ranges of ids, and each range gets a copy of the one row that follows it. An id (or null)
+    that many rows share is cut into ranges of text hashes.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(LEAST_KEY)))
-    buckets = 4 * partitions(spark)
-    cuts = docs.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(LEAST_KEY))).withColumn("th", F.xxhash64("text"))
+    keys, hot = _ranges(docs, 4 * partitions(spark))
 
     @F.pandas_udf("long")
-    def bucket(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(cuts, np.int64), key.to_numpy(), "right"))
-
-    dealt = docs.withColumn("bucket", bucket("key"))
+    def bucket(key: pd.Series, th: pd.Series) -> pd.Series:
+        key, th = key.to_numpy(), th.to_numpy()
+        out = np.searchsorted(keys, key, "right")
+        for k, hashes in hot.items():
+            # ranges behind this key move up by those that it has more than one
+            own = key == k
+            out = out + np.where(key > k, len(hashes), np.where(own, np.searchsorted(hashes, th, "right"), 0))
+        return pd.Series(out)
+
+    dealt = docs.withColumn("bucket", bucket("key", "th"))
     # one row for each range: bounded by the number of ranges
-    heads = {r["bucket"]: r["key"] for r in docs.select("key").withColumn("bucket", bucket("key")).groupBy("bucket").agg(F.max("key").alias("key")).collect()}
-    order = sorted(heads)
-    before = {heads[b]: order[(i + 1) % len(order)] for i, b in enumerate(order)}
-    if not before:
-        before = {0: 0}
-    tails = docs.filter(F.col("key").isin(list(before))).groupBy("key").agg(F.min(F.struct("text", "doc_id")).alias("r"))
-    where = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    tails = tails.select(F.col("r.doc_id").alias("doc_id"), F.col("r.text").alias("text"), "key", where[F.col("key")].cast("long").alias("bucket"), F.lit(1).alias("tail"))
+    heads = sorted((r["bucket"], *r["head"]) for r in dealt.groupBy("bucket").agg(F.max(F.struct("key", "th")).alias("head")).collect())
+    follows = [(key, th, heads[(i + 1) % len(heads)][0]) for i, (_, key, th) in enumerate(heads)]
+    follows = F.broadcast(spark.createDataFrame(follows, "key long, th long, bucket long"))
+    tails = docs.join(follows, ["key", "th"]).groupBy("key", "th", "bucket").agg(F.min(F.struct("text", "doc_id")).alias("r"))
+    tails = tails.select(F.col("r.doc_id").alias("doc_id"), F.col("r.text").alias("text"), "key", "th", "bucket", F.lit(1).alias("tail"))
     rows = dealt.withColumn("tail", F.lit(0)).unionByName(tails)
-    rows = rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "tail", F.col("key").desc(), "text")
+    rows = rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "tail", F.col("key").desc(), F.col("th").desc(), "text")
     return rows.select("bucket", "doc_id", "tail", "text").mapInArrow(
         _compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"
     )

@@ -242,6 +242,22 @@ def test_fingerprints_odd_rows(documents):
     assert fingerprints.fingerprint_edits(documents(["abc", "abc", "xyz", None], [None, 5, 5, None])).count() == 4
 
 
+def test_fingerprints_of_an_id_that_many_rows_share(documents):
+    rng = random.Random(16)
+    texts = [prose(rng, rng.randrange(1, 30)) for _ in range(120)]
+    ids = [None] * 50 + [7] * 40 + list(range(30))
+    docs = documents(texts, ids)
+    keys, hot = fingerprints._ranges(docs.select(F.coalesce("doc_id", F.lit(fingerprints.LEAST_KEY)).alias("key")), 16)
+    assert set(hot) == {fingerprints.LEAST_KEY, 7} and all(len(h) for h in hot.values()) and 8 in keys
+    hashes = dict(zip(texts, [r[0] for r in docs.select(F.xxhash64("text")).collect()], strict=True))
+    order = sorted(zip(ids, texts, strict=True), key=lambda x: (-math.inf if x[0] is None else x[0], hashes[x[1]]), reverse=True)
+    want = []
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        want.append((i, hashlib.sha256(fingerprints.edit(t, nxt).encode()).hexdigest()))
+    got = fingerprints.fingerprint_edits(docs).select("doc_id", "edited_sha256").collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 # --- personal data -----------------------------------------------------------------------------
 
 FORMS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -351,6 +367,9 @@ def test_packing(documents):
         own = own.sort_values("offset")
         assert own["offset"].tolist() == [0, *np.cumsum(own["length"])[:-1].tolist()] and own["length"].sum() <= 4096
     assert got["sequence_id"].nunique() <= 11 / 9 * math.ceil(got["length"].sum() / 4096) + 1
+    # repeated rows don't stay together
+    many = packing.pack(documents([None] * 400, [None] * 400), path, group_pieces=40).toPandas()
+    assert len(many) == 400 and (many["sequence_id"] // (1 << 40)).nunique() >= 8
     assert packing.pack(documents([]), path).count() == 0
 
 
