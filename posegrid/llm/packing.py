@@ -11,6 +11,7 @@ import functools
 import os
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,7 +99,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, memo_words: int = MEMO_WORDS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens. A document is cut only each ``capacity`` tokens."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and how many equal pieces came shortly before it. A document is cut only each ``capacity`` tokens."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,17 +107,19 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.iloc[at : at + 1024]
-                rows = []
+                rows, seen = [], Counter()
                 for doc_id, ids in zip(part["doc_id"], words.encode(part["text"].tolist()), strict=True):
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, capacity):
                         own = ids[4 * start : 4 * (start + capacity)]
-                        rows.append((doc_id, start, len(own) // 4, zlib.crc32(own), total))
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+                        piece = (doc_id, start, len(own) // 4, zlib.crc32(own), total)
+                        rows.append((*piece, seen[piece]))
+                        seen[piece] += 1
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "repeat"]).astype({"doc_id": "Int64"})
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInPandas(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return slim.mapInPandas(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, repeat long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, memo_words: int = MEMO_WORDS) -> DataFrame:
@@ -124,7 +127,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
 
     Returns per piece doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     Null or empty texts are one token, the end; an empty table gives no rows; repeated rows are
-    packed each by itself; a null doc_id stays null. The same rows give the same packing. ``memo_words``
+    packed each by itself and spread over the groups; a null doc_id stays null. The same files give the same packing. ``memo_words``
     bounds the words that a worker process remembers (about 0.25 KB each), and only its speed.
     """
     # A token has one byte at least, so this bounds the number of pieces before anything is tokenised.
@@ -136,10 +139,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
         rows = rows.sort_values(["length", "ids_crc32", "doc_id", "start"], ascending=[False, True, True, True])
         bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), capacity)
         out = rows.assign(sequence_id=rows["grp"] * stride + bins, offset=offsets)
-        return out.drop(columns="grp")
+        return out.drop(columns=["grp", "repeat"])
 
     pieces = token_pieces(docs, tokenizer_path, end_id, capacity, memo_words)
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
+    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "repeat"), F.lit(groups)).cast("long"))
     return grouped.groupBy("grp").applyInPandas(
         pack_group, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
