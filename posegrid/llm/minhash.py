@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, mix64, per_row, spread
+from .common import cut, discard, mix64, per_row, small_batches, spread
 from .components import components
 from .shingles import shingle_sets
 
@@ -202,9 +202,11 @@ def linked_classes(described: DataFrame, place: list[str], fetch: Callable[[Data
     # one representative with all that is needed later, combined before the shuffle
     grouped = described.filter("bands is not null").groupBy("s1", "s2").agg(F.min(F.struct(*place)).alias("at"), F.first("bands").alias("bands"), F.first("n_bytes").alias("n_bytes"))
     classes = cut(grouped.withColumn("class", F.monotonically_increasing_id()))
+    discard()
     keyed = classes.select("class", "n_bytes", F.explode("bands").alias("band"))
     buckets = keyed.groupBy("band").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut(keyed.join(buckets, "band").select("band", "class", "hub", "n_bytes"))
+    discard()
     # only the texts of classes that share a bucket are needed from here on
     texts = cut(fetch(classes.join(shared.select("class").distinct(), "class").select("class", "at.*")).select("class", "text"))
     discard()
@@ -246,6 +248,7 @@ def near_duplicates(units: DataFrame, bands: int = BANDS, rows: int = ROWS) -> D
     with its own text, and all get the id's smallest component of their own; a null id stays null and links
     with nothing. An empty table gives no rows. Other columns aren't read.
     """
+    small_batches(units)
     units = units.select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
