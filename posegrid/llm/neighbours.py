@@ -2,8 +2,9 @@
 
 Each tree halves a bounded sample again and again by random directions at the median. Every row is
 routed to one leaf of each tree. A query walks all trees through one priority queue, in the order of
-how far it lies on the wrong side of the planes above a node, and takes a share of all leaves; the rows
-of those leaves are ranked by their exact inner product.
+how far it lies on the wrong side of the planes above a node, and takes as many leaves as the sample's own
+neighbours need for ``RECALL``: few where vectors have clusters, a tenth and more where they lie evenly on all
+sides. The rows of those leaves are ranked by their exact inner product.
 
 Largest inner products become nearest directions with one more component, the root of what a row's
 squared norm lacks to the largest (Bachrach et al., 2014).
@@ -20,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, spread
 
 TREES = 8
 SAMPLE_ROWS = 16_384
 LEAF_ROWS = 128
-VISITED = 0.12
+#: Share of the sample's nearest neighbours that the leaves looked into must hold, and queries of the sample that it is measured with.
+RECALL, PROBES, NEAREST = 0.94, 256, 20
+#: Leaves next to one another in a tree that one task compares, so that a query's finds are merged before they are shuffled.
+SIBLINGS = 4
 BLOCK_ROWS = 4096
 HELD_ROWS = 400_000
 
@@ -84,6 +88,27 @@ def grow(sample: np.ndarray, trees: int = TREES, leaf_rows: int = LEAF_ROWS, see
     return Forest(planes, cuts, depth)
 
 
+def looks_needed(forest: Forest, sample: np.ndarray, recall: float = RECALL, probes: int = PROBES, k: int = NEAREST) -> int:
+    """Leaves that a query must look into to find ``recall`` of its ``k`` nearest; measured exactly within the sample.
+
+    Rows outside the sample only bring neighbours that are nearer still, and those share leaves more often.
+    """
+    all_leaves = len(forest.planes) * 2**forest.depth
+    if len(sample) <= k + 1:
+        return all_leaves
+    own, needed = forest.leaves(sample), []
+    for i in range(0, len(sample), max(1, len(sample) // probes)):
+        direction = np.append(sample[i, :-1] / max(np.linalg.norm(sample[i, :-1]), 1e-300), 0.0)
+        place = np.empty(all_leaves, np.int64)
+        order = forest.search(direction, all_leaves)
+        place[order] = np.arange(len(order))
+        score = sample @ direction
+        score[i] = -np.inf
+        near = np.argpartition(-score, k)[:k]
+        needed.append(place[own[near]].min(axis=1) + 1)
+    return int(np.quantile(np.concatenate(needed), recall, method="higher"))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows (vec_id, embedding) that take part: an id, components that are all finite and not all zero, and the length that most rows have."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -97,10 +122,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, visited: float = VISITED, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, recall: float = RECALL, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where the column ``queries`` holds, the k other rows found with the largest inner product.
 
-    Ties go to the smaller id. ``visited`` is the share of all leaves that a query looks into. Of equal
+    Ties go to the smaller id. ``recall`` sets how many leaves a query looks into (see looks_needed). Of equal
     vectors only the k + 1 smallest ids can be in a result, so only those are indexed, and equal queries
     are searched once; rows that repeat an id and vector are one row. With fewer candidates than k all
     found are returned; null ids, null, zero or non-finite vectors and odd lengths take no part.
@@ -124,8 +149,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, visite
     # the fit sees a bounded sample, whatever the number of rows
     sample = _matrix(indexed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toArrow().column("embedding").combine_chunks())
     forest = grow(point(sample), trees)
-    leaves = trees * 2**forest.depth
-    looks = min(leaves, max(2 * trees, round(visited * leaves)))
+    looks = max(2 * trees, looks_needed(forest, point(sample), recall, k=k))
     shared = spark.sparkContext.broadcast(forest)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,11 +224,13 @@ def nearest(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, visite
                         yield from flush()
         yield from flush()
 
-    rows_by_leaf = stored.unionByName(looking).repartition(partitions(spark), "leaf", "block").sortWithinPartitions("leaf", "block", "role")
-    found = rows_by_leaf.mapInArrow(rank, "qid long, vec_id long, score double").dropDuplicates(["qid", "vec_id"])
+    rows_by_leaf = stored.unionByName(looking).repartition(partitions(spark), F.floor(F.col("leaf") / SIBLINGS), "block").sortWithinPartitions("leaf", "block", "role")
+    found = rows_by_leaf.mapInArrow(rank, "qid long, vec_id long, score double").groupBy("qid", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "vec_id")
     found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
     named = asked.select("vec_id", "embedding").join(kinds, "embedding").select(F.col("vec_id").alias("query_id"), "qid").distinct()
     final = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    each = named.join(found, "qid").filter("vec_id <> query_id").withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
+    # an id that repeats with another vector counts with its best score
+    each = spread(named.join(found, "qid").filter("vec_id <> query_id"), "query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    each = each.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
     return each.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
