@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+BATCH_BYTES = 4 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
@@ -54,6 +55,14 @@ def discard(*tables: DataFrame) -> None:
     jvm.System.gc()
 
 
+def small_batches(df: DataFrame) -> None:
+    """Texts go to Python workers a few megabytes at a time, however long they are, unless the session asks for less already."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name)
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

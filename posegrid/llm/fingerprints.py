@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions
+from .common import mix64, partitions, small_batches
 from .prefix_hash import PrefixHash
 
 GRAM = 16
@@ -123,6 +123,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     that many rows share is cut into ranges of text hashes.
     """
     spark = docs.sparkSession
+    small_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(LEAST_KEY))).withColumn("th", F.xxhash64("text"))
     keys, hot = _ranges(docs, 4 * partitions(spark))

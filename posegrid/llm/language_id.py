@@ -182,6 +182,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
     Null text, or text without a letter: ``und``, 0.0 and no span; so is all text if the model has
     learned nothing. Other columns pass through; columns of the three names are replaced.
     """
+    small_batches(docs)
     docs = docs.drop("lang_pred", "score", "spans")
 
     @F.pandas_udf("lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")

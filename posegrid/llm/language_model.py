@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, text_blocks, utf8, words
+from .common import LOWER, cut, small_batches, text_blocks, utf8, words
 from .pieces import MARK, Vocabulary
 from .prefix_hash import PrefixHash
 
@@ -176,6 +176,7 @@ def score(docs: DataFrame, training, model_path: str, head: int = HEAD) -> DataF
     base is 0 and weights are those of the vocabulary's order. Rows that repeat a doc_id are scored each by
     itself if their texts differ.
     """
+    small_batches(docs)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     counts = cut(count_words(docs.filter("train")))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()

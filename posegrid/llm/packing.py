@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo
+from .common import WordMemo, small_batches
 
 CAPACITY = 4096
 GROUP_PIECES = 20_000
@@ -100,6 +100,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and how many equal pieces came shortly before it. A document is cut only each ``capacity`` tokens."""
+    small_batches(docs)
     end = np.asarray([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, leftmost_least, mix64, text_blocks, utf8, words
+from .common import cut, discard, leftmost_least, mix64, small_batches, text_blocks, utf8, words
 from .minhash import DESCRIBED, describe, linked_classes
 from .shingles import shingle_hashes, word_hashes
 from .suffix_dedup import cut_out
@@ -134,6 +134,7 @@ def repeated_paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, m
     reaches another document or a place of its own that it doesn't overlap. Null ids, null, empty and shorter
     texts give no rows; rows that repeat an id and text count once; rows that repeat an id with another text are apart.
     """
+    small_batches(docs)
     docs = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     marks = cut(docs.mapInArrow(_marks(min_words, window, reach), "mark long, doc_id long, th long, start int, end int, paragraph boolean"))
     shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WordMemo
+from .common import WordMemo, small_batches
 from .prefix_hash import PrefixHash
 
 MARK = "▁"
@@ -157,6 +157,7 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     round_trip says whether decoding the ids gave the text back. Null text is empty and has no ids; a null
     doc_id stays null. No shuffle; other columns aren't read.
     """
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, memo = remembered(model_path)

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 # fixed values: the base forms of the contract. A run of digits is read once: an address starts at its head or not at all.
 EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -232,6 +234,7 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     No shuffle. Null text counts as empty and stays null in ``masked``; other columns pass through.
     Columns that carry one of the three names already are replaced.
     """
+    small_batches(docs)
     docs = docs.drop("base_spans", "spans", "masked")
 
     @F.pandas_udf("base_spans string, spans string, masked string")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import cut, discard, leftmost_least, spread, text_blocks, utf8
+from .common import cut, discard, leftmost_least, small_batches, spread, text_blocks, utf8
 from .fingerprints import LEAST_KEY
 from .prefix_hash import PrefixHash
 
@@ -263,6 +263,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort
     With ``keep_first`` each string stays where it stands first (by id, then text hash and place) and counts only
     elsewhere; rows that repeat id and text are one document then.
     """
+    small_batches(docs)
     docs = with_key(docs.select("doc_id", "text")).select("key", "th", "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

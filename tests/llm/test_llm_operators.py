@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from posegrid.llm import fingerprints, language_id, language_model, minhash, neighbours, packing, paragraphs, pieces, pii, suffix_dedup
 from posegrid.llm.queries import tokenizer_file
@@ -554,6 +555,29 @@ def test_neighbours(spark):
     assert set(got["query_id"]) == set(want) and hits / (20 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("clusters", [0, 300])
+def test_neighbours_at_production_settings(spark, clusters):
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(20_000, 32))
+    if clusters:
+        x = 4 * rng.normal(size=(clusters, 32))[rng.integers(0, clusters, len(x))] + x
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    got = neighbours.nearest(rows, F.col("vec_id") % 20 == 0).toPandas()
+    queries = np.arange(0, len(x), 20)
+    score = x[queries] @ x.T
+    score[np.arange(len(queries)), queries] = -np.inf
+    want = np.argpartition(-score, 20)[:, :20]
+    found = got.groupby("query_id")["vec_id"].agg(set)
+    assert len(got) == 20 * len(queries)
+    assert sum(len(found[q] & set(w.tolist())) for q, w in zip(queries.tolist(), want, strict=True)) / want.size >= 0.9
+
+
+def test_neighbours_of_a_repeated_id(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (3, [1.0, 0.5]), (3, [0.5, 0.25])], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(rows, F.col("vec_id") % 20 == 0).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 3, 1.0)]
+
+
 def test_neighbours_of_few_rows(spark):
     kind = "vec_id long, embedding array<float>"
     assert neighbours.nearest(spark.createDataFrame([], kind), F.col("vec_id") % 20 == 0).count() == 0
