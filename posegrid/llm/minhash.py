@@ -194,19 +194,20 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def linked_classes(described: DataFrame, place: list[str], fetch: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(s1, s2, class and place of one unit of the class) of all classes of equal sets, and (class, component) of those that are linked.
+    """(s1, s2, class, n and place of one of its n units) of all classes of equal sets, and (class, component) of those that are linked.
 
     ``described`` has, for each unit, the columns ``place`` by which it is found again, and those of ``describe``.
     ``fetch`` gets classes with their places and returns (class, text). Both tables are written, and all others deleted.
     """
     # one representative with all that is needed later, combined before the shuffle
-    grouped = described.filter("bands is not null").groupBy("s1", "s2").agg(F.min(F.struct(*place)).alias("at"), F.first("bands").alias("bands"), F.first("n_bytes").alias("n_bytes"))
+    grouped = described.filter("bands is not null").groupBy("s1", "s2").agg(F.min(F.struct(*place)).alias("at"), F.first("bands").alias("bands"), F.first("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n"))
     classes = cut(grouped.withColumn("class", F.monotonically_increasing_id()))
     discard()
     keyed = classes.select("class", "n_bytes", F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written first, so that the join's sides are plain tables and Spark can split the partitions of very common bands
+    buckets = cut(keyed.groupBy("band").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "hub"))
     shared = cut(keyed.join(buckets, "band").select("band", "class", "hub", "n_bytes"))
-    discard()
+    discard(buckets)
     # only the texts of classes that share a bucket are needed from here on
     texts = cut(fetch(classes.join(shared.select("class").distinct(), "class").select("class", "at.*")).select("class", "text"))
     discard()
@@ -237,7 +238,9 @@ def linked_classes(described: DataFrame, place: list[str], fetch: Callable[[Data
         before, joined = joined, components(links.union(more))
         discard(before)
     discard(shared, texts, links, more)
-    return classes, joined.withColumnRenamed("node", "class")
+    named = joined.withColumnRenamed("node", "class")
+    named._cut_path = joined._cut_path
+    return classes, named
 
 
 def near_duplicates(units: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

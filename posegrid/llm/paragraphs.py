@@ -137,9 +137,10 @@ def repeated_paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, m
     small_batches(docs)
     docs = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     marks = cut(docs.mapInArrow(_marks(min_words, window, reach), "mark long, doc_id long, th long, start int, end int, paragraph boolean"))
-    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
+    # written first, so that the join's sides are plain tables and Spark can split the partitions of very common marks
+    shared = cut(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark"))
     spots = cut(marks.join(shared, "mark").groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end", "paragraph")).alias("spots")))
-    discard(marks)
+    discard(marks, shared)
     spotted = docs.join(spots, ["doc_id", "th"], "left").dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "text", "spots")
     described = cut(spotted.mapInArrow(_units(bands, rows, min_words), f"doc_id long, th long, start int, end int, {DESCRIBED}"))
     discard(spots)
@@ -150,8 +151,9 @@ def repeated_paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, m
 
     place = ["doc_id", "start", "th", "end"]
     classes, joined = linked_classes(described, place, fetch)
-    component = classes.select("s1", "s2", "class").join(joined, "class", "left").select("s1", "s2", F.coalesce("component", "class").alias("component"))
-    units = described.select("s1", "s2", *place).join(component, ["s1", "s2"])
+    component = classes.select("s1", "s2", "class", "n").join(joined, "class", "left").filter("n > 1 or component is not null").select("s1", "s2", F.coalesce("component", "class").alias("component"))
+    units = cut(described.select("s1", "s2", *place).join(component, ["s1", "s2"]).select("component", *place))
+    discard(described, classes, joined)
     doc = F.struct("doc_id", "th")
     found = units.groupBy("component").agg(F.min(F.struct(*place)).alias("least"), F.min(doc).alias("a"), F.max(doc).alias("b"), F.min("end").alias("end"), F.max("start").alias("start"))
     found = found.filter("a <> b or start >= end").select("component", "least")
