@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import streamed_fold
 from .joins import cells
 
 VOXEL = ["cx", "cy", "cz"]
@@ -43,18 +44,18 @@ def voxel_mean(points: DataFrame, edge: float, max_range: float | None = None, b
 def voxel_insert_spaced(points: DataFrame, edge: float, cap: int, order: list[str]) -> DataFrame:
     """Points kept when inserted in order: a cell takes at most ``cap``, none nearer than edge / sqrt(cap) to one it has.
 
-    The fold holds at most ``cap`` points of a cell and is done where the cell's rows are, in the JVM.
+    The fold passes once through each cell's rows in order and holds at most ``cap`` points.
     """
     gap2 = edge * edge / cap
-    rows = F.array_sort(F.collect_list(F.struct(*order, "x", "y", "z")))
-    kind = "array<" + points.select(F.struct(*order, "x", "y", "z").alias("s")).schema["s"].dataType.simpleString() + ">"
 
-    def put(kept: Column, p: Column) -> Column:
-        near = F.exists(kept, lambda q: (q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"]) + (q["z"] - p["z"]) * (q["z"] - p["z"]) < gap2)
-        return F.when((F.size(kept) < cap) & ~near, F.concat(kept, F.array(p))).otherwise(kept)
+    def put(s: dict, p: dict) -> dict:
+        kept = s["kept"]
+        own = (p["x"], p["y"], p["z"])
+        take = len(kept) < cap and all(sum((a - b) ** 2 for a, b in zip(q, own, strict=True)) >= gap2 for q in kept)
+        return {"kept": (*kept, own) if take else kept, "take": take}
 
-    kept = cells(points, edge).groupBy(*VOXEL).agg(F.aggregate(rows, F.array().cast(kind), put).alias("k"))
-    return kept.select(*VOXEL, F.explode("k").alias("p")).select(*VOXEL, "p.*")
+    rows = cells(points, edge)
+    return streamed_fold(rows, VOXEL, order, {"kept": (), "take": False}, put, [*order, *[c for c in "xyz" if c not in order]], "take boolean", "take").drop("take")
 
 
 def moments(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,6 +144,27 @@ def ate_stats(errors: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def medians(rows: DataFrame, keys: list[str], value: str, accuracy: int = 1000) -> DataFrame:
+    """keys and the exact median of ``value``, without holding a key's values anywhere.
+
+    Approximate percentiles bracket the middle; what lies below the bracket is only counted, and the few rows
+    in it (about 4 / ``accuracy`` of all) are ranked. Null values and keys without any other are left out.
+    """
+    rows = rows.select(*keys, value).filter(F.col(value).isNotNull())
+    about = rows.groupBy(*keys).agg(F.percentile_approx(value, [0.5 - 2 / accuracy, 0.5 + 2 / accuracy], accuracy).alias("q"), F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
+    # narrow keys are bracketed whole
+    small = F.col("n") <= 4 * accuracy
+    bracket = about.select(*keys, "n", F.when(small, F.col("least")).otherwise(F.col("q")[0]).alias("low"), F.when(small, F.col("most")).otherwise(F.col("q")[1]).alias("high"))
+    near = rows.join(bracket, keys).filter(F.col(value) <= F.col("high"))
+    below = near.groupBy(*keys).agg(F.count(F.when(F.col(value) < F.col("low"), 1)).alias("below"))
+    inside = near.filter(F.col(value) >= F.col("low")).groupBy(*keys, "n", value).agg(F.count(F.lit(1)).alias("c")).join(below, keys)
+    last = F.col("below") + F.sum("c").over(Window.partitionBy(*keys).orderBy(value))
+    # the middle row, or the two of an even number
+    middle = [F.when((last >= place) & (last - F.col("c") < place), F.col(value)) for place in (F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2))]
+    found = inside.select(*keys, middle[0].alias("a"), middle[1].alias("b"))
+    return found.groupBy(*keys).agg(((F.max("a") + F.max("b")) / 2).alias("median"))
+
+
 def planar_alignment(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Yaw and translation that best map (x, y) onto (gx, gy): closed form over sums, so it combines before the shuffle."""
     n = F.count(F.lit(1))

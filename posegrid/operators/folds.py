@@ -5,59 +5,90 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], init: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]], keep: list[str]) -> DataFrame:
-    """One row for each row of ``df``: keys, ``keep`` and the state after it; a fold over each key's rows in order, all in the JVM.
+def streamed_fold(df: DataFrame, keys: list[str], order: list[str], init: dict, step: Callable[[dict, dict], dict], keep: list[str], state: str, emit: str | None = None) -> DataFrame:
+    """One row for each row of ``df``: keys, ``keep`` and the state after it; a fold over each key's rows in order.
 
-    ``init`` is the state before the first row and ``step`` gives the next one from (state, row). A key's
-    rows are gathered in one array, so this is for keys of bounded size (a run, a sensor's day); see
-    streamed_fold for others.
-    """
-    columns = list(dict.fromkeys([*order, *[c for c in df.columns if c not in keys]]))
-    rows = F.array_sort(F.collect_list(F.struct(*columns)))
-    start = F.struct(*[v.alias(k) for k, v in init.items()])
-    kind = df.select(F.array(F.struct(*[F.col(c) for c in keep], *[v.alias(f"s_{k}") for k, v in init.items()])).alias("a")).schema["a"].dataType.elementType
-
-    def fold(acc: Column, row: Column) -> Column:
-        now = step(acc["s"], row)
-        state = F.struct(*[now[k].cast(kind[f"s_{k}"].dataType).alias(k) for k in init])
-        out = F.struct(*[row[c].alias(c) for c in keep], *[now[k].cast(kind[f"s_{k}"].dataType).alias(f"s_{k}") for k in init])
-        return F.struct(state.alias("s"), F.concat(acc["out"], F.array(out)).alias("out"))
-
-    empty = F.array().cast(f"array<{kind.simpleString()}>")
-    folded = df.groupBy(*keys).agg(F.aggregate(rows, F.struct(start.alias("s"), empty.alias("out")), fold, lambda a: a["out"]).alias("_o"))
-    return folded.select(*keys, F.explode("_o").alias("_o")).select(*keys, *[F.col(f"_o.{c}").alias(c) for c in keep], *[F.col(f"_o.s_{k}").alias(k) for k in init])
-
-
-def streamed_fold(df: DataFrame, keys: list[str], order: list[str], init: dict, step: Callable[[dict, dict], dict], keep: list[str], state: str) -> DataFrame:
-    """The same with a Python step over partitions sorted by key and order: memory doesn't grow with a key's rows.
-
-    ``state`` is the state's schema as DDL ("a double, n long").
+    Partitions are sorted by key and order and passed through once with the state of one key, so time is
+    linear and memory doesn't grow with a key's rows. ``init`` is the state before the first row, ``step`` gives
+    the next one from (state, row). ``state`` is the state's schema as DDL ("a double, n long"). With ``emit``
+    only rows whose state holds true under that name are returned.
     """
     names = [x.split()[0] for x in state.split(",")]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys, *keep).schema)
     target = df.sparkSession.createDataFrame([], f"{kinds}, {state}").schema
+    arrow = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in target])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, now = None, dict(init)
+        here, now = None, init
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                key = tuple(row[k] for k in keys)
+            columns = batch.to_pydict()
+            rows = zip(*columns.values(), strict=True)
+            taken, states = [], []
+            for i, (key, row) in enumerate(zip(zip(*(columns[k] for k in keys), strict=True), rows, strict=True)):
                 if key != here:
-                    here, now = key, dict(init)
-                now = step(now, row)
-                out.append({**{c: row[c] for c in [*keys, *keep]}, **{n: now[n] for n in names}})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in target]))
+                    here, now = key, init
+                now = step(now, dict(zip(columns, row, strict=True)))
+                if emit is None or now[emit]:
+                    taken.append(i)
+                    states.append([now[n] for n in names])
+            if taken:
+                kept = batch.take(pa.array(taken, pa.int64()))
+                made = zip(*states, strict=True)
+                yield pa.RecordBatch.from_arrays([kept.column(c) for c in [*keys, *keep]] + [pa.array(v, arrow.field(n).type) for n, v in zip(names, made, strict=True)], schema=arrow)
 
     parts = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return parts.mapInArrow(run, target)
 
 
+def _bucket_carry(rows: DataFrame, keys: list[str], order: list[str], alpha: float) -> DataFrame:
+    """(keys, _bucket, carry, after): the exponential average of ``_v`` before and after each bucket.
+
+    Within a bucket the average is a weighted sum, which combines before the shuffle; only one row a bucket is folded in order.
+    """
+    w = Window.partitionBy(*keys, "_bucket").orderBy(*[F.col(c).desc() for c in order])
+    ranked = rows.withColumn("_r", F.row_number().over(w) - 1)
+    weight = F.pow(F.lit(1 - alpha), F.col("_r"))
+    parts = ranked.groupBy(*keys, "_bucket").agg(F.pow(F.lit(1 - alpha), F.count(F.lit(1))).alias("a"), F.sum(alpha * weight * F.col("_v")).alias("b"), F.min_by("_v", F.struct(*order)).alias("first"))
+
+    def step(s: dict, r: dict) -> dict:
+        before = r["first"] if s["after"] is None else s["after"]
+        return {"carry": before, "after": r["a"] * before + r["b"]}
+
+    return streamed_fold(parts, keys, ["_bucket"], {"carry": None, "after": None}, step, ["_bucket"], "carry double, after double")
+
+
+def ewma(df: DataFrame, keys: list[str], order: list[str], value: Column, alpha: float, bucket: Column, keep: list[str], name: str) -> DataFrame:
+    """keys, ``keep`` and ``name``: the exponential average of ``value`` after each row, seeded by the key's first value; a null leaves it.
+
+    ``bucket`` must not descend in the order of a key's rows (a day, say): a bucket is all that one task holds in
+    sequence, however long the key's stream is.
+    """
+    rows = df.withColumn("_v", value.cast("double")).withColumn("_bucket", bucket)
+    carry = _bucket_carry(rows.filter("_v is not null"), keys, order, alpha)
+    # rows before the first value of their bucket show what the buckets before left
+    behind = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.select(*keys, "_bucket").distinct().join(carry, [*keys, "_bucket"], "left").withColumn("held", F.last("after", True).over(behind)).drop("after")
+
+    def step(s: dict, r: dict) -> dict:
+        if r["_v"] is None:
+            return s
+        before = r["carry"] if s[name] is None else s[name]
+        return {name: before + alpha * (r["_v"] - before)}
+
+    out = streamed_fold(rows.join(seen, [*keys, "_bucket"]), [*keys, "_bucket"], order, {name: None}, step, [*keep, "held"], f"{name} double")
+    return out.select(*keys, *keep, F.coalesce(name, "held").alias(name))
+
+
+def last_ewma(df: DataFrame, keys: list[str], order: list[str], value: Column, alpha: float, bucket: Column, name: str) -> DataFrame:
+    """keys and ``name``: the exponential average of ``value`` after a key's last row; see ewma."""
+    rows = df.withColumn("_v", value.cast("double")).withColumn("_bucket", bucket).filter("_v is not null")
+    return _bucket_carry(rows, keys, order, alpha).groupBy(*keys).agg(F.max_by("after", "_bucket").alias(name))
+
+
 def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}[kind]
 

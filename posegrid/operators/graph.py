@@ -6,12 +6,13 @@ run; runs are independent and spread over the cluster.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
 import pandas as pd
 from posegrid.functions import manifold
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLIQUE_NODES = 64
@@ -75,25 +76,77 @@ def _greedy(near: list[set[int]]) -> list[int]:
     return sorted(have)
 
 
-def loop_consistency(a: np.ndarray, b: np.ndarray, chain: dict[int, np.ndarray], variance: float) -> float:
-    """Squared Mahalanobis distance of the cycle loop a, chain, loop b back, chain back. a and b are (from, to, pose)."""
-    (i, j, x), (k, l, y) = a, b
-    between = lambda p, q: manifold.compose(manifold.inverse(chain[p][None]), chain[q][None])
-    cycle = manifold.compose(manifold.compose(manifold.compose(x[None], between(j, l)), manifold.inverse(y[None])), between(k, i))
-    return float((manifold.log(cycle) ** 2).sum() / variance)
+def chain_covariance(chain: DataFrame, variance: float) -> DataFrame:
+    """``chain`` (run, id, pose columns) with w0..w35: covariance of each pose against the run's first, in the world's frame.
+
+    Steps are independent, each with ``variance`` in all directions of its end's frame; the sums run over Spark's windows.
+    """
+
+    def carried(pose: np.ndarray) -> np.ndarray:
+        m = manifold.adjoint(pose)
+        return (m @ m.transpose(0, 2, 1) * variance).reshape(len(pose), 36)
+
+    names = tuple(f"w{i}" for i in range(36))
+    w = Window.partitionBy("run").orderBy("id")
+    steps = chain.withColumn("_m", manifold.batched(carried, names, *[F.col(c) for c in POSE])).withColumn("_n", F.row_number().over(w))
+    # nothing leads to the first pose
+    own = [F.sum(F.when(F.col("_n") > 1, F.col(f"_m.{c}")).otherwise(0.0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in names]
+    return steps.select("run", "id", *POSE, *own)
+
+
+def cycle_distance(v: np.ndarray) -> np.ndarray:
+    """Squared Mahalanobis distance of cycles: loop a (i to j), the chain from j to l, loop b (k to l) backwards, the chain from k to i.
+
+    Columns: both loops' poses and variances, then pose and covariance against the start (43) of i, j, k and l. Loops'
+    and steps' covariances are carried to the end of the cycle by adjoints, to first order.
+    """
+    x, y, var = v[:, :7], v[:, 7:14], v[:, 14:16]
+    ends = v[:, 16:].reshape(len(v), 4, 43)
+    i, j, k, m = (ends[:, e, :7] for e in range(4))
+    world = ends[:, :, 7:].reshape(len(v), 4, 6, 6)
+    go, back = manifold.compose(manifold.inverse(j), m), manifold.compose(manifold.inverse(k), i)
+    tail = manifold.compose(manifold.inverse(y), back)
+    cycle = manifold.compose(manifold.compose(x, go), tail)
+
+    def carried(cov: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        a = manifold.adjoint(manifold.inverse(rest))
+        return a @ cov @ a.transpose(0, 2, 1)
+
+    # steps of the chain that both parts pass cancel or double: each counts by the square of how often it is passed, with sign
+    at, sign = world[:, [1, 3, 0, 2]], np.tile([-1.0, 1.0, 1.0, -1.0], (len(v), 1))
+    order = np.argsort(np.trace(at, axis1=2, axis2=3), axis=1, kind="stable")
+    at, sign = np.take_along_axis(at, order[:, :, None, None], 1), np.take_along_axis(sign, order, 1)
+    passed = np.cumsum(sign[:, ::-1], axis=1)[:, ::-1]
+    steps = (passed[:, 1:, None, None] ** 2 * np.diff(at, axis=1)).sum(1)
+
+    one = np.eye(6)[None]
+    cov = carried(var[:, :1, None] * one, manifold.compose(go, tail)) + carried(carried(var[:, 1:, None] * one, manifold.inverse(y)), back) + carried(steps, i)
+    err = manifold.log(cycle)
+    return np.einsum("ni,ni->n", err, np.linalg.solve(cov, err[:, :, None])[:, :, 0])[:, None]
 
 
 def pcm_pairs(loops: DataFrame, chain: DataFrame, variance: float) -> DataFrame:
-    """(run, a, b, d2) for each pair of a run's loops (run, loop, from_id, to_id, pose columns); chain is (run, id, pose columns)."""
+    """(run, a, b, d2) for each pair of a run's loops (run, loop, from_id, to_id, pose columns, variance); chain is (run, id, pose columns).
 
-    def pairs(one: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-        poses = dict(zip(nodes["id"], nodes[POSE].to_numpy(float), strict=True))
-        known = [(int(r["from_id"]), int(r["to_id"]), r[POSE].to_numpy(float), int(r["loop"])) for _, r in one.sort_values("loop").iterrows() if r["from_id"] in poses and r["to_id"] in poses]
-        out = [(one["run"].iloc[0], p[3], q[3], loop_consistency(p[:3], q[:3], poses, variance)) for n, p in enumerate(known) for q in known[n + 1 :]]
-        return pd.DataFrame(out, columns=["run", "a", "b", "d2"])
+    Loops take the pose and covariance of their ends along, so pairs are one join on the run and are compared in batches
+    wherever they lie. ``variance`` is that of one step of the chain. Loops whose ends aren't in the chain are left out.
+    """
+    known = chain_covariance(chain, variance)
+    facts = F.array(*POSE, *[f"w{i}" for i in range(36)])
+    ends = {e: known.select("run", F.col("id").alias(f"{e}_id"), facts.alias(e)) for e in ("from", "to")}
+    own = loops.select("run", "loop", "from_id", "to_id", F.array(*POSE).alias("rel"), F.col("variance").cast("double").alias("variance"))
+    for e, side in ends.items():
+        own = own.join(side, ["run", f"{e}_id"])
+    a = own.select("run", F.col("loop").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("rel", "variance", "from", "to")])
+    b = fresh(own).select("run", F.col("loop").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("rel", "variance", "from", "to")])
+    pairs = a.join(b, "run").filter("a < b")
+    flat = F.concat("a_rel", "b_rel", F.array("a_variance", "b_variance"), "a_from", "a_to", "b_from", "b_to")
 
-    kind = "run long, a long, b long, d2 double"
-    return loops.groupBy("run").cogroup(fresh(chain).groupBy("run")).applyInPandas(pairs, kind)
+    @F.pandas_udf("double")
+    def distance(v: pd.Series) -> pd.Series:
+        return pd.Series(cycle_distance(np.stack(v.to_numpy()))[:, 0] if len(v) else [], dtype=float)
+
+    return pairs.select("run", "a", "b", distance(flat).alias("d2"))
 
 
 def pcm_clique(loops: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
@@ -118,63 +171,162 @@ def pcm_decide(loops: DataFrame, clique: DataFrame) -> DataFrame:
     return marked.select("run", "loop", decision.alias("decision"))
 
 
-def solve(poses: np.ndarray, edges: list[tuple[int, int, np.ndarray, float]], rounds: int = 10, weights: np.ndarray | None = None, damping: float = 1e-9) -> np.ndarray:
-    """Gauss-Newton over the edges (from, to, relative pose, variance); the first pose is held. Perturbed on the right, so J of b is the identity."""
+class Elimination:
+    """Block elimination of a pose graph's normal equations: 6 x 6 blocks, poses of least degree first.
+
+    The order and the filled pattern depend on the edges alone and serve all rounds. A chain with few loops stays
+    nearly as sparse as it is: interior poses have two neighbours when their turn comes.
+    """
+
+    def __init__(self, n: int, a: np.ndarray, b: np.ndarray):
+        near: list[set[int]] = [set() for _ in range(n)]
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            if i != j:
+                near[i].add(j)
+                near[j].add(i)
+        queue = [(len(s), i) for i, s in enumerate(near)]
+        heapq.heapify(queue)
+        done = [False] * n
+        self.order: list[int] = []
+        self.later: list[list[int]] = [[] for _ in range(n)]
+        while queue:
+            degree, i = heapq.heappop(queue)
+            if done[i] or degree != len(near[i]):
+                continue
+            done[i] = True
+            self.order.append(i)
+            self.later[i] = sorted(near[i])
+            for j in near[i]:
+                near[j] |= near[i]
+                near[j] -= {i, j}
+                heapq.heappush(queue, (len(near[j]), j))
+
+    def factor(self, diagonal: np.ndarray, a: np.ndarray, b: np.ndarray, off: np.ndarray) -> None:
+        """From the diagonal blocks and the blocks (a, b) of each edge; edges between the same poses add up."""
+        block: dict[tuple[int, int], np.ndarray] = {}
+        for i, j, m in zip(a.tolist(), b.tolist(), off, strict=True):
+            key, m = ((i, j), m) if i < j else ((j, i), m.T)
+            block[key] = block[key] + m if key in block else m
+        diagonal = diagonal.copy()
+        self.inverse, self.weights = np.zeros_like(diagonal), [np.zeros((0, 6, 6))] * len(diagonal)
+        for k in self.order:
+            self.inverse[k] = np.linalg.inv(diagonal[k])
+            later = self.later[k]
+            if not later:
+                continue
+            rows = np.stack([block.pop((j, k)) if j < k else block.pop((k, j)).T for j in later])
+            self.weights[k] = rows @ self.inverse[k]
+            change = np.einsum("aij,bkj->abik", self.weights[k], rows)
+            for x, j in enumerate(later):
+                diagonal[j] -= change[x, x]
+                for y in range(x + 1, len(later)):
+                    key = (j, later[y])
+                    block[key] = block[key] - change[x, y] if key in block else -change[x, y]
+
+    def solve(self, g: np.ndarray) -> np.ndarray:
+        x = g.copy()
+        for k in self.order:
+            for j, w in zip(self.later[k], self.weights[k], strict=True):
+                x[j] -= w @ x[k]
+        for k in reversed(self.order):
+            x[k] = self.inverse[k] @ x[k]
+            for j, w in zip(self.later[k], self.weights[k], strict=True):
+                x[k] -= w.T @ x[j]
+        return x
+
+    def covariances(self) -> np.ndarray:
+        """Diagonal blocks of the inverse, from the last pose eliminated to the first; no other entries than the factor's are formed."""
+        out = np.zeros_like(self.inverse)
+        off: dict[tuple[int, int], np.ndarray] = {}
+        get = lambda i, j: out[i] if i == j else (off[i, j] if i < j else off[j, i].T)
+        for k in reversed(self.order):
+            later, w = self.later[k], self.weights[k]
+            out[k] = self.inverse[k]
+            for j in later:
+                m = -sum(get(j, i) @ v for i, v in zip(later, w, strict=True))
+                off[(j, k) if j < k else (k, j)] = m if j < k else m.T
+                out[k] -= w[later.index(j)].T @ m
+        return out
+
+
+Edges = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def as_edges(e: pd.DataFrame, place: dict[int, int]) -> Edges:
+    """From, to, relative pose and variance of edges whose ends both exist."""
+    a, b = e["a"].map(place), e["b"].map(place)
+    e, a, b = e[a.notna() & b.notna()], a, b
+    return a[e.index].to_numpy(np.int64), b[e.index].to_numpy(np.int64), e[POSE].to_numpy(float), e["variance"].to_numpy(float)
+
+
+def residuals(poses: np.ndarray, edges: Edges) -> tuple[np.ndarray, np.ndarray]:
+    """Errors of the edges and their Jacobians by the first pose; perturbed on the right, so that by the second is the identity."""
+    a, b, rel, _ = edges
+    between = manifold.compose(manifold.inverse(poses[a]), poses[b])
+    return manifold.log(manifold.compose(manifold.inverse(rel), between)), -manifold.adjoint(manifold.inverse(between))
+
+
+def assemble(n: int, edges: Edges, weights: np.ndarray, err: np.ndarray, ja: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Diagonal blocks, blocks of the edges and gradient."""
+    a, b = edges[:2]
+    w = (weights / edges[3])[:, None, None]
+    diagonal, g = np.zeros((n, 6, 6)), np.zeros((n, 6))
+    np.add.at(diagonal, a, w * (ja.transpose(0, 2, 1) @ ja))
+    np.add.at(diagonal, b, w * np.eye(6))
+    np.add.at(g, a, w[:, 0] * np.einsum("nji,nj->ni", ja, err))
+    np.add.at(g, b, w[:, 0] * err)
+    return diagonal, w * ja.transpose(0, 2, 1), g
+
+
+def solve(poses: np.ndarray, edges: Edges, rounds: int = 10, weights: np.ndarray | None = None, damping: float = 1e-9, system: Elimination | None = None) -> np.ndarray:
+    """Gauss-Newton over the edges; the first pose is held."""
     n, poses = len(poses), poses.copy()
-    weights = np.ones(len(edges)) if weights is None else weights
-    a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
-    rel, var = np.stack([e[2] for e in edges]), np.array([e[3] for e in edges])
+    weights = np.ones(len(edges[0])) if weights is None else weights
+    system = system or Elimination(n, *edges[:2])
     for _ in range(rounds):
-        between = manifold.compose(manifold.inverse(poses[a]), poses[b])
-        err = manifold.log(manifold.compose(manifold.inverse(rel), between))
-        ja = -manifold.adjoint(manifold.inverse(between))
-        h, g = np.zeros((6 * n, 6 * n)), np.zeros(6 * n)
-        for k in range(len(edges)):
-            w, i, j = weights[k] / var[k], slice(6 * a[k], 6 * a[k] + 6), slice(6 * b[k], 6 * b[k] + 6)
-            h[i, i] += w * ja[k].T @ ja[k]
-            h[i, j] += w * ja[k].T
-            h[j, i] += w * ja[k]
-            h[j, j] += w * np.eye(6)
-            g[i] += w * ja[k].T @ err[k]
-            g[j] += w * err[k]
-        free = slice(6, None)
-        step = np.concatenate([np.zeros(6), np.linalg.solve(h[free, free] + damping * np.eye(6 * n - 6), -g[free])]).reshape(n, 6)
+        diagonal, off, g = assemble(n, edges, weights, *residuals(poses, edges))
+        diagonal += damping * np.eye(6)
+        # holding a pose is an endless weight on it
+        diagonal[0] += 1e12 * np.trace(diagonal[0]) * np.eye(6)
+        g[0] = 0.0
+        system.factor(diagonal, *edges[:2], off)
+        step = system.solve(-g)
         poses = manifold.boxplus(poses, step)
         if np.abs(step).max() < 1e-9:
             break
     return poses
 
 
-def gnc_weights(poses: np.ndarray, chain: list, loops: list, limit: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def gnc_weights(poses: np.ndarray, chain: Edges, loops: Edges, limit: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Truncated least squares by graduated non-convexity: weights of the loops between 0 and 1, and the poses under them."""
-    edges = [*chain, *loops]
-    w = np.ones(len(edges))
-    mu = None
-    here = poses
+    edges: Edges = tuple(np.concatenate(x) for x in zip(chain, loops, strict=True))
+    w, first = np.ones(len(edges[0])), len(chain[0])
+    system, mu, here = Elimination(len(poses), *edges[:2]), None, poses
     for _ in range(rounds):
-        here = solve(here, edges, 5, w)
-        a, b = np.array([e[0] for e in loops]), np.array([e[1] for e in loops])
-        err = manifold.log(manifold.compose(manifold.inverse(np.stack([e[2] for e in loops])), manifold.compose(manifold.inverse(here[a]), here[b])))
-        r2 = (err**2).sum(1) / np.array([e[3] for e in loops])
+        here = solve(here, edges, 5, w, system=system)
+        r2 = (residuals(here, loops)[0] ** 2).sum(1) / loops[3]
         if mu is None:
             mu = limit / max(2 * r2.max() - limit, 1e-12) if r2.max() > limit else 1e6
         low, high = mu / (mu + 1) * limit, (mu + 1) / mu * limit
-        w[len(chain) :] = np.where(r2 <= low, 1.0, np.where(r2 >= high, 0.0, np.sqrt(limit * mu * (mu + 1) / np.maximum(r2, 1e-12)) - mu))
-        if mu > 1 and ((w[len(chain) :] < 1e-3) | (w[len(chain) :] > 1 - 1e-3)).all():
+        w[first:] = np.where(r2 <= low, 1.0, np.where(r2 >= high, 0.0, np.sqrt(limit * mu * (mu + 1) / np.maximum(r2, 1e-12)) - mu))
+        if mu > 1 and ((w[first:] < 1e-3) | (w[first:] > 1 - 1e-3)).all():
             break
         mu *= 1.4
-    return w[len(chain) :], here
+    return w[first:], here
+
+
+def _numbered(n: pd.DataFrame) -> tuple[pd.DataFrame, dict[int, int]]:
+    n = n.sort_values("id").reset_index(drop=True)
+    return n, {i: k for k, i in enumerate(n["id"])}
 
 
 def pose_graph_optimize(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Optimised poses of each run: nodes (run, id, pose columns), edges (run, a, b, pose columns, variance); dangling edges are left out."""
 
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        n = n.sort_values("id").reset_index(drop=True)
-        place = {i: k for k, i in enumerate(n["id"])}
-        own = [(place[r["a"]], place[r["b"]], r[POSE].to_numpy(float), float(r["variance"])) for _, r in e.iterrows() if r["a"] in place and r["b"] in place]
-        poses = n[POSE].to_numpy(float)
-        if own and len(n) > 1:
+        n, place = _numbered(n)
+        own, poses = as_edges(e, place), n[POSE].to_numpy(float)
+        if len(own[0]) and len(n) > 1:
             poses = solve(poses, own)
         return pd.DataFrame(poses, columns=POSE).assign(run=n["run"], id=n["id"])[["run", "id", *POSE]]
 
@@ -187,18 +339,27 @@ def gnc_consolidate(nodes: DataFrame, chain: DataFrame, loops: DataFrame, limit:
     both = chain.withColumn("loop", F.lit(None).cast("long")).unionByName(loops)
 
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        n = n.sort_values("id").reset_index(drop=True)
-        place = {i: k for k, i in enumerate(n["id"])}
-        rows = lambda x: [(place[r["a"]], place[r["b"]], r[POSE].to_numpy(float), float(r["variance"])) for _, r in x.iterrows()]
-        own = e[e["loop"].notna()].sort_values("loop")
+        n, place = _numbered(n)
+        own = e[e["loop"].notna() & e["a"].isin(place) & e["b"].isin(place)].sort_values("loop")
         if own.empty or n.empty:
             return pd.DataFrame({"run": [], "loop": [], "weight": [], "rejected": []})
-        w, _ = gnc_weights(n[POSE].to_numpy(float), rows(e[e["loop"].isna()]), rows(own), limit)
+        w, _ = gnc_weights(n[POSE].to_numpy(float), as_edges(e[e["loop"].isna()], place), as_edges(own, place), limit)
         return pd.DataFrame({"run": n["run"].iloc[0], "loop": own["loop"].astype("int64").to_numpy(), "weight": w, "rejected": w < reject})
 
     return nodes.groupBy("run").cogroup(fresh(both).groupBy("run")).applyInPandas(run, "run long, loop long, weight double, rejected boolean")
 
 
+def marginals(nodes: DataFrame, edges: DataFrame, prior: float) -> DataFrame:
+    """(run, id, trace): trace of each pose's position covariance, the run's first pose held by a prior variance."""
+
+    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        n, place = _numbered(n)
+        cov = marginal_blocks(n[POSE].to_numpy(float), as_edges(e, place), prior)
+        return pd.DataFrame({"run": n["run"], "id": n["id"], "trace": np.trace(cov[:, :3, :3], axis1=1, axis2=2)})
+
+    return nodes.groupBy("run").cogroup(fresh(edges).groupBy("run")).applyInPandas(run, "run long, id long, trace double")
+
+
 def gauge_damping(variances: list[float]) -> np.ndarray:
     return np.diag([1 / v for v in variances])
 
@@ -243,17 +404,10 @@ def solve_or_drop(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray | None, str]
         return np.linalg.solve(r, -(q.T @ g)), "qr"
 
 
-def marginals(poses: np.ndarray, edges: list[tuple[int, int, np.ndarray, float]], prior: float) -> np.ndarray:
+def marginal_blocks(poses: np.ndarray, edges: Edges, prior: float) -> np.ndarray:
     """(poses, 6, 6) marginal covariances at the given poses, the first held by a prior variance."""
-    n = len(poses)
-    h = np.zeros((6 * n, 6 * n))
-    h[:6, :6] = gauge_damping([prior] * 6)
-    for a, b, _, var in edges:
-        ja = -manifold.adjoint(manifold.inverse(manifold.compose(manifold.inverse(poses[a : a + 1]), poses[b : b + 1])))[0]
-        i, j = slice(6 * a, 6 * a + 6), slice(6 * b, 6 * b + 6)
-        h[i, i] += ja.T @ ja / var
-        h[i, j] += ja.T / var
-        h[j, i] += ja / var
-        h[j, j] += np.eye(6) / var
-    cov = np.linalg.inv(h)
-    return np.stack([cov[6 * k : 6 * k + 6, 6 * k : 6 * k + 6] for k in range(n)])
+    system = Elimination(len(poses), *edges[:2])
+    diagonal, off, _ = assemble(len(poses), edges, np.ones(len(edges[0])), *residuals(poses, edges))
+    diagonal[0] += gauge_damping([prior] * 6)
+    system.factor(diagonal, *edges[:2], off)
+    return system.covariances()

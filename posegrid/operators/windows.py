@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import ordered_fold
+from .folds import ewma, streamed_fold
 
 col = F.col
 
@@ -26,12 +28,11 @@ def gap_detect(rows: DataFrame, by: list[str], stamp: str, period: float, failed
     return rows.withColumn("gap", gap).withColumn("state", F.when(col("gap") > failed, "failed").when(col("gap") > factor * period, "dropout").otherwise("ok"))
 
 
-def rate_ewma(rows: DataFrame, by: list[str], stamp: str, alpha: float = 0.1, second: float = 1e6) -> DataFrame:
-    """Add rate: smoothed instantaneous rate, seeded by the first; equal stamps leave it as it is."""
+def rate_ewma(rows: DataFrame, by: list[str], stamp: str, alpha: float = 0.1, second: float = 1e6, bucket: int = 86_400_000_000 * 7) -> DataFrame:
+    """Add rate: smoothed instantaneous rate, seeded by the first; equal stamps leave it as it is. ``bucket`` of ``stamp`` is folded in one task."""
     gap = col(stamp) - F.lag(stamp).over(_w(by, [stamp, "event_id"]))
     timed = rows.withColumn("inst", F.when(gap > 0, second / gap)).select(*by, stamp, "event_id", "inst")
-    step = lambda s, r: {"rate": F.when(r["inst"].isNull(), s["rate"]).when(s["rate"].isNull(), r["inst"]).otherwise(s["rate"] + alpha * (r["inst"] - s["rate"]))}
-    return ordered_fold(timed, by, [stamp, "event_id"], {"rate": F.lit(None).cast("double")}, step, ["event_id"])
+    return ewma(timed, by, [stamp, "event_id"], col("inst"), alpha, F.floor(col(stamp) / bucket), ["event_id"], "rate")
 
 
 def rate_band(rates: DataFrame, nominal: float, width: float = 0.2) -> DataFrame:
@@ -56,9 +57,17 @@ def rate_limit(rows: DataFrame, by: list[str], stamp: str, interval: int) -> Dat
     """Rows at least ``interval`` after the last one let through; an interval of 0 or less lets all through."""
     if interval <= 0:
         return rows.select(*by, "event_id")
-    step = lambda s, r: {"last": F.when(s["last"].isNull() | (r[stamp] - s["last"] >= interval), r[stamp]).otherwise(s["last"]), "out": s["last"].isNull() | (r[stamp] - s["last"] >= interval)}
-    out = ordered_fold(rows.select(*by, stamp, "event_id"), by, [stamp, "event_id"], {"last": F.lit(None).cast("long"), "out": F.lit(False)}, step, ["event_id"])
-    return out.filter("out").select(*by, "event_id")
+    return _apart(rows.select(*by, stamp, "event_id"), by, [stamp, "event_id"], stamp, interval)
+
+
+def _apart(rows: DataFrame, by: list[str], order: list[str], at: str, least: int) -> DataFrame:
+    """Rows whose ``at`` is ``least`` or more after that of the last one taken, the first one always; a null is passed over."""
+
+    def step(s: dict, r: dict) -> dict:
+        take = r[at] is not None and (s["last"] is None or r[at] - s["last"] >= least)
+        return {"last": r[at] if take else s["last"], "take": take}
+
+    return streamed_fold(rows, by, order, {"last": None, "take": False}, step, [order[-1]], "take boolean", "take").drop("take")
 
 
 def spacing_decimate(poses: DataFrame, by: list[str], order: list[str], least: float) -> DataFrame:
@@ -66,40 +75,47 @@ def spacing_decimate(poses: DataFrame, by: list[str], order: list[str], least: f
     w = _w(by, order)
     dx, dy = col("x") - F.lag("x").over(w), col("y") - F.lag("y").over(w)
     s = poses.select(*by, *order, F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)).alias("step"))
-    step = lambda a, r: {"way": F.when(a["way"] >= least, F.lit(0.0)).otherwise(a["way"]) + r["step"]}
-    return ordered_fold(s, by, order, {"way": F.lit(0.0)}, step, ["kf_id"]).filter(col("way") >= least).select(*by, "kf_id")
+
+    def step(a: dict, r: dict) -> dict:
+        way = (0.0 if a["take"] else a["way"]) + r["step"]
+        return {"way": way, "take": way >= least}
+
+    return streamed_fold(s, by, order, {"way": 0.0, "take": False}, step, ["kf_id"], "take boolean", "take").drop("take")
 
 
 def keyframe_select(poses: DataFrame, by: list[str], order: list[str], distance: float, elapsed: int) -> DataFrame:
-    """Poses far enough or long enough from the last keyframe, the first one always."""
+    """Poses far enough or long enough from the last keyframe, the first one always; poses with a null are passed over."""
 
-    def step(s: Column, r: Column) -> dict[str, Column]:
-        dx, dy = r["x"] - s["kx"], r["y"] - s["ky"]
-        take = s["kx"].isNull() | (dx * dx + dy * dy >= distance * distance) | (r["t"] - s["kt"] >= elapsed)
-        return {"kx": F.when(take, r["x"]).otherwise(s["kx"]), "ky": F.when(take, r["y"]).otherwise(s["ky"]), "kt": F.when(take, r["t"]).otherwise(s["kt"]), "take": take}
+    def step(s: dict, r: dict) -> dict:
+        x, y, t = r["x"], r["y"], r["t"]
+        if x is None or y is None or t is None:
+            return s | {"take": False}
+        if s["kx"] is None or (x - s["kx"]) ** 2 + (y - s["ky"]) ** 2 >= distance * distance or t - s["kt"] >= elapsed:
+            return {"kx": x, "ky": y, "kt": t, "take": True}
+        return s | {"take": False}
 
-    null = F.lit(None)
-    init = {"kx": null.cast("double"), "ky": null.cast("double"), "kt": null.cast("long"), "take": F.lit(False)}
-    return ordered_fold(poses.select(*by, "t", "kf_id", "x", "y"), by, order, init, step, ["kf_id"]).filter("take").select(*by, "kf_id")
+    init = {"kx": None, "ky": None, "kt": None, "take": False}
+    return streamed_fold(poses.select(*by, "t", "kf_id", "x", "y"), by, order, init, step, ["kf_id"], "take boolean", "take").drop("take")
 
 
 def moved_set(poses: DataFrame, by: list[str], order: list[str], threshold: float) -> DataFrame:
-    """Rows at first sight, or moved more than ``threshold`` from where they were last emitted."""
+    """Rows at first sight, or moved more than ``threshold`` from where they were last emitted; a null is passed over."""
 
-    def step(s: Column, r: Column) -> dict[str, Column]:
-        dx, dy = r["x"] - s["kx"], r["y"] - s["ky"]
-        take = s["kx"].isNull() | (F.sqrt(dx * dx + dy * dy) > threshold)
-        return {"kx": F.when(take, r["x"]).otherwise(s["kx"]), "ky": F.when(take, r["y"]).otherwise(s["ky"]), "take": take}
+    def step(s: dict, r: dict) -> dict:
+        x, y = r["x"], r["y"]
+        if x is None or y is None:
+            return s | {"take": False}
+        if s["kx"] is None or math.sqrt((x - s["kx"]) ** 2 + (y - s["ky"]) ** 2) > threshold:
+            return {"kx": x, "ky": y, "take": True}
+        return s | {"take": False}
 
-    null = F.lit(None).cast("double")
-    return ordered_fold(poses.select(*by, *order, "x", "y"), by, order, {"kx": null, "ky": null, "take": F.lit(False)}, step, ["kf_id"]).filter("take").select(*by, "kf_id")
+    init = {"kx": None, "ky": None, "take": False}
+    return streamed_fold(poses.select(*by, *order, "x", "y"), by, order, init, step, ["kf_id"], "take boolean", "take").drop("take")
 
 
 def cooldown_select(rows: DataFrame, by: list[str], order: list[str], at: str, cooldown: int) -> DataFrame:
     """Greedy in order: a row is kept if it lies ``cooldown`` or more from all kept before; ``at`` ascends, so from the last one."""
-    step = lambda s, r: {"last": F.when(s["last"].isNull() | (r[at] - s["last"] >= cooldown), r[at]).otherwise(s["last"]), "take": s["last"].isNull() | (r[at] - s["last"] >= cooldown)}
-    cols = list(dict.fromkeys([*by, at, *order]))
-    return ordered_fold(rows.select(*cols), by, order, {"last": F.lit(None).cast("long"), "take": F.lit(False)}, step, [order[-1]]).filter("take").select(*by, order[-1])
+    return _apart(rows.select(*dict.fromkeys([*by, at, *order])), by, order, at, cooldown)
 
 
 def dedup_watermark(rows: DataFrame, by: list[str], order: list[str], stamp: str) -> DataFrame:
@@ -120,22 +136,24 @@ def run_disable(rows: DataFrame, by: list[str], order: list[str], bad: Column, n
 
 
 def accel_magnitude_kf(rows: DataFrame, by: list[str], order: list[str], value: str, jerk: float, noise: float) -> DataFrame:
-    """Scalar Kalman filter of a magnitude: estimate and variance after each row, Q = (jerk dt)^2 / 3."""
+    """Scalar Kalman filter of a magnitude: estimate and variance after each row that has one, Q = (jerk dt)^2 / 3."""
 
-    def step(s: Column, r: Column) -> dict[str, Column]:
+    def step(s: dict, r: dict) -> dict:
+        if s["e"] is None:
+            return {"e": r["v"], "p": float(noise)}
         p = s["p"] + jerk * r["dt"] * jerk * r["dt"] / 3
         k = p / (p + noise)
-        return {"e": F.when(s["e"].isNull(), r["v"]).otherwise(s["e"] + k * (r["v"] - s["e"])), "p": F.when(s["e"].isNull(), F.lit(float(noise))).otherwise((1 - k) * p)}
+        return {"e": s["e"] + k * (r["v"] - s["e"]), "p": (1 - k) * p}
 
     dt = F.coalesce((col(order[0]) - F.lag(order[0]).over(_w(by, order))) / 3.6e9, F.lit(0.0))
     s = rows.select(*by, *order, col(value).alias("v"), dt.alias("dt"))
-    return ordered_fold(s, by, order, {"e": F.lit(None).cast("double"), "p": F.lit(0.0)}, step, [order[-1]])
+    return streamed_fold(s.filter("v is not null"), by, order, {"e": None, "p": 0.0}, step, [order[-1]], "e double, p double")
 
 
 def clock_rls(pairs: DataFrame, by: list[str], order: list[str], forget: float = 0.995) -> DataFrame:
     """Recursive least squares of offset and skew: y = b0 + b1 u after each row (u, y)."""
 
-    def step(s: Column, r: Column) -> dict[str, Column]:
+    def step(s: dict, r: dict) -> dict:
         u = r["u"]
         g0, g1 = s["p00"] + s["p01"] * u, s["p01"] + s["p11"] * u
         den = forget + g0 + g1 * u
@@ -143,8 +161,9 @@ def clock_rls(pairs: DataFrame, by: list[str], order: list[str], forget: float =
         err = r["y"] - s["b0"] - s["b1"] * u
         return {"b0": s["b0"] + k0 * err, "b1": s["b1"] + k1 * err, "p00": (s["p00"] - k0 * g0) / forget, "p01": (s["p01"] - k0 * g1) / forget, "p11": (s["p11"] - k1 * g1) / forget}
 
-    init = {"b0": F.lit(0.0), "b1": F.lit(0.0), "p00": F.lit(1e6), "p01": F.lit(0.0), "p11": F.lit(1e4)}
-    return ordered_fold(pairs, by, order, init, step, [order[-1]])
+    init = {"b0": 0.0, "b1": 0.0, "p00": 1e6, "p01": 0.0, "p11": 1e4}
+    state = ", ".join(f"{k} double" for k in init)
+    return streamed_fold(pairs.filter("u is not null and y is not null"), by, order, init, step, [order[-1]], state)
 
 
 def profile(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str, smooth: int = 0) -> DataFrame:

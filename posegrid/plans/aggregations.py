@@ -93,9 +93,10 @@ COLOUR = dict(init={"c": "CAST(NULL AS DOUBLE)", "w": "0.0::DOUBLE"}, step={"c":
 
 @section.add("colour_fuse", None)
 def _(spark, d):
-    p = A.point(spark, d).select(F.floor(F.col("x") / 5).cast("long").alias("cell"), (F.col("scan_id") * 100 + F.col("idx")).alias("seq"), F.pow(F.col("z") / 10, F.lit(2.2)).alias("v"))
-    out = folds.ordered_fold(p, ["cell"], ["seq"], {"c": F.lit(None).cast("double"), "w": F.lit(0.0)}, lambda s, r: {"c": F.when(s["w"] == 0, r["v"]).otherwise(0.8 * s["c"] + 0.2 * r["v"]), "w": F.least(s["w"] + 1, F.lit(8.0))}, ["seq"])
-    return rounded(out.groupBy("cell").agg(F.max_by("c", "seq").alias("c"), F.max_by("w", "seq").alias("w")))
+    p = A.point(spark, d).select(F.floor(F.col("x") / 5).cast("long").alias("cell"), "scan_id", "idx", F.pow(F.col("z") / 10, F.lit(2.2)).alias("v"))
+    colour = folds.last_ewma(p, ["cell"], ["scan_id", "idx"], F.col("v"), 0.2, F.floor(F.col("scan_id") / 100), "c")
+    weight = p.groupBy("cell").agg(F.least(F.count(F.lit(1)).cast("double"), F.lit(8.0)).alias("w"))
+    return rounded(colour.join(weight, "cell"))
 
 
 sql, ctes = folds.fold_sql("(SELECT CAST(floor(x / 5) AS BIGINT) AS cell, scan_id * 100 + idx AS seq, pow(z / 10, 2.2) AS v FROM v_point)", "cell", "seq", COLOUR["init"], COLOUR["step"], ["seq"], "SELECT cell, round(arg_max(c, seq), 6) + 0.0 AS c, arg_max(w, seq) AS w FROM o GROUP BY cell")
@@ -158,7 +159,7 @@ def _(spark, d):
 @section.add("stage_timing_ewma")
 def _(spark, d):
     s = stages(spark, d).withColumn("run", F.concat_ws("-", "stage", "sensor_id"))
-    out = folds.ordered_fold(s.select("run", "t", "ms", "event_id"), ["run"], ["t", "event_id"], {"e": F.lit(None).cast("double")}, lambda a, r: {"e": F.when(a["e"].isNull(), r["ms"]).otherwise(0.9 * a["e"] + 0.1 * r["ms"])}, ["event_id"])
+    out = folds.ewma(s.select("run", "t", "ms", "event_id"), ["run"], ["t", "event_id"], F.col("ms"), 0.1, F.floor(F.col("t") / 604_800_000_000), ["event_id"], "e")
     return rounded(out.select("event_id", (F.col("e") + 1e-9).alias("e")))
 
 
@@ -244,7 +245,7 @@ def _(spark, d):
 
 @section.add("obs_summary", with_views("SELECT sensor_id, round(quantile_cont(value, 0.5), 6) AS median, round(min(value), 6) AS least, round(avg(CASE WHEN value < 10 THEN 1.0 ELSE 0.0 END), 6) AS low_share FROM v_sensor GROUP BY 1"))
 def _(spark, d):
-    return rounded(A.sensor(spark, d).groupBy("sensor_id").agg(F.percentile("value", 0.5).alias("median"), F.min("value").alias("least"), F.avg(F.when(F.col("value") < 10, 1.0).otherwise(0.0)).alias("low_share")))
+    return rounded(A.sensor(spark, d).groupBy("sensor_id").agg(F.min("value").alias("least"), F.avg(F.when(F.col("value") < 10, 1.0).otherwise(0.0)).alias("low_share")).join(G.medians(A.sensor(spark, d), ["sensor_id"], "value"), "sensor_id"))
 
 
 @section.add("event_pattern_counts", r"SELECT user_id, count(*) FILTER (regexp_matches(event_type, '^(err|cli)')) AS n_start, count(*) FILTER (regexp_matches(props, '\b7\d?\b')) AS n_seven FROM events GROUP BY 1")

@@ -201,15 +201,7 @@ def _(spark, d):
 @section.add("marginal")
 def _(spark, d):
     nodes, chain, _ = graphs._graph(spark, d)
-
-    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        n = n.sort_values("id").reset_index(drop=True)
-        place = {i: k for k, i in enumerate(n["id"])}
-        edges = [(place[r["a"]], place[r["b"]], r[graph.POSE].to_numpy(float), 1e-4) for _, r in e.iterrows()]
-        cov = graph.marginals(n[graph.POSE].to_numpy(float), edges, 1e-8)
-        return pd.DataFrame({"run": n["run"], "id": n["id"], "trace": [float(np.trace(c[:3, :3])) for c in cov]})
-
-    return rounded(nodes.groupBy("run").cogroup(graph.fresh(chain).groupBy("run")).applyInPandas(run, "run long, id long, trace double"), 6)
+    return rounded(graph.marginals(nodes, chain, 1e-8), 6)
 
 
 @section.add("synth_loops")

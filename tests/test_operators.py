@@ -1,13 +1,16 @@
 """Invariants and brute-force versions of operators that SQL doesn't express, and edge cases of those it does."""
 
 import itertools
+import math
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
 from posegrid import config
 from posegrid.functions import geometry, manifold
-from posegrid.operators import folds, graph, joins, meshing, registration, windows
+from posegrid.operators import aggregations, folds, graph, joins, meshing, registration, windows
 from posegrid.sources import packet_log
 from posegrid.streaming import align
 from pyspark.sql import functions as F
@@ -89,12 +92,61 @@ def test_grid_neighbours_against_brute_force(spark):
 # --- folds
 
 
-def test_both_folds_agree(spark):
+def test_streamed_fold(spark):
     rng = random.Random(7)
-    df = spark.createDataFrame([(i % 4, i, rng.random()) for i in range(200)], "k int, n long, v double")
-    a = folds.ordered_fold(df, ["k"], ["n"], {"s": F.lit(0.0)}, lambda s, r: {"s": F.when(s["s"] > 2, F.lit(0.0)).otherwise(s["s"]) + r["v"]}, ["n"])
-    b = folds.streamed_fold(df, ["k"], ["n"], {"s": 0.0}, lambda s, r: {"s": (0.0 if s["s"] > 2 else s["s"]) + r["v"]}, ["n"], "s double")
-    assert sorted(map(tuple, a.select("k", "n", "s").collect())) == sorted(map(tuple, b.select("k", "n", "s").collect()))
+    rows = [(i % 4, i, rng.random()) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, n long, v double")
+    step = lambda s, r: {"s": (0.0 if s["s"] > 2 else s["s"]) + r["v"]}
+    got = {(r["k"], r["n"]): r["s"] for r in folds.streamed_fold(df, ["k"], ["n"], {"s": 0.0}, step, ["n"], "s double").collect()}
+    state = {}
+    for k, n, v in rows:
+        state[k] = (0.0 if state.get(k, 0.0) > 2 else state.get(k, 0.0)) + v
+        assert got[k, n] == state[k]
+
+
+def test_one_key_is_folded_in_linear_time(spark):
+    """Selections over one long stream pass through it once."""
+    took = []
+    for n in (20_000, 20_000, 80_000):
+        df = spark.range(n).select(F.lit("a").alias("run"), (F.col("id") * 7).alias("t"), F.col("id").alias("event_id"))
+        start = time.perf_counter()
+        assert windows.rate_limit(df, ["run"], "t", 20).count() == -(-n // 3)
+        took.append(time.perf_counter() - start)
+    assert took[2] < 8 * took[1] + 2
+
+
+def test_exponential_average_over_buckets(spark):
+    rng = random.Random(9)
+    rows = [(i % 3, i, None if rng.random() < 0.2 or 40 < i < 70 else rng.random()) for i in range(240)]
+    df = spark.createDataFrame(rows, "k int, n long, v double")
+    got = {(r["k"], r["n"]): r["e"] for r in folds.ewma(df, ["k"], ["n"], F.col("v"), 0.1, F.floor(F.col("n") / 13), ["n"], "e").collect()}
+    last = {r["k"]: r["e"] for r in folds.last_ewma(df, ["k"], ["n"], F.col("v"), 0.1, F.floor(F.col("n") / 13), "e").collect()}
+    state = {}
+    for k, n, v in rows:
+        if v is not None:
+            state[k] = v if state.get(k) is None else state[k] + 0.1 * (v - state[k])
+        assert got[k, n] == (None if k not in state else pytest.approx(state[k]))
+    assert last == {k: pytest.approx(v) for k, v in state.items()} and len(got) == 240
+
+
+@pytest.mark.parametrize("accuracy", [1000, 20])
+def test_exact_medians(spark, accuracy):
+    rng = random.Random(10)
+    rows = [(k, round(rng.random(), 2 if k % 2 else 6)) for k, n in enumerate((1, 2, 7, 500, 1001)) for _ in range(n)] + [(9, None), (3, None)] + [(7, 1.0)] * 300
+    got = {r["k"]: r["median"] for r in aggregations.medians(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", accuracy).collect()}
+    assert got == {k: pytest.approx(float(np.median([v for j, v in rows if j == k and v is not None]))) for k in (0, 1, 2, 3, 4, 7)}
+
+
+def test_spaced_insertion(spark):
+    rng = random.Random(11)
+    rows = [(i, 10 * rng.random(), 10 * rng.random(), 10 * rng.random()) for i in range(400)]
+    kept = {}
+    for i, *p in rows:
+        own = kept.setdefault(tuple(math.floor(a / 5) for a in p), [])
+        if len(own) < 4 and all(sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) >= 25 / 4 for _, q in own):
+            own.append((i, p))
+    got = aggregations.voxel_insert_spaced(spark.createDataFrame(rows, "idx long, x double, y double, z double"), 5.0, 4, ["idx"]).collect()
+    assert {r["idx"] for r in got} == {i for own in kept.values() for i, _ in own}
 
 
 def test_operators_on_empty_tables(spark):
@@ -134,8 +186,17 @@ def chain_of(rng, n):
     for _ in range(n - 1):
         true.append(manifold.boxplus(true[-1][None], np.concatenate([[1.0, 0, 0], rng.normal(0, 0.05, 3)])[None])[0])
     true = np.stack(true)
-    rel = manifold.compose(manifold.inverse(true[:-1]), true[1:])
-    return true, [(i, i + 1, rel[i], 1e-4) for i in range(n - 1)]
+    return true, between(true, [(i, i + 1) for i in range(n - 1)])
+
+
+def between(true, pairs, variance=1e-4):
+    """Exact edges between the given poses."""
+    a, b = np.array(pairs).T
+    return a, b, manifold.compose(manifold.inverse(true[a]), true[b]), np.full(len(a), variance)
+
+
+def joined(*edges):
+    return tuple(np.concatenate(x) for x in zip(*edges, strict=True))
 
 
 def test_exact_measurements_leave_poses_alone():
@@ -146,27 +207,100 @@ def test_exact_measurements_leave_poses_alone():
 def test_optimiser_recovers_from_drift():
     rng = np.random.default_rng(11)
     true, edges = chain_of(rng, 20)
-    loops = [(i, j, manifold.compose(manifold.inverse(true[i : i + 1]), true[j : j + 1])[0], 1e-4) for i, j in ((0, 10), (3, 18), (0, 19))]
     start = manifold.boxplus(true, np.concatenate([np.zeros((1, 6)), rng.normal(0, 0.05, (19, 6))]))
-    assert np.abs(manifold.boxminus(graph.solve(start, [*edges, *loops], 30), true)).max() < 1e-7
+    assert np.abs(manifold.boxminus(graph.solve(start, joined(edges, between(true, [(0, 10), (3, 18), (0, 19)])), 30), true)).max() < 1e-7
+
+
+def dense(n, edges, diagonal, off):
+    h = np.zeros((6 * n, 6 * n))
+    for k in range(n):
+        h[6 * k : 6 * k + 6, 6 * k : 6 * k + 6] = diagonal[k]
+    for i, j, m in zip(*edges[:2], off, strict=True):
+        h[6 * i : 6 * i + 6, 6 * j : 6 * j + 6] += m
+        h[6 * j : 6 * j + 6, 6 * i : 6 * i + 6] += m.T
+    return h
+
+
+def test_elimination_against_dense_algebra():
+    rng = np.random.default_rng(16)
+    for n in (1, 2, 7, 40):
+        true, edges = chain_of(rng, n) if n > 1 else (poses(rng, 1), (np.zeros(0, int), np.zeros(0, int), np.zeros((0, 7)), np.zeros(0)))
+        if n > 6:
+            edges = joined(edges, between(true, [(0, n - 1), (n - 2, 1), (2, 5), (2, 5), *[(int(i), int(j)) for i, j in rng.integers(0, n, (n // 4, 2)) if i != j]]))
+        start = manifold.boxplus(true, rng.normal(0, 0.1, (n, 6)))
+        diagonal, off, g = graph.assemble(n, edges, rng.uniform(0.1, 1, len(edges[0])), *graph.residuals(start, edges))
+        diagonal += 3.0 * np.eye(6)
+        system = graph.Elimination(n, *edges[:2])
+        system.factor(diagonal, *edges[:2], off)
+        h = dense(n, edges, diagonal, off)
+        assert np.allclose(system.solve(g).ravel(), np.linalg.solve(h, g.ravel()), rtol=1e-6)
+        cov = np.linalg.inv(h)
+        assert np.allclose(system.covariances(), [cov[6 * k : 6 * k + 6, 6 * k : 6 * k + 6] for k in range(n)], rtol=1e-6, atol=1e-12)
+
+
+def test_a_long_run_stays_sparse():
+    """As many poses as the longest recorded run: a dense system would have 34,266 squared entries."""
+    rng = np.random.default_rng(17)
+    true, edges = chain_of(rng, 5711)
+    edges = joined(edges, between(true, [(int(i), int(i + 900 + 7 * k)) for k, i in enumerate(rng.integers(0, 4000, 60))]))
+    start = manifold.boxplus(true, np.concatenate([np.zeros((1, 6)), rng.normal(0, 0.01, (5710, 6))]))
+    began = time.perf_counter()
+    tracemalloc.start()
+    got = graph.solve(start, edges, 6)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert np.abs(manifold.boxminus(got, true)).max() < 1e-5 and time.perf_counter() - began < 120
 
 
 def test_consolidation_rejects_wrong_loops():
     rng = np.random.default_rng(12)
     true, edges = chain_of(rng, 15)
-    good = [(i, j, manifold.compose(manifold.inverse(true[i : i + 1]), true[j : j + 1])[0], 1e-4) for i, j in ((0, 7), (2, 12), (1, 14))]
-    bad = [(i, j, manifold.boxplus(r[None], np.array([[4.0, -3, 1, 0.2, 0, 0.3]]))[0], 1e-4) for i, j, r, _ in good[:2]]
-    w, _ = graph.gnc_weights(true, edges, [*good, *bad], 16.8119)
+    good = between(true, [(0, 7), (2, 12), (1, 14)])
+    a, b, rel, variance = between(true, [(0, 7), (2, 12)])
+    bad = (a, b, manifold.boxplus(rel, np.array([[4.0, -3, 1, 0.2, 0, 0.3]] * 2)), variance)
+    w, _ = graph.gnc_weights(true, edges, joined(good, bad), 16.8119)
     assert (w[:3] > 0.9).all() and (w[3:] < 0.1).all()
 
 
-def test_consistency_of_loops():
+def cycles(true, a, b, variances, step):
+    """Rows for cycle_distance: loops a and b as (from, to, poses)."""
+    m = manifold.adjoint(true)
+    world = np.cumsum(np.concatenate([np.zeros((1, 6, 6)), (m @ m.transpose(0, 2, 1) * step)[1:]]), axis=0).reshape(len(true), 36)
+    facts = np.concatenate([true, world], axis=1)
+    n = len(a[2])
+    ends = np.concatenate([facts[[a[0], a[1], b[0], b[1]]].ravel()])
+    return np.concatenate([a[2], b[2], np.tile(variances, (n, 1)), np.tile(ends, (n, 1))], axis=1)
+
+
+def test_cycles_have_the_predicted_spread():
+    """Noise drawn on both loops and the chain: the distance is chi-squared with six degrees of freedom."""
+    rng = np.random.default_rng(771)
+    true, (_, _, rel, _) = chain_of(rng, 14)
+    exact = lambda i, j: manifold.compose(manifold.inverse(true[i : i + 1]), true[j : j + 1])
+    draws, got = 1500, []
+    for a, b in (((1, 9), (3, 12)), ((9, 1), (3, 12)), ((2, 8), (11, 4))):
+        x = manifold.boxplus(np.tile(exact(*a), (draws, 1)), rng.normal(0, 0.02, (draws, 6)))
+        y = manifold.boxplus(np.tile(exact(*b), (draws, 1)), rng.normal(0, 0.01, (draws, 6)))
+        for k in range(0, draws, 5):
+            steps = manifold.boxplus(rel, rng.normal(0, 0.005, (len(rel), 6)))
+            noisy = [true[:1]]
+            for one in steps:
+                noisy.append(manifold.compose(noisy[-1], one[None]))
+            row = cycles(np.concatenate(noisy), (*a, x[k : k + 1]), (*b, y[k : k + 1]), [4e-4, 1e-4], 2.5e-5)
+            got.append(graph.cycle_distance(row)[0, 0])
+    assert abs(np.mean(got) - 6) < 0.5 and 0.02 < np.mean(np.array(got) > 12.59) < 0.09
+
+
+def test_consistency_of_loops(spark):
     rng = np.random.default_rng(13)
     true, _ = chain_of(rng, 12)
-    by_id = dict(enumerate(true))
+    chain = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(true)], "run long, id long, " + ", ".join(f"{c} double" for c in graph.POSE))
     rel = lambda i, j: manifold.compose(manifold.inverse(true[i : i + 1]), true[j : j + 1])[0]
-    assert graph.loop_consistency((0, 8, rel(0, 8)), (2, 10, rel(2, 10)), by_id, 1e-4) < 1e-9
-    assert graph.loop_consistency((0, 8, rel(0, 8)), (2, 10, rel(2, 9)), by_id, 1e-4) > 100
+    rows = [(1, 0, 0, 8, rel(0, 8)), (1, 1, 2, 10, rel(2, 10)), (1, 2, 2, 10, manifold.boxplus(rel(2, 10)[None], np.array([[1.0, 0, 0, 0, 0, 0.1]]))[0]), (1, 3, 2, 99, rel(2, 10)), (2, 4, 0, 8, rel(0, 8))]
+    loops = spark.createDataFrame([(r, n, i, j, *map(float, p), 1e-4) for r, n, i, j, p in rows], "run long, loop long, from_id long, to_id long, " + ", ".join(f"{c} double" for c in graph.POSE) + ", variance double")
+    got = {(r["a"], r["b"]): r["d2"] for r in graph.pcm_pairs(loops, chain, 1e-4).collect()}
+    assert set(got) == {(0, 1), (0, 2), (1, 2)} and got[0, 1] < 1e-9 and got[0, 2] > 100
+    assert graph.pcm_clique(loops.filter("run = 1 and loop < 3").select("run", "loop"), graph.pcm_pairs(loops, chain, 1e-4), 16.8119).orderBy("loop").collect() == [(1, 0), (1, 1)]
 
 
 def test_max_clique_against_brute_force():
