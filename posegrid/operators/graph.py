@@ -360,6 +360,22 @@ def marginals(nodes: DataFrame, edges: DataFrame, prior: float) -> DataFrame:
     return nodes.groupBy("run").cogroup(fresh(edges).groupBy("run")).applyInPandas(run, "run long, id long, trace double")
 
 
+def lever_arm(residuals_: DataFrame, keys: list[str], spread: float, most: float, variance: float, certain: float) -> DataFrame:
+    """keys, lever_x, lever_y, frozen: least-squares lever arm of planar residuals (ex, ey) at headings (c, s).
+
+    Held at zero until headings are spread (1 - length of their mean), clamped to ``most``, frozen once its variance is
+    below ``certain``. Only sums are needed, so it combines before the shuffle.
+    """
+    c, s = F.col("c"), F.col("s")
+    e = residuals_.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(c * F.col("ex") + s * F.col("ey")).alias("lx"), F.avg(c * F.col("ey") - s * F.col("ex")).alias("ly"),
+        (1 - F.sqrt(F.pow(F.avg(c), F.lit(2.0)) + F.pow(F.avg(s), F.lit(2.0)))).alias("turned"),
+    )
+    free = F.col("turned") > spread
+    lever = [F.when(free, F.greatest(F.lit(-most), F.least(F.lit(most), F.col(v)))).otherwise(0.0).alias(f"lever_{a}") for v, a in (("lx", "x"), ("ly", "y"))]
+    return e.select(*keys, *lever, (free & (variance / F.col("n") < certain)).alias("frozen"))
+
+
 def gauge_damping(variances: list[float]) -> np.ndarray:
     return np.diag([1 / v for v in variances])
 

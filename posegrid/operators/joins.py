@@ -28,7 +28,8 @@ def asof_backward(left: DataFrame, right: DataFrame, stamp: str, values: list[st
 
     One union ordered by stamp, with the last right row carried on, partitioned by ``by``. With
     ``width`` it is partitioned by time buckets too, and what a bucket inherits comes from a table of
-    one row per bucket; so one long stream without keys is no single task's work.
+    one row per bucket; so one long stream without keys is no single task's work. Of right rows with
+    equal stamps the one with the greatest values is last (and that with the least is first).
     """
     return _asof(left, right, stamp, values, by or [], True, strict, width)
 
@@ -51,11 +52,11 @@ def _asof(left: DataFrame, right: DataFrame, stamp: str, values: list[str], by:
         both = both.withColumn("_bucket", F.floor(F.col(stamp) / width))
         keys.append("_bucket")
         pick = F.max_by if backward else F.min_by
-        ends = both.groupBy(*keys).agg(pick("_right", F.when(F.col("_side") != 1, F.col(stamp))).alias("_end"))
+        ends = both.groupBy(*keys).agg(pick("_right", F.when(F.col("_side") != 1, F.struct(stamp, "_right"))).alias("_end"))
         row = Window.partitionBy(*by).orderBy("_bucket")
         beyond = F.last("_end", True).over(row.rowsBetween(Window.unboundedPreceding, -1)) if backward else F.first("_end", True).over(row.rowsBetween(1, Window.unboundedFollowing))
         ends = ends.select(*keys, beyond.alias("_inherited"))
-    found = both.withColumn("_found", carry("_right", Window.partitionBy(*keys).orderBy(stamp, "_side"))).filter("_side = 1")
+    found = both.withColumn("_found", carry("_right", Window.partitionBy(*keys).orderBy(stamp, "_side", "_right"))).filter("_side = 1")
     if width is not None:
         found = found.join(ends, keys, "left").withColumn("_found", F.coalesce("_found", "_inherited"))
     return found.select(*left.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
@@ -137,29 +138,33 @@ def _product(steps: list[int], n: int) -> list[tuple[int, ...]]:
     return out
 
 
-def grid_pairs(queries: DataFrame, targets: DataFrame, edge: float, axes: str = "xyz") -> DataFrame:
+def grid_pairs(queries: DataFrame, targets: DataFrame, edge: float, axes: str = "xyz", apart: str | None = None) -> DataFrame:
     """Queries (q, axes) with targets (id, axes) of the 27 cells around; d2 is the squared distance.
 
-    Cells that hold no target are dropped before the equi-join, so that the probes don't blow it up.
+    Cells that hold no target are dropped before the equi-join, so that the probes don't blow it up. With
+    ``apart`` pairs that agree in that column (of a scan, say) are left out.
     """
-    t = cells(targets.select("id", *axes), edge, axes)
+    more = [apart] if apart else []
+    t = cells(targets.select("id", *more, *axes), edge, axes)
     keys = [f"c{a}" for a in axes]
-    near = probes(cells(queries.select("q", *axes), edge, axes), axes).join(t.select(*keys).distinct(), keys, "left_semi")
-    pairs = near.join(t.withColumnsRenamed({a: f"t{a}" for a in axes}), keys)
+    near = probes(cells(queries.select("q", *more, *axes), edge, axes), axes).join(t.select(*keys).distinct(), keys, "left_semi")
+    pairs = near.join(t.withColumnsRenamed({a: f"t{a}" for a in [*more, *axes]}), keys)
+    if apart:
+        pairs = pairs.filter(F.col(apart) != F.col(f"t{apart}"))
     d2 = sum(((F.col(a) - F.col(f"t{a}")) * (F.col(a) - F.col(f"t{a}")) for a in axes), F.lit(0.0))
     return pairs.select("q", "id", "probe", d2.alias("d2"))
 
 
-def voxel_nn(queries: DataFrame, targets: DataFrame, edge: float, max_distance: float, axes: str = "xyz") -> DataFrame:
+def voxel_nn(queries: DataFrame, targets: DataFrame, edge: float, max_distance: float, axes: str = "xyz", apart: str | None = None) -> DataFrame:
     """(q, id, d2): the nearest target of the cells around within max_distance; ties go by probe order, then id."""
-    near = grid_pairs(queries, targets, edge, axes).filter(F.col("d2") <= max_distance**2)
+    near = grid_pairs(queries, targets, edge, axes, apart).filter(F.col("d2") <= max_distance**2)
     best = near.groupBy("q").agg(F.min(F.struct("d2", "probe", "id")).alias("b"))
     return best.select("q", F.col("b.id").alias("id"), F.col("b.d2").alias("d2"))
 
 
-def voxel_radius(queries: DataFrame, targets: DataFrame, edge: float, radius: float, axes: str = "xyz") -> DataFrame:
+def voxel_radius(queries: DataFrame, targets: DataFrame, edge: float, radius: float, axes: str = "xyz", apart: str | None = None) -> DataFrame:
     """(q, id, d2): all targets of the cells around within the radius; complete for radius <= edge."""
-    return grid_pairs(queries, targets, edge, axes).filter(F.col("d2") <= radius**2).select("q", "id", "d2")
+    return grid_pairs(queries, targets, edge, axes, apart).filter(F.col("d2") <= radius**2).select("q", "id", "d2")
 
 
 def plane_lookup(queries: DataFrame, planes: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from posegrid.functions.geometry import azimuth_deg, circshift, dot
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK_QUERIES, BLOCK_PLACES = 2048, 16_384
+
 
 def scan_context(points: DataFrame, rings: int, sectors: int, max_range: float, lift: float = 2.0) -> DataFrame:
     """(scan_id, d): highest lifted point of each polar cell, row by row; empty cells are 0."""
@@ -30,14 +34,37 @@ def ring_keys(descriptors: DataFrame, rings: int, sectors: int) -> DataFrame:
 
 
 def ring_key_knn(queries: DataFrame, places: DataFrame, k: int, min_gap: int = 1) -> DataFrame:
-    """(q, id, d2, rank): the k earlier places (by at least min_gap ids) with the nearest ring key, ties to the smaller id.
+    """(q, id, d2, rank): the k earlier places (at least ``min_gap`` numbers before) whose ring keys are nearest; ties go to the smaller id.
 
-    The query set is stated and small against all places; it is the side that is replicated, and each
-    task keeps k rows of a query before the ranking is merged.
+    Queries and places meet in blocks of bounded size; each pair of blocks is one small matrix product's work and hands on
+    k rows a query, which are then merged. Nothing is broadcast.
     """
-    q = queries.select(F.col("id").alias("q"), F.col("ring").alias("q_ring"))
-    d2 = F.round(_sum(F.zip_with("q_ring", "ring", lambda a, b: (a - b) * (a - b))), 9)
-    pairs = places.select("id", "ring").join(q, F.col("q") - F.col("id") >= min_gap).select("q", "id", d2.alias("d2"))
+    counted = [df.agg(F.count(F.lit(1)).alias("n")).first()["n"] for df in (queries, places)]
+    parts = [max(1, -(-n // size)) for n, size in zip(counted, (BLOCK_QUERIES, BLOCK_PLACES), strict=True)]
+
+    def dealt(df: DataFrame, own: int, other: int, names: tuple[str, str]) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        return df.select("id", "ring", block.alias(names[0])).select("id", "ring", names[0], every.alias(names[1])).select("id", "ring", "_q", "_p")
+
+    def nearest(keys: tuple, q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(p):
+            p = p.sort_values("id")
+            ids, rings = p["id"].to_numpy(), np.stack(p["ring"].to_numpy())
+            for name, ring in zip(q["id"], q["ring"], strict=True):
+                d2 = np.zeros(len(ids))
+                for axis in range(len(ring)):
+                    d2 += (ring[axis] - rings[:, axis]) ** 2
+                d2 = np.round(d2, 9)
+                able = np.flatnonzero(ids <= name - min_gap)
+                best = able[np.argsort(d2[able], kind="stable")[:k]]
+                out += [(name, int(ids[i]), float(d2[i])) for i in best]
+        return pd.DataFrame(out, columns=["q", "id", "d2"])
+
+    left = dealt(queries, parts[0], parts[1], ("_q", "_p"))
+    right = dealt(places.select(*[F.col(c).alias(c) for c in places.columns]), parts[1], parts[0], ("_p", "_q"))
+    pairs = left.groupBy("_q", "_p").cogroup(right.groupBy("_q", "_p")).applyInPandas(nearest, "q long, id long, d2 double")
     order = Window.partitionBy("q").orderBy("d2", "id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -57,21 +84,17 @@ def column_cosine_distance(a: Column, b: Column, rings: int, sectors: int) -> Co
     return F.when(F.size(each) == 0, F.lit(1.0)).otherwise(_sum(each) / F.size(each))
 
 
-def rotated(d: Column, shift: int, rings: int, sectors: int) -> Column:
-    """Each row moved right by ``shift``."""
-    return F.flatten(F.array(*[circshift(F.slice(d, r * sectors + 1, sectors), shift) for r in range(rings)]))
-
-
 def sc_distance(pairs: DataFrame, rings: int, sectors: int, band: int) -> DataFrame:
     """Add shift and distance: the best rotation of b within ``band`` of the one that aligns the sector keys. pairs: q, id, a, b."""
     means = lambda d: F.transform(F.sequence(F.lit(0), F.lit(sectors - 1)), lambda j: _sum(F.transform(F.sequence(F.lit(0), F.lit(rings - 1)), lambda i: F.element_at(d, i * sectors + j + 1))) / rings)
     keyed = pairs.withColumn("ka", means(F.col("a"))).withColumn("kb", means(F.col("b")))
     apart = lambda s: F.round(_sum(F.zip_with("ka", circshift(F.col("kb"), s), lambda x, y: (x - y) * (x - y))), 9)
     coarse = F.array_min(F.array(*[F.struct(apart(s).alias("v"), F.lit(s).alias("s")) for s in range(sectors)]))["s"]
-    tried = keyed.withColumn("coarse", coarse).withColumn("step", F.explode(F.sequence(F.lit(-band), F.lit(band)))).withColumn("shift", F.pmod(F.col("coarse") + F.col("step"), F.lit(sectors))).dropDuplicates(["q", "id", "shift"])
-    chosen = F.element_at(F.array(*[rotated(F.col("b"), s, rings, sectors) for s in range(sectors)]), F.col("shift") + 1)
-    scored = tried.withColumn("c", chosen).withColumn("distance", F.round(column_cosine_distance(F.col("a"), F.col("c"), rings, sectors), 9))
-    best = scored.groupBy("q", "id").agg(F.min(F.struct("distance", "shift")).alias("m"))
+    # all rotations of a pair are tried on its row, so nothing is shuffled
+    shifts = F.array_distinct(F.transform(F.sequence(F.lit(-band), F.lit(band)), lambda t: F.pmod(F.col("coarse") + t, F.lit(sectors))))
+    turned = lambda s: F.transform(F.sequence(F.lit(0), F.lit(rings * sectors - 1)), lambda k: F.element_at("b", (F.floor(k / sectors) * sectors + F.pmod(k - s, F.lit(sectors)) + 1).cast("int")))
+    score = lambda s: F.struct(F.round(column_cosine_distance(F.col("a"), turned(s), rings, sectors), 9).alias("distance"), s.alias("shift"))
+    best = keyed.withColumn("coarse", coarse).select("q", "id", F.array_min(F.transform(shifts, score)).alias("m"))
     return best.select("q", "id", F.col("m.shift").alias("shift"), F.col("m.distance").alias("distance"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .filters import CFG, REASON
+from .joins import GRID, NEAREST, PAIRS, _queries_targets
 from .registry import Section, rounded
 
 section = Section()
@@ -82,10 +83,10 @@ def _(spark, d):
 @section.add(
     "tsdf_fuse",
     with_views("""SELECT cx, cy, cz, round(avg(CASE WHEN side >= 0 THEN dist ELSE -dist END), 6) + 0.0 AS d, least(count(*), 64.0::DOUBLE) AS w FROM (SELECT cx, cy, cz, sqrt(pow(x-(cx+0.5)*8,2)+pow(y-(cy+0.5)*8,2)+pow(z-(cz+0.5)*8,2)) AS dist, ((cx+0.5)*8-x)*(0-x)+((cy+0.5)*8-y)*(0-y)+((cz+0.5)*8-z)*(-50-z) AS side
-        FROM (SELECT x, y, z, CAST(floor(x/8) AS BIGINT)+i AS cx, CAST(floor(y/8) AS BIGINT)+j AS cy, CAST(floor(z/8) AS BIGINT)+k AS cz FROM v_point, (SELECT unnest([-1,0,1]) AS i), (SELECT unnest([-1,0,1]) AS j), (SELECT unnest([-1,0,1]) AS k) WHERE scan_id % 10 = 0)) WHERE dist <= 8 GROUP BY 1, 2, 3"""),
+        FROM (SELECT x, y, z, CAST(floor(x/8) AS BIGINT)+i AS cx, CAST(floor(y/8) AS BIGINT)+j AS cy, CAST(floor(z/8) AS BIGINT)+k AS cz FROM v_point, (SELECT unnest([-1,0,1]) AS i), (SELECT unnest([-1,0,1]) AS j), (SELECT unnest([-1,0,1]) AS k))) WHERE dist <= 8 GROUP BY 1, 2, 3"""),
 )
 def _(spark, d):
-    return rounded(G.tsdf_fuse(A.point(spark, d).filter("scan_id % 10 = 0"), 8.0, 1, (0.0, 0.0, -50.0), 64.0))
+    return rounded(G.tsdf_fuse(A.point(spark, d), 8.0, 1, (0.0, 0.0, -50.0), 64.0))
 
 
 COLOUR = dict(init={"c": "CAST(NULL AS DOUBLE)", "w": "0.0::DOUBLE"}, step={"c": "CASE WHEN f.w = 0 THEN b.v ELSE 0.8 * f.c + 0.2 * b.v END", "w": "least(f.w + 1, 8.0)"})
@@ -260,14 +261,12 @@ def _(spark, d):
     return rounded(e.groupBy((F.col("run") % 10).alias("grp")).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.min(F.when(F.col("e") > 0.35, F.col("t"))).alias("onset"), F.round(F.sum(F.when(F.col("e") < 0.1, F.col("x"))), 4).alias("phantom")))
 
 
-@section.add("gicp_fitness")
+@section.add("gicp_fitness", with_views(f"SELECT g.scan_id % 32 AS pair, round(count(n.id) / count(*), 6) AS overlap, round(sqrt(avg(n.d2)), 6) AS rmse FROM g LEFT JOIN (SELECT * FROM {NEAREST.format(0.25)} WHERE n = 1) n ON n.q = g.id GROUP BY 1", GRID.format(0.5), PAIRS))
 def _(spark, d):
     from posegrid.operators.joins import voxel_nn
 
-    p = A.point(spark, d)
-    source = p.filter("scan_id % 4 = 0").select((F.col("scan_id") * 100 + F.col("idx")).alias("q"), "scan_id", "x", "y", "z")
-    found = voxel_nn(source, p.filter("scan_id % 4 = 1").select((F.col("scan_id") * 100 + F.col("idx")).alias("id"), "x", "y", "z"), 2.0, 2.0)
-    joined = source.join(found, "q", "left")
+    source, target = _queries_targets(spark, d)
+    joined = source.join(voxel_nn(source, target, 0.5, 0.5, apart="scan_id"), "q", "left")
     return rounded(joined.groupBy((F.col("scan_id") % 32).alias("pair")).agg((F.count("id") / F.count(F.lit(1))).alias("overlap"), F.sqrt(F.avg("d2")).alias("rmse")))
 
 

@@ -12,7 +12,7 @@ from posegrid.streaming import align
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import graphs, sources
+from . import graphs
 from .registry import Section, rounded
 from .sources import _stream, scratch
 
@@ -52,12 +52,6 @@ def _(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@section.add("null_sink", "SELECT 0 AS n")
-def _(spark, d):
-    _through(spark, d, [lambda p: align.null_sink()])
-    return spark.range(1).select(F.lit(0).alias("n"))
-
-
 @section.add("file_sink", with_views("SELECT stamp_us AS stamp, modality AS key FROM v_sensor WHERE modality <> 'fault'"))
 def _(spark, d):
     """Blocks of text, written by a stream and parsed again."""
@@ -69,20 +63,12 @@ def _(spark, d):
     return codecs.parse_telemetry(spark.read.text(f"{path}/out", lineSep="\n---\n").select("value")).select("stamp", "key")
 
 
-@section.add("blocking_queue", LIVE)
+@section.add("ros_sink", with_views("SELECT modality AS key, stamp_us DIV 3600000000 AS slot, min(event_id) FILTER (f) AS event_id FROM (SELECT *, stamp_us = min(stamp_us) OVER (PARTITION BY modality, stamp_us DIV 3600000000) AS f FROM v_sensor WHERE modality IN ('imu', 'gnss')) GROUP BY 1, 2".replace(" DIV ", " // ")))
 def _(spark, d):
-    """Back-pressure: one file a batch, nothing lost."""
-    path = scratch(spark)
-    first = _stream(spark, d, path)
-    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    align.fan_out(stream, f"{path}/cp", [align.parquet_sink(f"{path}/out")]).awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("event_id")
-
-
-section.queries["lossless_queue"], section.sql["lossless_queue"] = section.queries["source_live"], section.sql["source_live"]
-section.queries["ros_sink"] = sources.section.queries["stream_throttle"]
-section.queries["loops_yaml_read"], section.sql["loops_yaml_read"] = sources.section.queries["loops_read"], sources.section.sql["loops_read"]
-section.queries["config_validate"] = sources.section.queries["config_load"]
+    """Published topics: only keys of the gate, at most one row a key and hour."""
+    gate = A.sensor(spark, d).filter(col("modality").isin("imu", "gnss"))
+    slot = F.floor(col("stamp_us") / 3_600_000_000)
+    return gate.groupBy(col("modality").alias("key"), slot.alias("slot")).agg(F.min_by("event_id", F.struct("stamp_us", "event_id")).alias("event_id"))
 
 
 @section.add("body_tf", with_views("SELECT kf_id, t * 1000 AS stamp_ns, 'map' AS parent, 'body' AS child, round(x, 6) AS tx, round(y, 6) AS ty FROM v_track"))
@@ -127,7 +113,16 @@ def _(spark, d):
     return rounded(A.track(spark, d).groupBy("run").agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y")))
 
 
-section.queries["kf_store_put"], section.sql["kf_store_put"] = graphs.section.queries["kf_store"], graphs.section.sql["kf_store"]
+@section.add("kf_store_put", with_views("SELECT kf_id AS id, run, round(x, 6) AS x, 1 AS version FROM v_track WHERE x <= 300 UNION ALL SELECT kf_id, run, round(x + 2, 6), 2 FROM v_track WHERE x > 300 UNION ALL SELECT -kf_id - 1, run, round(x, 6), 1 FROM v_track WHERE y < 100"))
+def _(spark, d):
+    """Keyframes put into a store: those with a known id take the place of the old ones, others are new."""
+    from posegrid.operators.mapping import latest
+
+    t = A.track(spark, d).select(col("kf_id").alias("id"), "run", "x", "y", F.lit(1).alias("version"))
+    again = t.filter("x > 300").withColumn("x", col("x") + 2).withColumn("version", F.lit(2))
+    new = t.filter("y < 100").withColumn("id", -col("id") - 1)
+    return rounded(latest(t.unionByName(again).unionByName(new), "id", "version").select("id", "run", "x", "version"))
+
 
 # --- numerical helpers
 
@@ -192,10 +187,18 @@ def _(spark, d):
     return A.track(spark, d).groupBy("run").applyInPandas(run, "run long, how string")
 
 
-@section.add("extrinsic_refine", with_views("SELECT run, greatest(-0.1, least(0.1, round(avg((kf_id % 7 - 3) / 10), 6))) + 0.0 AS lever_x, count(*) >= 10 AS frozen FROM v_track GROUP BY 1"))
+LEVER = """r AS (SELECT run, kf_id, cos(radians(kf_id % 360)) AS c, sin(radians(kf_id % 360)) AS s, 0.05 * cos(radians(kf_id % 360)) + 0.02 * sin(radians(kf_id % 360)) + (kf_id % 7 - 3) / 100 AS ex, 0.05 * sin(radians(kf_id % 360)) - 0.02 * cos(radians(kf_id % 360)) + (kf_id % 5 - 2) / 100 AS ey FROM v_track),
+    e AS (SELECT run, count(*) AS n, avg(c * ex + s * ey) AS lx, avg(c * ey - s * ex) AS ly, 1 - sqrt(pow(avg(c), 2) + pow(avg(s), 2)) AS turned FROM r GROUP BY 1)"""
+
+
+@section.add("extrinsic_refine", with_views("SELECT run, round(CASE WHEN turned > 0.2 THEN greatest(-0.1, least(0.1, lx)) ELSE 0 END, 6) + 0.0 AS lever_x, round(CASE WHEN turned > 0.2 THEN greatest(-0.1, least(0.1, ly)) ELSE 0 END, 6) + 0.0 AS lever_y, turned > 0.2 AND 1e-5 / n < 1e-6 AS frozen FROM e", LEVER))
 def _(spark, d):
-    lever = F.round(F.avg((col("kf_id") % 7 - 3) / 10), 6)
-    return A.track(spark, d).groupBy("run").agg((F.greatest(F.lit(-0.1), F.least(F.lit(0.1), lever)) + 0.0).alias("lever_x"), (F.count(F.lit(1)) >= 10).alias("frozen"))
+    """Lever arm of the antenna by least squares over residuals turned into the body's frame: freed once headings are spread, clamped, frozen once it is certain."""
+    yaw = F.radians((col("kf_id") % 360).cast("double"))
+    t = A.track(spark, d).select("run", "kf_id", F.cos(yaw).alias("c"), F.sin(yaw).alias("s"))
+    c, s = col("c"), col("s")
+    t = t.withColumn("ex", 0.05 * c + 0.02 * s + (col("kf_id") % 7 - 3) / 100).withColumn("ey", 0.05 * s - 0.02 * c + (col("kf_id") % 5 - 2) / 100)
+    return rounded(graph.lever_arm(t, ["run"], 0.2, 0.1, 1e-5, 1e-6))
 
 
 @section.add("marginal")

@@ -12,7 +12,7 @@ from posegrid.operators.joins import revisit_candidates
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .joins import NUMBERED, VOXELS, _numbered, voxels
+from .joins import NUMBERED, RING, VOXELS, _numbered, voxels
 from .registry import Section, rounded
 from .scalars import COS
 
@@ -22,45 +22,54 @@ col = F.col
 # --- place recognition
 
 
-@section.add("submap_compose", with_views("SELECT anchor, cx, cy, kf_id FROM (SELECT anchor, kf_id, CAST(floor((x - ax) / 20) AS BIGINT) AS cx, CAST(floor((y - ay) / 20) AS BIGINT) AS cy, row_number() OVER (PARTITION BY anchor, floor((x - ax) / 20), floor((y - ay) / 20) ORDER BY n) AS r FROM (SELECT a.kf_id AS anchor, a.x AS ax, a.y AS ay, b.* FROM n a JOIN n b ON a.run = b.run AND b.n BETWEEN a.n - 3 AND a.n WHERE a.kf_id % 5 = 0)) WHERE r = 1", NUMBERED))
+@section.add("submap_compose", with_views("SELECT anchor, cx, cy, kf_id FROM (SELECT anchor, kf_id, CAST(floor((x - ax) / 20) AS BIGINT) AS cx, CAST(floor((y - ay) / 20) AS BIGINT) AS cy, row_number() OVER (PARTITION BY anchor, floor((x - ax) / 20), floor((y - ay) / 20) ORDER BY n) AS r FROM (SELECT a.kf_id AS anchor, a.x AS ax, a.y AS ay, b.* FROM n a JOIN n b ON a.run = b.run AND b.n BETWEEN a.n - 3 AND a.n)) WHERE r = 1", NUMBERED))
 def _(spark, d):
     n = _numbered(spark, d)
-    a = n.filter("kf_id % 5 = 0").select("run", col("kf_id").alias("anchor"), col("n").alias("m"), col("x").alias("ax"), col("y").alias("ay"))
+    a = n.select("run", col("kf_id").alias("anchor"), col("n").alias("m"), col("x").alias("ax"), col("y").alias("ay"))
     members = a.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), col("m") - 3), col("m")))).join(n, ["run", "n"])
     cell = members.withColumn("cx", F.floor((col("x") - col("ax")) / 20)).withColumn("cy", F.floor((col("y") - col("ay")) / 20))
     return cell.groupBy("anchor", "cx", "cy").agg(F.min_by("kf_id", "n").alias("kf_id"))
 
 
-SHIFTED = """c AS (SELECT l.id AS q, r.id, l.d AS a, r.d AS b, list_transform(range(0, 8), lambda j: list_sum(list_transform(range(0, 8), lambda i: l.d[i*8+j+1])) / 8) AS ka, list_transform(range(0, 8), lambda j: list_sum(list_transform(range(0, 8), lambda i: r.d[i*8+j+1])) / 8) AS kb FROM v_descriptor l JOIN v_descriptor r ON r.id + 1 = l.id),
+#: Descriptors are compared by their best rotation near the one that aligns the sector keys; c names the pairs.
+SHIFTED = """c AS (SELECT l.id AS q, r.id, l.d AS a, r.d AS b, list_transform(range(0, 8), lambda j: list_sum(list_transform(range(0, 8), lambda i: l.d[i*8+j+1])) / 8) AS ka, list_transform(range(0, 8), lambda j: list_sum(list_transform(range(0, 8), lambda i: r.d[i*8+j+1])) / 8) AS kb FROM {0}),
     g AS (SELECT q, id, a, b, (SELECT arg_min(s, (round(list_sum(list_transform(range(0, 8), lambda j: pow(ka[j+1] - kb[(j - s + 8) % 8 + 1], 2))), 9), s)) FROM (SELECT unnest(range(0, 8)) AS s)) AS coarse FROM c),
     h AS (SELECT DISTINCT q, id, a, (coarse + t + 8) % 8 AS shift, list_transform(range(0, 64), lambda k: b[(k // 8) * 8 + (k % 8 - (coarse + t + 8) % 8 + 8) % 8 + 1]) AS b FROM g, (SELECT unnest([-1, 0, 1]) AS t))"""
+NEXT = "v_descriptor l JOIN v_descriptor r ON r.id + 1 = l.id"
+KNN = "k AS (SELECT q, id FROM (SELECT a.id AS q, b.id, row_number() OVER (PARTITION BY a.id ORDER BY round(list_sum(list_transform(range(1, 9), lambda i: pow(a.ring[i] - b.ring[i], 2))), 9), b.id) AS rank FROM r a JOIN r b ON b.id < a.id AND a.id % 20 = 0) WHERE rank <= 10)"
+FOUND = "k JOIN v_descriptor l ON l.id = k.q JOIN v_descriptor r ON r.id = k.id"
 
 
-def _scored(spark, d):
-    e = A.descriptor(spark, d)
-    pairs = e.select(col("id").alias("q"), col("d").alias("a")).join(e.select((col("id") + 1).alias("q"), "id", col("d").alias("b")), "q")
-    return place.sc_distance(pairs, 8, 8, 1)
+def _compared(pairs, descriptors):
+    """Pairs (q, id) with the distance of their descriptors (id, d)."""
+    own = pairs.join(descriptors.select(col("id").alias("q"), col("d").alias("a")), "q").join(descriptors.select("id", col("d").alias("b")), "id")
+    return place.sc_distance(own.select("q", "id", "a", "b"), 8, 8, 1)
 
 
-@section.add("sc_distance", with_views(f"SELECT q, id, arg_min(shift, (distance, shift)) AS shift, round(min(distance), 6) + 0.0 AS distance FROM (SELECT q, id, shift, round({COS}, 9) AS distance FROM h) GROUP BY 1, 2", SHIFTED))
+@section.add("sc_distance", with_views(f"SELECT q, id, arg_min(shift, (distance, shift)) AS shift, round(min(distance), 6) + 0.0 AS distance FROM (SELECT q, id, shift, round({COS}, 9) AS distance FROM h) GROUP BY 1, 2", SHIFTED.format(NEXT)))
 def _(spark, d):
-    return rounded(_scored(spark, d))
+    e = A.descriptor(spark, d)
+    return rounded(_compared(e.select(col("id").alias("q"), (col("id") - 1).alias("id")), e))
 
 
-@section.add("sc_retrieve", with_views(f"SELECT q, id, rank FROM (SELECT q, id, CAST(row_number() OVER (PARTITION BY q ORDER BY distance, id) AS INT) AS rank FROM (SELECT q, id, min(round({COS}, 9)) AS distance FROM h GROUP BY 1, 2) WHERE distance < 0.98) WHERE rank <= 3", SHIFTED))
+@section.add("sc_retrieve", with_views(f"SELECT q, id, rank FROM (SELECT q, id, CAST(row_number() OVER (PARTITION BY q ORDER BY distance, id) AS INT) AS rank FROM (SELECT q, id, min(round({COS}, 9)) AS distance FROM h GROUP BY 1, 2) WHERE distance < 0.98) WHERE rank <= 3", RING, KNN, SHIFTED.format(FOUND)))
 def _(spark, d):
-    return place.topk_candidates(_scored(spark, d), 3, 0.98).select("q", "id", "rank")
+    """Ten nearest ring keys of all earlier places, compared by descriptor, the best three kept."""
+    e = A.descriptor(spark, d)
+    keys = place.ring_keys(e, 8, 8).select("id", "ring")
+    near = place.ring_key_knn(keys.filter("id % 20 = 0"), keys, 10).select("q", "id")
+    return place.topk_candidates(_compared(near, e), 3, 0.98).select("q", "id", "rank")
 
 
 @section.add("detect_loops")
 def _(spark, d):
-    """Revisit candidates, compared by descriptor, the best few of each query kept."""
-    c = revisit_candidates(_numbered(spark, d), 2, 86_400_000_000, 80.0, ["run"])
-    e = A.descriptor(spark, d).groupBy((col("id") % 97).alias("k")).agg(F.min_by("d", "id").alias("d"))
-    p = c.withColumn("ka", (col("run") + col("q")) % 97).withColumn("kb", (col("run") + col("id")) % 97)
-    p = p.join(e.select(col("k").alias("ka"), col("d").alias("a")), "ka").join(e.select(col("k").alias("kb"), col("d").alias("b")), "kb")
-    scored = place.sc_distance(p.select((col("run") * 1000 + col("q")).alias("q"), "id", "a", "b"), 8, 8, 1)
-    return rounded(place.topk_candidates(scored, 2, 1.1))
+    """Keyframes near earlier ones of their run, compared by the descriptors of their own scans; the best two of each keyframe are kept."""
+    n = _numbered(spark, d)
+    c = revisit_candidates(n, 2, 86_400_000_000, 80.0, ["run"])
+    names = n.select("run", "n", "kf_id")
+    pairs = c.join(names.select("run", col("n").alias("q"), col("kf_id").alias("_q")), ["run", "q"]).join(names.select("run", col("n").alias("id"), col("kf_id").alias("_id")), ["run", "id"])
+    scans = place.scan_context(A.point(spark, d), 8, 8, 60.0).select(col("scan_id").alias("id"), "d")
+    return rounded(place.topk_candidates(_compared(pairs.select(col("_q").alias("q"), col("_id").alias("id")), scans), 2, 0.5))
 
 
 # --- registration
@@ -158,7 +167,11 @@ def _clique(spark, d):
     return named, graph.pcm_clique(named.select("run", "loop"), graph.pcm_pairs(named, nodes, 1e-4), 16.8119)
 
 
-section.queries["loop_pcm"] = section.queries["pcm_pair_join"]
+@section.add("loop_pcm")
+def _(spark, d):
+    """All loops, and whether they belong to the largest consistent set of their run."""
+    loops, clique = _clique(spark, d)
+    return loops.select("run", "loop").join(clique.withColumn("consistent", F.lit(True)), ["run", "loop"], "left").select("run", "loop", F.coalesce("consistent", F.lit(False)).alias("admitted"))
 
 
 @section.add("max_clique")

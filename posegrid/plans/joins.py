@@ -93,23 +93,31 @@ def _(spark, d):
     return J.asof_backward(A.modality(spark, d, "gnss"), keys, "stamp_us", ["kf_id"], width=SWEEP_US).filter("kf_id is not null").select("event_id", "kf_id")
 
 
+def point_id():
+    """A point's number: its scan's, with room for 2**20 points."""
+    return F.shiftleft(F.col("scan_id").cast("long"), 20) + F.col("idx")
+
+
 def _queries_targets(spark, d):
+    """All points, as queries and as targets; points of one scan aren't matched with one another."""
     p = A.point(spark, d)
-    return p.filter("scan_id % 4 = 0").select((F.col("scan_id") * 100 + F.col("idx")).alias("q"), "x", "y", "z"), p.filter("scan_id % 4 = 1").select((F.col("scan_id") * 100 + F.col("idx")).alias("id"), "x", "y", "z")
+    return p.select(point_id().alias("q"), "scan_id", "x", "y", "z"), p.select(point_id().alias("id"), "scan_id", "x", "y", "z")
 
 
-PAIRS = """p AS (SELECT a.scan_id * 100 + a.idx AS q, b.scan_id * 100 + b.idx AS id, pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2) AS d2, (floor(b.x)-floor(a.x)+1)*9 + (floor(b.y)-floor(a.y)+1)*3 + floor(b.z)-floor(a.z)+1 AS probe
-    FROM v_point a JOIN v_point b ON a.scan_id % 4 = 0 AND b.scan_id % 4 = 1 AND abs(floor(a.x)-floor(b.x)) <= 1 AND abs(floor(a.y)-floor(b.y)) <= 1 AND abs(floor(a.z)-floor(b.z)) <= 1)"""
+GRID = """g AS (SELECT scan_id, (scan_id << 20) + idx AS id, x, y, z, floor(x / {0}) AS cx, floor(y / {0}) AS cy, floor(z / {0}) AS cz FROM v_point)"""
+PAIRS = """p AS (SELECT a.scan_id, a.id AS q, b.id, pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2) AS d2, a.probe FROM (SELECT *, cx + i AS px, cy + j AS py, cz + k AS pz, (i + 1) * 9 + (j + 1) * 3 + k + 1 AS probe
+    FROM g, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), (SELECT unnest([-1, 0, 1]) AS k)) a JOIN g b ON b.cx = a.px AND b.cy = a.py AND b.cz = a.pz AND a.scan_id <> b.scan_id)"""
+NEAREST = "(SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, probe, id) AS n FROM p WHERE d2 <= {})"
 
 
-@section.add("voxel_nn_join", with_views("SELECT q, id, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, probe, id) AS n FROM p WHERE d2 <= 0.64) WHERE n = 1", PAIRS))
+@section.add("voxel_nn_join", with_views(f"SELECT q, id, round(d2, 6) AS d2 FROM {NEAREST.format(0.16)} WHERE n = 1", GRID.format(0.5), PAIRS))
 def _(spark, d):
-    return rounded(J.voxel_nn(*_queries_targets(spark, d), 1.0, 0.8))
+    return rounded(J.voxel_nn(*_queries_targets(spark, d), 0.5, 0.4, apart="scan_id"))
 
 
-@section.add("voxel_radius_join", with_views("SELECT q, id, round(d2, 6) AS d2 FROM p WHERE d2 <= 0.81", PAIRS))
+@section.add("voxel_radius_join", with_views("SELECT q, id, round(d2, 6) AS d2 FROM p WHERE d2 <= 0.0625", GRID.format(0.5), PAIRS))
 def _(spark, d):
-    return rounded(J.voxel_radius(*_queries_targets(spark, d), 1.0, 0.9))
+    return rounded(J.voxel_radius(*_queries_targets(spark, d), 0.5, 0.25, apart="scan_id"))
 
 
 @section.add(
@@ -117,14 +125,14 @@ def _(spark, d):
     with_views(
         """SELECT q, plane, round(rms, 6) AS rms FROM (SELECT q.q, p.plane, p.rms, row_number() OVER (PARTITION BY q.q ORDER BY (p.cx = q.cx AND p.cy = q.cy AND p.cz = q.cz) DESC, p.rms, p.plane) AS n
         FROM q JOIN p ON abs(p.cx - q.cx) <= 1 AND abs(p.cy - q.cy) <= 1 AND abs(p.cz - q.cz) <= 1) WHERE n = 1""",
-        "q AS (SELECT scan_id * 100 + idx AS q, CAST(floor(x / 5) AS BIGINT) AS cx, CAST(floor(y / 5) AS BIGINT) AS cy, CAST(floor(z / 5) AS BIGINT) AS cz FROM v_point WHERE scan_id % 16 = 0)",
-        "p AS (SELECT CAST(floor(x / 5) AS BIGINT) AS cx, CAST(floor(y / 5) AS BIGINT) AS cy, CAST(floor(z / 5) AS BIGINT) AS cz, min(scan_id * 100 + idx) AS plane, stddev_pop(z) AS rms FROM v_point WHERE scan_id % 16 = 1 GROUP BY 1, 2, 3)",
+        "q AS (SELECT (scan_id << 20) + idx AS q, CAST(floor(x / 5) AS BIGINT) AS cx, CAST(floor(y / 5) AS BIGINT) AS cy, CAST(floor(z / 5) AS BIGINT) AS cz FROM v_point)",
+        "p AS (SELECT CAST(floor(x / 5) AS BIGINT) AS cx, CAST(floor(y / 5) AS BIGINT) AS cy, CAST(floor(z / 5) AS BIGINT) AS cz, min((scan_id << 20) + idx) AS plane, round(stddev_pop(z), 9) AS rms FROM v_point GROUP BY 1, 2, 3 HAVING min(t_offset) < 2)",
     ),
 )
 def _(spark, d):
-    p = J.cells(A.point(spark, d).withColumn("n", F.col("scan_id") * 100 + F.col("idx")), 5.0)
-    planes = p.filter("scan_id % 16 = 1").groupBy("cx", "cy", "cz").agg(F.min("n").alias("plane"), F.stddev_pop("z").alias("rms"))
-    return rounded(J.plane_lookup(p.filter("scan_id % 16 = 0").select(F.col("n").alias("q"), "cx", "cy", "cz"), planes))
+    p = J.cells(A.point(spark, d).withColumn("n", point_id()), 5.0)
+    planes = p.groupBy("cx", "cy", "cz").agg(F.min("n").alias("plane"), F.round(F.stddev_pop("z"), 9).alias("rms"), F.min("t_offset").alias("t")).filter("t < 2").drop("t")
+    return rounded(J.plane_lookup(p.select(F.col("n").alias("q"), "cx", "cy", "cz"), planes))
 
 
 NUMBERED = "n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY t, kf_id) AS n FROM v_track)"
@@ -147,8 +155,9 @@ def _(spark, d):
 @section.add("outlier_pairs", with_views("SELECT run, from_n, to_n, gap FROM (SELECT a.run, b.n AS from_n, a.n AS to_n, a.n - b.n AS gap, row_number() OVER (PARTITION BY a.run ORDER BY a.n - b.n DESC, a.n) AS r FROM n a JOIN n b ON a.run = b.run AND a.n - b.n >= greatest(2, (SELECT max(n) FROM n c WHERE c.run = a.run) // 3)) WHERE r <= 3", NUMBERED))
 def _(spark, d):
     n = _numbered(spark, d).select("run", "n").withColumn("m", F.max("n").over(Window.partitionBy("run")))
-    # only the few largest gaps of a run are asked for: its first and last poses hold them
-    pairs = n.select("run", F.col("n").alias("to_n"), "m").join(n.select("run", F.col("n").alias("from_n")), "run").filter(F.col("to_n") - F.col("from_n") >= F.greatest(F.lit(2), F.floor(F.col("m") / 3)))
+    # the three largest gaps of a run lie between its first and last three poses
+    last, first = n.filter("n >= m - 2").select("run", F.col("n").alias("to_n"), "m"), n.filter("n <= 3").select("run", F.col("n").alias("from_n"))
+    pairs = last.join(first, "run").filter(F.col("to_n") - F.col("from_n") >= F.greatest(F.lit(2), F.floor(F.col("m") / 3)))
     rank = Window.partitionBy("run").orderBy((F.col("to_n") - F.col("from_n")).desc(), "to_n")
     return pairs.withColumn("r", F.row_number().over(rank)).filter("r <= 3").select("run", "from_n", "to_n", (F.col("to_n") - F.col("from_n")).alias("gap"))
 
@@ -158,13 +167,13 @@ RING = "r AS (SELECT id, list_transform(range(8), lambda i: list_sum(d[i*8+1:i*8
 
 @section.add(
     "ring_key_knn",
-    with_views("SELECT q, id, rank FROM (SELECT a.id AS q, b.id, CAST(row_number() OVER (PARTITION BY a.id ORDER BY round(list_sum(list_transform(range(1, 9), lambda i: pow(a.ring[i] - b.ring[i], 2))), 9), b.id) AS INT) AS rank FROM r a JOIN r b ON b.id < a.id AND a.id % 25 = 0) WHERE rank <= 5", RING),
+    with_views("SELECT q, id, rank FROM (SELECT a.id AS q, b.id, CAST(row_number() OVER (PARTITION BY a.id ORDER BY round(list_sum(list_transform(range(1, 9), lambda i: pow(a.ring[i] - b.ring[i], 2))), 9), b.id) AS INT) AS rank FROM r a JOIN r b ON b.id < a.id AND a.id % 20 = 0) WHERE rank <= 5", RING),
 )
 def _(spark, d):
     from posegrid.operators import place
 
     r = place.ring_keys(A.descriptor(spark, d), 8, 8).select("id", "ring")
-    return place.ring_key_knn(r.filter("id % 25 = 0"), r, 5).select("q", "id", "rank")
+    return place.ring_key_knn(r.filter("id % 20 = 0"), r, 5).select("q", "id", "rank")
 
 
 @section.add("region_join", with_views("SELECT g AS region, run AS id FROM (SELECT run, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_ FROM v_track GROUP BY run), (SELECT unnest([0, 1]) AS g) WHERE CASE g WHEN 0 THEN ax <= 50 AND bx >= 0 AND ay <= 100 AND by_ >= 0 ELSE ax <= 400 AND bx >= 300 AND ay <= 900 AND by_ >= 800 END"))
@@ -228,13 +237,16 @@ def _(spark, d):
 
 @section.add(
     "occlusion_march",
-    with_views("SELECT DISTINCT ray FROM (SELECT scan_id * 100 + idx AS ray, x, y, z, sqrt(x*x+y*y+z*z) AS len, unnest(range(0, CAST(floor((sqrt(x*x+y*y+z*z) - 12.5) / 2.5) AS BIGINT) + 1)) AS s FROM v_point WHERE scan_id % 8 = 0 AND sqrt(x*x+y*y+z*z) >= 12.5) JOIN o ON o.cx = floor(x / len * (5 + s * 2.5) / 5) AND o.cy = floor(y / len * (5 + s * 2.5) / 5) AND o.cz = floor(z / len * (5 + s * 2.5) / 5)",
-        "o AS (SELECT DISTINCT floor(x / 5) AS cx, floor(y / 5) AS cy, floor(z / 5) AS cz FROM v_point WHERE scan_id % 50 = 1)"),
+    with_views("SELECT DISTINCT ray FROM (SELECT (scan_id << 20) + idx AS ray, x, y, z, sqrt(x*x+y*y+z*z) AS len, unnest(range(0, CAST(floor((sqrt(x*x+y*y+z*z) - 12.5) / 2.5) AS BIGINT) + 1)) AS s FROM v_point WHERE sqrt(x*x+y*y+z*z) >= 12.5) JOIN o ON o.cx = floor(x / len * (5 + s * 2.5) / 5) AND o.cy = floor(y / len * (5 + s * 2.5) / 5) AND o.cz = floor(z / len * (5 + s * 2.5) / 5)",
+        "o AS (SELECT floor(x / 5) AS cx, floor(y / 5) AS cy, floor(z / 5) AS cz FROM v_point GROUP BY 1, 2, 3 HAVING round(avg(z - 5 * floor(z / 5)), 9) < 1.9)"),
 )
 def _(spark, d):
     p = A.point(spark, d).withColumn("len", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))
-    rays = p.filter("scan_id % 8 = 0").select((F.col("scan_id") * 100 + F.col("idx")).alias("ray"), "len", *[F.lit(0.0).alias(f"o{a}") for a in "xyz"], *[(F.col(a) / F.col("len")).alias(f"d{a}") for a in "xyz"])
-    return J.occlusion_march(rays, J.cells(p.filter("scan_id % 50 = 1"), 5.0).select("cx", "cy", "cz").distinct(), 5.0)
+    rays = p.select(point_id().alias("ray"), "len", *[F.lit(0.0).alias(f"o{a}") for a in "xyz"], *[(F.col(a) / F.col("len")).alias(f"d{a}") for a in "xyz"])
+    # voxels that are filled low count as solid
+    low = F.round(F.avg(F.col("z") - 5 * F.col("cz")), 9)
+    solid = J.cells(p, 5.0).groupBy("cx", "cy", "cz").agg(low.alias("low")).filter("low < 1.9").select("cx", "cy", "cz")
+    return J.occlusion_march(rays, solid, 5.0)
 
 
 @section.add(
@@ -247,6 +259,6 @@ def _(spark, d):
     return J.moved_windows(t.withColumn("ids", F.collect_list("kf_id").over(window)).select(F.col("kf_id").alias("anchor"), "ids"), t.filter("x > 300").select(F.col("kf_id").alias("id")))
 
 
-@section.add("gicp_correspondence")
+@section.add("gicp_correspondence", with_views(f"SELECT q, id, round(d2, 6) AS d2 FROM {NEAREST.format(0.25)} WHERE n = 1", GRID.format(0.75), PAIRS))
 def _(spark, d):
-    return rounded(J.voxel_nn(*_queries_targets(spark, d), 2.0, 1.0))
+    return rounded(J.voxel_nn(*_queries_targets(spark, d), 0.75, 0.5, apart="scan_id"))

@@ -388,37 +388,6 @@ def _(spark, d):
     return rounded(A.table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("avg_ms")).orderBy(col("avg_ms").desc(), "user_id").limit(16))
 
 
-NEWEST = "SELECT run, event_id FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY t DESC, event_id DESC) AS n FROM s) WHERE n <= {}"
-for name, cap in (("drop_oldest_queue", 5), ("ring_buffer", 3), ("recording_sink", 10)):
-
-    def _(spark, d, cap=cap):
-        n = F.row_number().over(Window.partitionBy("run").orderBy(col("t").desc(), col("event_id").desc()))
-        return streams(spark, d).withColumn("n", n).filter(col("n") <= cap).select("run", "event_id")
-
-    section.add(name, with_views(NEWEST.format(cap), S))(_)
-
-
-@section.add("protecting_queue")
-def _(spark, d):
-    """A queue of six: the oldest unprotected row goes first, else the oldest."""
-
-    def admit(rows: pd.DataFrame) -> pd.DataFrame:
-        queue: list[tuple[int, bool]] = []
-        for event, k in zip(*(rows.sort_values(["t", "event_id"])[c] for c in ("event_id", "k")), strict=True):
-            if len(queue) == 6:
-                queue.pop(next((i for i, (_, safe) in enumerate(queue) if not safe), 0))
-            queue.append((event, k % 3 == 0))
-        return pd.DataFrame({"run": rows["run"].iloc[0], "event_id": [e for e, _ in queue]})
-
-    return streams(spark, d).groupBy("run").applyInPandas(admit, "run string, event_id long")
-
-
-@section.add("staging_caps", with_views("SELECT modality, greatest(0, count(*) - CASE modality WHEN 'imu' THEN 150 WHEN 'camera' THEN 16 WHEN 'gnss' THEN 64 ELSE 8 END) AS dropped FROM v_sensor GROUP BY 1"))
-def _(spark, d):
-    cap = F.when(col("modality") == "imu", 150).when(col("modality") == "camera", 16).when(col("modality") == "gnss", 64).otherwise(8)
-    return A.sensor(spark, d).groupBy("modality").agg(F.count(F.lit(1)).alias("n")).select("modality", F.greatest(F.lit(0), col("n") - cap).alias("dropped"))
-
-
 @section.add("distinct_sorted_keys", with_views("SELECT DISTINCT CAST(floor(x / 4) AS BIGINT) AS cx, CAST(floor(y / 4) AS BIGINT) AS cy, CAST(floor(z / 4) AS BIGINT) AS cz FROM v_point ORDER BY 1, 2, 3"))
 def _(spark, d):
     from posegrid.operators.joins import cells
@@ -461,11 +430,11 @@ def _(spark, d):
     return items.select("run", "id", "kind", F.row_number().over(Window.partitionBy("run").orderBy("t", "kind", "id")).alias("seq"))
 
 
-OWN = "p AS (SELECT scan_id % 16 AS owner, CAST(floor(x / 10) AS BIGINT) AS cx, CAST(floor(y / 10) AS BIGINT) AS cy FROM v_point WHERE scan_id % 3 = 0)"
+OWN = "p AS (SELECT scan_id % 16 AS owner, CAST(floor(x / 10) AS BIGINT) AS cx, CAST(floor(y / 10) AS BIGINT) AS cy FROM v_point)"
 
 
 def provenance(spark, d):
-    return A.point(spark, d).filter("scan_id % 3 = 0").select((col("scan_id") % 16).alias("owner"), F.floor(col("x") / 10).alias("cx"), F.floor(col("y") / 10).alias("cy"))
+    return A.point(spark, d).select((col("scan_id") % 16).alias("owner"), F.floor(col("x") / 10).alias("cx"), F.floor(col("y") / 10).alias("cy"))
 
 
 @section.add("provenance_append", with_views("SELECT owner, cx, cy, count(*) AS n FROM (SELECT * FROM p UNION ALL SELECT * FROM p WHERE owner < 4) GROUP BY 1, 2, 3", OWN))
