@@ -194,16 +194,19 @@ def _(spark, d):
     return rounded(G.ate_stats(errors(spark, d), ["run"]))
 
 
-@section.add("umeyama_align")
+FIT = """a AS (SELECT run, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(gx) AS mgx, avg(gy) AS mgy, atan2(avg(x*gy-y*gx)-(avg(x)*avg(gy)-avg(y)*avg(gx)), avg(x*gx+y*gy)-(avg(x)*avg(gx)+avg(y)*avg(gy))) AS yaw FROM g GROUP BY 1)"""
+GT = "g AS (SELECT *, y + ex AS gx, -x + ey AS gy FROM e)"
+
+
+ALIGNED = ", ".join(f"round({v}, 5) + 0.0 AS {n}" for n, v in {"r0": "cos(yaw)", "r1": "-sin(yaw)", "r2": "0.0", "r3": "sin(yaw)", "r4": "cos(yaw)", "r5": "0.0", "r6": "0.0", "r7": "0.0", "r8": "1.0", "t0": "mgx - cos(yaw)*mx + sin(yaw)*my", "t1": "mgy - sin(yaw)*mx - cos(yaw)*my", "t2": "1.0"}.items())
+
+
+@section.add("umeyama_align", with_views(f"SELECT run, n, {ALIGNED} FROM a WHERE n >= 3", ERR, GT, FIT))
 def _(spark, d):
     p = errors(spark, d).select("run", "x", "y", F.lit(0.0).alias("z"), (F.col("y") + F.col("ex")).alias("gx"), (-F.col("x") + F.col("ey")).alias("gy"), F.lit(1.0).alias("gz"))
     return rounded(G.umeyama_align(p, ["run"]).filter("n >= 3").select("run", "n", *[F.col("r")[i].alias(f"r{i}") for i in range(9)], *[F.col("t")[i].alias(f"t{i}") for i in range(3)]), 5)
 
 
-FIT = """a AS (SELECT run, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(gx) AS mgx, avg(gy) AS mgy, atan2(avg(x*gy-y*gx)-(avg(x)*avg(gy)-avg(y)*avg(gx)), avg(x*gx+y*gy)-(avg(x)*avg(gx)+avg(y)*avg(gy))) AS yaw FROM g GROUP BY 1)"""
-GT = "g AS (SELECT *, y + ex AS gx, -x + ey AS gy FROM e)"
-
-
 @section.add("datum_fit", with_views("SELECT run, n, round(yaw, 6) AS yaw, round(mgx - cos(yaw)*mx + sin(yaw)*my, 5) AS tx, round(mgy - sin(yaw)*mx - cos(yaw)*my, 5) AS ty FROM a WHERE n >= 5", ERR, GT, FIT))
 def _(spark, d):
     p = errors(spark, d).withColumn("gx", F.col("y") + F.col("ex")).withColumn("gy", -F.col("x") + F.col("ey"))
@@ -282,7 +285,7 @@ def _(spark, d):
     return rounded(G.range_image(A.point(spark, d), 16, 90, -5.0, 45.0, ["scan_id"]))
 
 
-@section.add("observability_score")
+@section.add("observability_score", with_views("SELECT scan_id, " + ", ".join(f"round(h{i} / (h{i} + 0.01), 6) + 0.0 AS s{i}" for i in range(6)) + " FROM (SELECT scan_id, 1.0 AS h0, 1.0 AS h1, 1.0 AS h2, avg(y*y + z*z) AS h3, avg(x*x + z*z) AS h4, avg(x*x + y*y) AS h5 FROM v_point GROUP BY 1 HAVING count(*) >= 5)"))
 def _(spark, d):
     p = A.point(spark, d).select("scan_id", *[F.col(a).alias(f"p{a}") for a in "xyz"], F.lit(0.0).alias("rx"), F.lit(0.0).alias("ry"), F.lit(0.0).alias("rz"))
     g = G.normal_equations(p, ["scan_id"]).filter("n >= 5")

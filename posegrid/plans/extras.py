@@ -7,7 +7,7 @@ import pandas as pd
 from posegrid import adapters as A
 from posegrid.adapters import with_views
 from posegrid.operators import graph, registration
-from posegrid.operators.folds import streamed_fold
+from posegrid.operators.folds import fold_sql, streamed_fold
 from posegrid.streaming import align
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -19,6 +19,12 @@ from .sources import _stream, scratch
 section = Section()
 col = F.col
 
+
+def folded(name: str, view: str, key: str, order: str, init: dict, step: dict, keep: list[str], select: str):
+    sql, ctes = fold_sql(view, key, order, init, step, keep, select)
+    return section.add(name, with_views(sql, *ctes, recursive=True))
+
+
 # --- live sources and sinks
 
 
@@ -164,7 +170,10 @@ def _(spark, d):
     return rounded(p.groupBy("run").applyInPandas(run, "run long, scan_id long, registered boolean, map long, tx double"), 4)
 
 
-@section.add("live_state")
+SINCE = "(SELECT *, coalesce(x - lag(x) OVER (PARTITION BY run ORDER BY t, kf_id), 0) AS dx FROM v_track)"
+
+
+@folded("live_state", SINCE, "run", "t, kf_id", {"x": "0.0::DOUBLE", "since": "0::BIGINT"}, {"x": "CASE WHEN b.kf_id % 4 = 0 THEN b.x ELSE f.x + b.dx END", "since": "CASE WHEN b.kf_id % 4 = 0 THEN 0 ELSE f.since + 1 END"}, ["kf_id"], "SELECT run, kf_id, round(x, 6) + 0.0 AS x, since FROM o")
 def _(spark, d):
     """Position carried on from the last solved pose by the steps since."""
     w = Window.partitionBy("run").orderBy("t", "kf_id")

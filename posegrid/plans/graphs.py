@@ -142,7 +142,7 @@ def _graph(spark, d):
     return nodes, edges(1).withColumn("variance", F.lit(1e-4)), loops
 
 
-@section.add("graph_add_keyframe")
+@section.add("graph_add_keyframe", with_views("SELECT run, a, b, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, round(sin(v/2 - u/2), 6) + 0.0 AS qz, round(cos(v/2 - u/2), 6) + 0.0 AS qw, round(cos(u)*dx + sin(u)*dy, 6) + 0.0 AS tx, round(cos(u)*dy - sin(u)*dx, 6) + 0.0 AS ty, 0.0::DOUBLE AS tz, round(1e-4, 6) AS variance FROM (SELECT p.run, p.n AS a, q.n AS b, radians(p.kf_id % 360) AS u, radians(q.kf_id % 360) AS v, (q.x - p.x) / 100 AS dx, (q.y - p.y) / 100 AS dy FROM n p JOIN n q ON q.run = p.run AND q.n = p.n + 1)", NUMBERED))
 def _(spark, d):
     _, chain, _ = _graph(spark, d)
     return rounded(chain)

@@ -7,6 +7,7 @@ import uuid
 from posegrid import adapters as A
 from posegrid.adapters import with_views
 from posegrid.functions.geometry import TURBO
+from posegrid.operators.folds import fold_sql
 from posegrid.sources import codecs
 from posegrid.sources.packet_log import PacketLog
 from pyspark.sql import Window
@@ -215,14 +216,19 @@ def _(spark, d):
     return spark.read.schema(align.OUT).parquet(f"{path}/out")
 
 
-@section.add("stream_throttle")
+THROTTLED = "(SELECT modality || '-' || (sensor_id % 4) AS key, stamp_us, event_id FROM v_sensor WHERE modality <> 'fault')"
+LATER = f"f.last IS NULL OR b.stamp_us - f.last >= {12 * 3_600_000_000}"
+_sql, _ctes = fold_sql(THROTTLED, "key", "stamp_us, event_id", {"last": "CAST(NULL AS BIGINT)", "out_": "false"}, {"last": f"CASE WHEN {LATER} THEN b.stamp_us ELSE f.last END", "out_": LATER}, ["event_id", "stamp_us"], "SELECT key, stamp_us, event_id FROM o WHERE out_")
+
+
+@section.add("stream_throttle", with_views(_sql, *_ctes, recursive=True))
 def _(spark, d):
     from posegrid.streaming import align
 
     path = scratch(spark)
     s = _stream(spark, d, path).select(F.concat_ws("-", "modality", col("rig").cast("string")).alias("key"), "stamp_us", "event_id")
     align.fan_out(align.throttle(s, 12 * 3_600_000_000), f"{path}/cp", [align.parquet_sink(f"{path}/out")]).awaitTermination()
-    return spark.read.schema("key string, stamp_us long, event_id long").parquet(f"{path}/out")
+    return spark.read.schema("key string, stamp_us long, event_id long").parquet(f"{path}/out").select("key", "stamp_us", "event_id")
 
 
 @section.add("stream_window_counts", with_views("SELECT modality, (stamp_us // 86400000000) * 86400000000 AS day_us, count(*) AS n FROM v_sensor WHERE modality <> 'fault' GROUP BY 1, 2"))

@@ -264,7 +264,11 @@ def _(spark, d):
 # --- state that is not a scalar: streamed, with constant memory
 
 
-@section.add("keyframe_contiguity")
+RELATED = "(SELECT *, CASE WHEN kf_id % 5 = 0 THEN lag(kf_id, 2) OVER w ELSE lag(kf_id) OVER w END AS rel FROM v_track WINDOW w AS (PARTITION BY run ORDER BY t, kf_id))"
+CHAINS = "(f.last IS NULL OR b.rel = f.last)"
+
+
+@folded("keyframe_contiguity", RELATED, "run", "t, kf_id", {"last": "CAST(NULL AS BIGINT)", "ok": "false"}, {"last": f"CASE WHEN {CHAINS} THEN b.kf_id ELSE f.last END", "ok": f"coalesce({CHAINS}, false)"}, ["kf_id"], "SELECT run, kf_id, last, ok FROM o")
 def _(spark, d):
     """Edges that chain to the last accepted id of their run; here each fifth pose names the one before the last."""
     w = Window.partitionBy("run").orderBy("t", "kf_id")
@@ -277,7 +281,10 @@ def _(spark, d):
     return streamed_fold(e, ["run"], ["t", "kf_id"], {"last": None, "ok": False}, step, ["kf_id"], "last bigint, ok boolean")
 
 
-@section.add("spoof_run")
+JUMPS = "CASE WHEN f.ref IS NULL THEN f.n WHEN abs(b.v - f.ref) > 40 THEN f.n + 1 ELSE 0 END"
+
+
+@folded("spoof_run", f"(SELECT * FROM {RUN} WHERE run LIKE 'gnss%')", "run", "t, event_id", {"ref": "CAST(NULL AS DOUBLE)", "n": "0::BIGINT", "reject": "false"}, {"ref": "b.v", "n": JUMPS, "reject": f"{JUMPS} >= 3"}, ["event_id"], "SELECT run, event_id, n, reject FROM o")
 def _(spark, d):
     def step(s, r):
         bad = abs(r["v"] - s["ref"]) > 40 if s["ref"] is not None else None
@@ -287,7 +294,10 @@ def _(spark, d):
     return streamed_fold(streams(spark, d).filter("run like 'gnss%'"), ["run"], ["t", "event_id"], {"ref": None, "n": 0, "reject": False}, step, ["event_id"], "n bigint, reject boolean")
 
 
-@section.add("gap_reseed")
+GAP, FAIL = f"coalesce(b.t - f.seen > {24 * HOUR}, false)", "b.k < 10"
+
+
+@folded("gap_reseed", RUN, "run", "t, event_id", {"seen": "CAST(NULL AS BIGINT)", "armed": "false", "cleared": "false", "bridged": "false"}, {"seen": "b.t", "armed": f"(f.armed OR {GAP}) AND NOT {FAIL}", "cleared": f"(f.armed OR {GAP}) AND {FAIL}", "bridged": GAP}, ["event_id"], "SELECT run, event_id, armed, cleared, bridged FROM o")
 def _(spark, d):
     def step(s, r):
         gap = s["t"] is not None and r["t"] - s["t"] > 24 * HOUR
@@ -297,7 +307,7 @@ def _(spark, d):
     return streamed_fold(streams(spark, d), ["run"], ["t", "event_id"], {"t": None, "armed": False, "cleared": False, "bridged": False}, step, ["event_id"], "armed boolean, cleared boolean, bridged boolean")
 
 
-@section.add("detect_cooldown")
+@folded("detect_cooldown", "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY t, kf_id) AS n FROM v_track) WHERE n % 2 = 0)", "run", "n", {"last": "CAST(NULL AS BIGINT)", "take": "false"}, {"last": "CASE WHEN f.last IS NULL OR b.n - f.last >= 4 THEN b.n ELSE f.last END", "take": "f.last IS NULL OR b.n - f.last >= 4"}, ["kf_id"], "SELECT run, kf_id FROM o WHERE take")
 def _(spark, d):
     w = Window.partitionBy("run").orderBy("t", "kf_id")
     nth = A.track(spark, d).withColumn("n", F.row_number().over(w).cast("long")).filter("n % 2 = 0")
