@@ -216,9 +216,9 @@ def nearest(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, recall
                         qid = int(id_[a + i])
                         if qid in held:
                             names, exact = np.concatenate([held[qid][0], names]), np.concatenate([held[qid][1], exact])
-                        names, place = np.unique(names, return_index=True)
-                        exact = exact[place]
-                        best = np.lexsort((names, -exact))[: k + 1]
+                        # of an id's scores the best stays
+                        order = np.lexsort((names, -exact))
+                        best = order[np.sort(np.unique(names[order], return_index=True)[1])][: k + 1]
                         held[qid] = (names[best], exact[best])
                     if len(held) * (k + 1) > HELD_ROWS:
                         yield from flush()
