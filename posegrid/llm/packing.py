@@ -109,18 +109,27 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity
             for at in range(0, len(batch), 1024):
                 part = batch.iloc[at : at + 1024]
                 rows, seen = [], Counter()
-                for doc_id, ids in zip(part["doc_id"], words.encode(part["text"].tolist()), strict=True):
+                for doc_id, none, ids in zip(part["doc_id"], part["none"], words.encode(part["text"].tolist()), strict=True):
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, capacity):
                         own = ids[4 * start : 4 * (start + capacity)]
-                        piece = (doc_id, start, len(own) // 4, zlib.crc32(own), total)
+                        piece = (doc_id, none, start, len(own) // 4, zlib.crc32(own), total)
                         rows.append((*piece, seen[piece]))
                         seen[piece] += 1
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "repeat"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "none", "start", "length", "ids_crc32", "doc_tokens", "repeat"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInPandas(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, repeat long")
+    slim = _without_nulls(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    return _with_nulls(slim.mapInPandas(pieces, "doc_id long, none boolean, start long, length long, ids_crc32 long, doc_tokens long, repeat long"))
+
+
+def _without_nulls(df: DataFrame) -> DataFrame:
+    """Null ids as 0 beside the column ``none``: pandas would turn all ids of a batch with a null into doubles."""
+    return df.withColumns({"doc_id": F.coalesce("doc_id", F.lit(0).cast("long")), "none": F.col("doc_id").isNull()})
+
+
+def _with_nulls(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).drop("none")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, memo_words: int = MEMO_WORDS) -> DataFrame:
@@ -137,13 +146,14 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
     stride = 1 << 40
 
     def pack_group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "ids_crc32", "doc_id", "start"], ascending=[False, True, True, True])
+        rows = rows.sort_values(["length", "ids_crc32", "doc_id", "start"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), capacity)
         out = rows.assign(sequence_id=rows["grp"] * stride + bins, offset=offsets)
-        return out.drop(columns=["grp", "repeat"])
+        return out[["doc_id", "none", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
     pieces = token_pieces(docs, tokenizer_path, end_id, capacity, memo_words)
     grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "repeat"), F.lit(groups)).cast("long"))
-    return grouped.groupBy("grp").applyInPandas(
-        pack_group, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    packed = _without_nulls(grouped).groupBy("grp").applyInPandas(
+        pack_group, "doc_id long, none boolean, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
+    return _with_nulls(packed)

@@ -371,6 +371,9 @@ def test_packing(documents):
     # repeated rows don't stay together
     many = packing.pack(documents([None] * 400, [None] * 400), path, group_pieces=40).toPandas()
     assert len(many) == 400 and (many["sequence_id"] // (1 << 40)).nunique() >= 8
+    # a null beside an id that a double can't hold
+    large = packing.pack(documents(["a", "b"], [None, (1 << 60) + 1]), path).collect()
+    assert {r["doc_id"] for r in large} == {None, (1 << 60) + 1}
     assert packing.pack(documents([]), path).count() == 0
 
 
