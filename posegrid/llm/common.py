@@ -125,10 +125,10 @@ def text_blocks(column: pa.Array, limit: int = 1 << 17) -> Iterator[tuple[int, i
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word ``[^\\x20\\x09-\\x0D]+``; words end where their row ends."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word ``[^\\x20\\x09-\\x0D]+``, or run of bytes that aren't ``between``; words end where their row ends."""
     keep = np.zeros(len(data) + 2, bool)
-    keep[1:-1] = ~SPACE[data]
+    keep[1:-1] = ~between[data]
     first, last = keep[1:-1] & ~keep[:-2], keep[1:-1] & ~keep[2:]
     inner = offsets[1:-1]
     inner = inner[(inner > 0) & (inner < len(data))]
