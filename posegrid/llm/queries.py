@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, infill, language_id, language_model, minhash, neighbours, packing, paragraphs, pieces, pii, ranked_search, suffix_dedup
+from . import fingerprints, infill, language_id, language_model, main_text, minhash, neighbours, packing, paragraphs, pieces, pii, ranked_search, suffix_dedup
 from .common import crc_mod, documents
 
 
@@ -71,8 +71,12 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_suffix_dedup, op4_sentencepiece, op5_minhash, op6_pii, op7_neighbours, op8_paragraph_dedup, op9_packing, op10_lattice, op11_infill, op12_ranked_search)}
+    return {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_suffix_dedup, op4_sentencepiece, op5_minhash, op6_pii, op7_neighbours, op8_paragraph_dedup, op9_packing, op10_lattice, op11_infill, op12_ranked_search, op13_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
