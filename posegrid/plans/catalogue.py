@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregations, extras, filters, graphs, joins, scalars, sources, windows
+from . import aggregations, extras, filters, graphs, joins, motion, scalars, sources, windows
 from .registry import Query
 
-SECTIONS = (filters, joins, aggregations, scalars, windows, graphs, sources, extras)
+SECTIONS = (filters, joins, aggregations, scalars, windows, graphs, motion, sources, extras)
 
 
 def queries() -> dict[str, Query]:

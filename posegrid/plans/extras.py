@@ -6,10 +6,8 @@ import numpy as np
 import pandas as pd
 from posegrid import adapters as A
 from posegrid.adapters import with_views
-from posegrid.operators import graph, registration
-from posegrid.operators.folds import fold_sql, streamed_fold
+from posegrid.operators import graph
 from posegrid.streaming import align
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import graphs
@@ -20,11 +18,6 @@ section = Section()
 col = F.col
 
 
-def folded(name: str, view: str, key: str, order: str, init: dict, step: dict, keep: list[str], select: str):
-    sql, ctes = fold_sql(view, key, order, init, step, keep, select)
-    return section.add(name, with_views(sql, *ctes, recursive=True))
-
-
 # --- live sources and sinks
 
 
@@ -156,36 +149,6 @@ def _(spark, d):
     return frames.select("event_id", pick("data", "width", "u", "v").alias("value"))
 
 
-@section.add("process_sweep")
-def _(spark, d):
-    """Sweeps of a run registered one after the other; runs are independent."""
-    p = A.point(spark, d).select(F.floor(col("scan_id") / 500).alias("run"), "scan_id", "idx", *[(col(a) / 5).alias(a) for a in "xyz"])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["scan_id", "idx"])
-        names, sweeps = zip(*[(s, g[["x", "y", "z"]].to_numpy(float)) for s, g in rows.groupby("scan_id")], strict=True)
-        out = registration.process_sweeps(list(sweeps), 2.0, 1.5)
-        return pd.DataFrame({"run": rows["run"].iloc[0], "scan_id": names, "registered": [o["registered"] for o in out], "map": [o["map"] for o in out], "tx": [float(o["pose"][4]) for o in out]})
-
-    return rounded(p.groupBy("run").applyInPandas(run, "run long, scan_id long, registered boolean, map long, tx double"), 4)
-
-
-SINCE = "(SELECT *, coalesce(x - lag(x) OVER (PARTITION BY run ORDER BY t, kf_id), 0) AS dx FROM v_track)"
-
-
-@folded("live_state", SINCE, "run", "t, kf_id", {"x": "0.0::DOUBLE", "since": "0::BIGINT"}, {"x": "CASE WHEN b.kf_id % 4 = 0 THEN b.x ELSE f.x + b.dx END", "since": "CASE WHEN b.kf_id % 4 = 0 THEN 0 ELSE f.since + 1 END"}, ["kf_id"], "SELECT run, kf_id, round(x, 6) + 0.0 AS x, since FROM o")
-def _(spark, d):
-    """Position carried on from the last solved pose by the steps since."""
-    w = Window.partitionBy("run").orderBy("t", "kf_id")
-    t = A.track(spark, d).withColumn("dx", F.coalesce(col("x") - F.lag("x").over(w), F.lit(0.0)))
-
-    def step(s, r):
-        solved = r["kf_id"] % 4 == 0
-        return {"x": r["x"] if solved else s["x"] + r["dx"], "since": 0 if solved else s["since"] + 1}
-
-    return rounded(streamed_fold(t.select("run", "t", "kf_id", "x", "dx"), ["run"], ["t", "kf_id"], {"x": 0.0, "since": 0}, step, ["kf_id"], "x double, since bigint"))
-
-
 @section.add("update_recovery")
 def _(spark, d):
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -327,19 +327,6 @@ def _per_run(f, out: str):
     return lambda spark, d: rounded(A.track(spark, d).groupBy("run").applyInPandas(run, out), 5)
 
 
-def _dead_reckoning(rows, poses):
-    steps = manifold.log(manifold.compose(manifold.inverse(poses[:-1]), poses[1:])) if len(poses) > 1 else np.zeros((0, 6))
-    here, out = poses[:1], [poses[:1]]
-    for s in steps:
-        here = manifold.boxplus(here, s[None])
-        out.append(here)
-    p = np.concatenate(out)
-    return pd.DataFrame({"run": rows["run"].to_numpy(), "kf_id": rows["kf_id"].to_numpy(), "tx": p[:, 4], "ty": p[:, 5]})
-
-
-section.add("dead_reckoning")(_per_run(_dead_reckoning, "run long, kf_id long, tx double, ty double"))
-
-
 def _relative_cov(rows, poses):
     step, total, out = np.eye(6) * 1e-4, np.zeros((6, 6)), []
     for i in range(len(poses)):
