@@ -93,8 +93,10 @@ def sc_distance(pairs: DataFrame, rings: int, sectors: int, band: int) -> DataFr
     # all rotations of a pair are tried on its row, so nothing is shuffled
     shifts = F.array_distinct(F.transform(F.sequence(F.lit(-band), F.lit(band)), lambda t: F.pmod(F.col("coarse") + t, F.lit(sectors))))
     turned = lambda s: F.transform(F.sequence(F.lit(0), F.lit(rings * sectors - 1)), lambda k: F.element_at("b", (F.floor(k / sectors) * sectors + F.pmod(k - s, F.lit(sectors)) + 1).cast("int")))
-    score = lambda s: F.struct(F.round(column_cosine_distance(F.col("a"), turned(s), rings, sectors), 9).alias("distance"), s.alias("shift"))
-    best = keyed.withColumn("coarse", coarse).select("q", "id", F.array_min(F.transform(shifts, score)).alias("m"))
+    # each rotation is made once, as a lambda's bound variable, and then compared
+    made = F.transform(shifts, lambda s: F.struct(s.alias("s"), turned(s).alias("d")))
+    score = lambda t: F.struct(F.round(column_cosine_distance(F.col("a"), t["d"], rings, sectors), 9).alias("distance"), t["s"].alias("shift"))
+    best = keyed.withColumn("coarse", coarse).select("q", "id", F.array_min(F.transform(made, score)).alias("m"))
     return best.select("q", "id", F.col("m.shift").alias("shift"), F.col("m.distance").alias("distance"))
 
 

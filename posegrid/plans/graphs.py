@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from posegrid import adapters as A
 from posegrid.adapters import with_views
 from posegrid.functions import manifold
-from posegrid.operators import aggregations, graph, mapping, meshing, place, registration
+from posegrid.operators import admission, aggregations, graph, mapping, meshing, place, registration
+from posegrid.operators.folds import fold_sql
 from posegrid.operators.joins import revisit_candidates
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -142,10 +145,43 @@ def _graph(spark, d):
     return nodes, edges(1).withColumn("variance", F.lit(1e-4)), loops
 
 
-@section.add("graph_add_keyframe", with_views("SELECT run, a, b, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, round(sin(v/2 - u/2), 6) + 0.0 AS qz, round(cos(v/2 - u/2), 6) + 0.0 AS qw, round(cos(u)*dx + sin(u)*dy, 6) + 0.0 AS tx, round(cos(u)*dy - sin(u)*dx, 6) + 0.0 AS ty, 0.0::DOUBLE AS tz, round(1e-4, 6) AS variance FROM (SELECT p.run, p.n AS a, q.n AS b, radians(p.kf_id % 360) AS u, radians(q.kf_id % 360) AS v, (q.x - p.x) / 100 AS dx, (q.y - p.y) / 100 AS dy FROM n p JOIN n q ON q.run = p.run AND q.n = p.n + 1)", NUMBERED))
+#: Packets of each run in order: kinds, what they are relative to (now and then the wrong one), forms, frames, scores, and covariances on the diagonal.
+PACKETS = """p AS (SELECT run, t, kf_id AS id, n, CASE WHEN n = 1 OR kf_id % 17 = 0 THEN 'absolute' WHEN kf_id % 13 = 0 THEN 'imu' ELSE 'between' END AS kind, kf_id % 2 = 0 AS kinematics,
+    CASE WHEN kf_id % 7 = 0 OR one % 7 = 0 OR one % 17 = 0 THEN two ELSE one END AS rel_to FROM (SELECT *, lag(kf_id) OVER w AS one, lag(kf_id, 2) OVER w AS two FROM n WINDOW w AS (PARTITION BY run ORDER BY t, kf_id)))"""
+_last, _fits = "f.last", "coalesce(f.last = b.rel_to, false)"
+_verdict = f"CASE b.kind WHEN 'absolute' THEN CASE WHEN {_last} IS NULL THEN 'prior' ELSE 'ignored' END WHEN 'between' THEN CASE WHEN {_fits} THEN 'between' ELSE 'broken' END ELSE CASE WHEN {_fits} AND b.kinematics THEN 'bridge' ELSE 'broken' END END"
+_sql, _ctes = fold_sql(
+    "p", "run", "t, id", {"verdict": "CAST(NULL AS VARCHAR)", "last": "CAST(NULL AS BIGINT)"}, {"verdict": _verdict, "last": f"CASE WHEN ({_verdict}) IN ('prior', 'between', 'bridge') THEN b.id ELSE f.last END"}, ["id", "rel_to"],
+    """SELECT run, id, verdict, CASE WHEN verdict IN ('between', 'bridge') THEN rel_to END AS rel_to, CASE WHEN e THEN id % 3 = 0 END AS inverted, CASE WHEN e THEN usable END AS inflated, CASE WHEN e THEN usable AND weakest < 0.05 END AS locked,
+    CASE WHEN e THEN id % 11 = 0 AND id % 3 > 0 AND id % 5 > 0 END AS clamped, CASE WHEN e THEN round(list_sum(list_transform(range(0, 6), lambda k: greatest(1e-9, CASE WHEN usable THEN CASE WHEN s[(k + 3) % 6 + 1] < 0.05 THEN 1e4 ELSE 1 + 9999 * pow(1 - s[(k + 3) % 6 + 1], 2) END ELSE 1 END * c[k + 1]))), 5) END AS trace
+    FROM (SELECT *, verdict = 'between' AS e, id % 4 > 0 OR id % 5 = 0 AS usable, list_min(s) AS weakest,
+      list_transform(range(0, 6), lambda k: CASE WHEN id % 5 = 0 AND k % 3 < 2 THEN (CASE WHEN k % 3 = 0 THEN pow(0.6, 2) * v[k + 1] + pow(0.8, 2) * v[k + 2] ELSE pow(0.8, 2) * v[k] + pow(0.6, 2) * v[k + 1] END) ELSE v[k + 1] END) AS c
+      FROM (SELECT *, list_transform(range(0, 6), lambda k: (id * (k + 3)) % 20 / 20.0) AS s, list_transform(range(0, 6), lambda k: CASE WHEN k = 2 AND id % 11 = 0 AND id % 3 > 0 AND id % 5 > 0 THEN -1e-3 ELSE (k + 1 + id % 9) / 1e4 * pi() END) AS v FROM o))""",
+)
+
+
+@section.add("graph_add_keyframe", with_views(_sql, NUMBERED, PACKETS, *_ctes, recursive=True))
 def _(spark, d):
-    _, chain, _ = _graph(spark, d)
-    return rounded(chain)
+    """Verdicts on the keyframe packets of each run, and the covariances of the edges that are taken."""
+    w = Window.partitionBy("run").orderBy("t", "kf_id")
+    n = _numbered(spark, d).withColumn("one", F.lag("kf_id").over(w)).withColumn("two", F.lag("kf_id", 2).over(w))
+    i, each = col("kf_id"), F.sequence(F.lit(0), F.lit(5))
+    odd = (i % 11 == 0) & (i % 3 > 0) & (i % 5 > 0)
+    variance = F.transform(each, lambda k: F.when((k == 2) & odd, -1e-3).otherwise((k + 1 + i % 9) / 1e4 * math.pi))
+    form = F.when(i % 3 == 0, "information").otherwise("covariance")
+    given = F.transform(variance, lambda v: F.when(i % 3 == 0, 1 / v).otherwise(v))
+    cov = F.transform(F.sequence(F.lit(0), F.lit(35)), lambda j: F.when(F.floor(j / 6) == j % 6, F.element_at(given, (j % 6 + 1).cast("int"))).otherwise(0.0))
+    turn = np.eye(6)
+    for a in (0, 3):
+        turn[a : a + 2, a : a + 2] = [[0.6, -0.8], [0.8, 0.6]]
+    packets = n.select(
+        "run", "t", i.alias("id"), F.when((col("n") == 1) | (i % 17 == 0), "absolute").when(i % 13 == 0, "imu").otherwise("between").alias("kind"), (i % 2 == 0).alias("kinematics"),
+        F.when((i % 7 == 0) | F.coalesce((col("one") % 7 == 0) | (col("one") % 17 == 0), F.lit(False)), col("two")).otherwise(col("one")).alias("rel_to"), form.alias("form"), cov.alias("cov"),
+        F.when(i % 4 > 0, "body").otherwise("odom").alias("frame"), F.transform(each, lambda k: (i * (k + 3)) % 20 / 20).alias("score"), F.when(i % 5 == 0, F.array(*[F.lit(float(v)) for v in turn.ravel()])).alias("basis"),
+    )
+    out = admission.admit_keyframes(packets, ["run"], ["t", "id"])
+    trace = F.aggregate(F.sequence(F.lit(0), F.lit(5)), F.lit(0.0), lambda s, k: s + F.element_at("cov", (7 * k + 1).cast("int")))
+    return rounded(out.withColumn("trace", trace).drop("cov"), 5)
 
 
 @section.add("pose_graph_optimize")
