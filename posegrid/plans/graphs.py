@@ -11,7 +11,6 @@ from posegrid.adapters import with_views
 from posegrid.functions import manifold
 from posegrid.operators import admission, aggregations, graph, mapping, meshing, place, registration
 from posegrid.operators.folds import fold_sql
-from posegrid.operators.joins import revisit_candidates
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -64,17 +63,6 @@ def _(spark, d):
     return place.topk_candidates(_compared(near, e), 3, 0.98).select("q", "id", "rank")
 
 
-@section.add("detect_loops")
-def _(spark, d):
-    """Keyframes near earlier ones of their run, compared by the descriptors of their own scans; the best two of each keyframe are kept."""
-    n = _numbered(spark, d)
-    c = revisit_candidates(n, 2, 86_400_000_000, 80.0, ["run"])
-    names = n.select("run", "n", "kf_id")
-    pairs = c.join(names.select("run", col("n").alias("q"), col("kf_id").alias("_q")), ["run", "q"]).join(names.select("run", col("n").alias("id"), col("kf_id").alias("_id")), ["run", "id"])
-    scans = place.scan_context(A.point(spark, d), 8, 8, 60.0).select(col("scan_id").alias("id"), "d")
-    return rounded(place.topk_candidates(_compared(pairs.select(col("_q").alias("q"), col("_id").alias("id")), scans), 2, 0.5))
-
-
 # --- registration
 
 
@@ -95,19 +83,6 @@ def _(spark, d):
     return rounded(registration.icp_register(*_clouds(spark, d), 1.0, 0.8).select("pair", "n", "trace"), 4)
 
 
-@section.add("loop_verify")
-def _(spark, d):
-    got = registration.icp_register(*_clouds(spark, d), 1.0, 0.8)
-    return got.select("pair", (col("converged") & (col("rmse") < 0.2) & (col("n") >= 10)).alias("accepted"))
-
-
-@section.add("loop_self_test")
-def _(spark, d):
-    got = registration.icp_register(*_clouds(spark, d), 1.0, 0.8).select("pair", *manifold.POSE)
-    d2 = manifold.batched(lambda v: (manifold.log(v) ** 2 / 0.01).sum(1, keepdims=True), ("d2",), *[col(c) for c in manifold.POSE])
-    return rounded(got.select("pair", d2.alias("v")).select("pair", (col("v.d2") <= 16.8119).alias("passed")))
-
-
 @section.add("apply_correction", with_views("SELECT kf_id, round(x + CASE WHEN last % 3 = 0 THEN 1.5 ELSE 0 END, 6) AS x, round(y - CASE WHEN last % 3 = 0 THEN 0.5 ELSE 0 END, 6) AS y FROM (SELECT *, max(kf_id) OVER (PARTITION BY run) AS last FROM v_track)"))
 def _(spark, d):
     t = A.track(spark, d)
