@@ -176,13 +176,36 @@ def profile(rows: DataFrame, by: list[str], order: list[str], value: Column, nam
     return out.withColumn(name, F.sum(name).over(w.rowsBetween(-smooth, smooth)) / (2 * smooth + 1)) if smooth else out
 
 
-def motion_segments(rows: DataFrame, by: list[str], order: list[str], moving: Column, stamp: str) -> DataFrame:
-    """Stretches of equal motion: start, end, n and moving."""
-    w = _w(by, order)
-    m = rows.withColumn("moving", moving)
-    new = F.when(F.coalesce(F.lag("moving").over(w) != col("moving"), F.lit(True)), 1).otherwise(0)
-    s = m.withColumn("_new", new).withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy(*by, "segment").agg(F.first("moving").alias("moving"), F.min(stamp).alias("start"), F.max(stamp).alias("end"), F.count(F.lit(1)).alias("n"))
+def motion_segments(rows: DataFrame, by: list[str], order: list[str], moving: Column, stamp: str, least: float, place: tuple[str, str] = ("x", "y"), still: float = 0.05, turn_deg: float = 20.0) -> DataFrame:
+    """Stretches of a run: by, segment (from 1), kind, start, end, n, heading.
+
+    Stretches of equal motion shorter than ``least`` belong to the one before them, but for a run's first; then equal neighbours
+    are one. A moving stretch is ``forward``, with the heading in degrees between its ends if they lie more than ``still``
+    apart. A ``stationary`` one between two headings that differ by more than ``turn_deg`` is a ``turn``, with their difference.
+    Two passes over windows; only rows of one run are sorted together.
+    """
+    w, s = _w(by, order), _w(by, ["_run"])
+    changed = lambda flag, over: F.when(F.coalesce(F.lag(flag).over(over) != col(flag), F.lit(True)), 1).otherwise(0)
+    whole = lambda over: over.rowsBetween(Window.unboundedPreceding, 0)
+    m = rows.withColumn("_moving", F.coalesce(moving, F.lit(False))).withColumn("_new", changed("_moving", w)).withColumn("_run", F.sum("_new").over(whole(w)))
+    at = F.struct(*order)
+    spot = F.struct(*place)
+    first = m.groupBy(*by, "_run").agg(F.first("_moving").alias("_moving"), F.min(stamp).alias("start"), F.max(stamp).alias("end"), F.count(F.lit(1)).alias("n"), F.min_by(spot, at).alias("_a"), F.max_by(spot, at).alias("_b"))
+    # a short stretch takes over the motion of the last one that is kept
+    kept = (col("_run") == 1) | (col("end") - col("start") >= least)
+    label = F.last(F.when(kept, col("_moving")), True).over(whole(s))
+    second = first.withColumn("_moving", label).withColumn("_new", changed("_moving", s)).withColumn("segment", F.sum("_new").over(whole(s)))
+    joined = second.groupBy(*by, "segment").agg(
+        F.first("_moving").alias("_moving"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.min_by("_a", "_run").alias("_a"), F.max_by("_b", "_run").alias("_b")
+    )
+    dx, dy = (col(f"_b.{c}") - col(f"_a.{c}") for c in place)
+    heading = F.when(col("_moving") & (F.sqrt(dx * dx + dy * dy) > still), F.degrees(F.atan2(dy, dx)))
+    g = _w(by, ["segment"])
+    h = joined.withColumn("_h", heading).withColumn("_before", F.lag("_h").over(g)).withColumn("_after", F.lead("_h").over(g))
+    turned = col("_after") - col("_before")
+    far = F.abs(F.pmod(turned + 180, F.lit(360.0)) - 180) > turn_deg
+    kind = F.when(col("_moving"), "forward").when(F.coalesce(far, F.lit(False)), "turn").otherwise("stationary")
+    return h.withColumn("kind", kind).select(*by, "segment", "kind", "start", "end", "n", F.when(col("_moving"), col("_h")).when(col("kind") == "turn", turned).alias("heading"))
 
 
 def onset_sustained(errors: DataFrame, by: list[str], order: list[str], value: str, floor: float, factor: float = 8.0) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from posegrid import adapters as A
 from posegrid.adapters import with_views
 from posegrid.functions import manifold
-from posegrid.operators import admission, aggregations, graph, mapping, meshing, place, registration
+from posegrid.operators import admission, aggregations, datum, graph, mapping, meshing, place, registration
 from posegrid.operators.folds import fold_sql
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -217,11 +217,25 @@ def _(spark, d):
     return rounded(pairs.select("run", "id", r.alias("r")).select("run", "id", "r.*"))
 
 
-@section.add("datum_lock", with_views("SELECT run, min(kf_id) FILTER (n >= 5 AND hi - lo >= 200) AS lock_kf FROM (SELECT *, row_number() OVER w AS n, max(x) OVER w AS hi, min(x) OVER w AS lo FROM v_track WINDOW w AS (PARTITION BY run ORDER BY t, kf_id)) GROUP BY 1"))
+#: Every prefix of a run's fixes (up to row b) with all of its rows (a), and the moments that the fit and its gates need.
+FIXES = "f AS (SELECT run, kf_id, n, x / 10 AS x, y / 10 AS y, 0.8 * x / 10 - 0.6 * y / 10 + (kf_id % 7 - 3) / 10 AS gx, 0.6 * x / 10 + 0.8 * y / 10 + (kf_id % 5 - 2) / 8 AS gy, kf_id % 4 AS speed, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) / 10, 0) AS step FROM n WINDOW w AS (PARTITION BY run ORDER BY n))"
+PREFIXES = (
+    "k AS (SELECT b.run, b.n, any_value(b.kf_id) AS kf_id, sum(a.step) AS way, count(*) FILTER (a.speed > 0) AS moving, avg(a.x) AS mx, avg(a.y) AS my, avg(a.gx) AS ex, avg(a.gy) AS ey FROM f a JOIN f b ON a.run = b.run AND a.n <= b.n GROUP BY 1, 2)",
+    "c AS (SELECT k.run, k.n, sum((a.gx - ex) * (a.gx - ex)) AS sxx, sum((a.gx - ex) * (a.gy - ey)) AS sxy, sum((a.gy - ey) * (a.gy - ey)) AS syy, atan2(sum((a.y - my) * (a.gx - ex) - (a.x - mx) * (a.gy - ey)), sum((a.x - mx) * (a.gx - ex) + (a.y - my) * (a.gy - ey))) AS yaw FROM k JOIN f a ON a.run = k.run AND a.n <= k.n GROUP BY 1, 2)",
+    "s AS (SELECT c.run, c.n, max(p) - min(p) AS span FROM (SELECT c.run, c.n, a.gx * cos(0.5 * atan2(2 * sxy, sxx - syy)) + a.gy * sin(0.5 * atan2(2 * sxy, sxx - syy)) AS p FROM c JOIN f a ON a.run = c.run AND a.n <= c.n) c GROUP BY 1, 2)",
+    "l AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY n) AS r FROM k JOIN c USING (run, n) JOIN s USING (run, n) WHERE n >= 2 AND way > 30 AND moving >= 3 AND span > 20 AND 1 / sqrt(sxx + syy) < 0.03)",
+)
+
+
+@section.add("datum_lock", with_views("SELECT run, kf_id AS lock_id, n, round(yaw, 6) AS yaw, round(1 / sqrt(sxx + syy), 6) AS yaw_sigma, round(mx - cos(yaw) * ex + sin(yaw) * ey, 6) + 0.0 AS tx, round(my - sin(yaw) * ex - cos(yaw) * ey, 6) + 0.0 AS ty FROM l WHERE r = 1", NUMBERED, FIXES, *PREFIXES))
 def _(spark, d):
-    w = Window.partitionBy("run").orderBy("t", "kf_id")
-    s = A.track(spark, d).withColumn("n", F.row_number().over(w)).withColumn("hi", F.max("x").over(w)).withColumn("lo", F.min("x").over(w))
-    return s.groupBy("run").agg(F.min(F.when((col("n") >= 5) & (col("hi") - col("lo") >= 200), col("kf_id"))).alias("lock_kf"))
+    """The first prefix of each run's fixes that determines the datum, and its fit."""
+    i = col("kf_id")
+    x, y = col("x") / 10, col("y") / 10
+    gx, gy = 0.8 * x - 0.6 * y + (i % 7 - 3) / 10, 0.6 * x + 0.8 * y + (i % 5 - 2) / 8
+    fixes = _numbered(spark, d).select("run", "n", "kf_id", gx.alias("gx"), gy.alias("gy"), F.lit(0.0).alias("gz"), x.alias("x"), y.alias("y"), F.lit(0.0).alias("z"), (i % 4).cast("double").alias("speed"))
+    out = datum.datum_lock(fixes, ["run"], ["n"], "kf_id", 30.0, 20.0, 0.0, 3, 0.03)
+    return rounded(out.drop("tz"))
 
 
 @section.add("graph_nodes_edges", "SELECT l_orderkey AS a, l_partkey AS b, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 3 > 0) AND l_partkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 3 > 0)")

@@ -190,9 +190,24 @@ def _(spark, d):
     return rounded(O.profile(A.track(spark, d), ["run"], ["t", "kf_id"], F.atan2("y", "x"), "heading").select("kf_id", "heading"))
 
 
-@section.add("motion_segments", with_views("SELECT run, segment, bool_or(moving) AS moving, min(t) AS start, max(t) AS \"end\", count(*) AS n FROM (SELECT *, CAST(sum(nw) OVER (PARTITION BY run ORDER BY t, kf_id) AS BIGINT) AS segment FROM (SELECT *, CASE WHEN coalesce(lag(moving) OVER (PARTITION BY run ORDER BY t, kf_id) <> moving, true) THEN 1 ELSE 0 END AS nw FROM (SELECT *, x > 150 AS moving FROM v_track))) GROUP BY 1, 2"))
-def _(spark, d):
-    return O.motion_segments(A.track(spark, d), ["run"], ["t", "kf_id"], col("x") > 150, "t")
+MONTH = 30 * 86_400_000_000
+SEGMENTS = (
+    "m0 AS (SELECT *, x > 150 AS moving FROM v_track)",
+    "m1 AS (SELECT *, sum(nw) OVER (PARTITION BY run ORDER BY t, kf_id) AS s FROM (SELECT *, CASE WHEN coalesce(lag(moving) OVER (PARTITION BY run ORDER BY t, kf_id) <> moving, true) THEN 1 ELSE 0 END AS nw FROM m0))",
+    "m2 AS (SELECT run, s, bool_or(moving) AS moving, min(t) AS a, max(t) AS b, count(*) AS n, arg_min(x, (t, kf_id)) AS ax, arg_min(y, (t, kf_id)) AS ay, arg_max(x, (t, kf_id)) AS bx, arg_max(y, (t, kf_id)) AS b_y FROM m1 GROUP BY 1, 2)",
+    # the motion of the last stretch that is kept, found by its number
+    f"m3 AS (SELECT m.* EXCLUDE moving, k.moving FROM (SELECT *, max(CASE WHEN s = 1 OR b - a >= {MONTH} THEN s END) OVER (PARTITION BY run ORDER BY s) AS k FROM m2) m JOIN m2 k ON k.run = m.run AND k.s = m.k)",
+    "m4 AS (SELECT *, sum(nw) OVER (PARTITION BY run ORDER BY s) AS segment FROM (SELECT *, CASE WHEN coalesce(lag(moving) OVER (PARTITION BY run ORDER BY s) <> moving, true) THEN 1 ELSE 0 END AS nw FROM m3))",
+    "m5 AS (SELECT run, CAST(segment AS BIGINT) AS segment, bool_or(moving) AS moving, min(a) AS a, max(b) AS b, CAST(sum(n) AS BIGINT) AS n, arg_max(bx, s) - arg_min(ax, s) AS dx, arg_max(b_y, s) - arg_min(ay, s) AS dy FROM m4 GROUP BY 1, 2)",
+    "m6 AS (SELECT *, lag(h) OVER w AS p, lead(h) OVER w AS q FROM (SELECT *, CASE WHEN moving AND sqrt(dx*dx + dy*dy) > 0.05 THEN degrees(atan2(dy, dx)) END AS h FROM m5) WINDOW w AS (PARTITION BY run ORDER BY segment))",
+    "m7 AS (SELECT *, CASE WHEN moving THEN 'forward' WHEN abs(((q - p + 180) % 360 + 360) % 360 - 180) > 20 THEN 'turn' ELSE 'stationary' END AS kind FROM m6)",
+)
+
+
+@section.add("motion_segments", with_views("SELECT run, segment, kind, a AS start, b AS \"end\", n, round(CASE kind WHEN 'forward' THEN h WHEN 'turn' THEN q - p END, 6) + 0.0 AS heading FROM m7", *SEGMENTS))
+def _(spark, d):
+    """Stretches of motion of each run; those under a month belong to the one before."""
+    return rounded(O.motion_segments(A.track(spark, d), ["run"], ["t", "kf_id"], col("x") > 150, "t", MONTH))
 
 
 @section.add("onset_sustained", with_views("SELECT run, arg_min(kf_id, (t, kf_id)) AS onset FROM (SELECT *, avg(e) OVER (PARTITION BY run ORDER BY t, kf_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM n JOIN (SELECT run, greatest(100.0, 1.2 * quantile_cont(e, 0.5)) AS lim FROM n WHERE i <= greatest(1, m // 4) GROUP BY 1) USING (run)) WHERE e > lim AND ahead > lim GROUP BY 1",
