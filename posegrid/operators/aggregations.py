@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -109,6 +112,77 @@ def normal_equations(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg(*out, F.sum(rx * rx + ry * ry + rz * rz).alias("chi2"), F.count(F.lit(1)).alias("n"))
 
 
+def surface_normals(points: DataFrame, by: tuple[str, ...], radius: float, least: int = 5) -> DataFrame:
+    """by, q, nx, ny, nz: the direction in which the neighbours of each of ``points`` (by, q, x, y, z) scatter least.
+
+    Neighbours are the points of the same ``by`` within ``radius``, itself included; they meet in grid cells, and only sums of
+    them are shuffled. Points with fewer than ``least``, with neighbours on one line, or without a clear direction give no
+    row. Eigenvalues come from the closed form for symmetric matrices, the direction from the largest cross product
+    of two rows of what is left when the least one is taken off the diagonal; all by expressions.
+    """
+    from .joins import grid_pairs
+
+    pairs = grid_pairs(points, points.withColumn("id", F.col("q")), radius, by=by, keep=True).filter(F.col("d2") <= radius * radius)
+    # about a neighbour of its own, so that sums of squares don't cancel far from the origin
+    own = points.select(*by, "q", *[F.col(a).alias(f"o{a}") for a in "xyz"])
+    d = pairs.join(own, [*by, "q"]).select(*by, "q", *[(F.col(f"t{a}") - F.col(f"o{a}")).alias(a) for a in "xyz"])
+    two = ("xx", "yy", "zz", "xy", "xz", "yz")
+    sums = d.groupBy(*by, "q").agg(F.count(F.lit(1)).alias("n"), *[F.sum(a).alias(a) for a in "xyz"], *[F.sum(F.col(t[0]) * F.col(t[1])).alias(t) for t in two]).filter(F.col("n") >= least)
+    scatter = F.struct(*[(F.col(t) - F.col(t[0]) * F.col(t[1]) / F.col("n")).alias(t) for t in two])
+    found = sums.select(*by, "q", least_direction(scatter).alias("v")).filter("v is not null")
+    return found.select(*by, "q", *[F.col(f"v.{t}").alias(f"n{t}") for t in "xyz"])
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once: a lambda's variable isn't replaced by its expression, as a column of a projection is."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def least_direction(scatter: Column) -> Column:
+    """(x, y, z) of length 1 along which a symmetric matrix (struct xx, yy, zz, xy, xz, yz) is least; null if it has rank one or less, or no clear direction."""
+
+    def spread(m: Column) -> Column:
+        mean = (m["xx"] + m["yy"] + m["zz"]) / 3
+        d = [m[t] - mean for t in ("xx", "yy", "zz")]
+        size = F.sqrt((d[0] * d[0] + d[1] * d[1] + d[2] * d[2] + 2 * (m["xy"] * m["xy"] + m["xz"] * m["xz"] + m["yz"] * m["yz"])) / 6)
+        return _let(F.struct(mean.alias("mean"), F.nullif(size, F.lit(0.0)).alias("size")), lambda s: turned(m, s))
+
+    def turned(m: Column, s: Column) -> Column:
+        a, b, c = (m[t] - s["mean"] for t in ("xx", "yy", "zz"))
+        e, f, g = m["xy"], m["xz"], m["yz"]
+        det = (a * (b * c - g * g) - e * (e * c - g * f) + f * (e * g - b * f)) / (s["size"] * s["size"] * s["size"])
+        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / 2))) / 3
+        return _let(angle, lambda t: values(m, s, t))
+
+    def values(m: Column, s: Column, t: Column) -> Column:
+        low, high = s["mean"] + 2 * s["size"] * F.cos(t + 2 * math.pi / 3), s["mean"] + 2 * s["size"] * F.cos(t)
+        return _let(F.struct(low.alias("low"), (3 * s["mean"] - low - high).alias("middle")), lambda v: F.when(v["middle"] > 1e-12, crossed(m, s, v["low"])))
+
+    def crossed(m: Column, s: Column, low: Column) -> Column:
+        rows = [(m["xx"] - low, m["xy"], m["xz"]), (m["xy"], m["yy"] - low, m["yz"]), (m["xz"], m["yz"], m["zz"] - low)]
+        products = []
+        for u, v in ((0, 1), (0, 2), (1, 2)):
+            p, q = rows[u], rows[v]
+            products.append(F.struct((p[1] * q[2] - p[2] * q[1]).alias("x"), (p[2] * q[0] - p[0] * q[2]).alias("y"), (p[0] * q[1] - p[1] * q[0]).alias("z")))
+        squared = F.transform(F.array(*products), lambda c: F.struct((c["x"] * c["x"] + c["y"] * c["y"] + c["z"] * c["z"]).alias("s"), c.alias("c")))
+        clear = lambda w: F.when(w["s"] > F.pow(s["size"], F.lit(4.0)) * 1e-16, F.struct(*[(w["c"][t] / F.sqrt(w["s"])).alias(t) for t in "xyz"]))
+        return _let(F.array_max(squared), clear)
+
+    return _let(scatter, spread)
+
+
+def observability_scores(points: DataFrame, by: tuple[str, ...], radius: float, least: int = 5, knee: float = 0.01) -> DataFrame:
+    """by, n and s0 to s5 (translation, then rotation, about the axes): how much the surfaces around ``points`` (by, q, x, y, z) hold each direction.
+
+    A row for each value of ``by`` that has points; n counts those with a normal, and without any all scores are 0.
+    """
+    p = points.join(surface_normals(points, by, radius, least), [*by, "q"], "left")
+    x, y, z, nx, ny, nz = (F.col(c) for c in ("x", "y", "z", "nx", "ny", "nz"))
+    row = (nx, ny, nz, y * nz - z * ny, z * nx - x * nz, x * ny - y * nx)
+    h = p.groupBy(*by).agg(F.count("nx").alias("n"), *[F.coalesce(F.avg(v * v), F.lit(0.0)).alias(f"h{i}") for i, v in enumerate(row)])
+    return h.select(*by, "n", *[(F.col(f"h{i}") / (F.col(f"h{i}") + knee)).alias(f"s{i}") for i in range(6)])
+
+
 def imu_interval_stats(samples: DataFrame, sweeps: DataFrame) -> DataFrame:
     """Mean rate, mean and variance of the force by sweep; one without samples holds the last rate, fewer than two have variance 1e9.
 

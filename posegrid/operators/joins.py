@@ -138,21 +138,22 @@ def _product(steps: list[int], n: int) -> list[tuple[int, ...]]:
     return out
 
 
-def grid_pairs(queries: DataFrame, targets: DataFrame, edge: float, axes: str = "xyz", apart: str | None = None) -> DataFrame:
+def grid_pairs(queries: DataFrame, targets: DataFrame, edge: float, axes: str = "xyz", apart: str | None = None, by: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
     """Queries (q, axes) with targets (id, axes) of the 27 cells around; d2 is the squared distance.
 
     Cells that hold no target are dropped before the equi-join, so that the probes don't blow it up. With
-    ``apart`` pairs that agree in that column (of a scan, say) are left out.
+    ``apart`` pairs that agree in that column (of a scan, say) are left out; with ``by`` only those that agree in
+    these columns are made. With ``keep`` the target's place comes along as t and its axis.
     """
-    more = [apart] if apart else []
+    more = [*by, *([apart] if apart else [])]
     t = cells(targets.select("id", *more, *axes), edge, axes)
-    keys = [f"c{a}" for a in axes]
+    keys = [*by, *(f"c{a}" for a in axes)]
     near = probes(cells(queries.select("q", *more, *axes), edge, axes), axes).join(t.select(*keys).distinct(), keys, "left_semi")
-    pairs = near.join(t.withColumnsRenamed({a: f"t{a}" for a in [*more, *axes]}), keys)
+    pairs = near.join(t.withColumnsRenamed({a: f"t{a}" for a in [*([apart] if apart else []), *axes]}), keys)
     if apart:
         pairs = pairs.filter(F.col(apart) != F.col(f"t{apart}"))
     d2 = sum(((F.col(a) - F.col(f"t{a}")) * (F.col(a) - F.col(f"t{a}")) for a in axes), F.lit(0.0))
-    return pairs.select("q", "id", "probe", d2.alias("d2"))
+    return pairs.select(*by, "q", "id", "probe", d2.alias("d2"), *([f"t{a}" for a in axes] if keep else []))
 
 
 def voxel_nn(queries: DataFrame, targets: DataFrame, edge: float, max_distance: float, axes: str = "xyz", apart: str | None = None) -> DataFrame:

@@ -285,8 +285,27 @@ def _(spark, d):
     return rounded(G.range_image(A.point(spark, d), 16, 90, -5.0, 45.0, ["scan_id"]))
 
 
-@section.add("observability_score", with_views("SELECT scan_id, " + ", ".join(f"round(h{i} / (h{i} + 0.01), 6) + 0.0 AS s{i}" for i in range(6)) + " FROM (SELECT scan_id, 1.0 AS h0, 1.0 AS h1, 1.0 AS h2, avg(y*y + z*z) AS h3, avg(x*x + z*z) AS h4, avg(x*x + y*y) AS h5 FROM v_point GROUP BY 1 HAVING count(*) >= 5)"))
+_CROSS = {"u": ("a - low", "e", "f", "e", "b - low", "g"), "v": ("a - low", "e", "f", "f", "g", "c - low"), "w": ("e", "b - low", "g", "f", "g", "c - low")}
+_VECTORS = ", ".join(f"({p[1]})*({p[5]}) - ({p[2]})*({p[4]}) AS {k}x, ({p[2]})*({p[3]}) - ({p[0]})*({p[5]}) AS {k}y, ({p[0]})*({p[4]}) - ({p[1]})*({p[3]}) AS {k}z" for k, p in _CROSS.items())
+_BEST = ", ".join(f"CASE WHEN su >= sv AND su >= sw THEN u{t} / sqrt(su) WHEN sv >= sw THEN v{t} / sqrt(sv) ELSE w{t} / sqrt(sw) END AS n{t}" for t in "xyz")
+#: Scatter of each point's neighbours within its group (two hundred scans), its least eigenvector, and the rows of the normal matrix.
+NORMALS = (
+    "o AS (SELECT scan_id // 200 AS run, (scan_id << 20) + idx AS q, x / 5 AS x, y / 5 AS y, z / 5 AS z, floor(x / 5) AS cx, floor(y / 5) AS cy, floor(z / 5) AS cz FROM v_point)",
+    "d AS (SELECT p.run, p.q, b.x - p.x AS x, b.y - p.y AS y, b.z - p.z AS z FROM (SELECT *, cx + i AS px, cy + j AS py, cz + k AS pz FROM o, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), (SELECT unnest([-1, 0, 1]) AS k)) p JOIN o b ON b.run = p.run AND b.cx = p.px AND b.cy = p.py AND b.cz = p.pz WHERE pow(b.x - p.x, 2) + pow(b.y - p.y, 2) + pow(b.z - p.z, 2) <= 1)",
+    "m AS (SELECT run, q, sum(x*x) - sum(x)*sum(x)/count(*) AS a, sum(y*y) - sum(y)*sum(y)/count(*) AS b, sum(z*z) - sum(z)*sum(z)/count(*) AS c, sum(x*y) - sum(x)*sum(y)/count(*) AS e, sum(x*z) - sum(x)*sum(z)/count(*) AS f, sum(y*z) - sum(y)*sum(z)/count(*) AS g FROM d GROUP BY 1, 2 HAVING count(*) >= 5)",
+    "m2 AS (SELECT *, sqrt((pow(a - mean, 2) + pow(b - mean, 2) + pow(c - mean, 2) + 2 * (e*e + f*f + g*g)) / 6) AS size FROM (SELECT *, (a + b + c) / 3 AS mean FROM m))",
+    "m3 AS (SELECT *, acos(greatest(-1.0, least(1.0, ((a-mean)*((b-mean)*(c-mean) - g*g) - e*(e*(c-mean) - g*f) + f*(e*g - (b-mean)*f)) / pow(size, 3) / 2))) / 3 AS angle FROM m2 WHERE size > 0)",
+    "m4 AS (SELECT *, mean + 2 * size * cos(angle + 2 * pi() / 3) AS low, mean + 2 * size * cos(angle) AS high FROM m3)",
+    f"m5 AS (SELECT *, {', '.join(f'{k}x*{k}x + {k}y*{k}y + {k}z*{k}z AS s{k}' for k in 'uvw')} FROM (SELECT run, q, size, {_VECTORS} FROM m4 WHERE 3 * mean - low - high > 1e-12))",
+    f"m6 AS (SELECT run, q, {_BEST} FROM m5 WHERE greatest(su, sv, sw) > pow(size, 4) * 1e-16)",
+    "m7 AS (SELECT o.run, count(nx) AS n, avg(nx*nx) AS h0, avg(ny*ny) AS h1, avg(nz*nz) AS h2, avg(pow(y*nz - z*ny, 2)) AS h3, avg(pow(z*nx - x*nz, 2)) AS h4, avg(pow(x*ny - y*nx, 2)) AS h5 FROM o LEFT JOIN m6 USING (run, q) GROUP BY 1)",
+)
+
+
+@section.add("observability_score", with_views("SELECT run, n, " + ", ".join(f"round(coalesce(h{i} / (h{i} + 0.01), 0), 4) + 0.0 AS s{i}" for i in range(6)) + " FROM m7", *NORMALS))
 def _(spark, d):
-    p = A.point(spark, d).select("scan_id", *[F.col(a).alias(f"p{a}") for a in "xyz"], F.lit(0.0).alias("rx"), F.lit(0.0).alias("ry"), F.lit(0.0).alias("rz"))
-    g = G.normal_equations(p, ["scan_id"]).filter("n >= 5")
-    return rounded(g.select("scan_id", *[(F.col(f"h{i}{i}") / F.col("n") / (F.col(f"h{i}{i}") / F.col("n") + 0.01)).alias(f"s{i}") for i in range(6)]))
+    """Scores of each group of scans from the normals of its surfaces."""
+    from .joins import point_id
+
+    p = A.point(spark, d).select(F.floor(F.col("scan_id") / 200).alias("run"), point_id().alias("q"), *[(F.col(a) / 5).alias(a) for a in "xyz"])
+    return rounded(G.observability_scores(p, ("run",), 1.0), 4)
