@@ -80,6 +80,22 @@ def adjoint(pose: np.ndarray) -> np.ndarray:
     return out
 
 
+def right_jacobian_inverse(xi: np.ndarray) -> np.ndarray:
+    """(rows, 6, 6): how log(exp(xi) exp(d)) changes with a small d; the series in the adjoint, for turns well below two pi."""
+    n = len(xi)
+    ad = np.zeros((n, 6, 6))
+    for at, v in (((0, 0), xi[:, 3:]), ((3, 3), xi[:, 3:]), ((0, 3), xi[:, :3])):
+        for (i, j), s, k in (((0, 1), -1, 2), ((0, 2), 1, 1), ((1, 0), 1, 2), ((1, 2), -1, 0), ((2, 0), -1, 1), ((2, 1), 1, 0)):
+            ad[:, at[0] + i, at[1] + j] = s * v[:, k]
+    square = ad @ ad
+    # Bernoulli numbers over factorials
+    out, power = np.eye(6) + ad / 2, np.broadcast_to(np.eye(6), ad.shape)
+    for c in (1 / 12, -1 / 720, 1 / 30240, -1 / 1209600, 1 / 47900160):
+        power = power @ square
+        out = out + c * power
+    return out
+
+
 def psd_clamp(m: np.ndarray, least: float = 0.0) -> np.ndarray:
     """Symmetrised, with eigenvalues of at least ``least``."""
     value, vector = np.linalg.eigh((m + np.swapaxes(m, -1, -2)) / 2)

@@ -145,7 +145,7 @@ def least_direction(scatter: Column) -> Column:
         mean = (m["xx"] + m["yy"] + m["zz"]) / 3
         d = [m[t] - mean for t in ("xx", "yy", "zz")]
         size = F.sqrt((d[0] * d[0] + d[1] * d[1] + d[2] * d[2] + 2 * (m["xy"] * m["xy"] + m["xz"] * m["xz"] + m["yz"] * m["yz"])) / 6)
-        return _let(F.struct(mean.alias("mean"), F.nullif(size, F.lit(0.0)).alias("size")), lambda s: turned(m, s))
+        return _let(F.struct(mean.alias("mean"), F.when(size > 0, size).alias("size")), lambda s: turned(m, s))
 
     def turned(m: Column, s: Column) -> Column:
         a, b, c = (m[t] - s["mean"] for t in ("xx", "yy", "zz"))
@@ -156,7 +156,9 @@ def least_direction(scatter: Column) -> Column:
 
     def values(m: Column, s: Column, t: Column) -> Column:
         low, high = s["mean"] + 2 * s["size"] * F.cos(t + 2 * math.pi / 3), s["mean"] + 2 * s["size"] * F.cos(t)
-        return _let(F.struct(low.alias("low"), (3 * s["mean"] - low - high).alias("middle")), lambda v: F.when(v["middle"] > 1e-12, crossed(m, s, v["low"])))
+        parts = F.struct(low.alias("low"), (3 * s["mean"] - low - high).alias("middle"), high.alias("high"))
+        # nearer to a line than this the closed form can't tell
+        return _let(parts, lambda v: F.when(v["middle"] > F.greatest(F.lit(1e-12), 1e-6 * v["high"]), crossed(m, s, v["low"])))
 
     def crossed(m: Column, s: Column, low: Column) -> Column:
         rows = [(m["xx"] - low, m["xy"], m["xz"]), (m["xy"], m["yy"] - low, m["yz"]), (m["xz"], m["yz"], m["zz"] - low)]

@@ -259,23 +259,24 @@ def as_edges(e: pd.DataFrame, place: dict[int, int]) -> Edges:
     return a[e.index].to_numpy(np.int64), b[e.index].to_numpy(np.int64), e[POSE].to_numpy(float), e["variance"].to_numpy(float)
 
 
-def residuals(poses: np.ndarray, edges: Edges) -> tuple[np.ndarray, np.ndarray]:
-    """Errors of the edges and their Jacobians by the first pose; perturbed on the right, so that by the second is the identity."""
+def residuals(poses: np.ndarray, edges: Edges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Errors of the edges and their Jacobians by the first and the second pose, each perturbed on the right."""
     a, b, rel, _ = edges
     between = manifold.compose(manifold.inverse(poses[a]), poses[b])
-    return manifold.log(manifold.compose(manifold.inverse(rel), between)), -manifold.adjoint(manifold.inverse(between))
+    err = manifold.log(manifold.compose(manifold.inverse(rel), between))
+    jb = manifold.right_jacobian_inverse(err)
+    return err, -jb @ manifold.adjoint(manifold.inverse(between)), jb
 
 
-def assemble(n: int, edges: Edges, weights: np.ndarray, err: np.ndarray, ja: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def assemble(n: int, edges: Edges, weights: np.ndarray, err: np.ndarray, ja: np.ndarray, jb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Diagonal blocks, blocks of the edges and gradient."""
     a, b = edges[:2]
     w = (weights / edges[3])[:, None, None]
     diagonal, g = np.zeros((n, 6, 6)), np.zeros((n, 6))
-    np.add.at(diagonal, a, w * (ja.transpose(0, 2, 1) @ ja))
-    np.add.at(diagonal, b, w * np.eye(6))
-    np.add.at(g, a, w[:, 0] * np.einsum("nji,nj->ni", ja, err))
-    np.add.at(g, b, w[:, 0] * err)
-    return diagonal, w * ja.transpose(0, 2, 1), g
+    for end, j in ((a, ja), (b, jb)):
+        np.add.at(diagonal, end, w * (j.transpose(0, 2, 1) @ j))
+        np.add.at(g, end, w[:, 0] * np.einsum("nji,nj->ni", j, err))
+    return diagonal, w * (ja.transpose(0, 2, 1) @ jb), g
 
 
 def solve(poses: np.ndarray, edges: Edges, rounds: int = 10, weights: np.ndarray | None = None, damping: float = 1e-9, system: Elimination | None = None) -> np.ndarray:

@@ -296,7 +296,7 @@ NORMALS = (
     "m2 AS (SELECT *, sqrt((pow(a - mean, 2) + pow(b - mean, 2) + pow(c - mean, 2) + 2 * (e*e + f*f + g*g)) / 6) AS size FROM (SELECT *, (a + b + c) / 3 AS mean FROM m))",
     "m3 AS (SELECT *, acos(greatest(-1.0, least(1.0, ((a-mean)*((b-mean)*(c-mean) - g*g) - e*(e*(c-mean) - g*f) + f*(e*g - (b-mean)*f)) / pow(size, 3) / 2))) / 3 AS angle FROM m2 WHERE size > 0)",
     "m4 AS (SELECT *, mean + 2 * size * cos(angle + 2 * pi() / 3) AS low, mean + 2 * size * cos(angle) AS high FROM m3)",
-    f"m5 AS (SELECT *, {', '.join(f'{k}x*{k}x + {k}y*{k}y + {k}z*{k}z AS s{k}' for k in 'uvw')} FROM (SELECT run, q, size, {_VECTORS} FROM m4 WHERE 3 * mean - low - high > 1e-12))",
+    f"m5 AS (SELECT *, {', '.join(f'{k}x*{k}x + {k}y*{k}y + {k}z*{k}z AS s{k}' for k in 'uvw')} FROM (SELECT run, q, size, {_VECTORS} FROM m4 WHERE 3 * mean - low - high > greatest(1e-12, 1e-6 * high)))",
     f"m6 AS (SELECT run, q, {_BEST} FROM m5 WHERE greatest(su, sv, sw) > pow(size, 4) * 1e-16)",
     "m7 AS (SELECT o.run, count(nx) AS n, avg(nx*nx) AS h0, avg(ny*ny) AS h1, avg(nz*nz) AS h2, avg(pow(y*nz - z*ny, 2)) AS h3, avg(pow(z*nx - x*nz, 2)) AS h4, avg(pow(x*ny - y*nx, 2)) AS h5 FROM o LEFT JOIN m6 USING (run, q) GROUP BY 1)",
 )
