@@ -205,15 +205,35 @@ def _stream(spark, d, path: str):
     return spark.readStream.schema(s.schema).parquet(f"{path}/in")
 
 
-@section.add("stream_align")
+RIG = "(SELECT *, sensor_id % 4 AS rig FROM v_sensor WHERE modality <> 'fault')"
+ALIGNED = (
+    f"r AS {RIG}",
+    f"w AS (SELECT rig, event_id AS sweep_id, stamp_us AS b, stamp_us + {A.SWEEP_US} AS e, least(stamp_us, coalesce(lag(stamp_us + {A.SWEEP_US}) OVER (PARTITION BY rig ORDER BY stamp_us, event_id), stamp_us)) AS lower FROM r WHERE modality = 'lidar')",
+    "i AS (SELECT w.rig, sweep_id, count(*) AS n FROM w JOIN r ON r.rig = w.rig AND modality = 'imu' AND stamp_us > lower AND stamp_us <= e GROUP BY 1, 2)",
+    "z AS (SELECT w.rig, sweep_id, max(stamp_us) AS s, any_value(lower) AS lower FROM w JOIN r ON r.rig = w.rig AND modality = 'imu' AND stamp_us <= b GROUP BY 1, 2 HAVING max(stamp_us) <= any_value(lower))",
+    "o AS (SELECT modality, event_id, stamp_us, rig, sweep_id FROM (SELECT r.*, w.sweep_id, row_number() OVER (PARTITION BY r.event_id ORDER BY w.b, w.sweep_id) AS place FROM w JOIN r ON r.rig = w.rig AND modality IN ('camera', 'gnss') AND stamp_us BETWEEN b AND e) WHERE place = 1)",
+    "c AS (SELECT rig, sweep_id, arg_min(event_id, (stamp_us, event_id)) FILTER (modality = 'camera') AS image_id, count(*) FILTER (modality = 'gnss') AS n_gnss FROM o GROUP BY 1, 2)",
+    "h AS (SELECT rig, max(stamp_us) AS newest FROM r WHERE modality = 'imu' GROUP BY 1)",
+)
+
+
+@section.add("stream_align", with_views("SELECT w.rig, w.sweep_id, coalesce(i.n, 0) + CASE WHEN z.s IS NULL THEN 0 ELSE 1 END AS n_imu, z.s AS straddler_stamp, image_id, coalesce(n_gnss, 0) AS n_gnss, coalesce(newest < e, true) AS late, 0 AS dropped FROM w LEFT JOIN i USING (rig, sweep_id) LEFT JOIN z USING (rig, sweep_id) LEFT JOIN c USING (rig, sweep_id) LEFT JOIN h USING (rig)", *ALIGNED))
 def _(spark, d):
+    """Measure groups of four rigs from a stream that ends; those of the last sweeps, which nothing covers any more, are late."""
     from posegrid.streaming import align
 
     path = scratch(spark)
-    hour = 3_600_000_000
-    rules = align.Rules(2 * hour, 30 * 24 * hour, 40 * 24 * hour, (("imu", 10**9), ("camera", 10**9), ("gnss", 10**9), ("lidar", 10**9)))
-    align.fan_out(align.align(_stream(spark, d, path), rules), f"{path}/cp", [align.parquet_sink(f"{path}/out"), align.null_sink()]).awaitTermination()
-    return spark.read.schema(align.OUT).parquet(f"{path}/out")
+    day = 24 * 3_600_000_000
+    # as far apart as the table's files may lie
+    rules = align.Rules(A.SWEEP_US, 40 * day, 40 * day, (), 400 * day)
+    source = _stream(spark, d, path)
+    # at the newest stamp, since rows that are older than the stream's watermark are dropped
+    ends = A.sensor(spark, d).agg(F.max("stamp_us").alias("stamp_us")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("rig"), F.lit(align.END).alias("modality"), "stamp_us", F.lit(-1).cast("long").alias("event_id"))
+    ends.filter("stamp_us is not null").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    with align.keyed_state(spark):
+        query = align.fan_out(align.align(source, rules), f"{path}/cp", [align.parquet_sink(f"{path}/out"), align.null_sink()])
+    query.awaitTermination()
+    return spark.read.schema(align.OUT).parquet(f"{path}/out").drop("batch")
 
 
 THROTTLED = "(SELECT modality || '-' || (sensor_id % 4) AS key, stamp_us, event_id FROM v_sensor WHERE modality <> 'fault')"
