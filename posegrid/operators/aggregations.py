@@ -213,21 +213,22 @@ def stage_timing_stats(rows: DataFrame) -> DataFrame:
 
 def ate_stats(errors: DataFrame, keys: list[str]) -> DataFrame:
     """rmse, mean, median, max and the 95th percentile by axis of errors (ex, ey)."""
-    e = F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey"))
-    return errors.withColumn("e", e).groupBy(*keys).agg(
-        F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("mean"), F.percentile("e", 0.5).alias("median"), F.max("e").alias("max"),
-        F.percentile(F.abs("ex"), 0.95).alias("p95_x"), F.percentile(F.abs("ey"), 0.95).alias("p95_y"),
-    )
+    e = errors.withColumn("e", F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey"))).withColumn("ax", F.abs("ex")).withColumn("ay", F.abs("ey"))
+    out = e.groupBy(*keys).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("mean"), F.max("e").alias("max"))
+    for value, share, name in (("e", 0.5, "median"), ("ax", 0.95, "p95_x"), ("ay", 0.95, "p95_y")):
+        out = out.join(quantiles(e, keys, value, share, name), keys, "left")
+    return out.select(*keys, "rmse", "mean", "median", "max", "p95_x", "p95_y")
 
 
-def medians(rows: DataFrame, keys: list[str], value: str, accuracy: int = 1000) -> DataFrame:
-    """keys and the exact median of ``value``, without holding a key's values anywhere.
+def quantiles(rows: DataFrame, keys: list[str], value: str, share: float, name: str, accuracy: int = 1000) -> DataFrame:
+    """keys and the exact quantile of ``value`` as ``name`` (between two rows by proportion), without holding a key's values anywhere.
 
-    Approximate percentiles bracket the middle; what lies below the bracket is only counted, and the few rows
+    Approximate percentiles bracket the place; what lies below the bracket is only counted, and the few rows
     in it (about 4 / ``accuracy`` of all) are ranked. Null values and keys without any other are left out.
     """
     rows = rows.select(*keys, value).filter(F.col(value).isNotNull())
-    about = rows.groupBy(*keys).agg(F.percentile_approx(value, [0.5 - 2 / accuracy, 0.5 + 2 / accuracy], accuracy).alias("q"), F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
+    ends = [max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)]
+    about = rows.groupBy(*keys).agg(F.percentile_approx(value, ends, accuracy).alias("q"), F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
     # narrow keys are bracketed whole
     small = F.col("n") <= 4 * accuracy
     bracket = about.select(*keys, "n", F.when(small, F.col("least")).otherwise(F.col("q")[0]).alias("low"), F.when(small, F.col("most")).otherwise(F.col("q")[1]).alias("high"))
@@ -235,10 +236,16 @@ def medians(rows: DataFrame, keys: list[str], value: str, accuracy: int = 1000)
     below = near.groupBy(*keys).agg(F.count(F.when(F.col(value) < F.col("low"), 1)).alias("below"))
     inside = near.filter(F.col(value) >= F.col("low")).groupBy(*keys, "n", value).agg(F.count(F.lit(1)).alias("c")).join(below, keys)
     last = F.col("below") + F.sum("c").over(Window.partitionBy(*keys).orderBy(value))
-    # the middle row, or the two of an even number
-    middle = [F.when((last >= place) & (last - F.col("c") < place), F.col(value)) for place in (F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2))]
-    found = inside.select(*keys, middle[0].alias("a"), middle[1].alias("b"))
-    return found.groupBy(*keys).agg(((F.max("a") + F.max("b")) / 2).alias("median"))
+    at = (F.col("n") - 1) * F.lit(share)
+    # the row at the place and the next one
+    two = [F.when((last >= place) & (last - F.col("c") < place), F.col(value)) for place in (F.floor(at) + 1, F.least(F.floor(at) + 2, F.col("n")))]
+    found = inside.select(*keys, (at - F.floor(at)).alias("part"), two[0].alias("a"), two[1].alias("b"))
+    return found.groupBy(*keys).agg((F.max("a") + F.max("part") * (F.max("b") - F.max("a"))).alias(name))
+
+
+def medians(rows: DataFrame, keys: list[str], value: str, accuracy: int = 1000) -> DataFrame:
+    """keys and the exact median of ``value``; see quantiles."""
+    return quantiles(rows, keys, value, 0.5, "median", accuracy)
 
 
 def planar_alignment(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -409,6 +409,22 @@ def chi2_quantile(p: float, dof: int) -> float:
     return (low + high) / 2
 
 
+def chi2inv(p: Column, dof: int) -> Column:
+    """Quantiles of the chi-squared distribution; each value of a batch is worked out once. Null outside 0 to 1."""
+
+    @F.pandas_udf("double")
+    def run(v: pd.Series) -> pd.Series:
+        each = {x: chi2_quantile(x, dof) for x in v.dropna().unique() if 0 < x < 1}
+        return v.map(each).astype(float)
+
+    return run(p)
+
+
+def gauge_information(variances: list[Column]) -> Column:
+    """The diagonal of the information that holds a pose with the given variances."""
+    return F.array(*[1 / v for v in variances])
+
+
 def solve_or_drop(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray | None, str]:
     """Step of a normal system: by Cholesky; if that fails by QR, unless the system has no full rank; then the batch is dropped."""
     try:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregations import medians
 from .folds import ewma, streamed_fold
 
 col = F.col
@@ -212,7 +213,7 @@ def onset_sustained(errors: DataFrame, by: list[str], order: list[str], value: s
     """First row whose error exceeds max(floor, factor * median of the first quarter) while the mean from there on does too."""
     w = _w(by, order)
     numbered = errors.withColumn("i", F.row_number().over(w)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    early = numbered.filter(col("i") <= F.greatest(F.lit(1), F.floor(col("m") / 4))).groupBy(*by).agg(F.greatest(F.lit(floor), factor * F.percentile(value, 0.5)).alias("limit"))
+    early = medians(numbered.filter(col("i") <= F.greatest(F.lit(1), F.floor(col("m") / 4))), by, value).select(*by, F.greatest(F.lit(floor), factor * col("median")).alias("limit"))
     rest = numbered.join(early, by).withColumn("ahead", F.avg(value).over(w.rowsBetween(0, Window.unboundedFollowing)))
     return rest.filter((col(value) > col("limit")) & (col("ahead") > col("limit"))).groupBy(*by).agg(F.min_by(order[-1], F.struct(*order)).alias("onset"))
 

@@ -219,10 +219,10 @@ def _(spark, d):
     e = errors(spark, d).withColumn("e", F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey")))
     e = e.join(e.groupBy("run").agg(F.min("t").alias("t0")), "run")
     sq, bad = F.col("e") * F.col("e"), F.col("e") > 0.35
-    return rounded(e.groupBy("run").agg(
-        F.sqrt(F.avg(sq)).alias("rmse"), F.sqrt(F.avg(F.when(F.col("t") <= F.col("t0") + 86_400_000_000 * 90, sq))).alias("rmse_fit"), F.percentile("e", 0.5).alias("median"), F.max("e").alias("max"),
-        F.min_by(F.when(bad, F.col("kf_id")), F.when(bad, F.struct("t", "kf_id"))).alias("onset"),
-    ))
+    out = e.groupBy("run").agg(
+        F.sqrt(F.avg(sq)).alias("rmse"), F.sqrt(F.avg(F.when(F.col("t") <= F.col("t0") + 86_400_000_000 * 90, sq))).alias("rmse_fit"), F.max("e").alias("max"), F.min_by(F.when(bad, F.col("kf_id")), F.when(bad, F.struct("t", "kf_id"))).alias("onset")
+    )
+    return rounded(out.join(G.medians(e, ["run"], "e"), "run", "left"))
 
 
 @section.add("phantom_motion", with_views("SELECT run, round(sum(CASE WHEN gt_speed < 100 AND est_speed > 30 THEN est_speed * dt END), 6) AS phantom FROM (SELECT run, (t - lag(t) OVER w) / 8.64e10 AS dt, abs(x - lag(x) OVER w) AS est_speed, abs(y - lag(y) OVER w) AS gt_speed FROM v_track WINDOW w AS (PARTITION BY run ORDER BY t, kf_id)) GROUP BY 1"))

@@ -7,12 +7,14 @@ import pandas as pd
 from posegrid import adapters as A
 from posegrid.adapters import with_views
 from posegrid.operators import graph
+from posegrid.operators.folds import fold_sql
+from posegrid.sources import codecs
 from posegrid.streaming import align
 from pyspark.sql import functions as F
 
 from . import graphs
 from .registry import Section, rounded
-from .sources import _stream, scratch
+from .sources import FRAMES, _stream, frames, scratch
 
 section = Section()
 col = F.col
@@ -62,12 +64,18 @@ def _(spark, d):
     return codecs.parse_telemetry(spark.read.text(f"{path}/out", lineSep="\n---\n").select("value")).select("stamp", "key")
 
 
-@section.add("ros_sink", with_views("SELECT modality AS key, stamp_us DIV 3600000000 AS slot, min(event_id) FILTER (f) AS event_id FROM (SELECT *, stamp_us = min(stamp_us) OVER (PARTITION BY modality, stamp_us DIV 3600000000) AS f FROM v_sensor WHERE modality IN ('imu', 'gnss')) GROUP BY 1, 2".replace(" DIV ", " // ")))
+HOUR = 3_600_000_000
+TOPICS = "(SELECT modality AS key, stamp_us, event_id FROM v_sensor WHERE modality IN ('imu', 'gnss'))"
+_sql, _ctes = fold_sql(TOPICS, "key", "stamp_us, event_id", {"last": "CAST(NULL AS BIGINT)", "out_": "false"}, {"last": f"CASE WHEN f.last IS NULL OR b.stamp_us - f.last >= {HOUR} THEN b.stamp_us ELSE f.last END", "out_": f"f.last IS NULL OR b.stamp_us - f.last >= {HOUR}"}, ["event_id", "stamp_us"], "SELECT key, stamp_us, event_id FROM o WHERE out_")
+
+
+@section.add("ros_sink", with_views(_sql, *_ctes, recursive=True))
 def _(spark, d):
-    """Published topics: only keys of the gate, at most one row a key and hour."""
-    gate = A.sensor(spark, d).filter(col("modality").isin("imu", "gnss"))
-    slot = F.floor(col("stamp_us") / 3_600_000_000)
-    return gate.groupBy(col("modality").alias("key"), slot.alias("slot")).agg(F.min_by("event_id", F.struct("stamp_us", "event_id")).alias("event_id"))
+    """Published topics of a stream: only keys of the gate, each an hour at least after the last one that was published."""
+    path = scratch(spark)
+    gated = _stream(spark, d, path).filter(col("modality").isin("imu", "gnss")).select(col("modality").alias("key"), "stamp_us", "event_id")
+    align.fan_out(align.throttle(gated, HOUR), f"{path}/cp", [align.parquet_sink(f"{path}/out")]).awaitTermination()
+    return spark.read.schema("key string, stamp_us long, event_id long").parquet(f"{path}/out").select("key", "stamp_us", "event_id")
 
 
 @section.add("body_tf", with_views("SELECT kf_id, t * 1000 AS stamp_ns, 'map' AS parent, 'body' AS child, round(x, 6) AS tx, round(y, 6) AS ty FROM v_track"))
@@ -80,14 +88,20 @@ def _(spark, d):
     return A.track(spark, d).select("kf_id", F.when(col("x") > 200, "sphere").otherwise("arrow").alias("shape"), F.concat(F.lit("run"), col("run").cast("string")).alias("ns"))
 
 
-@section.add("calib_import", with_views("SELECT id, round(-lat, 6) AS tx, round(-lon, 6) AS ty, round(cov_trace * cov_trace, 6) AS variance FROM v_geo"))
+QUATERNION = "q AS (SELECT id, lat, lon, alt, cov_trace, qx / n AS qx, qy / n AS qy, qz / n AS qz, qw / n AS qw FROM (SELECT *, sqrt(qx*qx + qy*qy + qz*qz + qw*qw) AS n FROM (SELECT *, (id % 7 - 3) / 5 AS qx, (id % 5 - 2) / 3 AS qy, (id % 11 - 5) / 7 AS qz, 0.3 + id % 3 AS qw FROM v_geo)))"
+_R = ("1-2*(qy*qy+qz*qz)", "2*(qx*qy-qz*qw)", "2*(qx*qz+qy*qw)", "2*(qx*qy+qz*qw)", "1-2*(qx*qx+qz*qz)", "2*(qy*qz-qx*qw)", "2*(qx*qz-qy*qw)", "2*(qy*qz+qx*qw)", "1-2*(qx*qx+qy*qy)")
+_BACK = ", ".join(f"round(-(({_R[i]}) * lat + ({_R[3 + i]}) * lon + ({_R[6 + i]}) * alt), 6) + 0.0 AS {n}" for i, n in enumerate(("tx", "ty", "tz")))
+
+
+@section.add("calib_import", with_views(f"SELECT id, round(-qx, 6) + 0.0 AS qx, round(-qy, 6) + 0.0 AS qy, round(-qz, 6) + 0.0 AS qz, round(qw, 6) + 0.0 AS qw, {_BACK}, round(cov_trace * cov_trace, 6) AS variance FROM q", QUATERNION))
 def _(spark, d):
-    """Transforms inverted and noise densities squared; here without rotation."""
+    """Transforms given the other way around (quaternions of any length), inverted; noise densities squared."""
     from posegrid.functions import geometry as M
 
-    one = (F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    _, t = M.se3_inverse(one, (col("lat"), col("lon"), col("alt")))
-    return rounded(A.geo(spark, d).select("id", t[0].alias("tx"), t[1].alias("ty"), (col("cov_trace") * col("cov_trace")).alias("variance")))
+    i = col("id")
+    q = M.quat_normalise(((i % 7 - 3) / 5, (i % 5 - 2) / 3, (i % 11 - 5) / 7, 0.3 + i % 3))
+    c, t = M.se3_inverse(q, (col("lat"), col("lon"), col("alt")))
+    return rounded(A.geo(spark, d).select("id", *[v.alias(n) for v, n in zip(c, ("qx", "qy", "qz", "qw"), strict=True)], *[v.alias(n) for v, n in zip(t, ("tx", "ty", "tz"), strict=True)], (col("cov_trace") * col("cov_trace")).alias("variance")))
 
 
 # --- keyframe store
@@ -126,27 +140,31 @@ def _(spark, d):
 # --- numerical helpers
 
 
-@section.add("chi2inv")
+@section.add("chi2inv", with_views("SELECT scan_id, idx, round(-2 * ln(1 - x / 51), 6) AS x FROM v_point"))
 def _(spark, d):
-    return spark.createDataFrame([(n, p, round(graph.chi2_quantile(p, n), 6)) for n in (1, 2, 3, 6) for p in (0.9, 0.95, 0.99)], "dof int, p double, x double")
+    """Quantiles for each point's share; with two degrees of freedom they have a closed form to be held against."""
+    p = A.point(spark, d).select("scan_id", "idx", (col("x") / 51).alias("p"))
+    return rounded(p.select("scan_id", "idx", graph.chi2inv(col("p"), 2).alias("x")))
 
 
-@section.add("gauge_damping")
+@section.add("gauge_damping", with_views("SELECT id, CAST(axis AS INT) AS axis, round(CASE WHEN axis < 3 THEN 1 / (0.01 + cov_trace) ELSE 4 / (0.01 + cov_trace) END, 6) AS information FROM v_geo, (SELECT unnest(range(0, 6)) AS axis)"))
 def _(spark, d):
-    m = graph.gauge_damping([0.01] * 3 + [0.0025] * 3)
-    return spark.createDataFrame([(i, float(m[i, i])) for i in range(6)], "axis int, information double")
+    """The information, on the diagonal, that holds each first pose: the inverse of its variances."""
+    v = 0.01 + col("cov_trace")
+    return rounded(A.geo(spark, d).select("id", F.posexplode(graph.gauge_information([v] * 3 + [v / 4] * 3)).alias("axis", "information")))
 
 
-@section.add("sample_pixel")
+@section.add("sample_pixel", with_views("SELECT event_id, CAST(ascii(p[(k % 4) * 2 + k % 3 + 1:(k % 4) * 2 + k % 3 + 1]) AS INT) AS value FROM (SELECT event_id, k, data[1:2] || data[9:10] || data[17:18] AS p FROM f WHERE encoding = 'mono8' AND length(data) = 24) WHERE k % 3 < 2 AND k % 4 < 3 UNION ALL SELECT event_id, NULL FROM f WHERE NOT (encoding = 'mono8' AND length(data) = 24 AND k % 3 < 2 AND k % 4 < 3)", FRAMES))
 def _(spark, d):
-    """Grey values at pixel places of images in binary columns; places outside give null."""
+    """Grey values at places of decoded frames; places outside, and frames that aren't grey or can't be decoded, give null."""
 
     @F.pandas_udf("int")
     def pick(data: pd.Series, width: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
         return pd.Series([b[y * w + x] if b is not None and 0 <= x < w and 0 <= y * w + x < len(b) else None for b, w, x, y in zip(data, width, u, v, strict=True)], dtype="Int32")
 
-    frames = A.modality(spark, d, "camera").select("event_id", F.encode(F.repeat(F.lit("abcdefgh"), 4), "utf-8").alias("data"), F.lit(8).alias("width"), (col("k") % 9).alias("u"), (col("k") % 5).alias("v"))
-    return frames.select("event_id", pick("data", "width", "u", "v").alias("value"))
+    f = codecs.decode_image(frames(spark, d))
+    grey = F.when(col("encoding") == "mono8", col("pixels"))
+    return f.select("event_id", pick(grey, "width", col("k") % 3, col("k") % 4).alias("value"))
 
 
 @section.add("update_recovery")

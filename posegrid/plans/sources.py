@@ -49,16 +49,35 @@ def _(spark, d):
     return codecs.decode_gnss(A.geo(spark, d).withColumn("status", col("fix_rank") - 1)).select("id", "fix")
 
 
-@section.add("decode_image")
+#: Raw frames of two by three pixels in rows of eight bytes, out of the events' own text; each seventh is cut short.
+FRAMES = """f AS (SELECT event_id, k, CASE k % 5 WHEN 0 THEN 'bgr8' WHEN 1 THEN 'rgb8' WHEN 2 THEN 'mono8' WHEN 3 THEN 'bayer_rggb8' ELSE 'other' END AS encoding,
+    CASE WHEN event_id % 7 = 0 THEN 'short' ELSE rpad(event_id || '-' || props, 24, '#')[1:24] END AS data FROM v_sensor JOIN (SELECT event_id, props FROM events) USING (event_id) WHERE modality = 'camera')"""
+
+
+def frames(spark, d):
+    e = A.table(spark, d, "events").select("event_id", "props")
+    text = F.concat_ws("-", col("event_id").cast("string"), "props")
+    data = F.when(col("event_id") % 7 == 0, "short").otherwise(F.rpad(text, 24, "#"))
+    kind = F.when(col("k") % 5 == 0, "bgr8").when(col("k") % 5 == 1, "rgb8").when(col("k") % 5 == 2, "mono8").when(col("k") % 5 == 3, "bayer_rggb8").otherwise("other")
+    return A.modality(spark, d, "camera").join(e, "event_id").select("event_id", "k", F.encode(data, "utf-8").alias("data"), F.lit(2).alias("width"), F.lit(3).alias("height"), F.lit(8).alias("step"), kind.alias("encoding"))
+
+
+PIXELS = """CASE WHEN length(data) < 24 OR encoding = 'other' THEN NULL WHEN encoding IN ('mono8', 'bayer_rggb8') THEN data[1:2] || data[9:10] || data[17:18] WHEN encoding = 'rgb8' THEN data[1:6] || data[9:14] || data[17:22]
+    ELSE reverse(data[1:3]) || reverse(data[4:6]) || reverse(data[9:11]) || reverse(data[12:14]) || reverse(data[17:19]) || reverse(data[20:22]) END"""
+
+
+@section.add("decode_image", with_views(f"SELECT event_id, hex({PIXELS}) AS pixels FROM f", FRAMES))
 def _(spark, d):
-    raw = A.modality(spark, d, "camera").select("event_id", F.encode(F.repeat(F.lit("abcdefgh"), 4), "utf-8").alias("data"), F.lit(2).alias("width"), F.lit(4).alias("height"), F.lit(8).alias("step"), F.when(col("k") % 2 == 0, "bgr8").when(col("k") % 3 == 0, "mono8").otherwise("other").alias("encoding"))
-    return codecs.decode_image(raw).select("event_id", F.hex("pixels").alias("pixels"))
+    """Frames with row padding in five encodings; one isn't known, and some are shorter than they say."""
+    return codecs.decode_image(frames(spark, d)).select("event_id", F.hex("pixels").alias("pixels"))
 
 
-@section.add("decode_image_compressed")
+@section.add("decode_image_compressed", with_views("SELECT event_id, CAST(CASE WHEN length(data) = 24 THEN 8 END AS INT) AS width, CAST(CASE WHEN length(data) = 24 THEN 3 END AS INT) AS height, CASE WHEN length(data) = 24 THEN hex(data) END AS pixels FROM f", FRAMES))
 def _(spark, d):
-    raw = A.modality(spark, d, "camera").select("event_id", F.encode(F.lit("no image"), "utf-8").alias("data"))
-    return codecs.decode_image_compressed(raw).select("event_id", "image.width", "image.height")
+    """The same bytes as grey PNG files of eight by three pixels, decoded again; those cut short are no images."""
+    png = F.pandas_udf(lambda s: s.map(lambda b: codecs.png(b, 8, 3) if len(b) == 24 else b), "binary")
+    raw = frames(spark, d).select("event_id", png("data").alias("data"))
+    return codecs.decode_image_compressed(raw).select("event_id", "image.width", "image.height", F.hex("image.pixels").alias("pixels"))
 
 
 def _poses(spark, d):
@@ -147,11 +166,25 @@ def _(spark, d):
     return codecs.parse_events(b)
 
 
-@section.add("g2o_export")
+_ZEROS = "0.000000000 0.000000000 0.000000000"
+
+
+@section.add(
+    "g2o_export",
+    with_views(
+        f"""SELECT 'VERTEX_SE3:QUAT ' || kf_id || printf(' %.9f %.9f ', x, y) || '0.000000000 {_ZEROS} 1.000000000' AS value FROM v_track UNION ALL
+        SELECT 'EDGE_SE3:QUAT ' || kf_id || ' ' || b || printf(' %.9f %.9f ', bx - x, by_ - y) || '0.000000000 {_ZEROS} 1.000000000 10000.000 0 0 0 0 0 10000.000 0 0 0 0 10000.000 0 0 0 10000.000 0 0 10000.000 0 10000.000' FROM
+        (SELECT *, lead(kf_id) OVER w AS b, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM v_track WINDOW w AS (PARTITION BY run ORDER BY t, kf_id)) WHERE b IS NOT NULL"""
+    ),
+)
 def _(spark, d):
-    n = _poses(spark, d).withColumn("id", F.monotonically_increasing_id())
-    e = n.withColumn("a", col("id")).withColumn("b", col("id") + 1).withColumn("information", F.lit(1e4))
-    return codecs.g2o_lines(n, e)
+    """Keyframes as vertices under their own ids, and the steps of each run as edges between them."""
+    t = A.track(spark, d)
+    zero = F.lit(0.0)
+    pose = lambda x, y: [x.alias("tx"), y.alias("ty"), zero.alias("tz"), zero.alias("qx"), zero.alias("qy"), zero.alias("qz"), F.lit(1.0).alias("qw")]
+    w = Window.partitionBy("run").orderBy("t", "kf_id")
+    ends = t.select(col("kf_id").alias("a"), F.lead("kf_id").over(w).alias("b"), *pose(F.lead("x").over(w) - col("x"), F.lead("y").over(w) - col("y")))
+    return codecs.g2o_lines(t.select(col("kf_id").alias("id"), *pose(col("x"), col("y"))), ends.filter("b is not null").withColumn("information", F.lit(1e4)))
 
 
 @section.add("cloud_encode", with_views("SELECT scan_id, idx, (CAST(round(r * 255) AS INT) << 16) | (CAST(round(g * 255) AS INT) << 8) | CAST(round(b * 255) AS INT) AS rgb FROM (SELECT scan_id, idx, " + ", ".join("greatest(0, least(1, " + " + ".join(f"({k!r}) * pow(c, {i})" for i, k in enumerate(ch)) + f")) AS {n}" for n, ch in zip("rgb", TURBO, strict=True)) + " FROM (SELECT scan_id, idx, CASE WHEN max(z) OVER w > min(z) OVER w THEN (z - min(z) OVER w) / (max(z) OVER w - min(z) OVER w) ELSE 0.5 END AS c FROM v_point WINDOW w AS (PARTITION BY scan_id)))"))

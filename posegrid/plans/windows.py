@@ -228,10 +228,11 @@ def _(spark, d):
 
 @section.add("coincident_events", with_views(f"SELECT o.event_id AS onset, s.run, count(*) FILTER (s.v > 3 * m) AS spikes, count(*) FILTER (s.v < 0.5 * m) AS drops FROM (SELECT event_id, t FROM s WHERE k = 99 AND run LIKE 'fault%') o JOIN (SELECT *, median(v) OVER (PARTITION BY run) AS m FROM s) s ON s.t BETWEEN o.t - {2 * HOUR} AND o.t + {2 * HOUR} GROUP BY 1, 2", S))
 def _(spark, d):
+    from posegrid.operators.aggregations import medians
     from posegrid.operators.joins import interval_join
 
     s = streams(spark, d)
-    s = s.join(s.groupBy("run").agg(F.percentile("v", 0.5).alias("m")), "run")
+    s = s.join(medians(s, ["run"], "v").withColumnRenamed("median", "m"), "run")
     onsets = s.filter("k = 99 and run like 'fault%'").select(col("event_id").alias("onset"), (col("t") - 2 * HOUR).alias("lo"), (col("t") + 2 * HOUR).alias("hi"))
     near = interval_join(onsets, s, "lo", "hi", "t", 4 * HOUR)
     return near.groupBy("onset", "run").agg(F.count(F.when(col("v") > 3 * col("m"), 1)).alias("spikes"), F.count(F.when(col("v") < 0.5 * col("m"), 1)).alias("drops"))

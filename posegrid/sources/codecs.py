@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import struct
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -148,18 +150,77 @@ def decode_image(raw: DataFrame) -> DataFrame:
     return raw.withColumn("pixels", run("data", "width", "height", "step", "encoding"))
 
 
+SIGNATURE = b"\x89PNG\r\n\x1a\n"
+CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+
+
+def png(pixels: bytes, width: int, height: int) -> bytes:
+    """Grey pixels as a PNG file; rows take turns with the format's five filters."""
+    rows, before = [], np.zeros(width, np.int64)
+    for y, row in enumerate(np.frombuffer(pixels, np.uint8).reshape(height, width).astype(np.int64)):
+        left, corner = np.concatenate([[0], row[:-1]]), np.concatenate([[0], before[:-1]])
+        guess = (0, left, before, (left + before) // 2, _paeth(left, before, corner))[y % 5]
+        rows.append(bytes([y % 5]) + ((row - guess) % 256).astype(np.uint8).tobytes())
+        before = row
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
+
+
+def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of left, above and corner the one nearest to left + above - corner, in this order."""
+    p = a + b - c
+    da, db, dc = abs(p - a), abs(p - b), abs(p - c)
+    return np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+
+
+def png_grey(data: bytes) -> tuple[int, int, bytes]:
+    """(width, height, grey pixels) of a PNG file with 8 bits a channel and no interlacing; ValueError for any other bytes."""
+    if data[:8] != SIGNATURE:
+        raise ValueError("no PNG file")
+    at, body, head = 8, b"", None
+    while at + 12 <= len(data):
+        (size,), kind = struct.unpack(">I", data[at : at + 4]), data[at + 4 : at + 8]
+        part = data[at + 8 : at + 8 + size]
+        if data[at + 8 + size : at + 12 + size] != struct.pack(">I", zlib.crc32(kind + part)):
+            raise ValueError("a chunk's check sum is wrong")
+        head, body, at = struct.unpack(">IIBBBBB", part) if kind == b"IHDR" else head, body + part if kind == b"IDAT" else body, at + 12 + size
+    if head is None or head[2] != 8 or head[3] not in CHANNELS or head[6]:
+        raise ValueError("not a plain PNG file of 8 bits")
+    width, height, n = head[0], head[1], CHANNELS[head[3]]
+    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * n)
+    out, before = np.zeros((height, width, n), np.int64), np.zeros((width, n), np.int64)
+    for y in range(height):
+        kind, row = int(raw[y, 0]), raw[y, 1:].astype(np.int64).reshape(width, n)
+        if kind in (0, 2):
+            out[y] = (row + (before if kind == 2 else 0)) % 256
+        elif kind == 1:
+            out[y] = np.cumsum(row, axis=0) % 256
+        else:
+            left = corner = np.zeros(n, np.int64)
+            for x in range(width):
+                left = (row[x] + ((left + before[x]) // 2 if kind == 3 else _paeth(left, before[x], corner))) % 256
+                corner = before[x]
+                out[y, x] = left
+        before = out[y]
+    grey = out[:, :, 0] if n < 3 else (299 * out[:, :, 0] + 587 * out[:, :, 1] + 114 * out[:, :, 2] + 500) // 1000
+    return width, height, grey.astype(np.uint8).tobytes()
+
+
 def decode_image_compressed(raw: DataFrame) -> DataFrame:
-    """Grey pixels of JPEG or PNG bytes (data); null where they can't be decoded or no decoder is installed."""
+    """Grey pixels of PNG bytes (data), and of JPEG where an imaging library is installed; null where they can't be decoded."""
     @F.pandas_udf("struct<width:int,height:int,pixels:binary>")
     def run(data: pd.Series) -> pd.DataFrame:
         out = []
         for d in data:
             try:
+                if d is not None and d[:8] == SIGNATURE:
+                    out.append(png_grey(d))
+                    continue
                 from PIL import Image
 
                 image = Image.open(io.BytesIO(d)).convert("L")
                 out.append((image.width, image.height, image.tobytes()))
-            except (ImportError, OSError, TypeError, ValueError):
+            except (ImportError, OSError, TypeError, ValueError, zlib.error, struct.error):
                 out.append((None, None, None))
         return pd.DataFrame(out, columns=["width", "height", "pixels"]).astype({"width": "Int32", "height": "Int32"})
 

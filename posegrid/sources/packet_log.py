@@ -111,10 +111,17 @@ class Writer(DataSourceWriter):
         return Written(name)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, _ = file_system(self.path)
+        from pyarrow import fs
+
+        system, path = file_system(self.path)
+        found = system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if self.overwrite else []
         for m in messages:
             if m and m.path:
                 system.move(m.path + ".tmp", m.path + ".plog")
+        # what was there before goes once the new files are all in place
+        for f in found:
+            if f.path.endswith(".plog"):
+                system.delete_file(f.path)
 
     def abort(self, messages: list[Written | None]) -> None:
         system, _ = file_system(self.path)
