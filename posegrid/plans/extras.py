@@ -9,7 +9,7 @@ from posegrid.adapters import with_views
 from posegrid.operators import graph
 from posegrid.operators.folds import fold_sql
 from posegrid.sources import codecs
-from posegrid.streaming import align
+from posegrid.streaming import align, feedback
 from pyspark.sql import functions as F
 
 from . import graphs
@@ -205,3 +205,36 @@ def _(spark, d):
     return rounded(loops.select("run", "loop", (col("tx") + noise + F.when(col("b") % 5 == 0, 3.0).otherwise(0.0)).alias("tx"), (col("b") % 5 == 0).alias("outlier")))
 
 
+
+
+# --- feedback between micro-batches
+
+PARTS = "p AS (SELECT *, CASE WHEN year(make_timestamp(t)) < 1997 THEN 0 WHEN year(make_timestamp(t)) < 1999 THEN 1 WHEN year(make_timestamp(t)) < 2000 THEN 2 ELSE 3 END AS part FROM v_track)"
+SHIFTS = "s AS (SELECT run, part, sum(count(*)) OVER (PARTITION BY run ORDER BY part) * 0.125 AS cx FROM p GROUP BY 1, 2)"
+
+
+@section.add(
+    "correction_feedback",
+    with_views("SELECT p.run, p.kf_id, part AS batch, round(p.x + coalesce((SELECT max_by(cx, s.part) FROM s WHERE s.run = p.run AND s.part < p.part), 0), 6) AS x FROM p", PARTS, SHIFTS),
+)
+def _(spark, d):
+    """Keyframes of four periods as four micro-batches; each is shifted by what the batches before it have found for its run."""
+    path = scratch(spark)
+    year = F.year(F.timestamp_micros("t"))
+    t = A.track(spark, d).withColumn("part", F.when(year < 1997, 0).when(year < 1999, 1).when(year < 2000, 2).otherwise(3))
+    # one file after the other, so that each is a batch of its own and they come in this order
+    for k in range(4):
+        t.filter(col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    corrections = feedback.Corrections(spark, f"{path}/corrections", "run long, cx double", ["run"])
+    stream = spark.readStream.schema(t.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+    def apply(batch, before):
+        return batch.join(before, "run", "left").withColumn("x", col("x") + F.coalesce("cx", F.lit(0.0))).drop("cx")
+
+    def derive(done, before):
+        found = done.groupBy("run").agg((F.count(F.lit(1)) * 0.125).alias("more"))
+        return found.join(before, "run", "left").select("run", (F.coalesce("cx", F.lit(0.0)) + col("more")).alias("cx"))
+
+    feedback.with_feedback(stream, f"{path}/cp", corrections, apply, derive, align.parquet_sink(f"{path}/out")).awaitTermination()
+    out = spark.read.schema(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.drop("part").schema) + ", batch int").parquet(f"{path}/out")
+    return rounded(out.select("run", "kf_id", "batch", "x"))

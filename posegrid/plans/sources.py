@@ -137,6 +137,24 @@ def _(spark, d):
     return codecs.parse_loops(codecs.loop_lines(j)).select("from_id", "to_id", "fitness", "at_kf", F.get("cov", F.lit(7)).alias("c11"), "outlier")
 
 
+@section.add("loops_yaml_read", with_views("SELECT run AS from_id, kf_id AS to_id, round(x / 10, 6) AS tx, round(y / 1000, 6) AS ty, CASE WHEN kf_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END AS qz, CASE WHEN kf_id % 2 = 0 THEN round(x / 500 + 1e-9, 6) ELSE 0.8 END AS fitness, greatest(run, kf_id) AS at_kf, CASE WHEN kf_id % 3 = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS c7, kf_id % 5 = 0 AS outlier FROM v_track"))
+def _(spark, d):
+    """Loops written as YAML files and read again; some with the whole covariance, without fitness or mark, and quaternions of any length."""
+    path = scratch(spark)
+    k = col("kf_id")
+    number = lambda c: F.round(c, 6)
+    turn = F.when(k % 2 == 0, F.array(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(0.6), F.lit(0.8)))
+    whole = F.when(k % 3 > 0, F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: F.when(i % 7 == 0, 0.25).otherwise(0.0)))
+    diagonal = F.when(k % 3 == 0, F.array(*[F.lit(v) for v in (0.1, 0.5, 0.1, 0.1, 0.1, 0.1)]))
+    j = A.track(spark, d).select(
+        col("run").alias("from_id"), k.alias("to_id"), F.array(number(col("x") / 10), number(col("y") / 1000), F.lit(0.0)).alias("t"), turn.alias("q"), whole.alias("cov"), diagonal.alias("cov_diag"),
+        F.when(k % 2 == 0, number(col("x") / 500 + 1e-9)).alias("fitness"), F.lit(None).cast("long").alias("at_kf"), F.when(k % 5 == 0, True).alias("outlier"),
+    )
+    codecs.write_loops_yaml(j, f"{path}/loops")
+    got = codecs.read_loops_yaml(spark, f"{path}/loops").filter("problem is null")
+    return rounded(got.select("from_id", "to_id", col("t")[0].alias("tx"), col("t")[1].alias("ty"), col("q")[2].alias("qz"), "fitness", "at_kf", col("cov")[7].alias("c7"), "outlier"))
+
+
 @section.add("calib_snapshot", "SELECT l_suppkey AS sensor, arg_max(l_quantity, (l_orderkey, l_linenumber, l_partkey, l_quantity)) AS offset_x FROM lineitem GROUP BY 1")
 def _(spark, d):
     version = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
@@ -218,14 +236,50 @@ def _(spark, d):
     return A.sensor(spark, d).join(F.broadcast(control.filter("enabled")), "modality", "left_semi").select("event_id")
 
 
-@section.add("config_load")
+#: A few settings of each customer's configuration; the others keep their defaults.
+GIVEN = {
+    "map.tsdf_voxel_m": "0.05 + (id % 10) * 0.05", "backend.pcm_chi2_alpha": "(id % 21) / 20.0D", "place.pcm_chi2_conf": "CASE WHEN id % 4 = 0 THEN 0.99D ELSE (id % 21) / 20.0D END", "preprocess.lidar.blind": "CAST(id % 150 AS DOUBLE)",
+    "sensors.camera.shutter": "CASE WHEN id % 9 = 0 THEN 'rolling' END", "frontend.lio.min_keypoints": "id % 4", "aggregation.max_wait_ms": "CAST(id % 300 AS DOUBLE)", "time.source": "CASE WHEN id % 6 = 0 THEN 'ptp' END", "sensors.lidar.ptp": "id % 12 = 0",
+}
+_G = {k: v.replace("20.0D", "20.0::DOUBLE").replace("0.99D", "0.99::DOUBLE") for k, v in GIVEN.items()}
+_RULES = {
+    "frontend.lio.min_keypoints must be 1 or more": f"{_G['frontend.lio.min_keypoints']} >= 1",
+    "backend.pcm_chi2_alpha must lie in (0, 1)": f"{_G['backend.pcm_chi2_alpha']} > 0 AND {_G['backend.pcm_chi2_alpha']} < 1", "place.pcm_chi2_conf must lie in (0, 1)": f"{_G['place.pcm_chi2_conf']} > 0 AND {_G['place.pcm_chi2_conf']} < 1",
+    "sensors.camera.shutter must be one of global": "id % 9 <> 0", "map.tsdf_voxel_m must be at most preprocess.lidar.voxel_surf_m": f"{_G['map.tsdf_voxel_m']} <= 0.4", "map.tsdf_voxel_m must be at most map.reg_voxel_m": f"{_G['map.tsdf_voxel_m']} <= 0.5",
+    "place.pcm_chi2_conf must equal backend.pcm_chi2_alpha": f"{_G['place.pcm_chi2_conf']} = {_G['backend.pcm_chi2_alpha']}", "preprocess.lidar.blind must be below preprocess.lidar.det_range": "id % 150 < 120",
+    "aggregation.max_wait_ms must be one lidar period at least": "id % 300 >= 100", "time.source ptp needs a sensor with ptp": "id % 6 <> 0 OR id % 12 = 0",
+}
+
+
+def _configs(spark, d):
+    """Each customer's configuration as nested JSON text."""
+    parts: dict = {}
+    for name, sql in GIVEN.items():
+        *path, last = name.split(".")
+        here = parts
+        for p in path:
+            here = here.setdefault(p, {})
+        here[last] = F.expr(sql)
+    nest = lambda x: F.struct(*[(nest(v) if isinstance(v, dict) else v).alias(k) for k, v in x.items()])
+    return A.geo(spark, d).select("id", F.to_json(nest(parts)).alias("text"))
+
+
+@section.add("config_load", with_views(f"SELECT id, round(CAST({_G['map.tsdf_voxel_m']} AS DOUBLE), 6) AS voxel, CAST(id % 150 AS DOUBLE) AS blind, CASE WHEN id % 9 = 0 THEN 'rolling' ELSE 'global' END AS shutter, CASE WHEN id % 6 = 0 THEN 'ptp' ELSE 'host' END AS source, id % 12 = 0 AS ptp, 100 AS rounds, 120.0::DOUBLE AS det_range FROM v_geo"))
 def _(spark, d):
-    from dataclasses import asdict
+    """Settings of each configuration: those that it names, and defaults for all others."""
+    from posegrid import settings
 
-    from posegrid import config
+    names = {"map.tsdf_voxel_m": "voxel", "preprocess.lidar.blind": "blind", "sensors.camera.shutter": "shutter", "time.source": "source", "sensors.lidar.ptp": "ptp", "frontend.lio.icp_max_iterations": "rounds", "preprocess.lidar.det_range": "det_range"}
+    return rounded(settings.resolved(_configs(spark, d), "text").select("id", *[col(f"`{k}`").alias(v) for k, v in names.items()]))
+
+
+@section.add("config_validate", with_views("SELECT id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT ({c}) THEN '{m}' END" for m, c in _RULES.items()) + "], lambda m: m IS NOT NULL), '; ') AS broken FROM v_geo"))
+def _(spark, d):
+    """All rules that each configuration breaks."""
+    from posegrid import settings
 
-    cfg = config.load('{"frontend": {"voxel_edge": 0.5, "max_correspondence": 0.4}}')
-    return spark.createDataFrame([(s, k, str(v)) for s, part in asdict(cfg).items() for k, v in part.items()], "section string, name string, value string")
+    known = settings.resolved(_configs(spark, d), "text")
+    return known.select("id", F.concat_ws("; ", settings.broken(known)).alias("broken"))
 
 
 # --- streams: files of the sensor table are read as they would arrive

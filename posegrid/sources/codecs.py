@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -111,6 +112,45 @@ def loop_lines(loops: DataFrame) -> DataFrame:
     return loops.select(F.to_json(F.struct("*")).alias("value"))
 
 
+def write_loops_yaml(loops: DataFrame, path: str) -> None:
+    """``loops`` (columns of ``LOOP``; nulls are left out) as YAML files: a list under ``loops`` in each."""
+    numbers = lambda c: F.concat(F.lit("["), F.concat_ws(", ", F.transform(c, lambda v: v.cast("string"))), F.lit("]"))
+    shown = {"from_id": col("from_id").cast("string"), "to_id": col("to_id").cast("string"), "t": numbers("t"), "q": numbers("q"), "cov": numbers("cov"), "cov_diag": numbers("cov_diag"), "fitness": col("fitness").cast("string"), "at_kf": col("at_kf").cast("string"), "outlier": col("outlier").cast("string")}
+    lines = F.array_compact(F.array(*[F.when(col(k).isNotNull(), F.concat(F.lit(f"{k}: "), v)) for k, v in shown.items()]))
+    blocks = loops.select(F.concat(F.lit("  - "), F.array_join(lines, "\n    ")).alias("value"))
+
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["loops:"]})
+        yield from batches
+
+    blocks.mapInPandas(headed, "value string").write.text(path)
+
+
+def read_loops_yaml(spark: SparkSession, path: str, indent: int = 2) -> DataFrame:
+    """Loops of YAML files, one row for each item of the list under ``loops``, whose items are indented by ``indent``; as a block of lines or in braces.
+
+    A file is read in items, wherever they lie in it. q is of length 1, a diagonal becomes a full covariance, fitness is 0.8 by default, at_kf the
+    later id. problem says what is wrong with an item (a missing id, a list of another length, no covariance), and is null where nothing is.
+    """
+    text = spark.read.option("lineSep", "\n" + " " * indent + "- ").text(path).select(F.regexp_replace("value", r"(?m)\s#.*$", "").alias("v"))
+    items = text.filter(~col("v").rlike(r"^\s*(#.*\n\s*)*loops:\s*$"))
+    # an item ends where the file's next section begins
+    scalar = lambda k: F.nullif(F.regexp_extract("v", rf"(?:^|[\s{{,]){k}:\s*([^\s,}}\[\]]+)", 1), F.lit(""))
+    listed = lambda k: F.when(col("v").rlike(rf"(?:^|[\s{{,]){k}:\s*\["), F.transform(F.split(F.regexp_extract("v", rf"(?:^|[\s{{,]){k}:\s*\[([^\]]*)\]", 1), ","), lambda x: F.trim(x).try_cast("double")))
+    r = items.select(*[scalar(k).try_cast("long").alias(k) for k in ("from_id", "to_id", "at_kf")], scalar("fitness").try_cast("double").alias("fitness"), scalar("outlier").try_cast("boolean").alias("outlier"), *[listed(k).alias(k) for k in ("t", "q", "cov", "cov_diag")])
+    wrong = lambda k, n: col(k).isNull() | (F.size(k) != n) | F.exists(k, lambda v: v.isNull())
+    problem = (
+        F.when(col("from_id").isNull() | col("to_id").isNull(), "no id").when(wrong("t", 3), "t must have 3 entries").when(wrong("q", 4), "q must have 4 entries")
+        .when(col("cov").isNull() & col("cov_diag").isNull(), "no covariance").when(col("cov").isNotNull() & wrong("cov", 36), "cov must have 36 entries").when(col("cov").isNull() & wrong("cov_diag", 6), "cov_diag must have 6 entries")
+    )
+    full = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(5)), lambda j: F.when(i == j, F.get("cov_diag", i)).otherwise(0.0))))
+    length = F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, v: s + v * v))
+    return r.withColumn("problem", problem).withColumn("_n", length).select(
+        "from_id", "to_id", "t", F.when(col("_n") > 0, F.transform("q", lambda v: v / col("_n"))).alias("q"), F.coalesce("cov", F.when(col("cov_diag").isNotNull(), full)).alias("cov"), F.coalesce("fitness", F.lit(0.8)).alias("fitness"),
+        F.coalesce("at_kf", F.greatest("from_id", "to_id")).alias("at_kf"), F.coalesce("outlier", F.lit(False)).alias("outlier"), "problem",
+    )
+
+
 def g2o_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(value): pose vertices and between edges (a, b, pose, information diagonal) of a graph, for other solvers."""
     v = nodes.select(F.concat_ws(" ", F.lit("VERTEX_SE3:QUAT"), "id", *[_number(col(c)) for c in POSE]).alias("value"))

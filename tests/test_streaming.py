@@ -92,3 +92,41 @@ def test_state_stays_small():
     for i in range(100):
         align.push(state, "camera", i, i, capped)
     assert len(state["staged"]["camera"]) == 16 and state["dropped"] == 84
+
+
+def test_feedback_gives_the_same_versions_when_batches_run_again(spark, tmp_path):
+    """Two folders, one with a failure after the sink's write; both end with the same versions and rows."""
+    from posegrid.streaming import feedback
+    from pyspark.sql import functions as F
+
+    for k in range(4):
+        spark.createDataFrame([(run, float(k * 10 + i)) for run in (1, 2) for i in range(k + 1) if run < 2 or k % 2], "run long, x double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        __import__("time").sleep(0.05)
+
+    def go(name, fail_at):
+        table = feedback.Corrections(spark, f"{tmp_path}/{name}/c", "run long, cx double", ["run"])
+        failed = []
+
+        def sink(batch, number):
+            batch.write.mode("overwrite").parquet(f"{tmp_path}/{name}/out/batch={number}")
+            if number == fail_at and not failed:
+                failed.append(number)
+                raise RuntimeError("lost")
+
+        def start():
+            stream = spark.readStream.schema("run long, x double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+            return feedback.with_feedback(
+                stream, f"{tmp_path}/{name}/cp", table, lambda b, c: b.join(c, "run", "left").select("run", (F.col("x") + F.coalesce("cx", F.lit(0.0))).alias("x")), lambda d, c: d.groupBy("run").agg(F.max("x").alias("cx")), sink
+            )
+
+        try:
+            start().awaitTermination()
+        except Exception as e:
+            assert fail_at is not None and "lost" in str(e)
+            start().awaitTermination()
+        versions = [sorted(map(tuple, table.as_of(v).collect())) for v in range(-1, 4)]
+        return versions, sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{name}/out").collect()))
+
+    plain, again = go("a", None), go("b", 2)
+    assert plain == again
+    assert plain[0] == [[], [(1, 0.0)], [(1, 11.0), (2, 11.0)], [(1, 33.0), (2, 11.0)], [(1, 66.0), (2, 44.0)]]
