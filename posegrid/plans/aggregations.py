@@ -264,13 +264,15 @@ def _(spark, d):
     return rounded(e.groupBy((F.col("run") % 10).alias("grp")).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.min(F.when(F.col("e") > 0.35, F.col("t"))).alias("onset"), F.round(F.sum(F.when(F.col("e") < 0.1, F.col("x"))), 4).alias("phantom")))
 
 
-@section.add("gicp_fitness", with_views(f"SELECT g.scan_id % 32 AS pair, round(count(n.id) / count(*), 6) AS overlap, round(sqrt(avg(n.d2)), 6) AS rmse FROM g LEFT JOIN (SELECT * FROM {NEAREST.format(0.25)} WHERE n = 1) n ON n.q = g.id GROUP BY 1", GRID.format(0.5), PAIRS))
+@section.add("gicp_fitness", with_views(f"SELECT *, overlap >= 0.9 AND rmse <= 0.5 AS accepted FROM (SELECT g.scan_id % 32 AS pair, round(count(n.id) / count(*), 6) AS overlap, round(sqrt(avg(n.d2)), 6) AS rmse FROM g LEFT JOIN (SELECT * FROM {NEAREST.format(1.0)} WHERE n = 1) n ON n.q = g.id GROUP BY 1)", GRID.format(1.0), PAIRS))
 def _(spark, d):
+    """Share of points with a partner, their distance, and whether a pair passes both gates; loop_verify has the gate on the condition number as well."""
     from posegrid.operators.joins import voxel_nn
 
     source, target = _queries_targets(spark, d)
-    joined = source.join(voxel_nn(source, target, 0.5, 0.5, apart="scan_id"), "q", "left")
-    return rounded(joined.groupBy((F.col("scan_id") % 32).alias("pair")).agg((F.count("id") / F.count(F.lit(1))).alias("overlap"), F.sqrt(F.avg("d2")).alias("rmse")))
+    joined = source.join(voxel_nn(source, target, 1.0, 1.0, apart="scan_id"), "q", "left")
+    out = rounded(joined.groupBy((F.col("scan_id") % 32).alias("pair")).agg((F.count("id") / F.count(F.lit(1))).alias("overlap"), F.sqrt(F.avg("d2")).alias("rmse")))
+    return out.withColumn("accepted", (F.col("overlap") >= 0.9) & (F.col("rmse") <= 0.5))
 
 
 @section.add("height_normalise", with_views("SELECT scan_id, idx, round(CASE WHEN hi > lo THEN (z - lo) / (hi - lo) ELSE 0.5 END, 6) + 0.0 AS h FROM (SELECT *, min(z) OVER (PARTITION BY scan_id) AS lo, max(z) OVER (PARTITION BY scan_id) AS hi FROM v_point)"))

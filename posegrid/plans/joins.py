@@ -110,14 +110,14 @@ PAIRS = """p AS (SELECT a.scan_id, a.id AS q, b.id, pow(a.x-b.x,2)+pow(a.y-b.y,2
 NEAREST = "(SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, probe, id) AS n FROM p WHERE d2 <= {})"
 
 
-@section.add("voxel_nn_join", with_views(f"SELECT q, id, round(d2, 6) AS d2 FROM {NEAREST.format(0.16)} WHERE n = 1", GRID.format(0.5), PAIRS))
+@section.add("voxel_nn_join", with_views(f"SELECT q, id, round(d2, 6) AS d2 FROM {NEAREST.format(0.8 * 0.8)} WHERE n = 1", GRID.format(0.8), PAIRS))
 def _(spark, d):
-    return rounded(J.voxel_nn(*_queries_targets(spark, d), 0.5, 0.4, apart="scan_id"))
+    return rounded(J.voxel_nn(*_queries_targets(spark, d), 0.8, 0.8, apart="scan_id"))
 
 
-@section.add("voxel_radius_join", with_views("SELECT q, id, round(d2, 6) AS d2 FROM p WHERE d2 <= 0.0625", GRID.format(0.5), PAIRS))
+@section.add("voxel_radius_join", with_views("SELECT q, id, round(d2, 6) AS d2 FROM p WHERE d2 <= 0.81", GRID.format(0.9), PAIRS))
 def _(spark, d):
-    return rounded(J.voxel_radius(*_queries_targets(spark, d), 0.5, 0.25, apart="scan_id"))
+    return rounded(J.voxel_radius(*_queries_targets(spark, d), 0.9, 0.9, apart="scan_id"))
 
 
 @section.add(
@@ -259,6 +259,6 @@ def _(spark, d):
     return J.moved_windows(t.withColumn("ids", F.collect_list("kf_id").over(window)).select(F.col("kf_id").alias("anchor"), "ids"), t.filter("x > 300").select(F.col("kf_id").alias("id")))
 
 
-@section.add("gicp_correspondence", with_views(f"SELECT q, id, round(d2, 6) AS d2 FROM {NEAREST.format(0.25)} WHERE n = 1", GRID.format(0.75), PAIRS))
+@section.add("gicp_correspondence", with_views(f"SELECT q, id, round(d2, 6) AS d2 FROM {NEAREST.format(1.0)} WHERE n = 1", GRID.format(1.0), PAIRS))
 def _(spark, d):
-    return rounded(J.voxel_nn(*_queries_targets(spark, d), 0.75, 0.5, apart="scan_id"))
+    return rounded(J.voxel_nn(*_queries_targets(spark, d), 1.0, 1.0, apart="scan_id"))
