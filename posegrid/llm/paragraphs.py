@@ -156,7 +156,8 @@ def repeated_paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, m
     discard(described, classes, joined)
     doc = F.struct("doc_id", "th")
     found = units.groupBy("component").agg(F.min(F.struct(*place)).alias("least"), F.min(doc).alias("a"), F.max(doc).alias("b"), F.min("end").alias("end"), F.max("start").alias("start"))
-    found = found.filter("a <> b or start >= end").select("component", "least")
+    # written first, so that Spark can split the partition of a very large component when its units are joined
+    found = cut(found.filter("a <> b or start >= end").select("component", "least"))
     own = F.struct(*place) == F.col("least")
     return units.join(found, "component").select("doc_id", "th", "start", "end", F.col("least.doc_id").alias("component_doc"), F.col("least.start").alias("component_start"), own.alias("kept"))
 
