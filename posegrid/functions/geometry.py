@@ -181,6 +181,22 @@ def project(p: Vec, fx: float, fy: float, cx: float, cy: float, k1: float = 0.0,
     return F.when(front, fx * u + cx), F.when(front, fy * v + cy)
 
 
+def project_jacobian(p: Vec, fx: float, fy: float, k1: float = 0.0, k2: float = 0.0, p1: float = 0.0, p2: float = 0.0) -> list[Column]:
+    """How a pixel (u, v) of ``project`` moves with the point: six entries, row by row; null behind the camera."""
+    x, y, z = p[0] / p[2], p[1] / p[2], p[2]
+    r2 = x * x + y * y
+    radial, slope = 1 + k1 * r2 + k2 * r2 * r2, 2 * (k1 + 2 * k2 * r2)
+    ux, uy = radial + slope * x * x + 2 * p1 * y + 6 * p2 * x, slope * x * y + 2 * p1 * x + 2 * p2 * y
+    vx, vy = uy, radial + slope * y * y + 6 * p1 * y + 2 * p2 * x
+    rows = [(fx * ux / z, fx * uy / z, -fx * (ux * x + uy * y) / z), (fy * vx / z, fy * vy / z, -fy * (vx * x + vy * y) / z)]
+    return [F.when(z > 0, v) for row in rows for v in row]
+
+
+def in_image(u: Column, v: Column, width: int, height: int) -> Column:
+    """Whether a pixel lies in the image; false without one."""
+    return F.coalesce((u >= 0) & (u < width) & (v >= 0) & (v < height), F.lit(False))
+
+
 def distort_radtan(x: Column, y: Column, k1: float, k2: float, p1: float, p2: float) -> tuple[Column, Column]:
     r2 = x * x + y * y
     radial = 1 + k1 * r2 + k2 * r2 * r2

@@ -209,6 +209,28 @@ def motion_segments(rows: DataFrame, by: list[str], order: list[str], moving: Co
     return h.withColumn("kind", kind).select(*by, "segment", "kind", "start", "end", "n", F.when(col("_moving"), col("_h")).when(col("kind") == "turn", turned).alias("heading"))
 
 
+def spoof_run(rows: DataFrame, by: list[str], order: list[str], stamp: str, place: str, speed: str, keep: list[str], window: int, unit: int, most: float, persist: int, ring: int) -> DataFrame:
+    """by, ``keep``, n and reject: how many fixes in a row disagree by over ``most`` with the reference velocity ``speed`` (per ``unit`` of the stamp).
+
+    A fix's own velocity is that since the oldest of the last ``ring`` accepted ones that is ``window`` old at least. Agreement
+    sets n to 0; a fix without such an old one or without a reference leaves it and is accepted; others are rejected from
+    ``persist`` in a row on, and rejected ones aren't referred to later.
+    """
+
+    def step(s: dict, r: dict) -> dict:
+        seen = next((e for e in s["ring"] if r[stamp] - e[0] >= window), None)
+        n, reject = s["n"], False
+        if seen is not None and r[speed] is not None and r[place] is not None:
+            off = abs((r[place] - seen[1]) / ((r[stamp] - seen[0]) / unit) - r[speed])
+            n = n + 1 if off > most else 0
+            reject = n >= persist
+        taken = s["ring"] if reject or r[place] is None else (*s["ring"], (r[stamp], r[place]))[-ring:]
+        return {"ring": taken, "n": n, "reject": reject}
+
+    slim = rows.select(*dict.fromkeys([*by, *order, stamp, place, speed, *keep]))
+    return streamed_fold(slim, by, order, {"ring": (), "n": 0, "reject": False}, step, keep, "n bigint, reject boolean")
+
+
 def onset_sustained(errors: DataFrame, by: list[str], order: list[str], value: str, floor: float, factor: float = 8.0) -> DataFrame:
     """First row whose error exceeds max(floor, factor * median of the first quarter) while the mean from there on does too."""
     w = _w(by, order)

@@ -229,11 +229,18 @@ def _(spark, d):
 # --- camera and colour
 
 
-@section.add("project", with_views("SELECT scan_id, idx, round(CASE WHEN z > 0 THEN 400 * (xn*(1+0.01*r2-0.002*r2*r2)+2*0.001*xn*yn+0.0005*(r2+2*xn*xn)) + 320 END, 4) + 0.0 AS u, round(CASE WHEN z > 0 THEN 410 * (yn*(1+0.01*r2-0.002*r2*r2)+0.001*(r2+2*yn*yn)+2*0.0005*xn*yn) + 240 END, 4) + 0.0 AS v FROM (SELECT *, xn*xn+yn*yn AS r2 FROM (SELECT *, x/100/CASE WHEN z > 0 THEN z END AS xn, y/100/CASE WHEN z > 0 THEN z END AS yn FROM v_point))"))
+PIXEL = """c AS (SELECT *, xn*xn + yn*yn AS r2 FROM (SELECT *, x/100/CASE WHEN z > 0 THEN z END AS xn, y/100/CASE WHEN z > 0 THEN z END AS yn FROM v_point)),
+    u AS (SELECT *, 400 * (xn*(1+0.01*r2-0.002*r2*r2) + 2*0.001*xn*yn + 0.0005*(r2+2*xn*xn)) + 320 AS u, 410 * (yn*(1+0.01*r2-0.002*r2*r2) + 0.001*(r2+2*yn*yn) + 2*0.0005*xn*yn) + 240 AS v, 2 * (0.01 - 0.004*r2) AS slope, 1+0.01*r2-0.002*r2*r2 AS radial FROM c),
+    j AS (SELECT *, radial + slope*xn*xn + 0.002*yn + 0.003*xn AS ux, slope*xn*yn + 0.002*xn + 0.001*yn AS uy, radial + slope*yn*yn + 0.006*yn + 0.001*xn AS vy FROM u)"""
+
+
+@section.add("project", with_views("SELECT scan_id, idx, round(u, 4) + 0.0 AS u, round(v, 4) + 0.0 AS v, coalesce(u >= 0 AND u < 640 AND v >= 0 AND v < 480, false) AS inside, " + ", ".join(f"round({e}, 4) + 0.0 AS j{i}" for i, e in enumerate(("400*ux/z", "400*uy/z", "-400*(ux*xn + uy*yn)/z", "410*uy/z", "410*vy/z", "-410*(uy*xn + vy*yn)/z"))) + " FROM (SELECT * EXCLUDE z, CASE WHEN z > 0 THEN z END AS z FROM j)", PIXEL))
 def _(spark, d):
-    z = F.when(col("z") > 0, col("z"))
-    u, v = M.project((col("x") / 100, col("y") / 100, z), 400.0, 410.0, 320.0, 240.0, 0.01, -0.002, 0.001, 0.0005)
-    return rounded(A.point(spark, d).select("scan_id", "idx", u.alias("u"), v.alias("v")), 4)
+    """Pixels of all points, whether they lie in the image, and how they move with the point."""
+    p = (col("x") / 100, col("y") / 100, F.when(col("z") > 0, col("z")))
+    u, v = M.project(p, 400.0, 410.0, 320.0, 240.0, 0.01, -0.002, 0.001, 0.0005)
+    j = M.project_jacobian(p, 400.0, 410.0, 0.01, -0.002, 0.001, 0.0005)
+    return rounded(A.point(spark, d).select("scan_id", "idx", u.alias("u"), v.alias("v"), M.in_image(u, v, 640, 480).alias("inside"), *[c.alias(f"j{i}") for i, c in enumerate(j)]), 4)
 
 
 @section.add("unproject", with_views("SELECT scan_id, idx, round(x / 100 + 1e-8, 5) AS ux, round(y / 100 + 1e-8, 5) AS uy FROM v_point"))

@@ -297,17 +297,22 @@ def _(spark, d):
     return streamed_fold(e, ["run"], ["t", "kf_id"], {"last": None, "ok": False}, step, ["kf_id"], "last bigint, ok boolean")
 
 
-JUMPS = "CASE WHEN f.ref IS NULL THEN f.n WHEN abs(b.v - f.ref) > 40 THEN f.n + 1 ELSE 0 END"
-
-
-@folded("spoof_run", f"(SELECT * FROM {RUN} WHERE run LIKE 'gnss%')", "run", "t, event_id", {"ref": "CAST(NULL AS DOUBLE)", "n": "0::BIGINT", "reject": "false"}, {"ref": "b.v", "n": JUMPS, "reject": f"{JUMPS} >= 3"}, ["event_id"], "SELECT run, event_id, n, reject FROM o")
-def _(spark, d):
-    def step(s, r):
-        bad = abs(r["v"] - s["ref"]) > 40 if s["ref"] is not None else None
-        run = s["n"] if bad is None else (s["n"] + 1 if bad else 0)
-        return {"ref": r["v"], "n": run, "reject": run >= 3}
-
-    return streamed_fold(streams(spark, d).filter("run like 'gnss%'"), ["run"], ["t", "event_id"], {"ref": None, "n": 0, "reject": False}, step, ["event_id"], "n bigint, reject boolean")
+RING, WINDOW_US, MOST, PERSIST = 8, 12 * HOUR, 5.0, 3
+_SEEN = f"list_filter(f.ring, lambda e: b.t - e.t >= {WINDOW_US})[1]"
+_OFF = f"abs((b.v - {_SEEN}.v) / ((b.t - {_SEEN}.t) / {HOUR}.0) - b.speed)"
+_N = f"CASE WHEN {_OFF} IS NULL THEN f.n WHEN {_OFF} > {MOST} THEN f.n + 1 ELSE 0 END"
+_REJECT = f"({_OFF} IS NOT NULL AND {_N} >= {PERSIST})"
+
+
+@folded(
+    "spoof_run", f"(SELECT *, CASE WHEN k % 10 > 0 THEN (k - 50) / 10.0 END AS speed FROM {RUN} WHERE run LIKE 'gnss%')", "run", "t, event_id",
+    {"ring": "[]::STRUCT(t BIGINT, v DOUBLE)[]", "n": "0::BIGINT", "reject": "false"}, {"ring": f"CASE WHEN {_REJECT} THEN f.ring ELSE list_append(f.ring, {{'t': b.t, 'v': b.v}})[-{RING}:] END", "n": _N, "reject": _REJECT}, ["event_id"],
+    "SELECT run, event_id, n, reject FROM o",
+)
+def _(spark, d):
+    """Fixes whose velocity over half a day and more disagrees with a reference three times in a row."""
+    s = streams(spark, d).filter("run like 'gnss%'").withColumn("speed", F.when(col("k") % 10 > 0, (col("k") - 50) / 10))
+    return O.spoof_run(s, ["run"], ["t", "event_id"], "t", "v", "speed", ["event_id"], WINDOW_US, HOUR, MOST, PERSIST, RING)
 
 
 GAP, FAIL = f"coalesce(b.t - f.seen > {24 * HOUR}, false)", "b.k < 10"

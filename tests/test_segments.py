@@ -92,3 +92,49 @@ def test_datum_lock(spark, batch):
     for run, (n, *rest) in want.items():
         assert got[run][:2] == (99 + n, n) and np.allclose(got[run][2:], rest, atol=1e-6)
     assert datum.datum_lock(df.filter("run < 0"), ["run"], ["n"], "fix", *gates).collect() == []
+
+
+def test_projection_moves_as_its_jacobian_says(spark):
+    from posegrid.functions import geometry as M
+
+    rng = np.random.default_rng(0)
+    p = np.concatenate([rng.uniform(-1, 1, (40, 2)), rng.uniform(0.5, 3, (40, 1))], axis=1)
+    camera, lens = (400.0, 410.0, 320.0, 240.0), (0.05, -0.01, 0.002, -0.003)
+    step = 1e-6
+    moved = [p] + [p + s * step * np.eye(3)[a] for a in range(3) for s in (1, -1)]
+    df = spark.createDataFrame([(k, i, *map(float, row)) for k, points in enumerate(moved) for i, row in enumerate(points)] + [(0, 99, 0.0, 0.0, -1.0)], "k long, i long, x double, y double, z double")
+    at = tuple(F.col(c) for c in "xyz")
+    u, v = M.project(at, *camera, *lens)
+    rows = df.select("k", "i", u.alias("u"), v.alias("v"), M.in_image(u, v, 640, 480).alias("inside"), F.array(*M.project_jacobian(at, camera[0], camera[1], *lens)).alias("j")).collect()
+    by = {(r.k, r.i): r for r in rows}
+    for i in range(40):
+        for a in range(3):
+            plus, minus = by[1 + 2 * a, i], by[2 + 2 * a, i]
+            assert np.allclose([(plus.u - minus.u) / (2 * step), (plus.v - minus.v) / (2 * step)], [by[0, i].j[a], by[0, i].j[3 + a]], rtol=1e-5, atol=1e-3)
+        r = by[0, i]
+        assert r.inside == (0 <= r.u < 640 and 0 <= r.v < 480)
+    assert by[0, 99].u is None and not by[0, 99].inside and by[0, 99].j == [None] * 6
+
+
+def test_spoof_run(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for run in (1, 2):
+        ring, n, x, t = [], 0, 0.0, 0
+        for i in range(200):
+            t += int(rng.integers(1, 5))
+            x += 2.0 * 1 + (30.0 if 60 < i < 90 else 0.0)
+            speed = None if i % 11 == 0 else 0.8
+            seen = next((e for e in ring if t - e[0] >= 6), None)
+            reject = False
+            if seen is not None and speed is not None:
+                n = n + 1 if abs((x - seen[1]) / (t - seen[0]) - speed) > 1.0 else 0
+                reject = n >= 3
+            if not reject:
+                ring = [*ring, (t, x)][-5:]
+            rows.append((run, t, i, x, speed))
+            want.append((run, i, n, reject))
+    df = spark.createDataFrame(rows, "run long, t long, i long, x double, s double").orderBy(F.rand(2))
+    got = windows.spoof_run(df, ["run"], ["t", "i"], "t", "x", "s", ["i"], 6, 1, 1.0, 3, 5).orderBy("run", "i").collect()
+    assert [tuple(r) for r in got] == want
+    assert {w[3] for w in want} == {True, False}
