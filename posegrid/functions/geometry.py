@@ -170,6 +170,16 @@ def mahalanobis3(r: Vec, variance: Vec) -> Column:
     return sum((a * a / s for a, s in zip(r, variance, strict=True)), F.lit(0.0))
 
 
+def mahalanobis(r: Vec, s: tuple[Column, Column, Column, Column, Column, Column]) -> Column:
+    """Squared distance under a symmetric covariance (xx, xy, xz, yy, yz, zz), by its adjugate; null if that isn't positive definite."""
+    a, b, c, d, e, f = s
+    minors = (d * f - e * e, c * e - b * f, b * e - c * d, a * f - c * c, b * c - a * e, a * d - b * b)
+    det = a * minors[0] + b * minors[1] + c * minors[2]
+    x, y, z = r
+    top = minors[0] * x * x + minors[3] * y * y + minors[5] * z * z + 2 * (minors[1] * x * y + minors[2] * x * z + minors[4] * y * z)
+    return F.when((a > 0) & (minors[5] > 0) & (det > 0), top / F.when(det > 0, det))
+
+
 # --- camera and colour
 
 

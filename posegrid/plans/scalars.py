@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from posegrid import adapters as A
 from posegrid.adapters import with_views
 from posegrid.functions import geometry as M
 from posegrid.functions import manifold
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .registry import Section, rounded
@@ -103,11 +106,22 @@ def _(spark, d):
     return rounded(posed(spark, d).select("kf_id", m[0].alias("m00"), m[1].alias("m01"), m[3].alias("m10")))
 
 
-@section.add("mat_to_quat", with_views(f"SELECT kf_id, round(abs(sin({YAW}/2)), 6) AS qz, round(abs(cos({YAW}/2)), 6) AS qw FROM v_track"))
+#: Turns about all axes, through all branches: which entry is largest changes with the id.
+TURNS = "q AS (SELECT kf_id, a / n AS a, b / n AS b, c / n AS c, w / n AS w FROM (SELECT *, sqrt(a*a + b*b + c*c + w*w) AS n FROM (SELECT kf_id, (kf_id % 7 - 3) / 3 AS a, (kf_id % 5 - 2) / 2 AS b, (kf_id % 11 - 5) / 4 AS c, 0.05 + (kf_id % 3) / 2 AS w FROM v_track)))"
+
+
+def turns():
+    k = col("kf_id")
+    return M.quat_normalise(((k % 7 - 3) / 3, (k % 5 - 2) / 2, (k % 11 - 5) / 4, 0.05 + (k % 3) / 2))
+
+
+@section.add("mat_to_quat", with_views("SELECT kf_id, round(a, 6) + 0.0 AS qx, round(b, 6) + 0.0 AS qy, round(c, 6) + 0.0 AS qz, round(w, 6) + 0.0 AS qw FROM q", TURNS))
 def _(spark, d):
-    q0, t0 = pose()
-    q = M.mat_to_quat(M.quat_to_mat(q0))
-    return rounded(posed(spark, d).select("kf_id", F.abs(q[2]).alias("qz"), F.abs(q[3]).alias("qw")))
+    """Quaternions of rotation matrices; either sign is the same turn, so the last entry is made positive."""
+    q = M.mat_to_quat(M.quat_to_mat(turns()))
+    t = A.track(spark, d).select("kf_id", F.struct(*[v.alias(n) for v, n in zip(q, "abcw", strict=True)]).alias("q"))
+    sign = F.when(col("q.w") < 0, -1.0).otherwise(1.0)
+    return rounded(t.select("kf_id", *[(col(f"q.{n}") * sign).alias(f"q{m}") for n, m in zip("abcw", "xyzw", strict=True)]))
 
 
 @section.add("quat_slerp", with_views(f"SELECT kf_id, round(abs(cos(d / 2 * 0.25)), 5) AS qw FROM (SELECT kf_id, CASE WHEN {YAW} > pi() THEN 2 * pi() - {YAW} ELSE {YAW} END AS d FROM v_track)"))
@@ -142,20 +156,43 @@ def _(spark, d):
     return rounded(A.track(spark, d).select("kf_id", *[c.alias(n) for c, n in zip((*q, *t), ("qx", "qy", "qz", "qw", "tx", "ty", "tz"), strict=True)]))
 
 
-@section.add("se3_log", with_views("SELECT kf_id, round(x / 100 + 1e-9, 6) AS r0, round(y / 1000, 6) AS r1, round(0.5, 6) AS r2, round(0.1, 6) AS p0, round(y / 1000, 6) AS p1, round(-0.2, 6) AS p2 FROM v_track"))
+#: The turn by its half angle, the translation by the inverse of the left Jacobian.
+LOGS = """v AS (SELECT *, sqrt(a*a + b*b + c*c) AS s FROM q), f AS (SELECT kf_id, x / 300 * pi() AS x, y / 1000 AS y, 0.5 AS z, CASE WHEN s > 0 THEN 2 * atan2(s, w) / s ELSE 2 END * a AS p0, CASE WHEN s > 0 THEN 2 * atan2(s, w) / s ELSE 2 END * b AS p1, CASE WHEN s > 0 THEN 2 * atan2(s, w) / s ELSE 2 END * c AS p2 FROM v JOIN v_track USING (kf_id)),
+    g AS (SELECT *, CASE WHEN th > 1e-4 THEN 1 / (th*th) - (1 + cos(th)) / (2 * th * sin(th)) ELSE 1.0 / 12 END AS k, p1*z - p2*y AS w0, p2*x - p0*z AS w1, p0*y - p1*x AS w2 FROM (SELECT *, sqrt(p0*p0 + p1*p1 + p2*p2) AS th FROM f))"""
+
+
+@section.add("se3_log", with_views("SELECT kf_id, round(x - w0/2 + k*(p1*w2 - p2*w1), 6) + 0.0 AS r0, round(y - w1/2 + k*(p2*w0 - p0*w2), 6) + 0.0 AS r1, round(z - w2/2 + k*(p0*w1 - p1*w0), 6) + 0.0 AS r2, round(p0, 6) + 0.0 AS p0, round(p1, 6) + 0.0 AS p1, round(p2, 6) + 0.0 AS p2 FROM g", TURNS, LOGS))
 def _(spark, d):
-    back = manifold.batched(lambda v: manifold.log(manifold.exp(v)), manifold.TANGENT, col("x") / 100, col("y") / 1000, F.lit(0.5), F.lit(0.1), col("y") / 1000, F.lit(-0.2))
-    return rounded(A.track(spark, d).select("kf_id", back.alias("v")).select("kf_id", (col("v.r0") + 1e-9).alias("r0"), "v.r1", "v.r2", "v.p0", "v.p1", "v.p2"))
+    """Logarithms of poses turned about all axes."""
+    back = manifold.batched(manifold.log, manifold.TANGENT, *turns(), col("x") / 300 * math.pi, col("y") / 1000, F.lit(0.5))
+    return rounded(A.track(spark, d).select("kf_id", back.alias("v")).select("kf_id", "v.*"))
 
 
 STEP = (0.3, -0.1, 0.2, 0.05, -0.15, 0.25)
 
 
-@section.add("boxplus_boxminus", with_views("SELECT kf_id, round(0.3, 6) AS r0, round(-0.1, 6) AS r1, round(0.25, 6) AS p2 FROM v_track"))
+#: On the plane the difference of two poses has a closed form: half the turn, and half of it times its cotangent.
+APART = """s AS (SELECT run, kf_id, x, y, radians(kf_id % 360) AS yaw, lead(kf_id) OVER w AS next, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, lead(radians(kf_id % 360)) OVER w AS turn FROM v_track WINDOW w AS (PARTITION BY run ORDER BY t, kf_id)),
+    h AS (SELECT *, (cos(yaw)*dx + sin(yaw)*dy) / 100 AS u, (cos(yaw)*dy - sin(yaw)*dx) / 100 AS v, atan2(sin(turn - yaw), cos(turn - yaw)) / 2 AS f FROM s WHERE next IS NOT NULL),
+    e AS (SELECT *, CASE WHEN abs(f) > 1e-6 THEN f / tan(f) ELSE 1 END AS k FROM h)"""
+
+
+@section.add("boxplus_boxminus", with_views("SELECT kf_id, round(k*u + f*v, 6) + 0.0 AS r0, round(k*v - f*u, 6) + 0.0 AS r1, round(2 * f, 6) + 0.0 AS p2, true AS back FROM e WHERE abs(abs(f) - pi() / 2) > 1e-6", APART))
 def _(spark, d):
-    q0, t0 = pose()
-    there = lambda v: manifold.boxminus(manifold.boxplus(v, np.tile(STEP, (len(v), 1))), v)
-    return rounded(posed(spark, d).select("kf_id", manifold.batched(there, manifold.TANGENT, *q0, *t0).alias("v")).select("kf_id", "v.r0", "v.r1", "v.p2"))
+    """What leads from each keyframe to the next of its run, and whether adding it does; half turns, whose sign is open, left to the tests."""
+    w = Window.partitionBy("run").orderBy("t", "kf_id")
+    names = ("qx", "qy", "qz", "qw", "x", "y")
+    p = posed(spark, d).withColumn("x", col("x") / 100).withColumn("y", col("y") / 100).withColumns({f"n_{c}": F.lead(c).over(w) for c in names}).filter("n_x is not null")
+    zero = F.lit(0.0)
+
+    def apart(v: np.ndarray) -> np.ndarray:
+        step = manifold.boxminus(v[:, 7:], v[:, :7])
+        miss = np.abs(manifold.boxminus(manifold.boxplus(v[:, :7], step), v[:, 7:])).max(axis=1)
+        return np.concatenate([step, miss[:, None]], axis=1)
+
+    both = manifold.batched(apart, (*manifold.TANGENT, "miss"), *[col(c) for c in names], zero, *[col(f"n_{c}") for c in names], zero)
+    out = p.select("kf_id", both.alias("v")).filter(F.abs(F.abs("v.p2") / 2 - math.pi / 2) > 1e-6)
+    return rounded(out.select("kf_id", "v.r0", "v.r1", "v.p2", (col("v.miss") < 1e-9).alias("back")))
 
 
 HALF = "xi AS (SELECT 0.15::DOUBLE AS r0, -0.05::DOUBLE AS r1, 0.1::DOUBLE AS r2, 0.025::DOUBLE AS p0, -0.075::DOUBLE AS p1, 0.125::DOUBLE AS p2)"
@@ -180,14 +217,22 @@ def _(spark, d):
     return rounded(posed(spark, d).select("kf_id", manifold.batched(lambda v: manifold.adjoint(v).reshape(-1, 36), names, *q0, *t0).alias("v")).select("kf_id", "v.*"))
 
 
-@section.add("psd_clamp", with_views("SELECT kf_id, round(x, 6) AS a, 0.0::DOUBLE AS b, round(y, 6) AS c FROM v_track"))
+CLAMPED = """m AS (SELECT kf_id, x / 300 * pi() - 2 AS a, y / 500 - 1 AS b, (kf_id % 7 - 3) / 2 AS c, kf_id % 5 - 2 AS e FROM v_track), l AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b*b) AS hi, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b*b) AS lo FROM m),
+    k AS (SELECT *, greatest(hi, 0.0) AS h, greatest(lo, 0.0) AS g, CASE WHEN hi > lo THEN (a - lo) / (hi - lo) ELSE 1 END AS p, CASE WHEN hi > lo THEN b / (hi - lo) ELSE 0 END AS q FROM l)"""
+
+
+@section.add("psd_clamp", with_views("SELECT kf_id, round(g + (h - g) * p, 6) + 0.0 AS a, round((h - g) * q, 6) + 0.0 AS b, round(g + (h - g) * (1 - p), 6) + 0.0 AS c, round(greatest(e, 0), 6) + 0.0::DOUBLE AS e FROM k", CLAMPED))
 def _(spark, d):
+    """Symmetric matrices with two axes mixed: their negative eigenvalues become zero, the others stay, as do the directions."""
+
     def clamp(v: np.ndarray) -> np.ndarray:
         m = np.zeros((len(v), 3, 3))
-        m[:, 0, 0], m[:, 1, 1], m[:, 2, 2] = v[:, 0], -1.0, v[:, 1]
-        return manifold.psd_clamp(m)[:, [0, 1, 2], [0, 1, 2]]
+        m[:, 0, 0], m[:, 0, 1], m[:, 1, 0], m[:, 1, 1], m[:, 2, 2] = v[:, 0], v[:, 1], v[:, 1], v[:, 2], v[:, 3]
+        return manifold.psd_clamp(m)[:, [0, 0, 1, 2], [0, 1, 1, 2]]
 
-    return rounded(A.track(spark, d).select("kf_id", manifold.batched(clamp, ("a", "b", "c"), col("x"), col("y")).alias("v")).select("kf_id", "v.*"))
+    k = col("kf_id")
+    parts = (col("x") / 300 * math.pi - 2, col("y") / 500 - 1, (k % 7 - 3) / 2, (k % 5 - 2).cast("double"))
+    return rounded(A.track(spark, d).select("kf_id", manifold.batched(clamp, ("a", "b", "c", "e"), *parts).alias("v")).select("kf_id", "v.*"))
 
 
 @section.add("reframe_gt", with_views(f"SELECT kf_id, round(cos({YAW})*0.25 - sin({YAW})*-0.5 + x, 6) + 0.0 AS tx, round(sin({YAW})*0.25 + cos({YAW})*-0.5 + y, 6) + 0.0 AS ty FROM v_track"))
@@ -208,9 +253,13 @@ def _(spark, d):
     return rounded(A.sensor(spark, d).select("event_id", M.huber_weight(col("value") / 20).alias("w")))
 
 
-@section.add("mahalanobis", with_views("SELECT scan_id, idx, round(x*x/4 + y*y/9 + z*z/0.25, 6) AS d2 FROM v_point"))
+#: Covariances whose inverse is written out: L L' with L lower triangular, so that the distance is that of forward substitution.
+@section.add("mahalanobis", with_views("SELECT scan_id, idx, round((u*u + v*v + w*w) / pi(), 6) AS d2 FROM (SELECT *, (z - 0.5*u - s*v) / 0.5 AS w FROM (SELECT *, (y - s*u) / 3 AS v FROM (SELECT scan_id, idx, y, z, x / 2 AS u, (t_offset - 4) / 4 AS s FROM v_point)))"))
 def _(spark, d):
-    return rounded(A.point(spark, d).select("scan_id", "idx", M.mahalanobis3((col("x"), col("y"), col("z")), (F.lit(4.0), F.lit(9.0), F.lit(0.25))).alias("d2")))
+    """Distances under full covariances, other ones for each place in a scan; over pi, so that no sum of decimals lies where rounding tips."""
+    s = (col("t_offset") - 4) / 4
+    cov = (F.lit(4.0), 2 * s, F.lit(1.0), s * s + 9, 0.5 * s + 3 * s, 0.25 + s * s + 0.25)
+    return rounded(A.point(spark, d).select("scan_id", "idx", (M.mahalanobis((col("x"), col("y"), col("z")), cov) / math.pi).alias("d2")))
 
 
 @section.add("observability_inflate", with_views("SELECT scan_id, idx, round(CASE WHEN z / 10 < 0.2 THEN 100.0 ELSE 1 + 99 * pow(1 - z / 10, 2) END, 5) AS f FROM (SELECT scan_id, idx, round(z, 6) AS z FROM v_point)"))
