@@ -53,13 +53,21 @@ def test_graph_and_registration_queries_read_whole_tables(spark):
     loops = int(sum(sum(b % 2 == 0 for b in range(4, n + 1)) for n in poses))
     got = lambda name: QUERIES[name](spark, SMALL).toPandas()
     chain = got("graph_add_keyframe")
-    assert set(chain["run"]) == runs[2] and len(chain) == int((poses - 1).sum())
+    edges = int((poses - 1).sum())
+    # a verdict on every packet, the first of each run is its prior
+    assert set(chain["run"]) == runs[1] and len(chain) == len(orders) and (chain["verdict"] == "prior").sum() == len(poses)
     assert len(got("synth_loops")) == len(got("gnc_consolidate")) == len(got("pcm_decide")) == loops
     assert set(got("max_clique")["run"]) == runs[4]
-    assert len(got("pose_graph_optimize")) == len(got("marginal")) == len(orders) and len(got("gnss_factor")) == len(chain)
+    assert len(got("pose_graph_optimize")) == len(got("marginal")) == len(orders) and len(got("gnss_factor")) == edges
     pairs = set(lines["l_orderkey"] // 200)
-    for name in ("icp_register", "icp_covariance", "loop_verify", "loop_self_test"):
+    for name in ("icp_register", "icp_covariance"):
         assert set(got(name)["pair"]) == pairs
-    assert set(got("process_sweep")["scan_id"]) == set(lines["l_orderkey"])
+    # thirty-six scans are a keyframe, forty of which a run; each one of the second lap is compared
+    second = {(k // 40, k % 40) for k in set(lines["l_orderkey"] // 36) if k % 40 >= 20}
+    for name in ("loop_verify", "loop_self_test"):
+        found = got(name)
+        assert set(zip(found["run"], found["q"], strict=True)) == second
+    sweeps = got("process_sweep")
+    assert sorted(zip(sweeps["run"], sweeps["k"], strict=True)) == sorted({(k // 40, k % 40) for k in lines["l_orderkey"] // 75})
     # a pair's cloud is all points of its 200 scans: no fewer matches than points in reach of a copy moved by 0.022
     assert got("icp_register")["n"].sum() == len(lines)
