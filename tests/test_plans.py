@@ -1,5 +1,6 @@
 """Joins whose sides grow with the tables aren't broadcast, however small Spark takes them for."""
 
+import pytest
 from posegrid.operators import graph, joins
 
 POSED = ", ".join(f"{c} double" for c in graph.POSE)
@@ -17,3 +18,10 @@ def plan(df):
 def test_revisits_are_shuffled(spark):
     poses = of(spark, "run int, n long, t long, x double, y double")
     assert "Broadcast" not in plan(joins.revisit_candidates(poses, 1, 0, 1.0, ["run"]))
+
+
+@pytest.mark.parametrize("step", ["pairs", "decide"])
+def test_loop_consistency_is_shuffled(spark, step):
+    loops = of(spark, f"run long, loop long, from_id long, to_id long, {POSED}, variance double, in_graph boolean")
+    found = graph.pcm_pairs(loops, of(spark, f"run long, id long, {POSED}"), 1e-4) if step == "pairs" else graph.pcm_decide(loops, of(spark, "run long, loop long"))
+    assert "Broadcast" not in plan(found)
