@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from posegrid import adapters as A
@@ -335,54 +337,92 @@ def _(spark, d):
     return O.cooldown_select(nth, ["run"], ["n", "kf_id"], "n", 4)
 
 
+#: Rows of whole runs that are worked on at once; a longer run goes by itself.
+BLOCK = 1 << 15
+
+
 def _per_run(f, out: str):
-    """Poses of each run in order, as numpy; a run is what one sequential estimate works on."""
+    """f over blocks of whole runs, poses in order, as numpy: rows, poses and where each run starts.
+
+    Steps within a run follow each other; the same step of all runs of a block is one array.
+    """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "kf_id"])
+    def block(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts, ignore_index=True)
         yaw = np.radians(rows["kf_id"].to_numpy() % 360)
         zero = np.zeros(len(rows))
         poses = np.stack([zero, zero, np.sin(yaw / 2), np.cos(yaw / 2), rows["x"].to_numpy() / 100, rows["y"].to_numpy() / 100, zero], axis=1)
-        return f(rows, poses)
-
-    return lambda spark, d: rounded(A.track(spark, d).groupBy("run").applyInPandas(run, out), 5)
-
-
-def _relative_cov(rows, poses):
-    step, total, out = np.eye(6) * 1e-4, np.zeros((6, 6)), []
-    for i in range(len(poses)):
-        if i:
-            back = manifold.adjoint(manifold.inverse(manifold.compose(manifold.inverse(poses[i - 1 : i]), poses[i : i + 1])))[0]
-            total = back @ total @ back.T + step
-        out.append((np.trace(total[:3, :3]), np.trace(total[3:, 3:])))
-    o = np.array(out)
+        own = rows["run"].to_numpy()
+        return f(rows, poses, np.flatnonzero(np.append(True, own[1:] != own[:-1])))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            own = batch["run"].to_numpy()
+            cut = int(np.argmax(own == own[-1]))
+            if n + cut >= BLOCK and (cut or held[-1]["run"].iloc[-1] != own[0]):
+                yield block([*held, batch.iloc[:cut]])
+                held, n, batch = [], 0, batch.iloc[cut:]
+            held.append(batch)
+            n += len(batch)
+        if held:
+            yield block(held)
+
+    def query(spark, d):
+        return rounded(A.track(spark, d).repartition("run").sortWithinPartitions("run", "t", "kf_id").mapInPandas(run, out), 5)
+
+    return query
+
+
+def _steps(n: int, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(runs, rows): the second row of each run, then the third of each that has one, and so on."""
+    size = np.diff(np.append(starts, n))
+    runs = np.arange(len(starts))
+    for i in range(1, size.max()):
+        runs = runs[size[runs] > i]
+        yield runs, starts[runs] + i
+
+
+def _carried(poses: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(runs, rows, covariances): the covariance of each run's chain up to these rows, in their own frames."""
+    back = np.zeros((len(poses), 6, 6))
+    back[1:] = manifold.adjoint(manifold.inverse(manifold.compose(manifold.inverse(poses[:-1]), poses[1:])))
+    cov = np.zeros((len(starts), 6, 6))
+    for runs, at in _steps(len(poses), starts):
+        cov[runs] = back[at] @ cov[runs] @ back[at].transpose(0, 2, 1) + np.eye(6) * 1e-4
+        yield runs, at, cov[runs]
+
+
+def _relative_cov(rows, poses, starts):
+    o = np.zeros((len(poses), 2))
+    for _, at, cov in _carried(poses, starts):
+        o[at] = np.stack([np.trace(cov[:, k : k + 3, k : k + 3], axis1=1, axis2=2) for k in (0, 3)], axis=1)
     return pd.DataFrame({"run": rows["run"].to_numpy(), "kf_id": rows["kf_id"].to_numpy(), "trans": o[:, 0], "rot": o[:, 1]})
 
 
 section.add("relative_cov_compose")(_per_run(_relative_cov, "run long, kf_id long, trans double, rot double"))
 
 
-def _chain_cov(rows, poses):
-    whole, cov = [np.zeros((6, 6))], np.zeros((6, 6))
-    for i in range(1, len(poses)):
-        back = manifold.adjoint(manifold.inverse(manifold.compose(manifold.inverse(poses[i - 1 : i]), poses[i : i + 1])))[0]
-        cov = back @ cov @ back.T + np.eye(6) * 1e-4
-        whole.append(cov)
-    rel = manifold.adjoint(manifold.inverse(manifold.compose(manifold.inverse(poses[:1]), poses[-1:])))[0]
-    between = manifold.psd_clamp(whole[-1] - rel @ whole[0] @ rel.T)
-    return pd.DataFrame({"run": [rows["run"].iloc[0]], "n": [len(poses)], "trace": [np.trace(between)]})
+def _chain_cov(rows, poses, starts):
+    last = np.zeros((len(starts), 6, 6))
+    for runs, _, cov in _carried(poses, starts):
+        last[runs] = cov
+    # the first pose is certain
+    between = manifold.psd_clamp(last)
+    return pd.DataFrame({"run": rows["run"].to_numpy()[starts], "n": np.diff(np.append(starts, len(poses))), "trace": np.trace(between, axis1=1, axis2=2)})
 
 
 section.add("chain_cov")(_per_run(_chain_cov, "run long, n long, trace double"))
 
 
-def _gyro_bias(rows, poses):
-    bias, out = np.zeros(3), []
-    for i in range(len(poses)):
-        if i:
-            guess = manifold.boxplus(poses[i - 1 : i], np.concatenate([np.zeros(3), bias])[None])
-            bias = np.clip(bias + 0.05 * manifold.log(manifold.compose(manifold.inverse(poses[i : i + 1]), guess))[0, 3:], -0.1, 0.1)
-        out.append(bias[2])
+def _gyro_bias(rows, poses, starts):
+    bias, out = np.zeros((len(starts), 3)), np.zeros(len(poses))
+    for runs, at in _steps(len(poses), starts):
+        guess = manifold.boxplus(poses[at - 1], np.concatenate([np.zeros((len(at), 3)), bias[runs]], axis=1))
+        bias[runs] = np.clip(bias[runs] + 0.05 * manifold.log(manifold.compose(manifold.inverse(poses[at]), guess))[:, 3:], -0.1, 0.1)
+        out[at] = bias[runs, 2]
     return pd.DataFrame({"run": rows["run"].to_numpy(), "kf_id": rows["kf_id"].to_numpy(), "bias_z": out})
 
 
