@@ -32,3 +32,60 @@ def test_runs_in_blocks_give_what_single_runs_give(spark, monkeypatch, tmp_path)
             a = manifold.adjoint(manifold.compose(manifold.inverse(p[i : i + 1]), p[i - 1 : i]))[0]
             cov = a @ cov @ a.T + np.eye(6) * 1e-4
         assert got.loc[run, "n"] == len(p) and abs(got.loc[run, "trace"] - np.trace(cov)) < 1e-5
+
+
+POSED = "qx double, qy double, qz double, qw double, tx double, ty double, tz double"
+
+
+def some_graphs(rng, sizes):
+    """Chains with loops between every second pose and the one three before it, some far off; nodes, chain, loops as pandas."""
+    nodes, chain, loops = [], [], []
+    for run, n in enumerate(sizes):
+        yaw = rng.uniform(-1, 1, n)
+        p = np.stack([0 * yaw, 0 * yaw, np.sin(yaw / 2), np.cos(yaw / 2), *rng.uniform(0, 3, (2, n)), 0 * yaw], axis=1)
+        nodes += [[run, i, *p[i]] for i in range(n)]
+        for gap, out in ((1, chain), (3, loops)):
+            for b in range(gap, n, 1 if gap == 1 else 2):
+                rel = manifold.compose(manifold.inverse(p[b - gap : b - gap + 1]), p[b : b + 1])[0]
+                rel[4] += 0.0 if gap == 1 else 2.0 if (run + b) % 5 == 0 else 0.001
+                out.append([run, b - gap, b, *rel, 1e-4])
+    pose = list(manifold.POSE)
+    of = lambda rows: pd.DataFrame(rows, columns=["run", "a", "b", *pose, "variance"])
+    return pd.DataFrame(nodes, columns=["run", "id", *pose]), of(chain), of(loops).assign(loop=lambda e: e["a"] * 1000 + e["b"])
+
+
+def alone(graph, nodes, edges, run):
+    n = nodes[nodes["run"] == run].reset_index(drop=True)
+    return n[list(manifold.POSE)].to_numpy(float), graph.as_edges(edges[edges["run"] == run], {i: k for k, i in enumerate(n["id"])})
+
+
+def test_graphs_of_many_runs_give_what_single_runs_give(spark):
+    from posegrid.operators import graph
+
+    nodes, chain, loops = some_graphs(np.random.default_rng(5), [1, 7, 7, 12, 40, 4])
+    good = loops[(loops["run"] + loops["b"]) % 5 != 0].drop(columns="loop")
+    both = pd.concat([chain, good], ignore_index=True)
+    frames = [spark.createDataFrame(x) for x in (nodes, both, chain, loops)]
+    got = graph.pose_graph_optimize(*frames[:2]).toPandas().sort_values(["run", "id"])
+    weights = graph.gnc_consolidate(frames[0], *frames[2:], 16.8119).toPandas().sort_values(["run", "loop"])
+    traces = graph.marginals(frames[0], frames[2], 1e-8).toPandas().sort_values(["run", "id"])
+    for run in range(1, 6):
+        poses, edges = alone(graph, nodes, both, run)
+        of = lambda x: x[x["run"] == run]  # noqa: E731, B023
+        assert np.abs(of(got)[list(manifold.POSE)].to_numpy() - graph.solve(poses, edges)).max() < 1e-7
+        own = alone(graph, nodes, chain, run)[1]
+        assert np.allclose(of(traces)["trace"], np.trace(graph.marginal_blocks(poses, own, 1e-8)[:, :3, :3], axis1=1, axis2=2), rtol=1e-7)
+        assert np.abs(of(weights)["weight"].to_numpy() - graph.gnc_weights(poses, own, alone(graph, nodes, loops.sort_values(["run", "loop"]), run)[1], 16.8119)[0]).max() < 1e-6
+
+
+def test_steps_of_many_runs_are_as_many_as_those_of_one(monkeypatch):
+    """200 runs of nine poses: the edges of all of them are worked out at once, ten times at most."""
+    from posegrid.operators import graph
+
+    nodes, chain, _ = some_graphs(np.random.default_rng(6), [9] * 200)
+    calls, real = [], graph.residuals
+    monkeypatch.setattr(graph, "residuals", lambda *a: calls.append(1) or real(*a))
+    block = graph.Blocked(200, nodes, chain)
+    for _, rows, at, of in block.stacks():
+        graph.solve_many(block.poses[rows], of, tuple(c[at] for c in block.own))
+    assert len(calls) <= 10
