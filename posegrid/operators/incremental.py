@@ -9,6 +9,7 @@ where they were linearised are linearised again.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import POSE, fresh, residuals
+from .runs import DENSE, alike, by_runs, places, stacked
 
 #: Translation, then rotation: how far a pose may move before it is linearised again.
 RELINEARISE = np.array([0.1, 0.1, 0.1, 0.05, 0.05, 0.05])
@@ -235,19 +237,127 @@ def _grouped(nodes: DataFrame, edges: DataFrame, run, schema: str) -> DataFrame:
     return nodes.groupBy("run").cogroup(fresh(edges.select(*keep)).groupBy("run")).applyInPandas(run, schema)
 
 
-def graph_updates(nodes: DataFrame, edges: DataFrame, relinearise: np.ndarray = RELINEARISE, rounds: int = 10) -> DataFrame:
-    """``OUT`` for each batch of each run: how many poses were eliminated and linearised again, how many older ones moved by over a millimetre or milliradian.
+def _parents(edges: np.ndarray) -> np.ndarray:
+    """(runs, places): the first later pose that each shares an edge or a message with, -1 for none; edges (runs, places, places) from the earlier end."""
+    fill, out = edges.copy(), np.full(edges.shape[:2], -1)
+    for k in range(edges.shape[1]):
+        has = np.flatnonzero(fill[:, k].any(axis=1))
+        up = fill[has, k].argmax(axis=1)
+        out[has, k] = up
+        fill[has, up] |= fill[has, k]
+        fill[has, up, up] = False
+    return out
+
 
-    nodes: run, batch, id, pose; edges: run, batch, a, b, relative pose, variance. A run is one task's work, runs are independent;
-    edges without an end are left out, of a repeated id the first counts.
+def grow_many(base: np.ndarray, of: np.ndarray, edges: tuple[np.ndarray, ...], node_step: np.ndarray, edge_step: np.ndarray, relinearise: np.ndarray, radius: float = 10.0) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """Batches of runs of equal length: poses (runs, places, 7), edges between places of the run ``of``, and the numbers of the batches that they come with.
+
+    As long as a batch is settled by one Newton step within the trust region and nothing has to be linearised again, the factors
+    that a growing graph keeps are those of the whole system, so the whole system of each run is solved, all of them at once.
+    Returns which runs stayed so, and for each step (runs, eliminated, moved, cost) of all; those of the other runs mean nothing.
     """
+    count, n = base.shape[:2]
+    a, b = of * n + edges[0], of * n + edges[1]
+    flat, own = base.reshape(-1, 7), (a, b, *edges[2:])
+    err, ja, jb = residuals(flat, own)
+    w = 1 / edges[3]
+    low, high = np.minimum(edges[0], edges[1]), np.maximum(edges[0], edges[1])
+    good, steps = np.ones(count, bool), []
+    delta, parent = np.zeros((count, n, 6)), np.full((count, n), -1)
+    total = 1 + node_step.max(axis=1)
+    np.maximum.at(total, of, 1 + edge_step)
+
+    def moved(to: np.ndarray) -> np.ndarray:
+        return manifold.boxplus(flat, to.reshape(-1, 6))
+
+    def held(p: np.ndarray) -> np.ndarray:
+        return manifold.boxminus(p.reshape(count, n, 7)[:, 0], base[:, 0])
+
+    for t in range(int(total.max())):
+        due, here = edge_step <= t, node_step <= t
+        h, g = stacked(count, n, a[due], b[due], w[due], err[due], ja[due], jb[due])
+        g[:, 0] += held(flat) / GAUGE
+        diagonal = np.where(here, DAMPING, 1.0)
+        diagonal[:, 0] = 1 / GAUGE
+        h[:, np.arange(6 * n), np.arange(6 * n)] += np.repeat(diagonal, 6, axis=1)
+        step = np.linalg.solve(h, -g.reshape(count, -1, 1)).reshape(count, n, 6)
+
+        def cost(to: np.ndarray, due: np.ndarray = due) -> np.ndarray:
+            p = moved(to)
+            e = manifold.log(manifold.compose(manifold.inverse(edges[2][due]), manifold.compose(manifold.inverse(p[a[due]]), p[b[due]])))
+            return (np.bincount(of[due], (e**2).sum(1) * w[due], count) + (held(p) ** 2).sum(1) / GAUGE) / 2
+
+        before, after = cost(delta), cost(step)
+        settled = (after <= before + 1e-12 * np.maximum(1.0, before)) | (np.abs(step - delta).max(axis=(1, 2)) < 1e-10)
+        plain = settled & (np.linalg.norm(step.reshape(count, -1), axis=1) <= radius) & ~(np.abs(step) > relinearise).any(axis=(1, 2))
+        active = t < total
+        good &= plain | ~active
+
+        linked = np.zeros((count, n, n), bool)
+        linked[of[due], low[due], high[due]] = True
+        now, dirty = _parents(linked), node_step == t
+        dirty[of[edge_step == t], low[edge_step == t]] = True
+        for k in range(n):
+            for up in (now[:, k], np.where(parent[:, k] != now[:, k], parent[:, k], -1)):
+                runs = np.flatnonzero(dirty[:, k] & (up >= 0))
+                dirty[runs, up[runs]] = True
+        shift = np.abs(manifold.boxminus(moved(step), moved(delta))).max(axis=1).reshape(count, n)
+        runs = np.flatnonzero(active)
+        steps.append((runs, dirty.sum(1)[runs], ((shift > 1e-3) & (node_step < t)).sum(1)[runs], after[runs]))
+        delta, parent = step, now
+    return good, steps
 
-    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        rows = grow(n, e, relinearise, rounds)[2] if len(n) else []
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
-        return out.assign(run=n["run"].iloc[0] if len(n) else None)
 
-    return _grouped(nodes, edges, run, OUT)
+def graph_updates(nodes: DataFrame, edges: DataFrame, relinearise: np.ndarray = RELINEARISE, rounds: int = 10) -> DataFrame:
+    """``OUT`` for each batch of each run: how many poses were eliminated and linearised again, how many older ones moved by over a millimetre or milliradian.
+
+    nodes: run, batch, id, pose; edges: run, batch, a, b, relative pose, variance. Runs are independent and go through in blocks: those of
+    equal length together as long as each batch is one plain step (see grow_many), others each with its growing graph.
+    Edges without an end are left out, of a repeated id the first counts.
+    """
+    names = [c.split()[0] for c in OUT.split(", ")]
+
+    def run(count: int, sides: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, e = sides
+        n = n.sort_values(["run", "batch", "id"], kind="stable").drop_duplicates(["run", "id"]).reset_index(drop=True)
+        starts, size, find = places(n, count)
+        of = e["run"].to_numpy()
+        a, b = (find(of, e[c].to_numpy()) for c in ("a", "b"))
+        keep = (a >= 0) & (b >= 0) & (a != b)
+        e, of, a, b = e[keep].reset_index(drop=True), of[keep], a[keep], b[keep]
+        came = n["batch"].to_numpy(np.int64)
+        due = np.maximum(e["batch"].to_numpy(np.int64), np.maximum(came[starts[of] + a], came[starts[of] + b])) if len(e) else np.zeros(0, np.int64)
+        # batches of each run by their number
+        every = pd.DataFrame({"run": np.concatenate([n["run"].to_numpy(), of]), "batch": np.concatenate([came, due])})
+        batches, number = np.unique(every.to_numpy(np.int64), axis=0, return_inverse=True)
+        number = number.ravel()
+        first = np.searchsorted(batches[:, 0], np.arange(count))
+        step = number - first[every["run"].to_numpy(np.int64)]
+        node_step, edge_step = step[: len(n)], step[len(n) :]
+        new, more = np.bincount(number[: len(n)], minlength=len(batches)), np.bincount(number[len(n) :], minlength=len(batches))
+        poses, own = n[POSE].to_numpy(float), (a, b, e[POSE].to_numpy(float), e["variance"].to_numpy(float))
+        order = np.argsort(of, kind="stable")
+        many = np.bincount(of, minlength=count)
+        begin = np.cumsum(many) - many
+        out, single = np.zeros((len(batches), 3)), []
+        for length, runs in alike(size):
+            if length > DENSE:
+                single += runs.tolist()
+                continue
+            rows = starts[runs][:, None] + np.arange(length)
+            at = order[np.repeat(begin[runs] - (np.cumsum(many[runs]) - many[runs]), many[runs]) + np.arange(many[runs].sum())]
+            good, steps = grow_many(poses[rows], np.repeat(np.arange(len(runs)), many[runs]), tuple(c[at] for c in own), node_step[rows], edge_step[at], np.asarray(relinearise, float))
+            for t, (which, *found) in enumerate(steps):
+                out[first[runs[which]] + t] = np.stack(found, axis=1)
+            single += runs[~good].tolist()
+        plain = ~np.isin(batches[:, 0], single)
+        yield pd.DataFrame({"run": batches[:, 0], "batch": batches[:, 1], "n": new, "edges": more, "eliminated": out[:, 0].astype(np.int64), "relinearised": 0, "moved": out[:, 1].astype(np.int64), "cost": out[:, 2]})[plain]
+        ends = np.searchsorted(of[order], np.arange(count + 1))
+        for k in single:
+            rows = grow(n.iloc[starts[k] : starts[k] + size[k]], e.iloc[order[ends[k] : ends[k + 1]]], relinearise, rounds)[2]
+            yield pd.DataFrame(rows, columns=names).assign(run=k)
+
+    return by_runs([nodes.select("run", "batch", "id", *POSE), edges.filter("a is not null and b is not null").select("run", "batch", "a", "b", *POSE, "variance")], run, OUT)
 
 
 def grown_poses(nodes: DataFrame, edges: DataFrame, relinearise: np.ndarray = RELINEARISE, rounds: int = 10) -> DataFrame:

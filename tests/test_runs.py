@@ -89,3 +89,32 @@ def test_steps_of_many_runs_are_as_many_as_those_of_one(monkeypatch):
     for _, rows, at, of in block.stacks():
         graph.solve_many(block.poses[rows], of, tuple(c[at] for c in block.own))
     assert len(calls) <= 10
+
+
+def test_plain_growth_of_many_runs_is_that_of_single_graphs(spark):
+    """Runs that settle by plain steps, one with a loop far off that has to be linearised again, and one that is longer than a stack takes."""
+    from posegrid.operators import incremental
+
+    nodes, chain, loops = some_graphs(np.random.default_rng(7), [1, 9, 9, 14, 36, 11])
+    good = loops[(loops["run"] + loops["b"]) % 5 != 0].drop(columns="loop")
+    far = loops[loops["run"] == 5].drop(columns="loop")
+    edges = pd.concat([chain, good, far], ignore_index=True)
+    n, e = incremental.batched_by(spark.createDataFrame(nodes), spark.createDataFrame(edges), 4)
+    got = incremental.graph_updates(n, e).toPandas().sort_values(["run", "batch"]).reset_index(drop=True)
+    n, e = n.toPandas(), e.toPandas()
+    want = [{"run": k} | row for k in range(6) for row in incremental.grow(n[n["run"] == k], e[e["run"] == k], incremental.RELINEARISE, 10)[2]]
+    want = pd.DataFrame(want)[got.columns]
+    counts = ["run", "batch", "n", "edges", "eliminated", "relinearised", "moved"]
+    assert got[counts].equals(want[counts].astype("int64")) and np.allclose(got["cost"], want["cost"], rtol=1e-6, atol=1e-7)
+    assert want["relinearised"].sum() > 0
+
+
+def test_growing_graphs_are_made_only_for_runs_that_need_one(spark, monkeypatch):
+    from posegrid.operators import incremental
+
+    nodes, chain, _ = some_graphs(np.random.default_rng(8), [9] * 50)
+    block = [nodes.assign(batch=nodes["id"] // 5), chain.assign(batch=chain["b"] // 5)]
+    monkeypatch.setattr(incremental, "by_runs", lambda sides, f, schema: pd.concat(f(50, block)))
+    monkeypatch.setattr(incremental, "GrowingGraph", None)
+    n, e = incremental.batched_by(spark.createDataFrame(nodes), spark.createDataFrame(chain), 5)
+    assert len(incremental.graph_updates(n, e)) == 100
