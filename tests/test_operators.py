@@ -400,3 +400,48 @@ def test_late_samples_are_dropped_and_silence_is_waited_out():
     assert align.close(state, rules, 1) == []
     align.push(state, "camera", 1300, 2, rules)
     assert [(r[1], r[6]) for r in align.close(state, rules, 1)] == [(1, True)]
+
+
+def test_nearest_among_copies_and_ties_is_that_of_all_pairs(spark):
+    """Places that several scans share, lattice ties between cells, lone points; each against all others."""
+    rng = np.random.default_rng(11)
+    p = np.concatenate([rng.integers(-4, 5, (150, 3)) / 2, rng.uniform(-3, 3, (150, 3)), rng.integers(0, 3, (60, 3)) * 0.05, [[9, 9, 9], [9, 9, 9.05]], [[np.nan, 0, 0], [np.inf, 0, 0]]])
+    scan, ids = rng.integers(0, 6, len(p)), rng.permutation(len(p))
+    rows = [(int(i), int(s), *map(float, v)) for i, s, v in zip(ids, scan, p, strict=True)]
+    t = spark.createDataFrame(rows, "id long, scan long, x double, y double, z double")
+    got = {r["q"]: (r["id"], r["d2"]) for r in joins.voxel_nn(t.withColumnRenamed("id", "q"), t, 0.8, 0.8, apart="scan").collect()}
+    want = {}
+    for i, s, *a in rows:
+        best = None
+        for j, o, *b in rows:
+            x, y, z = ((u - v) * (u - v) for u, v in zip(a, b, strict=True))
+            d2 = x + y + z
+            if o != s and d2 <= 0.8**2:
+                steps = [math.floor(v / 0.8) - math.floor(u / 0.8) + 1 for u, v in zip(a, b, strict=True)]
+                best = min(best or (9.0,), (d2, steps[0] * 9 + steps[1] * 3 + steps[2], j))
+        if best:
+            want[i] = (best[2], best[0])
+    assert got == want
+
+
+def test_copies_of_a_cloud_make_no_pairs(spark):
+    """4,000 points in one cell, each in two scans, so that all pairs would be 64 million: none is made."""
+    from posegrid.operators import joins as J
+
+    t = spark.range(8000).selectExpr("id", "id % 2 as scan", "floor(id / 2) / 8000.0D as x", "0D as y", "0D as z")
+    seen, real = [], J.grid_pairs
+    J.grid_pairs = lambda q, *a, **k: seen.append(q.count()) or real(q, *a, **k)
+    try:
+        got = J.voxel_nn(t.withColumnRenamed("id", "q"), t, 0.8, 0.8, apart="scan")
+        assert got.filter("d2 = 0 and abs(q - id) = 1").count() == 8000
+    finally:
+        J.grid_pairs = real
+    assert seen == [0, 0]
+
+
+def test_normals_shuffle_points_and_no_neighbours(spark):
+    p = spark.range(400).selectExpr("id % 3 as run", "id as q", "id % 20 / 10.0D as x", "floor(id / 20) / 10.0D as y", "0D as z")
+    found = aggregations.observability_scores(p, ("run",), 0.5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert found.select("n").collect() == [(134,), (133,), (133,)] or found.agg({"n": "sum"}).first()[0] == 400
