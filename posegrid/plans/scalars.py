@@ -286,10 +286,10 @@ PIXEL = """c AS (SELECT *, xn*xn + yn*yn AS r2 FROM (SELECT *, x/100/CASE WHEN z
 @section.add("project", with_views("SELECT scan_id, idx, round(u, 4) + 0.0 AS u, round(v, 4) + 0.0 AS v, coalesce(u >= 0 AND u < 640 AND v >= 0 AND v < 480, false) AS inside, " + ", ".join(f"round({e}, 4) + 0.0 AS j{i}" for i, e in enumerate(("400*ux/z", "400*uy/z", "-400*(ux*xn + uy*yn)/z", "410*uy/z", "410*vy/z", "-410*(uy*xn + vy*yn)/z"))) + " FROM (SELECT * EXCLUDE z, CASE WHEN z > 0 THEN z END AS z FROM j)", PIXEL))
 def _(spark, d):
     """Pixels of all points, whether they lie in the image, and how they move with the point."""
-    p = (col("x") / 100, col("y") / 100, F.when(col("z") > 0, col("z")))
-    u, v = M.project(p, 400.0, 410.0, 320.0, 240.0, 0.01, -0.002, 0.001, 0.0005)
-    j = M.project_jacobian(p, 400.0, 410.0, 0.01, -0.002, 0.001, 0.0005)
-    return rounded(A.point(spark, d).select("scan_id", "idx", u.alias("u"), v.alias("v"), M.in_image(u, v, 640, 480).alias("inside"), *[c.alias(f"j{i}") for i, c in enumerate(j)]), 4)
+    names = ("u", "v", *(f"j{i}" for i in range(6)))
+    seen = manifold.batched(lambda p: M.project_many(p, 400.0, 410.0, 320.0, 240.0, 0.01, -0.002, 0.001, 0.0005), names, col("x") / 100, col("y") / 100, col("z"))
+    p = A.point(spark, d).select("scan_id", "idx", seen.alias("p")).select("scan_id", "idx", "p.*")
+    return rounded(p.select("scan_id", "idx", "u", "v", M.in_image(col("u"), col("v"), 640, 480).alias("inside"), *names[2:]), 4)
 
 
 @section.add("unproject", with_views("SELECT scan_id, idx, round(x / 100 + 1e-8, 5) AS ux, round(y / 100 + 1e-8, 5) AS uy FROM v_point"))

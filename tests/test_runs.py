@@ -148,3 +148,16 @@ def test_distortion_is_undone_in_as_many_steps_as_it_needs(monkeypatch):
     monkeypatch.setattr(geometry, "distort_radtan", lambda u, *a: rows.append(len(u)) or real(u, *a))
     got = geometry.undistorted(dx, dy, 0.05, -0.01, 0.001, 0.0005, 40)
     assert np.abs(got[0] - x).max() < 1e-12 and np.abs(got[1] - y).max() < 1e-12 and sum(rows) < 40 * len(x)
+
+
+def test_pixels_in_batches_are_those_of_the_expressions(spark):
+    from posegrid.functions import geometry
+    from pyspark.sql import functions as F
+
+    lens = (400.0, 410.0, 320.0, 240.0, 0.01, -0.002, 0.001, 0.0005)
+    rows = np.random.default_rng(10).uniform(-1, 3, (50, 3))
+    rows[0, 2] = 0.0
+    p = tuple(F.col(c) for c in "xyz")
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=list("xyz")))
+    want = df.select(*geometry.project(p, *lens), *geometry.project_jacobian(p, *lens[:2], *lens[4:])).toPandas().to_numpy(float)
+    assert np.array_equal(geometry.project_many(rows, *lens), want, equal_nan=True)
