@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .folds import in_order
+
 COLUMNS = ("gx", "gy", "gz", "x", "y", "z", "speed")
 OUT = "lock_id long, n long, yaw double, yaw_sigma double, tx double, ty double, tz double"
 
@@ -106,4 +108,4 @@ def datum_lock(fixes: DataFrame, keys: list[str], order: list[str], ident: str,
                 own = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([*(own.column(k) for k in keys), *(pa.array(c) for c in zip(*locks, strict=True))], names)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{kinds}, {OUT}")
+    return in_order(rows, keys, order).mapInArrow(run, f"{kinds}, {OUT}")

@@ -445,3 +445,31 @@ def test_normals_shuffle_points_and_no_neighbours(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
     assert found.select("n").collect() == [(134,), (133,), (133,)] or found.agg({"n": "sum"}).first()[0] == 400
+
+
+def test_a_key_stays_together_behind_a_join(spark):
+    """Where a join by the keys turns into a broadcast at run time, its shuffle is read by writers; no key may be parted by that."""
+    rows = [(f"r{i % 3}", i, float(i * 37 % 101)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "run string, t long, v double").repartition(6)
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.t: r.e for r in folds.ewma(df, ["run"], ["t"], F.col("v"), 0.1, F.floor(F.col("t") / 700), ["t"], "e").collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    state = {}
+    for run, t, v in rows:
+        state[run] = 0.9 * state[run] + 0.1 * v if run in state else v
+        assert abs(got[t] - state[run]) < 1e-9, t
+    assert len(got) == len(rows)
+    # planned as a sort-merge join: the repartition behind it stays
+    other = df.groupBy("run").agg(F.max("v").alias("most"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = folds.in_order(df.join(other, "run"), ["run"], ["t"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "REPARTITION_BY_COL" in plan
