@@ -71,3 +71,19 @@ def test_graph_and_registration_queries_read_whole_tables(spark):
     assert sorted(zip(sweeps["run"], sweeps["k"], strict=True)) == sorted({(k // 40, k % 40) for k in lines["l_orderkey"] // 75})
     # a pair's cloud is all points of its 200 scans: no fewer matches than points in reach of a copy moved by 0.022
     assert got("icp_register")["n"].sum() == len(lines)
+
+
+def test_alignment_of_points_that_fit_a_mirror_better(spark, tmp_path):
+    """Few poses of almost the same x: their errors outweigh their spread, and the best turn in space is half a turn about a line of the plane."""
+    rng = np.random.default_rng(3)
+    kf = rng.choice(90_000, (60, 3), replace=False)
+    orders = [(int(k), run, float(t)) for run, ids in enumerate(kf.tolist()) for k, t in zip(ids, 100_000 + 200 * rng.random(3), strict=True)]
+    orders = pd.DataFrame(orders, columns=["o_orderkey", "o_custkey", "o_totalprice"]).assign(o_orderdate=pd.Timestamp("1996-01-01"))
+    orders["o_orderdate"] = orders["o_orderdate"].astype("datetime64[us]")
+    orders.to_parquet(tmp_path / "orders.parquet")
+    got = QUERIES["umeyama_align"](spark, str(tmp_path)).toPandas().sort_values("run").reset_index(drop=True)
+    assert 10 < (got["r8"] < 0).sum() < 50
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+        expected = con.execute(SQL["umeyama_align"]).df().sort_values("run").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, expected, check_dtype=False, rtol=0, atol=1e-4)
