@@ -439,6 +439,23 @@ def test_copies_of_a_cloud_make_no_pairs(spark):
     assert seen == [0, 0]
 
 
+def test_queries_go_only_to_cells_whose_targets_they_reach(spark):
+    """Columns of points 1.0 apart with a reach of 0.9: of 27 cells around, only those of the own column are looked into."""
+    from posegrid.operators import joins as J
+
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 7, float(rng.integers(0, 12)), float(rng.uniform(0, 9)), float(rng.integers(0, 12))) for i in range(3000)]
+    t = spark.createDataFrame([*rows, (3000, 1, float("nan"), 0.0, 0.0), (3001, 2, 0.1, float("nan"), 0.2)], "id long, scan long, x double, y double, z double")
+    q = t.withColumnRenamed("id", "q")
+    looked = J._looked_into(J.cells(q, 0.9), J.cells(t, 0.9), "xyz", (), 0.9)
+    assert looked.count() <= 3 * 3000 and looked.groupBy("q", "probe").count().filter("count > 1").isEmpty()
+    got = {(r["q"], r["id"]): r["d2"] for r in J.voxel_radius(q, t, 0.9, 0.9, apart="scan").collect()}
+    p, scan = np.array([r[2:] for r in rows]), np.array([r[1] for r in rows])
+    d2 = ((p[:, None] - p[None]) ** 2).sum(2)
+    pairs = np.argwhere((d2 <= 0.9**2) & (scan[:, None] != scan[None]))
+    assert got == {(int(a), int(b)): pytest.approx(d2[a, b]) for a, b in pairs}
+
+
 def test_normals_shuffle_points_and_no_neighbours(spark):
     p = spark.range(400).selectExpr("id % 3 as run", "id as q", "id % 20 / 10.0D as x", "floor(id / 20) / 10.0D as y", "0D as z")
     found = aggregations.observability_scores(p, ("run",), 0.5)
