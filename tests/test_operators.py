@@ -137,6 +137,18 @@ def test_exact_medians(spark, accuracy):
     assert got == {k: pytest.approx(float(np.median([v for j, v in rows if j == k and v is not None]))) for k in (0, 1, 2, 3, 4, 7)}
 
 
+def test_quantiles_of_large_and_small_keys(spark, monkeypatch):
+    """Keys above and below the limit agree with numpy; small ones never go through approximate percentiles."""
+    rng = random.Random(12)
+    rows = [(k, rng.choice([round(rng.random(), 1), rng.random()])) for k, n in enumerate((1, 2, 900, 1000, 1001, 3000)) for _ in range(n)]
+    df, real, seen = spark.createDataFrame(rows, "k int, v double"), aggregations._bracketed, []
+    monkeypatch.setattr(aggregations, "_bracketed", lambda r, keys, value, share, name, accuracy: seen.extend(x["k"] for x in r.select("k").distinct().collect()) or real(r, keys, value, share, name, 200))
+    for share in (0.5, 0.95):
+        got = {r["k"]: r["m"] for r in aggregations.quantiles(df, ["k"], "v", share, "m", 1).collect()}
+        assert got == {k: pytest.approx(float(np.quantile([v for j, v in rows if j == k], share))) for k in range(6)}
+    assert sorted(set(seen)) == [4, 5]
+
+
 def test_spaced_insertion(spark):
     rng = random.Random(11)
     rows = [(i, 10 * rng.random(), 10 * rng.random(), 10 * rng.random()) for i in range(400)]
