@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from posegrid.operators import joins
 from pyspark.sql import functions as F
@@ -45,3 +47,18 @@ def test_dense_sweeps_make_no_pairs(spark):
     found = joins.assigned_once(sweeps, events, 1000)
     assert {r["sweep_id"] for r in found.collect()} == {0} and found.count() == 400
     assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_forward_matches_take_one_pass(spark):
+    """No frame reaches to the end of its partition: Spark goes through such a one again for each row."""
+    rng = np.random.default_rng(12)
+    left = pd.DataFrame({"k": rng.integers(0, 3, 400), "s": rng.integers(0, 300, 400), "i": np.arange(400)})
+    right = pd.DataFrame({"k": rng.integers(0, 3, 90), "s": rng.integers(0, 300, 90), "v": rng.integers(0, 1000, 90)})
+    a, b = spark.createDataFrame(left), spark.createDataFrame(right)
+    for by, strict, width in (["k"], False, None), (["k"], True, 20), ([], False, 20), ([], True, None):
+        found = joins.asof_forward(a, b, "s", ["v"], by, strict, width)
+        assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+        got = {r["i"]: r["v"] for r in found.collect()}
+        for k, s, i in left.itertuples(index=False):
+            ahead = right[(right["s"] > s if strict else right["s"] >= s) & ((right["k"] == k) if by else True)].sort_values(["s", "v"])
+            assert got[i] == (ahead["v"].iloc[0] if len(ahead) else None)
