@@ -99,8 +99,7 @@ def _(spark, d):
 def _(spark, d):
     path = scratch(spark)
     codecs.write_tum(_poses(spark, d), path)
-    back = codecs.parse_tum(spark.read.text(path).withColumn("one", F.monotonically_increasing_id()), ["one"])
-    return back.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("tx"), 3).alias("sx"))
+    return codecs.tum_rows(spark.read.text(path)).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("tx"), 3).alias("sx"))
 
 
 @section.add("corrected_trajectory_sink", with_views("SELECT kf_id, round(t / 1e6, 6) AS stamp, round(x, 6) AS tx, round(y, 6) AS ty FROM v_track ORDER BY kf_id"))

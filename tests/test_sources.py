@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from posegrid import settings
 from posegrid.sources import codecs, packet_log
+from pyspark.sql import functions as F
 
 
 def plain_check(known):
@@ -163,3 +164,18 @@ def test_packet_log_overwrite(spark, tmp_path):
     for n, mode, total in ((20, "append", 20), (7, "append", 27), (5, "overwrite", 5), (3, "append", 8), (0, "overwrite", 0)):
         spark.createDataFrame(rows(n), packet_log.SCHEMA).repartition(2).write.format("packetlog").mode(mode).save(path)
         assert spark.read.format("packetlog").load(path).count() == total
+
+
+def test_trajectories_of_many_runs_are_few_files(spark, tmp_path):
+    rows = [(run, 10.0 + k / 2, float(run), float(k), 0.5, 0.0, 0.0, 0.0, 1.0) for run in (*range(300), None) for k in (2, 0, 1) if run is not None]
+    rows += [(None, 1.0, -1.0, 0.0, 0.5, 0.0, 0.0, 0.0, 1.0)]
+    poses = spark.createDataFrame(rows, "run long, stamp double, " + ", ".join(f"{c} double" for c in codecs.POSE))
+    codecs.write_tum(poses.repartition(3), str(tmp_path / "out"))
+    files = list((tmp_path / "out").rglob("*.txt"))
+    assert 0 < len(files) <= 8
+    back = codecs.read_tum_runs(spark, str(tmp_path / "out"))
+    got = codecs.parse_tum(back, ["run"]).select(F.col("run").cast("long"), "stamp", *codecs.POSE).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(rows, key=str)
+    # the lines of a run stand together, in the order of their stamps
+    text = "".join(f.read_text() for f in files)
+    assert "# run 7\n10.000000 7.000000000 0.000000000 0.500000000 0.000000000 0.000000000 0.000000000 1.000000000\n10.500000 7.000000000 1.0" in text and text.count("# run") == 301
