@@ -405,16 +405,38 @@ def _relative_cov(rows, poses, starts):
 section.add("relative_cov_compose")(_per_run(_relative_cov, "run long, kf_id long, trans double, rot double"))
 
 
+#: How many poses lie between the ends of the segments whose covariances are asked for, as between those of a loop of the graph queries.
+SEGMENT = 3
+
+
+def _between(poses, cov, a, b):
+    """Covariances of the chain from rows a to rows b of the same run, in the frame of b; nan where a isn't before b or isn't known (-1).
+
+    ``cov`` are those from each run's start. Both ends share the chain up to a, so what is left is the segment's own.
+    """
+    out = np.full((len(b), 6, 6), np.nan)
+    at = np.flatnonzero((a >= 0) & (a < b))
+    a, b = a[at], b[at]
+    carry = manifold.adjoint(manifold.inverse(manifold.compose(manifold.inverse(poses[a]), poses[b])))
+    out[at] = manifold.psd_clamp(cov[b] - carry @ cov[a] @ carry.transpose(0, 2, 1))
+    return out
+
+
 def _chain_cov(rows, poses, starts):
-    last = np.zeros((len(starts), 6, 6))
-    for runs, _, cov in _carried(poses, starts):
-        last[runs] = cov
+    """Of each run's chain the covariance's trace up to the last pose, and for each pose that of the segment from the one three before it, or null."""
+    cov = np.zeros((len(poses), 6, 6))
+    for _, at, of in _carried(poses, starts):
+        cov[at] = of
+    size = np.diff(np.append(starts, len(poses)))
+    i, place = np.arange(len(poses)), np.arange(len(poses)) - np.repeat(starts, size)
+    segment = np.round(np.trace(_between(poses, cov, np.where(place >= SEGMENT, i - SEGMENT, -1), i), axis1=1, axis2=2), 5) + 0.0
+    listed = [None if v != v else v for v in segment.tolist()]
     # the first pose is certain
-    between = manifold.psd_clamp(last)
-    return pd.DataFrame({"run": rows["run"].to_numpy()[starts], "n": np.diff(np.append(starts, len(poses))), "trace": np.trace(between, axis1=1, axis2=2)})
+    last = np.trace(manifold.psd_clamp(cov[starts + size - 1]), axis1=1, axis2=2)
+    return pd.DataFrame({"run": rows["run"].to_numpy()[starts], "n": size, "trace": last, "between": [listed[k : k + n] for k, n in zip(starts.tolist(), size.tolist(), strict=True)]})
 
 
-section.add("chain_cov")(_per_run(_chain_cov, "run long, n long, trace double"))
+section.add("chain_cov")(_per_run(_chain_cov, "run long, n long, trace double, between array<double>"))
 
 
 def _gyro_bias(rows, poses, starts):

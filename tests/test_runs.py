@@ -34,6 +34,34 @@ def test_runs_in_blocks_give_what_single_runs_give(spark, monkeypatch, tmp_path)
         assert got.loc[run, "n"] == len(p) and abs(got.loc[run, "trace"] - np.trace(cov)) < 1e-5
 
 
+def test_a_segment_of_a_chain_has_the_steps_between_its_ends(spark, tmp_path):
+    """What is left of the end's covariance without that up to the start is that of the segment's own steps; nothing where there is none."""
+    rng = np.random.default_rng(11)
+    own = np.repeat([3, 4, 9], [1, 9, 4])
+    orders = pd.DataFrame({"o_custkey": own, "o_orderdate": (pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(14), "D")).astype("datetime64[us]"), "o_orderkey": np.arange(14) * 11, "o_totalprice": rng.uniform(0, 1e5, 14)})
+    orders.to_parquet(tmp_path / "orders.parquet")
+    got = windows.section.queries["chain_cov"](spark, str(tmp_path)).toPandas().set_index("run")["between"]
+    for run, rows in orders.groupby("o_custkey"):
+        yaw = np.radians(rows["o_orderkey"].to_numpy() % 360)
+        zero = 0 * yaw
+        p = np.stack([zero, zero, np.sin(yaw / 2), np.cos(yaw / 2), rows["o_totalprice"] / 1e5, rows["o_orderkey"] % 997 / 100, zero], axis=1)
+        for b, found in enumerate(got[run]):
+            if b < 3:
+                assert found is None or np.isnan(found)
+                continue
+            cov = np.zeros((6, 6))
+            for i in range(b - 2, b + 1):
+                a = manifold.adjoint(manifold.compose(manifold.inverse(p[i : i + 1]), p[i - 1 : i]))[0]
+                cov = a @ cov @ a.T + np.eye(6) * 1e-4
+            assert abs(found - np.trace(cov)) < 1e-5
+        assert len(got[run]) == len(p)
+    # ends in the wrong order, the same end twice, one that isn't known
+    poses = np.tile([0.0, 0, 0, 1, 1, 2, 3], (3, 1))
+    cov = np.arange(3)[:, None, None] * np.eye(6)
+    between = windows._between(poses, cov, np.array([0, 2, 1, -1]), np.array([2, 0, 1, 2]))
+    assert np.allclose(between[0], 2 * np.eye(6)) and np.isnan(between[1:]).all()
+
+
 POSED = "qx double, qy double, qz double, qw double, tx double, ty double, tz double"
 
 
