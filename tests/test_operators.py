@@ -458,6 +458,24 @@ def test_nearest_among_copies_and_ties_is_that_of_all_pairs(spark):
     assert got == want
 
 
+def test_points_among_themselves_are_dealt_by_place_once(spark):
+    """As with targets of its own, all queries back if asked for, unusable ones too; what is kept of the table holds each point once."""
+    rng = np.random.default_rng(13)
+    rows = [(i, i % 5, *(float(v) for v in rng.integers(0, 5, 3) * 0.7)) for i in range(300)] + [(300, 1, 0.0, float("nan"), 0.0), (301, None, 0.0, 0.0, 0.0), (302, 2, 90.0, 0.0, 0.0), (303, 3, -0.0, 0.0, 0.0)]
+    q = spark.createDataFrame(rows, "q long, scan long, x double, y double, z double")
+    want = {r["q"]: (r["id"], r["d2"]) for r in joins.voxel_nn(q, q.withColumnRenamed("q", "id"), 0.8, 0.8, apart="scan").collect()}
+    kept, real = [], joins.settle
+    joins.settle = lambda df: kept.append(df.count()) or real(df)
+    try:
+        got = joins.voxel_nn(q, None, 0.8, 0.8, apart="scan", whole=True).collect()
+    finally:
+        joins.settle = real
+    assert kept[0] == len(rows)
+    assert {r["q"]: (r["id"], r["d2"]) for r in got if r["id"] is not None} == want
+    back = {r["q"]: (r["scan"], r["x"]) for r in got}
+    assert len(got) == len(rows) and back == {r[0]: (r[1], r[2]) for r in rows} and {300, 301, 302}.isdisjoint(want) and 303 in want
+
+
 def test_copies_of_a_cloud_make_no_pairs(spark):
     """4,000 points in one cell, each in two scans, so that all pairs would be 64 million: none is made."""
     from posegrid.operators import joins as J
